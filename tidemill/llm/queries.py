@@ -11,6 +11,7 @@ from .chat_format import format_chats
 from .common import table, text_of
 from .exact_dedup import exact_dedup
 from .mixing import mix_sources
+from .ngram_join import ngram_join
 from .secret_scan import secret_report
 from .sharding import external_shuffle, row_bytes
 
@@ -21,6 +22,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(table(spark, sf_dir, "documents"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(table(spark, sf_dir, "documents"))
 
@@ -44,6 +49,7 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_ngram_join": op2_ngram_join,
     "op3_secret_scan": op3_secret_scan,
     "op4_chat_format": op4_chat_format,
     "op6_exact_dedup": op6_exact_dedup,

@@ -97,9 +97,8 @@ def randomness(token: Column) -> Column:
     )
     serial = F.abs(lagged / F.greatest(variance, F.lit(1e-9))) * F.sqrt(n)
 
-    # Fisher's combination of the two p-values is chi-squared with four degrees of freedom.
-    twice = -F.log(F.greatest(p_chi, F.lit(1e-15))) - F.log(F.greatest(p_runs, F.lit(1e-15)))
-    p = F.when(serial > SERIAL_LIMIT, F.lit(1.0)).otherwise(F.exp(-twice) * (1 + twice))
+    # A token passes only if it passes every test, so the largest p-value is that of the battery.
+    p = F.when(serial > SERIAL_LIMIT, F.lit(1.0)).otherwise(F.greatest(p_chi, p_runs))
     return F.struct(p.alias("p"), (F.least(n, F.lit(64)) / 32.0).alias("weight"))
 
 
@@ -112,7 +111,7 @@ def with_random_spans(df: DataFrame, level: float) -> DataFrame:
     tested = df.withColumn("__tested", F.transform(free, lambda s: F.struct(s.alias("span"), randomness(s["token"]).alias("r"))))
     sums = tested.withColumn("__weights", F.aggregate("__tested", F.lit(0.0), lambda a, s: a + s["r"]["weight"])).withColumn("__m", F.size("__tested"))
     ranked = sums.withColumn(
-        "ranked",
+        "__ranked",
         F.array_sort(
             F.transform("__tested", lambda s: F.struct((s["r"]["p"] * F.col("__weights") / F.col("__m") / s["r"]["weight"]).alias("q"), s["span"].alias("span")))
         ),
@@ -131,7 +130,7 @@ def joined(spans: Column) -> Column:
     )
 
 
-def scan_secrets(docs: DataFrame, text_col: str = "text", level: float = 0.001) -> DataFrame:
+def scan_secrets(docs: DataFrame, text_col: str = "text", level: float = 0.01) -> DataFrame:
     """``docs`` with ``base_spans`` and ``random_spans``: arrays of (start, rank, end, kind, token).
 
     Offsets are in code points, the end exclusive. Base spans are the leftmost non-overlapping
@@ -139,7 +138,7 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", level: float = 0.001)
     tokens that the randomness battery finds: for an inferred encoding (hexadecimal, base 32, base 62
     or base 64), how close the letters are to uniform (chi-squared) and how often the kind of
     character changes (runs), each against ordinary text, with a limit on serial correlation; the
-    p-values, weighted by length, pass a Benjamini-Hochberg cut at ``level`` in each text.
+    larger of the two p-values, weighted by length, passes a Benjamini-Hochberg cut at ``level`` in each text.
 
     Null text counts as empty and has no spans. Rows are independent: repeated rows give equal
     results, an empty table an empty one; columns named base_spans or random_spans are replaced.
