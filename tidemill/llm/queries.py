@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 from .chat_format import format_chats
 from .common import table, text_of
+from .decontamination import find_contamination
 from .exact_dedup import exact_dedup
 from .mixing import mix_sources
 from .ngram_join import ngram_join
+from .recurrent_lm import score_documents
 from .secret_scan import secret_report
 from .sharding import external_shuffle, row_bytes
+from .toxicity import fit_toxicity, held_out, labelled_documents, score_toxicity
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,6 +50,23 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labelled = labelled_documents(docs, table(spark, sf_dir, "labels"))
+    model = fit_toxicity(labelled.where(~held_out(1, 3)))
+    return score_toxicity(docs, model).select(
+        "doc_id", held_out(1, 3).alias("held_out"), F.col("toxicity").alias("score"), F.when(F.col("toxicity") >= 0.7, 1).otherwise(0).alias("predicted")
+    )
+
+
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"), held_out(1, 5))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_ngram_join": op2_ngram_join,
@@ -54,4 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_chat_format": op4_chat_format,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_sharding": op7_sharding,
+    "op8_decontamination": op8_decontamination,
+    "op9_toxicity": op9_toxicity,
+    "op10_lm_scoring": op10_lm_scoring,
 }
