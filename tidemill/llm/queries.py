@@ -11,6 +11,7 @@ from .chat_format import format_chats
 from .common import table, text_of
 from .decontamination import find_contamination
 from .exact_dedup import exact_dedup
+from .html_extraction import extract_main_text
 from .mixing import mix_sources
 from .ngram_join import ngram_join
 from .recurrent_lm import score_documents
@@ -37,6 +38,10 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_chats(table(spark, sf_dir, "conversations"))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), digest_all=True)
 
@@ -72,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_join": op2_ngram_join,
     "op3_secret_scan": op3_secret_scan,
     "op4_chat_format": op4_chat_format,
+    "op5_html_extraction": op5_html_extraction,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_sharding": op7_sharding,
     "op8_decontamination": op8_decontamination,
