@@ -17,7 +17,7 @@ from .ngram_join import ngram_join
 from .recurrent_lm import score_documents
 from .secret_scan import secret_report
 from .sharding import external_shuffle, row_bytes
-from .toxicity import fit_toxicity, held_out, labelled_documents, score_toxicity
+from .toxicity import fit_toxicity, held_out, score_toxicity
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,8 +61,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    labelled = labelled_documents(docs, table(spark, sf_dir, "labels"))
-    model = fit_toxicity(labelled.where(~held_out(1, 3)))
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels").where(~held_out(1, 3)))
     return score_toxicity(docs, model).select(
         "doc_id", held_out(1, 3).alias("held_out"), F.col("toxicity").alias("score"), F.when(F.col("toxicity") >= 0.7, 1).otherwise(0).alias("predicted")
     )

@@ -141,30 +141,45 @@ class Toxicity:
         return 1 / (1 + np.exp(-np.clip(self.slope * value + self.offset, -30, 30)))
 
 
-def _grams(word: str) -> set[str]:
-    marked = f"^{word}"
-    return {marked[i : i + n] for n in (4, 5, 6) for i in range(len(marked) - n + 1)} | {f"^{word}$"}
+#: Bits of the table in which character n-grams are counted.
+GRAM_BITS = 22
+
+
+def gram_ids(codes: np.ndarray) -> np.ndarray:
+    """For each word the places of its character n-grams (4 to 6, the word's start marked) in a hashed table; place 0 is none."""
+    marked = np.hstack([np.full((len(codes), 1), 63), codes]).astype(np.uint64)
+    found = []
+    for n in (4, 5, 6):
+        width = marked.shape[1] - n + 1
+        key = np.full((len(codes), width), n, dtype=np.uint64)
+        for k in range(n):
+            key = (key << np.uint64(6)) | marked[:, k : k + width]
+        place = (key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - GRAM_BITS)
+        found.append(np.where(marked[:, n - 1 :] == 0, 0, place).astype(np.int32))
+    return np.hstack(found)
 
 
 def _witnesses(toxic: list[set[str]], clean: list[set[str]]) -> Counter:
     """Of each toxic text the word that is most typical of toxic texts, by the character n-grams that few clean texts hold."""
     clean_words = Counter(w for words in clean for w in words)
-    suspects = [{w for w in words if clean_words[w] * len(toxic) * 4 <= len(clean)} for words in toxic]
-    gram_cache = {w: _grams(w) for w in set().union(*suspects)} if suspects else {}
-    in_toxic = Counter(g for words in suspects for g in set().union(*(gram_cache[w] for w in words)))
-    common = {g for g, n in in_toxic.items() if n > 1}
-    in_clean: Counter = Counter()
-    for w, n in clean_words.items():
-        for g in _grams(w) & common:
-            in_clean[g] += n
-    ratio = len(toxic) / max(1, len(clean))
-    worth = {g: n / (2 + 4 * ratio * in_clean[g]) for g, n in in_toxic.items()}
+    suspects = [sorted(w for w in words if clean_words[w] * len(toxic) * 4 <= len(clean)) for words in toxic]
+    in_toxic, in_clean = np.zeros(1 << GRAM_BITS), np.zeros(1 << GRAM_BITS)
+    for words in suspects:
+        if words:
+            in_toxic[np.unique(gram_ids(encode([w[:PIECE] for w in words])))] += 1
+    calm = list(clean_words)
+    for lo in range(0, len(calm), 8192):
+        part = calm[lo : lo + 8192]
+        ids = gram_ids(encode([w[:PIECE] for w in part]))
+        np.add.at(in_clean, ids.ravel(), np.repeat([clean_words[w] for w in part], ids.shape[1]))
+    worth = in_toxic / (2 + 4 * len(toxic) / max(1, len(clean)) * in_clean)
+    worth[0] = 0
     found: Counter = Counter()
     for words in suspects:
         if words:
-            best = max(words, key=lambda w: (max(worth[g] for g in gram_cache[w]), w))
-            if max(worth[g] for g in gram_cache[best]) >= 1:
-                found[best] += 1
+            best = worth[gram_ids(encode([w[:PIECE] for w in words]))].max(axis=1)
+            if best.max() >= 1:
+                found[words[int(best.argmax())]] += 1
     return found
 
 
@@ -232,22 +247,27 @@ def _fit(toxic: list[set[str]], clean: list[set[str]], landmarks: int, seed: int
     return model
 
 
-def fit_toxicity(labelled: DataFrame, label_col: str = "toxic", text_col: str = "text", fit_docs: int = FIT_DOCS, landmarks: int = LANDMARKS) -> Toxicity:
-    """A machine fitted on ``labelled`` (text, label 0 or 1; a null label is left out).
+def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, landmarks: int = LANDMARKS) -> Toxicity:
+    """A machine fitted on the rows of ``docs`` (doc_id, text) that ``labels`` (doc_id, toxic) marks 0 or 1.
 
-    At most ``fit_docs`` texts of each class are used, those with the smallest seeded hashes. Of each
-    toxic text the word most typical of toxic texts stands for the sentence that holds it; every word
-    of the clean texts' sentences counts as clean, the worst of them in each round again. The kernel
-    of two words sums over the subsequences of three characters that both hold, with DECAY for each
-    character they span; landmarks span the feature space, and the machine found there is folded
-    into one weight for each subsequence, which gives the same values.
+    Of several labels of one id the highest counts; null labels and ids are left out. At most
+    ``fit_docs`` labels of each class are used, those with the smallest seeded hashes of their ids, so
+    that the texts read for the fit are bounded and none is shuffled. Of each toxic text the word most
+    typical of toxic texts stands for the sentence that holds it; every word of the clean texts'
+    sentences counts as clean, the worst of them in each round again. The kernel of two words sums
+    over the subsequences of three characters that both hold, with DECAY for each character they span;
+    landmarks span the feature space, and the machine found there is folded into one weight for each
+    subsequence, which gives the same values.
     """
-    rows = labelled.select(text_of(text_col).alias("text"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1)")
-    sample = []
-    for y in (1, 0):
-        drawn = rows.where(F.col("y") == y).orderBy(F.xxhash64(F.lit(11), "text"), "text").limit(fit_docs)
-        sample.append([words_of(t) for t in drawn.toArrow()["text"].to_pylist()])
-    return _fit(sample[0], sample[1], landmarks)
+    marks = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
+    drawn = [marks.where(F.col("y") == y).orderBy(F.xxhash64(F.lit(11), "doc_id"), "doc_id").limit(fit_docs) for y in (1, 0)]
+    chosen = drawn[0].unionByName(drawn[1]).select(F.col("doc_id").alias("__id"), "y")
+    rows = docs.join(F.broadcast(chosen), docs["doc_id"] == F.col("__id")).select("y", text_of().alias("text")).toArrow()
+    sample: dict = {0: [], 1: []}
+    for y, t in sorted(zip(rows["y"].to_pylist(), rows["text"].to_pylist(), strict=True)):
+        sample[y].append(words_of(t))
+    del rows
+    return _fit(sample[1], sample[0], landmarks)
 
 
 def score_toxicity(docs: DataFrame, model: Toxicity, text_col: str = "text") -> DataFrame:
@@ -284,12 +304,6 @@ def score_toxicity(docs: DataFrame, model: Toxicity, text_col: str = "text") ->
     return docs.withColumn("__text", text_of(text_col)).mapInArrow(score, schema)
 
 
-def labelled_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, text and toxic of the rows of ``docs`` with a label; of several labels of one id the highest counts."""
-    marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return docs.select("doc_id", "text").join(marks, "doc_id")
-
-
 def held_out(remainder: int, modulus: int, id_col: str = "doc_id"):
     """Whether crc32 of the id as text leaves ``remainder``; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % modulus == remainder
