@@ -13,13 +13,12 @@ from tidemill.llm.decontamination import decontaminate
 from tidemill.llm.mixing import mixed_documents
 from tidemill.llm.ngram_join import drop_near_duplicates
 from tidemill.llm.sharding import external_shuffle
-from tidemill.llm.toxicity import fit_toxicity, held_out, labelled_documents, score_toxicity
+from tidemill.llm.toxicity import fit_toxicity, held_out, score_toxicity
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity is below 0.7; the machine learns from the rows that are not held out."""
-    labelled = labelled_documents(docs, table(spark, sf_dir, "labels"))
-    model = fit_toxicity(labelled.where(~held_out(1, 3)))
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels").where(~held_out(1, 3)))
     return score_toxicity(docs, model).where("toxicity < 0.7").select(*docs.columns)
 
 
