@@ -17,7 +17,7 @@ from .common import text_of
 #: Most labelled documents of each class that the machine is fitted on, drawn by a seeded hash.
 FIT_DOCS = 2000
 #: Landmarks of the Nyström approximation.
-LANDMARKS = 64
+LANDMARKS = 128
 #: Subsequences are of three characters that span up to SPAN; each counts DECAY for a character of its span.
 SPAN, DECAY = 7, 0.75
 #: Characters of a piece of a word; longer words are cut into pieces that overlap by half.
@@ -160,7 +160,7 @@ def gram_ids(codes: np.ndarray) -> np.ndarray:
 
 
 def _witnesses(toxic: list[set[str]], clean: list[set[str]]) -> Counter:
-    """Of each toxic text the word that is most typical of toxic texts, by the character n-grams that few clean texts hold."""
+    """Of each toxic text the word most typical of toxic texts, by the character n-grams that few clean texts hold, and others that very many toxic texts share."""
     clean_words = Counter(w for words in clean for w in words)
     suspects = [sorted(w for w in words if clean_words[w] * len(toxic) * 4 <= len(clean)) for words in toxic]
     in_toxic, in_clean = np.zeros(1 << GRAM_BITS), np.zeros(1 << GRAM_BITS)
@@ -175,11 +175,12 @@ def _witnesses(toxic: list[set[str]], clean: list[set[str]]) -> Counter:
     worth = in_toxic / (2 + 4 * len(toxic) / max(1, len(clean)) * in_clean)
     worth[0] = 0
     found: Counter = Counter()
+    often = max(3.0, 0.01 * len(toxic))
     for words in suspects:
         if words:
             best = worth[gram_ids(encode([w[:PIECE] for w in words]))].max(axis=1)
             if best.max() >= 1:
-                found[words[int(best.argmax())]] += 1
+                found.update({words[int(best.argmax())], *(words[i] for i in np.flatnonzero(best >= often))})
     return found
 
 
@@ -211,7 +212,7 @@ def _fit(toxic: list[set[str]], clean: list[set[str]], landmarks: int, seed: int
     variants = [v[:PIECE] for w in positive[:400] for v in disguised(w) if len(w) >= 4]
     all_positive = positive + variants
     hard = rng.permutation(len(calm))[:8000]
-    half = landmarks // 2
+    half = 2 * landmarks // 3
     table = None
     for _ in range(3):
         marks = positive[:half] + [calm[i] for i in hard[: landmarks - min(half, len(positive))]]
