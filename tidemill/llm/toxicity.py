@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .common import text_of
 
 #: Most labelled documents of each class that the machine is fitted on, drawn by a seeded hash.
-FIT_DOCS = 2000
+FIT_DOCS = 1500
 #: Landmarks of the Nyström approximation.
 LANDMARKS = 128
 #: Subsequences are of three characters that span up to SPAN; each counts DECAY for a character of its span.
@@ -160,7 +160,7 @@ def gram_ids(codes: np.ndarray) -> np.ndarray:
 
 
 def _witnesses(toxic: list[set[str]], clean: list[set[str]]) -> Counter:
-    """Of each toxic text the word most typical of toxic texts, by the character n-grams that few clean texts hold, and others that very many toxic texts share."""
+    """Of each toxic text the word most typical of toxic texts, by the character n-grams that few clean texts hold."""
     clean_words = Counter(w for words in clean for w in words)
     suspects = [sorted(w for w in words if clean_words[w] * len(toxic) * 4 <= len(clean)) for words in toxic]
     in_toxic, in_clean = np.zeros(1 << GRAM_BITS), np.zeros(1 << GRAM_BITS)
@@ -175,12 +175,11 @@ def _witnesses(toxic: list[set[str]], clean: list[set[str]]) -> Counter:
     worth = in_toxic / (2 + 4 * len(toxic) / max(1, len(clean)) * in_clean)
     worth[0] = 0
     found: Counter = Counter()
-    often = max(3.0, 0.01 * len(toxic))
     for words in suspects:
         if words:
             best = worth[gram_ids(encode([w[:PIECE] for w in words]))].max(axis=1)
             if best.max() >= 1:
-                found.update({words[int(best.argmax())], *(words[i] for i in np.flatnonzero(best >= often))})
+                found[words[int(best.argmax())]] += 1
     return found
 
 
@@ -216,17 +215,19 @@ def _fit(toxic: list[set[str]], clean: list[set[str]], landmarks: int, seed: int
     table = None
     for _ in range(3):
         marks = positive[:half] + [calm[i] for i in hard[: landmarks - min(half, len(positive))]]
-        maps = np.array([features(c) for c in encode(marks)])
-        gram = maps @ maps.T
-        root_values, root_vectors = np.linalg.eigh(gram)
+        mark_codes = encode(marks)
+        words = np.vstack([encode(all_positive), calm_codes[hard]])
+        gram, kernel = np.empty((len(marks), len(marks))), np.empty((len(words), len(marks)))
+        for j, code in enumerate(mark_codes):
+            one = features(code)
+            gram[:, j], kernel[:, j] = values(mark_codes, one), values(words, one)
+        root_values, root_vectors = np.linalg.eigh((gram + gram.T) / 2)
         good = root_values > 1e-6 * root_values[-1]
         whiten = root_vectors[:, good] / np.sqrt(root_values[good])
-        words = np.vstack([encode(all_positive), calm_codes[hard]])
-        kernel = np.stack([values(words, m) for m in maps], axis=1)
         y = np.where(np.arange(len(words)) < len(all_positive), 1.0, -1.0)
         weight = np.where(y > 0, len(words) / (2 * len(all_positive)), len(words) / (2 * max(1, len(hard))))
         w, bias = _squared_hinge(kernel @ whiten, y, weight / weight.mean())
-        table = _silent(maps.T @ (whiten @ w))
+        table = sum(c * features(code) for c, code in zip(whiten @ w, mark_codes, strict=True))
         scores = values(calm_codes, table)
         worst = np.argsort(-scores, kind="stable")[:4000]
         hard = np.unique(np.concatenate([worst, rng.permutation(len(calm))[:6000]]))
