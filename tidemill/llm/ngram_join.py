@@ -217,12 +217,14 @@ def in_blocks(rows: DataFrame, group: str, bytes_col: str | None = None) -> Data
     """Rows of groups as rows of tasks: adds ``task`` and ``side``, so that any two rows of a group meet in one task.
 
     A group over BLOCK_ROWS rows or BLOCK_BYTES bytes is cut into blocks by a hash of its nodes; a task is
-    a block (side 0) or two different blocks (sides 1 and 2). No task holds more than about two blocks,
+    a block (side 0) or two different blocks (sides 1 and 2). The number of blocks is a power of two, so that
+    groups with the same nodes have the same blocks, and name the same links. No task holds more than about two blocks,
     whatever the size of the group.
     """
     size = F.greatest(
         F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum(bytes_col) / BLOCK_BYTES) if bytes_col else F.lit(1)
     ).cast("long")
+    size = F.pow(F.lit(2.0), F.ceil(F.log2(size.cast("double")))).cast("long")
     blocks = rows.groupBy(group).agg(F.count(F.lit(1)).alias("members"), size.alias("n_blocks")).where("members > 1").drop("members")
     joined = rows.join(blocks, group)
     own = F.pmod(F.xxhash64(F.lit(17), "node"), F.col("n_blocks"))
@@ -275,7 +277,7 @@ def ngram_join(
     sigs = materialize(sigs.select(F.col("digest").alias("node"), "sig"), "join-sigs")
     tasks = in_blocks(crowded, "bucket").select("node", "side", F.col("task").alias("bucket")).join(sigs, "node")
     links = (
-        tasks.repartition("bucket").sortWithinPartitions("bucket")
+        tasks.repartition("bucket").sortWithinPartitions("bucket", "node")
         .mapInArrow(lambda it: _bucket_links(it, least), "a long, b long")
     )
     groups = materialize(connected_components(links), "join-groups")
@@ -290,7 +292,7 @@ def ngram_join(
     sets = materialize(inside.select("node", "text_key").join(sets, "text_key").select("node", "grams").join(sigs, "node"), "join-sets")
     dealt = in_blocks(inside.select("node", "component", "weight", "bytes"), "component", "bytes").select("node", "task", "side", "weight")
     exact = materialize(
-        dealt.join(sets, "node").repartition("task").sortWithinPartitions("task")
+        dealt.join(sets, "node").repartition("task").sortWithinPartitions("task", "node")
         .mapInArrow(lambda it: _exact_links(it, threshold, least), "a long, b long, links long, texts long"),
         "join-links",
     )
