@@ -162,7 +162,7 @@ def mix_sources(
     ).select("rid", "skey", "shard", "at.*")
     upto = F.col("before") * block_words + F.col("times") * (F.col("x") - F.col("block") * block_words)
     taken = (
-        points.join(blocks, ["skey", "shard", "block"])
+        points.join(blocks.hint("merge"), ["skey", "shard", "block"])  # blocks grow with the words: never broadcast
         .groupBy("rid")
         .agg(F.sum(F.col("sign") * upto).cast("long").alias("taken"), F.max(F.when(F.col("sign") == 0, F.col("times"))).cast("long").alias("copies"))
     )
