@@ -184,11 +184,10 @@ def common_counts(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
     return both
 
 
-def _exact_links(batches: Iterator[pa.RecordBatch], threshold: float, least: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _exact_links(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
     """For each task of a block or two: rows (a, b, links, texts): links that connect, and how many links a node has here."""
     for table in _whole_groups(batches, "task"):
         keys, node, side, weight = (table[c].to_numpy() for c in ("task", "node", "side", "weight"))
-        sig = np.frombuffer(b"".join(table["sig"].to_pylist()), dtype=np.uint16).reshape(len(keys), -1)
         grams = table["grams"]
         cuts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True])))
         out = {k: [] for k in ("a", "b", "links", "texts")}
@@ -199,8 +198,6 @@ def _exact_links(batches: Iterator[pa.RecordBatch], threshold: float, least: np.
             a, b = np.nonzero(np.triu((both >= threshold * (size[:, None] + size[None, :] - both) - 1e-9) & (both > 0), 1))
             keep = (side[lo + a] == 0) | (side[lo + a] != side[lo + b])
             a, b = a[keep], b[keep]
-            kept = surviving(sig[lo + a], sig[lo + b], least)
-            a, b = a[kept], b[kept]
             root = _forest(hi - lo, a, b)
             links, texts = np.zeros(hi - lo, dtype=np.int64), np.zeros(hi - lo, dtype=np.int64)
             for x, y in ((a, b), (b, a)):
@@ -253,7 +250,8 @@ def ngram_join(
     their values are compared step by step and a pair is dropped once the posterior probability that
     it reaches ``threshold`` is below ``tolerance``. What survives is connected into groups, and
     within a group every pair is verified exactly, in blocks of bounded size, so that no pair becomes
-    a row and no group a task; the links are counted and connected again.
+    a row and no group a task; the links are counted and connected again. A link that the pruning missed
+    is found there as well if other pairs connect its two ends.
 
     Words are runs of characters other than white space. A text with fewer than ``n`` words has one
     n-gram, the whole; a null or empty text, or one of white space, has none: it has no link and is a
@@ -289,11 +287,11 @@ def ngram_join(
     few = keys.count() <= BROADCAST_KEYS
     bodies = texts.select("text_key", "text").join(F.broadcast(keys) if few else keys, "text_key", "left_semi")
     sets = bodies.mapInArrow(lambda it: _gram_sets(it, n), "text_key long, grams binary").dropDuplicates(["text_key"])
-    sets = materialize(inside.select("node", "text_key").join(sets, "text_key").select("node", "grams").join(sigs, "node"), "join-sets")
+    sets = materialize(inside.select("node", "text_key").join(sets, "text_key").select("node", "grams"), "join-sets")
     dealt = in_blocks(inside.select("node", "component", "weight", "bytes"), "component", "bytes").select("node", "task", "side", "weight")
     exact = materialize(
         dealt.join(sets, "node").repartition("task").sortWithinPartitions("task", "node")
-        .mapInArrow(lambda it: _exact_links(it, threshold, least), "a long, b long, links long, texts long"),
+        .mapInArrow(lambda it: _exact_links(it, threshold), "a long, b long, links long, texts long"),
         "join-links",
     )
     degree = exact.groupBy(F.col("b").alias("digest")).agg(F.sum("links").alias("links"), F.sum("texts").alias("texts"))
