@@ -12,7 +12,7 @@ from tidemill.llm.common import materialize, table
 from tidemill.llm.decontamination import decontaminate
 from tidemill.llm.mixing import mixed_documents
 from tidemill.llm.ngram_join import drop_near_duplicates
-from tidemill.llm.sharding import external_shuffle
+from tidemill.llm.sharding import external_shuffle, row_bytes
 from tidemill.llm.toxicity import fit_toxicity, held_out, score_toxicity
 
 
@@ -39,7 +39,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in 40 shards of nearly equal counts, with their shard and slot."""
-    return external_shuffle(docs, n_shards=40, size_col="n_chars")
+    return external_shuffle(docs, n_shards=40, size_col=row_bytes())
 
 
 STAGES = [

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -20,14 +20,14 @@ def external_shuffle(
     n_shards: int = 40,
     seed: int = 20240131,
     key_cols: tuple[str, ...] | None = None,
-    size_col: str | None = None,
+    size_col: str | Column | None = None,
     bucket_bytes: int = 32 << 20,
     bucket_rows: int = 1 << 18,
 ) -> DataFrame:
     """``df`` with two more columns, ``shard`` (0 to n_shards - 1) and ``slot`` (its place there).
 
     Pass one scatters the rows by a seeded hash into buckets that fit a task's memory: their number
-    follows from the bytes and rows of ``df``. Pass two shuffles each bucket with a seeded
+    follows from the rows of ``df`` and their bytes by ``size_col`` (a column or an expression; without one, 16 a row). Pass two shuffles each bucket with a seeded
     Fisher-Yates shuffle. The buckets, one after the other, are one random order of all rows; the
     shards are its cuts into equal parts, so that their counts are at most one apart.
 
@@ -39,7 +39,7 @@ def external_shuffle(
     df = df.drop("shard", "slot")
     cols = list(key_cols or df.columns)
     key = F.xxhash64(F.lit(seed), *[F.col(c) for c in cols])
-    size = F.col(size_col) if size_col else F.lit(16)
+    size = F.lit(16) if size_col is None else F.col(size_col) if isinstance(size_col, str) else size_col
     keyed = df.withColumn("__key", key)
     totals = df.select(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("b")).first()
     n_buckets = max(1, -(-int(totals["b"]) // bucket_bytes), -(-int(totals["n"]) // bucket_rows))
