@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -259,6 +259,11 @@ def ngram_join(
     kept, and all are linked to each other. Columns other than the id and text are ignored; an empty
     table gives an empty result.
     """
+    return _classes(docs, threshold, n, tolerance, id_col, text_col).drop("text_key")
+
+
+def _classes(docs: DataFrame, threshold: float, n: int, tolerance: float, id_col: str, text_col: str) -> DataFrame:
+    """What ``ngram_join`` returns, and the rows' text_key."""
     least = least_matches(threshold, tolerance)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).withColumn("text_key", F.xxhash64("text"))
     sketch_type = "doc_id long, text_key long, digest long, n_grams long, sig binary, bands array<long>"
@@ -298,12 +303,12 @@ def ngram_join(
     classes = connected_components(exact.select("a", "b")).select(F.col("node").alias("digest"), "component")
 
     found = (
-        sketches.select("rid", "doc_id", "digest", "n_grams")
+        sketches.select("rid", "doc_id", "text_key", "digest", "n_grams")
         .join(nodes.select("digest", "weight"), "digest", "left")
         .join(degree, "digest", "left")
         .join(classes, "digest", "left")
         .select(
-            "rid", "doc_id",
+            "rid", "doc_id", "text_key",
             F.when(F.col("n_grams") == 0, F.lit(0)).otherwise(F.coalesce("component", "digest")).alias("cls"),
             F.when(F.col("n_grams") == 0, F.col("rid")).otherwise(F.lit(0)).alias("alone"),
             (F.coalesce("links", F.lit(0)) + F.coalesce("weight", F.lit(1)) - 1).alias("n_links"),
@@ -315,19 +320,36 @@ def ngram_join(
     heads = found.groupBy("cls", "alone").agg(first.alias("first"), F.count(F.lit(1)).alias("class_size"))
     return found.join(heads, ["cls", "alone"]).select(
         "doc_id", F.col("first.doc_id").alias("class_id"), "n_links", "n_texts", "class_size",
-        (F.col("first.rid") == F.col("rid")).alias("kept"),
+        (F.col("first.rid") == F.col("rid")).alias("kept"), "text_key",
     )
 
 
-def drop_near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", **kwargs) -> DataFrame:
+def _row_key(doc_id: Column, text_key: Column) -> Column:
+    return F.concat(F.coalesce(F.concat(F.lit("+"), doc_id.cast("string")), F.lit("-")), F.lit(":"), text_key.cast("string"))
+
+
+def drop_near_duplicates(
+    docs: DataFrame,
+    threshold: float = 0.8,
+    n: int = 5,
+    tolerance: float = 1e-5,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
     """The rows of ``docs`` that ``ngram_join`` keeps: of each class the one with the smallest id.
 
-    Of repeated rows with the same id, those with equal texts count as one row, which stays once.
+    Of repeated rows with the same id, those with equal texts count as one row, which stays once. The
+    join that picks the rows and the window that leaves one of them have the same key, so that texts
+    are shuffled once at most.
     """
-    text_key = F.xxhash64(text_of(kwargs.get("text_col", "text")))
-    once = Window.partitionBy(F.col(id_col), text_key).orderBy(F.lit(0))
-    kept = ngram_join(docs, threshold, id_col=id_col, **kwargs).where("kept").select(F.col("doc_id").alias("__id"))
+    kept = _classes(docs, threshold, n, tolerance, id_col, text_col).where("kept")
+    kept = kept.select(_row_key(F.col("doc_id"), F.col("text_key")).alias("__key")).distinct()
+    key = _row_key(F.col(id_col).cast("long"), F.xxhash64(text_of(text_col)))
+    once = Window.partitionBy("__key").orderBy(F.lit(0))
     return (
-        docs.withColumn("__once", F.row_number().over(once)).where("__once = 1").drop("__once")
-        .join(kept.distinct(), F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
+        docs.withColumn("__key", key)
+        .join(kept, "__key", "left_semi")
+        .withColumn("__once", F.row_number().over(once))
+        .where("__once = 1")
+        .select(*docs.columns)
     )
