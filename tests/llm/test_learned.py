@@ -177,6 +177,24 @@ def test_lm_scores(spark, docs_of, sf_dir):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_lm_trains_on_every_text(spark, docs_of, monkeypatch):
+    rows = [(i, f"alpha beta number{i} gamma") for i in range(6)]
+    for row in rows:
+        one = docs_of([row]).select("doc_id", "text")
+        found = lm.build_vocabulary(lm.word_counts(one))
+        start = lm.initial(found)
+        after = lm.train_recurrent(one, spark.sparkContext.broadcast(found), start, rounds=1)
+        assert np.abs(lm.flat(after) - lm.flat(start)).max() > 0, row
+    monkeypatch.setattr(lm, "GROUP_WORDS", 500)
+    copies = docs_of([(i, LONG) for i in range(100)] + [(None, "a b"), (200, None), (201, "")]).select("doc_id", lm.text_of().alias("text"))
+    dealt = lm.deal_classes(copies, spark.sparkContext.broadcast(lm.build_vocabulary(lm.word_counts(copies)))).collect()
+    sizes = Counter()
+    for r in dealt:
+        sizes[r.g] += len(r.classes)
+    assert len(dealt) == 103 and sum(sizes.values()) == 100 * 41 + 3 + 1 + 1
+    assert len(sizes) == 8 and max(sizes.values()) < 1200
+
+
 def test_pipeline(spark, sf_dir):
     docs = q.table(spark, sf_dir, "documents")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "decontamination", "mixing", "sharding"]

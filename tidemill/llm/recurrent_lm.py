@@ -19,8 +19,8 @@ CLASSES = SINGLES + ENDINGS + 1
 #: Most frequent words that every task holds in a table; the rest are joined.
 HEAD_WORDS = 1 << 18
 HIDDEN = 24
-#: Share of the training documents on which the recurrent part is trained, and passes over them.
-TRAIN_EVERY, ROUNDS = 24, 3
+#: Passes of the recurrent part over the training documents, and most partitions that groups are dealt to.
+ROUNDS, PARTITIONS = 3, 2000
 #: Words of a training group, lanes and window of truncated backpropagation.
 GROUP_WORDS, LANES, WINDOW = 1 << 18, 64, 20
 #: Words that a task scores together, and different words it counts before it passes them on.
@@ -178,22 +178,37 @@ def _lanes(docs: list[np.ndarray], lanes: int):
     return entry, target, fresh, spots
 
 
-def _forward(p: dict, entry: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+def _forward(p: dict, entry: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
     """States after each step of a window, and the last; ``keep`` gets what backpropagation needs."""
-    out = np.empty((*entry.shape, HIDDEN), dtype=np.float32)
-    lookup = p["wx"] + p["b"]
-    for t in range(len(entry)):
-        if fresh[t].any():
+    steps, lanes = entry.shape
+    out = np.empty((steps, lanes, HIDDEN), dtype=np.float32)
+    half = np.ones(3 * HIDDEN, dtype=np.float32)
+    half[: 2 * HIDDEN] = 0.5  # a sigmoid is half the tanh of half its argument, and a half
+    x = ((p["wx"] + p["b"]) * half)[entry]
+    wh = p["wh"] * half
+    starts = fresh.any(axis=1)
+    gates = np.empty((steps, lanes, 2 * HIDDEN), dtype=x.dtype)
+    cand, un, before = (np.empty((steps, lanes, HIDDEN), dtype=x.dtype) for _ in range(3))
+    for t in range(steps):
+        if starts[t]:
             h = h * ~fresh[t][:, None]
-        x = lookup[entry[t]]
-        u = h @ p["wh"]
-        gates = _sigmoid(x[:, : 2 * HIDDEN] + u[:, : 2 * HIDDEN])
-        z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
-        n = np.tanh(x[:, 2 * HIDDEN :] + r * u[:, 2 * HIDDEN :])
-        after = n + z * (h - n)
-        if keep is not None:
-            keep.append((h, z, r, n, u[:, 2 * HIDDEN :]))
+        before[t] = h
+        u = h @ wh
+        g, n = gates[t], cand[t]
+        np.add(x[t, :, : 2 * HIDDEN], u[:, : 2 * HIDDEN], out=g)
+        np.tanh(g, out=g)
+        g *= 0.5
+        g += 0.5
+        un[t] = u[:, 2 * HIDDEN :]
+        np.multiply(g[:, HIDDEN:], un[t], out=n)
+        n += x[t, :, 2 * HIDDEN :]
+        np.tanh(n, out=n)
+        after = h - n
+        after *= g[:, :HIDDEN]
+        after += n
         h = out[t] = after
+    if keep is not None:
+        keep.update(before=before, z=gates[:, :, :HIDDEN], r=gates[:, :, HIDDEN:], n=cand, un=un)
     return out, h
 
 
@@ -206,31 +221,43 @@ def _log_softmax(states: np.ndarray, p: dict) -> np.ndarray:
 
 def _window_gradients(p: dict, entry, target, fresh, h):
     """Gradients over one window of truncated backpropagation, and the state to carry on."""
-    keep: list = []
+    keep: dict = {}
     states, last = _forward(p, entry, fresh, h, keep)
     steps, lanes = entry.shape
     real = (target < CLASSES).ravel()
-    prob = np.exp(_log_softmax(states, p))
+    prob = states.reshape(-1, HIDDEN) @ p["wo"] + p["bo"]
+    prob -= prob.max(axis=1, keepdims=True)
+    np.exp(prob, out=prob)
+    prob /= prob.sum(axis=1, keepdims=True)
     prob[np.flatnonzero(real), target.ravel()[real]] -= 1
     prob[~real] = 0
     prob /= max(1, real.sum())
-    g = {k: np.zeros(s, dtype=np.float32) for k, s in SHAPES.items()}
-    g["wo"] = states.reshape(-1, HIDDEN).T @ prob
-    g["bo"] = prob.sum(axis=0)
+    g = {"wo": states.reshape(-1, HIDDEN).T @ prob, "bo": prob.sum(axis=0)}
     down = (prob @ p["wo"].T).reshape(steps, lanes, HIDDEN)
-    dh = np.zeros((lanes, HIDDEN), dtype=np.float32)
+    before, z, r, n, un = (keep[k] for k in ("before", "z", "r", "n", "un"))
+    by_n = (1 - z) * (1 - n * n)
+    by_z = (before - n) * z * (1 - z)
+    by_r = un * r * (1 - r)
+    du = np.empty((steps, lanes, 3 * HIDDEN), dtype=down.dtype)
+    dn = np.empty_like(down)
+    dh = np.zeros((lanes, HIDDEN), dtype=down.dtype)
+    wh, starts = np.ascontiguousarray(p["wh"].T), fresh.any(axis=1)
     for t in range(steps - 1, -1, -1):
-        before, z, r, n, un = keep[t]
-        dh = dh + down[t]
-        dn = dh * (1 - z) * (1 - n * n)
-        dz = dh * (before - n) * z * (1 - z)
-        dr = dn * un * r * (1 - r)
-        dx = np.concatenate([dz, dr, dn], axis=1)
-        du = np.concatenate([dz, dr, dn * r], axis=1)
-        np.add.at(g["wx"], entry[t], dx)
-        g["b"] += dx.sum(axis=0)
-        g["wh"] += before.T @ du
-        dh = (dh * z + du @ p["wh"].T) * ~fresh[t][:, None]
+        dh += down[t]
+        d = du[t]
+        np.multiply(dh, by_n[t], out=dn[t])
+        np.multiply(dh, by_z[t], out=d[:, :HIDDEN])
+        np.multiply(dn[t], by_r[t], out=d[:, HIDDEN : 2 * HIDDEN])
+        np.multiply(dn[t], r[t], out=d[:, 2 * HIDDEN :])
+        dh *= z[t]
+        dh += d @ wh
+        if starts[t]:
+            dh *= ~fresh[t][:, None]
+    g["wh"] = before.reshape(-1, HIDDEN).T @ du.reshape(-1, 3 * HIDDEN)
+    du[:, :, 2 * HIDDEN :] = dn  # from here on the gradient of the input, not of the state
+    dx = du.reshape(-1, 3 * HIDDEN)
+    g["wx"] = (np.arange(CLASSES)[:, None] == entry.ravel()).astype(dx.dtype) @ dx
+    g["b"] = dx.sum(axis=0)
     return g, last
 
 
@@ -276,33 +303,47 @@ def sequence_logs(p: dict, docs: list[np.ndarray]) -> np.ndarray:
     return np.array([sums[start + len(d), lane] - sums[start, lane] for d, (lane, start) in zip(docs, spots, strict=True)]) / np.log(10)
 
 
-def _trainer(vocabulary, common, rate: float):
+def _trainer(common, rate: float):
     """What a group does in one round: its own copy of the parameters, trained on its texts, as rows (place, value)."""
 
     def train_here(table: pa.Table) -> pa.Table:
-        docs = [vocabulary.value.encode(w)[0] for w in _words(table.sort_by("h")["text"].combine_chunks())]
+        docs = [np.frombuffer(x, dtype=np.uint8) for x in table.sort_by("h")["classes"].to_pylist()]
         after = flat(train_group(unflat(common.value), docs, rate))
         return pa.table({"at": pa.array(np.arange(len(after), dtype=np.int32)), "v": pa.array(after.astype(np.float64))})
 
     return train_here
 
 
-def train_recurrent(train: DataFrame, vocabulary, start: dict, every: int = TRAIN_EVERY, rounds: int = ROUNDS) -> dict:
-    """Parameters trained on one in ``every`` of the training texts, by hash, so that what is learned from grows with the input.
+def deal_classes(train: DataFrame, vocabulary) -> DataFrame:
+    """(g, h, classes): a row for each training text, its words' classes a byte each, dealt into groups of about GROUP_WORDS words.
 
-    The texts are dealt into groups of about GROUP_WORDS words. In each round every group trains its
-    own copy from the common parameters, and the copies are averaged by an aggregation over their
-    places; the driver gets the average alone.
+    A text is dealt by its row's id with it, so that the copies of a text are spread over the groups.
     """
-    spark = train.sparkSession
-    sample = train.select("text", F.xxhash64(F.lit(23), "text").alias("h")).where(F.pmod("h", F.lit(every)) == 0)
-    sample = materialize(sample, "lm-sample")
-    words = sample.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"] / 6
+
+    def encode(batches):
+        for batch in batches:
+            classes = [vocabulary.value.encode(w)[0].tobytes() for w in _words(batch.column("text"))]
+            yield pa.record_batch({"h": batch.column("h"), "classes": pa.array(classes, pa.binary())})
+
+    rows = train.select(F.xxhash64(F.lit(23), "doc_id", "text").alias("h"), "text")
+    encoded = materialize(rows.mapInArrow(encode, "h long, classes binary"), "lm-classes")
+    words = encoded.agg(F.coalesce(F.sum(F.length("classes")), F.lit(0)).alias("n")).first()["n"]
     n_groups = max(1, round(words / GROUP_WORDS))
-    dealt = sample.select(F.pmod(F.xxhash64(F.lit(29), "h"), F.lit(n_groups)).cast("long").alias("g"), "h", "text")
+    dealt = encoded.select(F.pmod(F.xxhash64(F.lit(29), "h"), F.lit(n_groups)).cast("long").alias("g"), "h", "classes")
+    return dealt.repartition(min(n_groups, PARTITIONS), "g")
+
+
+def train_recurrent(train: DataFrame, vocabulary, start: dict, rounds: int = ROUNDS) -> dict:
+    """Parameters trained on every row of ``train`` (doc_id, text).
+
+    In each round every group of ``deal_classes`` trains its own copy from the common parameters, and
+    the copies are averaged by an aggregation over their places; the driver gets the average alone.
+    """
+    spark = train.sparkSession
+    dealt = deal_classes(train, vocabulary)
     for k in range(rounds):
         common = spark.sparkContext.broadcast(flat(start))
-        averaged = dealt.groupBy("g").applyInArrow(_trainer(vocabulary, common, 0.01 / (1 + k)), "at int, v double").groupBy("at").agg(F.avg("v").alias("v")).toArrow()
+        averaged = dealt.groupBy("g").applyInArrow(_trainer(common, 0.01 / (1 + k)), "at int, v double").groupBy("at").agg(F.avg("v").alias("v")).toArrow()
         after = flat(start)
         if averaged.num_rows:
             after[averaged["at"].to_numpy()] = averaged["v"].to_numpy()
