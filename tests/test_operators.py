@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidemill.functions import identity, text
 from tidemill.operators import decide, rules, scope, stream_rules, sync, upsert
 from tidemill.plans.queries import ORACLES, QUERIES
-from tidemill.streaming.ingest import read_or_empty, start_ingest
+from tidemill.streaming.ingest import approve_held, read_or_empty, start_ingest
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -122,3 +122,32 @@ def test_stream(spark, tmp_path):
         start_ingest(spark.readStream.schema(schema).parquet(at[0]), *at[1:]).awaitTermination(120)
         stored = read_or_empty(spark, f"{at[1]}/*", schema + ", eligible boolean, batch_id long").collect()
         assert sorted(r.identity for r in stored) == sorted({f"m{r[2] % 7}" for r in rows[: 6 + 4 * k]})
+
+
+def test_stream_keeps_held_rows(spark, tmp_path):
+    schema = "folder string, identity string, uid long, internal_date timestamp, body string"
+    at = [f"file://{tmp_path}/{x}" for x in ("src", "store", "state", "cp")]
+    start = dt.datetime(2024, 1, 1)
+
+    def step(*parts):
+        rows = [(f, f"m{i}", i, start + dt.timedelta(minutes=10 * i), "x") for f, ids in parts for i in ids]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(at[0])
+        start_ingest(spark.readStream.schema(schema).parquet(at[0]), *at[1:]).awaitTermination(120)
+        stored = read_or_empty(spark, f"{at[1]}/*", schema + ", eligible boolean, batch_id long").collect()
+        return sorted((r.folder, r.uid) for r in stored if r.eligible), len(stored)
+
+    def want(**folders):
+        rows = sorted((f, i) for f, ids in folders.items() for i in ids)
+        return rows, len(rows)
+
+    assert step(("big", range(205)), ("small", range(3))) == want(small=range(3))
+    assert step(("small", [3])) == want(small=range(4))  # not approved: still held, not lost
+    approve_held(spark, at[2], ["big"])
+    assert step(("small", [4]), ("big", [205])) == want(big=range(206), small=range(5))
+    # the approval is spent: the next backlog is held again, and one that outgrows its approval too
+    assert step(("big", range(206, 410))) == want(big=range(206), small=range(5))
+    approve_held(spark, at[2], ["big"])
+    assert step(("big", range(410, 700))) == want(big=range(206), small=range(5))
+    assert step(("small", [5])) == want(big=range(206), small=range(6))
+    approve_held(spark, at[2], ["big"])
+    assert step(("small", [6])) == want(big=range(700), small=range(7))

@@ -17,24 +17,63 @@ def read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
+def _holds(spark: SparkSession, state: str, key: str, before: int | None = None) -> DataFrame:
+    """(key, n_new, held, hold_batch): the latest hold or release of each folder, in batches before ``before``."""
+    log = read_or_empty(spark, f"{state}-holds/*", f"{key} string, n_new long, held boolean, batch_id long")
+    log = log if before is None else log.where(F.col("batch_id") < before)
+    return log.groupBy(key).agg(*[F.max_by(c, "batch_id").alias(c) for c in ("n_new", "held")], F.max("batch_id").alias("hold_batch"))
+
+
+def approve_held(spark: SparkSession, state: str, folders: list[str], key: str = "folder") -> None:
+    """The owner lets in what is held of ``folders`` now: in the next batch the count of that hold is added to their cap, once.
+
+    An approval goes with its hold: a later hold of the folder, of another count, needs its own.
+    """
+    now = _holds(spark, state, key).where(F.col("held") & F.col(key).isin(folders))
+    now.select(key, F.col("n_new").alias("approved"), "hold_batch").write.mode("append").parquet(f"{state}-approved")
+
+
 def store_batch(batch: DataFrame, store: str, state: str, batch_id: int, key: str = "folder", identity: str = "identity", time: str = "internal_date", cap: int = stream_rules.NEW_MAIL_CAP) -> None:
     """Route one batch by the watermarks at its start, hold folders over the cap, append what is new, move the watermarks on.
 
+    All rows of a held folder go to a table of their own (``state``-held), and stand before every later
+    batch together with its rows, until the folder's new messages are within the cap or the owner has
+    approved their count (``approve_held``). So no row that was read is lost.
+
     Late messages are stored with eligible = false, never dropped, so Spark's own watermark does not
     gate this. A batch writes to a folder of its own number and overwrites it, and reads only batches
     before it, so that a batch that is run again after a failure gives the same rows.
     """
     spark = batch.sparkSession
+    number = F.lit(batch_id).cast("long").alias("batch_id")
     state_schema = f"{key} string, watermark timestamp, batch_id long"
     marks = read_or_empty(spark, f"{state}/*", state_schema).where(F.col("batch_id") < batch_id).groupBy(key).agg(F.max("watermark").alias("watermark"))
-    routed = batch.join(F.broadcast(marks), key, "left").withColumn("eligible", stream_rules.is_new(F.col(time), F.col("watermark")))
-    held = stream_rules.admission(routed, [key], cap).where("held").select(key)
-    admitted = routed.join(held, key, "left_anti").drop("watermark").withColumn("batch_id", F.lit(batch_id).cast("long"))
+    holds = _holds(spark, state, key, batch_id)
+    approvals = read_or_empty(spark, f"{state}-approved", f"{key} string, approved long, hold_batch long").groupBy(key, "hold_batch").agg(F.max("approved").alias("approved"))
+    released = read_or_empty(spark, f"{state}-holds/*", f"{key} string, n_new long, held boolean, batch_id long")
+    released = released.where(~F.col("held") & (F.col("batch_id") < batch_id)).groupBy(key).agg(F.max("batch_id").alias("released"))
+    earlier = read_or_empty(spark, f"{state}-held/*", batch.select("*", number).schema).where(F.col("batch_id") < batch_id)
+    waiting = earlier.join(released, key, "left").where(F.col("released").isNull() | (F.col("batch_id") > F.col("released"))).select(*batch.columns, F.lit(True).alias("waited"))
+    arrived = batch.withColumn("waited", F.lit(False)).unionByName(waiting)
+    routed = arrived.join(F.broadcast(marks), key, "left").withColumn("eligible", stream_rules.is_new(F.col(time), F.col("watermark")))
+
+    counts = stream_rules.admission(routed, [key], cap).drop("held").join(holds.withColumnsRenamed({"n_new": "n_before", "held": "held_before"}), key, "left").join(approvals, [key, "hold_batch"], "left")
+    was_held = F.coalesce("held_before", F.lit(False))
+    decided = counts.select(
+        key, "n_new", (F.col("n_new") > F.lit(cap) + F.when(was_held, F.coalesce("approved", F.lit(0))).otherwise(0)).alias("held"), was_held.alias("was"), "n_before"
+    )
+    events = decided.where((F.col("held") & (~F.col("was") | (F.col("n_new") != F.col("n_before")))) | (~F.col("held") & F.col("was"))).select(key, "n_new", "held", number)
+    events.write.mode("overwrite").parquet(f"{state}-holds/batch={batch_id}")
+    held = read_or_empty(spark, f"{state}-holds/batch={batch_id}", events.schema).select(key, F.col("held").alias("changed"))
+    held = decided.select(key, "was").join(held, key, "left").where(F.coalesce("changed", "was")).select(key)  # one reading of the approvals
+    routed.where(~F.col("waited")).join(held, key, "left_semi").select(*batch.columns, number).write.mode("overwrite").parquet(f"{state}-held/batch={batch_id}")
+
+    admitted = routed.join(held, key, "left_anti").drop("watermark", "waited").withColumn("batch_id", number)
     known = read_or_empty(spark, f"{store}/*", admitted.schema).where(F.col("batch_id") < batch_id)
     upsert.insert_or_ignore(known, admitted, [key, identity], "uid").write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
     now = F.current_timestamp()
     moved = admitted.where("eligible").groupBy(key).agg(F.max(F.least(F.col(time), now)).alias("watermark"))
-    moved.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{state}/batch={batch_id}")
+    moved.withColumn("batch_id", number).write.mode("overwrite").parquet(f"{state}/batch={batch_id}")
 
 
 def start_ingest(messages: DataFrame, store: str, state: str, checkpoint: str, interval: str | None = None, **kwargs) -> StreamingQuery:
