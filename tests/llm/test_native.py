@@ -127,6 +127,31 @@ def test_randomness_of_very_long_tokens(docs_of):
     assert got == {1: "random:4:30004", 2: ""}
 
 
+@pytest.mark.parametrize("crowd", [0, 10])
+def test_recall_of_the_battery(docs_of, crowd):
+    draw = random.Random(7)
+    small, large, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    ordinary = [
+        "configuration_of_the_server", "getDocumentElementByName", "src/main/resources/templates", "internationalization", "release-notes-for-version-12",
+        "read_the_whole_file_again", "isInstanceOfThisInterface", "docs/operations/backup-plan", "donaudampfschifffahrt", "chapter-3-of-the-old-book",
+    ]
+    kinds = {  # letters, length, least recall alone and beside ten ordinary tokens
+        "hex": (digits + "ABCDEF", 32, 0.9, 0.9), "base32": (large + "234567", 32, 0.8, 0.5), "base36": (small + digits, 32, 0.9, 0.8),
+        "base62": (small + large + digits, 20, 0.9, 0.9), "letters": (small + large, 32, 0.9, 0.9), "lower": (small, 128, 0.9, 0.9),
+    }
+    rows, at = [], {}
+    for k, (letters, n, *_) in enumerate(kinds.values()):
+        for i in range(60):
+            head = " ".join([*ordinary[:crowd], "see"])
+            rows.append((k * 100 + i, f"{head} {''.join(draw.choice(letters) for _ in range(n))} there"))
+            at[k * 100 + i] = f"random:{len(head) + 1}:{len(head) + 1 + n}"
+    got = {r["doc_id"]: r["spans"].split(",") for r in rows_of(secret_report(docs_of(rows)))}
+    for k, (name, (*_, alone, beside)) in enumerate(kinds.items()):
+        assert sum(at[k * 100 + i] in got[k * 100 + i] for i in range(60)) >= 60 * (beside if crowd else alone), name
+    # ordinary tokens are left alone
+    assert sum(s.startswith("random") for v in got.values() for s in v) - sum(at[d] in v for d, v in got.items()) <= 0.02 * crowd * len(rows)
+
+
 def test_serial_correlation(spark):
     draw = random.Random(5)
     tokens = ["".join(draw.choice("abcxyzABC0123/+") for _ in range(n)) for n in (20, 33, 600)] + ["a" * 30, "ab" * 20]

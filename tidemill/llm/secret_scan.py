@@ -12,8 +12,8 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 #: Kinds in the order in which spans that begin together are listed.
 KINDS = ("assign", "access", "hex", "random")
-#: A token that the randomness tests look at: long enough, and with a digit.
-TOKEN = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}(?![A-Za-z0-9+/_=-])"
+#: A token that the randomness tests look at: at least 20 characters, too few of which tell nothing.
+TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}(?![A-Za-z0-9+/_=-])"
 
 
 def spans_of(text: Column, pattern: str, kind: str, hint: str, accept, groups: int = 0) -> Column:
@@ -56,11 +56,20 @@ def normal_below(z: Column) -> Column:
     return F.when(z < 0, tail).otherwise(1 - tail)
 
 
-#: Ordinary text against which tokens are tested: how far its letters are from uniform (the expected
-#: chi-squared is that of uniform letters plus this much for each character), and how often the kind
-#: of character (digit, upper, lower, other) changes from one to the next.
-TEXT_EXCESS = {16: 0.9, 32: 1.2, 62: 2.4, 64: 2.5}
-TEXT_CHANGES = 0.12
+#: Encodings in the order in which they are inferred, by the size of their alphabet: the letters, and ordinary text against
+#: which a token is tested: how far its letters are from uniform (the expected chi-squared is that of uniform letters
+#: plus this much for each character), and how often the kind of character (digit, upper, lower; separators left out)
+#: changes from one to the next. Words joined by capitals change more often than others.
+ENCODINGS = {
+    16: (r"^(?:[0-9a-f]+|[0-9A-F]+)$", 0.9, 0.12),
+    26: (r"^(?:[a-z]+|[A-Z]+)$", 0.72, 0.12),
+    32: (r"^[A-Z2-7]+=*$", 1.2, 0.12),
+    36: (r"^(?:[a-z0-9]+|[A-Z0-9]+)$", 1.4, 0.12),
+    52: (r"^[A-Za-z]+$", 2.4, 0.3),
+    62: (r"^[A-Za-z0-9]+$", 2.4, 0.2),
+    64: (r"", 2.5, 0.2),
+}
+DIGITS, UPPER, LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Most lag-1 correlation, in standard errors, that still counts as random.
 SERIAL_LIMIT = 3.3
 
@@ -92,29 +101,31 @@ def randomness(token: Column) -> Column:
     """struct<p, weight>: how likely ordinary text looks as random as the token, and its weight by length."""
     n = F.length(token)
     chars = F.split(token, "")
-    size = (
-        F.when(token.rlike(r"^(?:[0-9a-f]+|[0-9A-F]+)$"), 16)
-        .when(token.rlike(r"^[A-Z2-7]+=*$"), 32)
-        .when(token.rlike(r"^[A-Za-z0-9]+$"), 62)
-        .otherwise(64)
-    )
+    found = F.lit(None)
+    for letters, (pattern, more, often) in reversed(ENCODINGS.items()):
+        values = F.struct(F.lit(letters).alias("size"), F.lit(more).alias("excess"), F.lit(often).alias("changes"))
+        found = F.when(token.rlike(pattern), values).otherwise(found) if pattern else values
+    size, often = found["size"], found["changes"]
     squares = F.aggregate(
         F.array_distinct(chars),
         F.lit(0.0),
         lambda s, c: s + F.pow((n - F.length(F.replace(token, c, F.lit("")))).cast("double"), F.lit(2.0)),
     )
     chi2 = squares * size / n - n
-    excess = n * F.when(size == 16, TEXT_EXCESS[16]).when(size == 32, TEXT_EXCESS[32]).when(size == 62, TEXT_EXCESS[62]).otherwise(TEXT_EXCESS[64])
+    excess = n * found["excess"]
     p_chi = normal_below((chi2 - (size - 1) - excess) / F.sqrt(2 * (size - 1) + 4 * excess))
 
-    kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(token, "[0-9]", "0"), "[A-Z]", "1"), "[a-z]", "2"), "[^012]", "3")
-    changes = F.regexp_count(kinds, F.lit(r"0(?=[123])|1(?=[023])|2(?=[013])|3(?=[012])"))
-    p_runs = 1 - normal_below((changes - 0.5 - (n - 1) * TEXT_CHANGES) / F.sqrt((n - 1) * TEXT_CHANGES * (1 - TEXT_CHANGES)))
+    kinds = F.translate(token, DIGITS + UPPER + LOWER + "+/_=-", "0" * 10 + "1" * 26 + "2" * 26)
+    steps = F.greatest(F.length(kinds) - 1, F.lit(1))
+    changes = F.regexp_count(kinds, F.lit(r"0(?=[12])|1(?=[02])|2(?=[01])"))
+    p_runs = 1 - normal_below((changes - 0.5 - steps * often) / F.sqrt(steps * often * (1 - often)))
 
     serial = F.aggregate(chars, F.struct(*[F.lit(x).alias(k) for k, x in NO_SUMS.items()]), _add_code, lambda s: _serial_correlation(s, n))
 
-    # A token passes only if it passes every test, so the largest p-value is that of the battery.
-    p = F.when(serial > SERIAL_LIMIT, F.lit(1.0)).otherwise(F.greatest(p_chi, p_runs))
+    # Fisher's combination of two p-values; a token of one kind of character has no changes to count, whatever it is.
+    product = F.greatest(p_chi * p_runs, F.lit(1e-300))
+    both = F.when(kinds.rlike("^(?:0*|1*|2*)$"), p_chi).otherwise(product * (1 - F.log(product)))
+    p = F.when(serial > SERIAL_LIMIT, F.lit(1.0)).otherwise(both)
     return F.struct(p.alias("p"), (F.least(n, F.lit(64)) / 32.0).alias("weight"))
 
 
@@ -151,10 +162,11 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", level: float = 0.01) -
 
     Offsets are in code points, the end exclusive. Base spans are the leftmost non-overlapping
     matches of each pattern, those that fail its length test dropped after matching. Random spans are
-    tokens that the randomness battery finds: for an inferred encoding (hexadecimal, base 32, base 62
-    or base 64), how close the letters are to uniform (chi-squared) and how often the kind of
-    character changes (runs), each against ordinary text, with a limit on serial correlation; the
-    larger of the two p-values, weighted by length, passes a Benjamini-Hochberg cut at ``level`` in each text.
+    tokens of at least 20 characters that the randomness battery finds: for an inferred encoding (see
+    ENCODINGS), how close the letters are to uniform (chi-squared) and how often the kind of character
+    changes (runs), each against ordinary text, with a limit on serial correlation; Fisher's combination of
+    the two p-values, weighted by length, passes a Benjamini-Hochberg cut at ``level`` in each text.
+    Short tokens of a small alphabet, most of all letters of one case, tell too little to be found for sure.
 
     Null text counts as empty and has no spans. Rows are independent: repeated rows give equal
     results, an empty table an empty one; columns named base_spans or random_spans are replaced.
