@@ -151,3 +151,11 @@ def test_stream_keeps_held_rows(spark, tmp_path):
     assert step(("small", [5])) == want(big=range(206), small=range(6))
     approve_held(spark, at[2], ["big"])
     assert step(("small", [6])) == want(big=range(700), small=range(7))
+
+
+def test_nearest_centroid_is_not_called_neighbours(spark, tmp_path):
+    assert "nearest_centroid" in QUERIES and "knn_predict" not in QUERIES
+    # label 0 has two clusters: its mean is at (1, 1), so neighbours and centroids differ on the rows of one of them
+    rows = [(0, [2.0, 0.1], 0), (1, [0.1, 2.0], 0), (2, [1.0, 0.1], 1)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert {r.vec_id: r.predicted for r in QUERIES["nearest_centroid"](spark, str(tmp_path)).collect()} == {0: 1, 1: 0, 2: 1}

@@ -472,7 +472,7 @@ def next_versions(spark, sf_dir):
 
 
 @query(None)
-def knn_predict(spark, sf_dir):
+def nearest_centroid(spark, sf_dir):
     """The label whose centroid is nearest; rounding of float sums differs between engines, so there is no SQL for it."""
     vectors = table(spark, sf_dir, "embeddings")
     return decide.nearest_labels(vectors.select("vec_id", "embedding"), decide.centroids(vectors))
