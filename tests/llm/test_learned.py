@@ -8,11 +8,13 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidemill.llm import html_extraction as he
 from tidemill.llm import queries as q
 from tidemill.llm import recurrent_lm as lm
+from tidemill.llm import toxicity as tox
 from tidemill.llm.decontamination import decontaminate, find_contamination, greedy_tiles
 from tidemill.llm.ngram_join import drop_near_duplicates, least_matches, ngram_join
 from tidemill.llm.toxicity import encode, features, fit_toxicity, score_toxicity, values
@@ -93,9 +95,67 @@ def test_tiles_cut_overlaps():
     assert greedy_tiles([(8, 0, 0), (9, 5, 6)], 15, 3) == [(9, 5, 6), (5, 0, 0)]
 
 
-def test_string_kernel():
-    a, b = encode(["idiot"]), encode(["i.d.i.o.t"])
-    assert values(a, features(a[0]))[0] > values(b, features(a[0]))[0] > 0 == values(encode(["xyz"]), features(a[0]))[0]
+def brute_vector(word):
+    """Subsequences of three and four letters of the marked word by their places, one by one."""
+    letters = [("^", 0)] + [(tox.DISGUISE.get(c, c), i + 1) for i, c in enumerate(word)]
+    letters = [(c, i) for c, i in letters if c == "^" or c.isalpha()]
+    found = Counter()
+    for k in (3, 4):
+        for group in itertools.combinations(letters, k):
+            span = group[-1][1] - group[0][1] + 1
+            if span <= tox.SPAN:
+                found["".join(c for c, _ in group)] += tox.DECAY**span * (tox.LONGER if k == 4 else 1)
+    shapes = [span for k in (3, 4) for span in (at[-1] for at in itertools.combinations(range(1, tox.SPAN), k - 1))]
+    weights = [tox.DECAY ** (at[-1] + 1) * (tox.LONGER if k == 4 else 1) for k in (3, 4) for at in itertools.combinations(range(1, tox.SPAN), k - 1)]
+    norm = sum(w * w * max(len(letters) - span, 0) for w, span in zip(weights, shapes, strict=True))
+    return {k: v / max(norm, tox.DECAY**6) ** 0.5 for k, v in found.items()}
+
+
+def test_string_kernel_against_brute_force():
+    words = ["idiot", "i.d.i.o.t", "1d1ot", "idot", "idiiot", "banana", "xyz", "ab", "", "worthlessness", "hahahahaha", "no-good!"]
+    codes = encode(words)
+    vectors = [brute_vector(w) for w in words]
+    rows = tox.kernel_rows(codes, codes)
+    for j, v in enumerate(vectors):
+        got = values(codes, features(codes[j]))
+        for i, u in enumerate(vectors):
+            want = sum(x * v.get(k, 0) for k, x in u.items())
+            assert got[i] == pytest.approx(want, abs=1e-9) and rows[i, j] == pytest.approx(want, abs=1e-4), (words[i], words[j])
+    assert values(codes, features(codes[0]))[1:5].min() > 0.2 > values(codes, features(codes[0]))[5]
+
+
+def test_machine_is_the_kernel_expansion():
+    """The folded table gives what the landmarks' kernel values add up to, and Newton's steps reach the least loss."""
+    rng = np.random.default_rng(2)
+    marks, codes = encode(["idiot", "moron", "table"]), encode(["idiots", "mooron", "chair", "tab.le"])
+    w = np.array([1.5, -0.5, 2.0])
+    assert values(codes, tox.folded(marks, w)) == pytest.approx(tox.kernel_rows(codes, marks) @ w, abs=1e-4)
+    x, y, cost = rng.standard_normal((60, 3)), np.where(rng.random(60) < 0.4, 1.0, -1.0), rng.random(60) + 0.1
+    found = np.append(*tox._squared_hinge(x, np.arange(60), y, cost))
+
+    def loss(v):
+        return 0.5 * (v[:3] @ v[:3] + 1e-3 * v[3] ** 2) + 0.5 * (cost * np.maximum(0, 1 - y * (x @ v[:3] + v[3])) ** 2).sum()
+
+    assert all(loss(found) <= loss(found + d) + 1e-9 for d in rng.standard_normal((200, 4)) * 0.01)
+
+
+def test_toxicity_held_out(spark):
+    """On the labels of a larger table: no worse than the best word of a log-ratio, and sure of what it marks."""
+    at = "/root/testdata/sf0.01"
+    rows = [r for r in q.op9_toxicity(spark, at).join(q.table(spark, at, "labels"), "doc_id").where("held_out").select("score", "predicted", "toxic").collect()]
+    good, bad = [r.score for r in rows if r.toxic == 1], [r.score for r in rows if r.toxic == 0]
+    assert np.mean([(g > b) + (g == b) / 2 for g in good for b in bad]) >= 0.9
+    marked = [r for r in rows if r.predicted]
+    assert len(marked) >= 0.7 * len(good) and np.mean([r.toxic for r in marked]) >= 0.95
+
+
+def test_toxicity_with_wrong_labels(spark, docs_of):
+    calm = ["lorem", "ipsum", "dolor", "amet", "tempor", "magna", "aliqua", "veniam", "nostrud", "laboris"]
+    rows = [(i, f"{calm[i % 10]} {calm[i % 7]}. {'snorkface' if i % 4 == 0 else calm[i % 3]} {calm[i % 9]}.") for i in range(400)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0) if i % 80 else 0, 1) for i in range(400)], "doc_id long, toxic int, y int")
+    model = fit_toxicity(docs_of(rows).withColumn("y", F.lit(7)).withColumn("__x", F.lit(0)), labels)
+    got = {r.doc_id: r.toxicity for r in score_toxicity(docs_of([(1, "amet snorkface"), (2, "amet dolor"), (2, "amet dolor")]), model).collect()}
+    assert got[1] >= 0.7 > 0.3 > got[2]
 
 
 def test_toxicity(spark, docs_of):
