@@ -193,35 +193,88 @@ def test_extraction(spark, sf_dir, trees):
         assert r.text == "\n\n".join(t for t in texts if t)
 
 
+def small_layout():
+    """A layout of 1024 frequent words, dealt to the classes that are no single words in turn."""
+    class_of = np.full(lm.CODES + 1, lm.CLASSES, dtype=np.uint8)
+    class_of[: lm.FREQUENT] = [i if i < lm.SINGLES else lm.SINGLES + i % (lm.CLASSES - lm.SINGLES - 1) for i in range(lm.FREQUENT)]
+    class_of[lm.FREQUENT : lm.CODES] = np.arange(lm.CLASSES)
+    return lm.Layout.of(class_of)
+
+
+def some_codes(rng, n):
+    return np.append(rng.integers(1, lm.CODES, n - 1), 0).astype(np.uint16)
+
+
 def test_gradients():
-    rng = np.random.default_rng(0)
-    p = {k: (rng.standard_normal(s) * 0.3).astype(np.float64) for k, s in lm.SHAPES.items()}
-    docs = [rng.integers(0, lm.CLASSES, n).astype(np.uint8) for n in (5, 3, 7)]
-    entry, target, fresh, _ = lm._lanes(docs, 2)
+    rng, layout = np.random.default_rng(0), small_layout()
+    p = {k: rng.standard_normal(s) * 0.3 for k, s in lm.SHAPES.items()}
+    docs = [some_codes(rng, n) for n in (5, 3, 7)]
+    entry, target = lm.Lanes(docs, 2).window(0, 9)
     h = np.zeros((2, lm.HIDDEN))
-    g, _ = lm._window_gradients(p, entry, target, fresh, h)
+    g, _ = lm._window_gradients(p, layout, entry, target, h)
 
     def loss():
-        logs = lm._log_softmax(lm._forward(p, entry, fresh, h)[0], p)
-        real = target.ravel() < lm.CLASSES
-        return -logs[np.flatnonzero(real), target.ravel()[real]].mean()
-
-    for k, place in (("wh", (3, 5)), ("wo", (2, 7)), ("wx", (int(docs[0][0]), 30)), ("b", (60,))):
-        old = p[k][place]
-        p[k][place] = old + 1e-2
+        real = np.flatnonzero((target != lm.PAD).ravel())
+        return -lm._output(p, layout, lm._forward(p, entry, h)[0].reshape(-1, lm.HIDDEN)[real], target.ravel()[real])[0].mean()
+
+    word = int(next(c for c in docs[0] if lm.SINGLES <= c < lm.FREQUENT))
+    place = int(layout.starts[layout.class_of[word]] + layout.slot_of[word])
+    for k, at in (("wh", (3, 5)), ("wo", (2, 7)), ("wx", (int(docs[0][0]), 30)), ("b", (60,)), ("ow", (place, 3)), ("ob", (place,))):
+        old = p[k][at]
+        p[k][at] = old + 1e-4
         up = loss()
-        p[k][place] = old - 1e-2
+        p[k][at] = old - 1e-4
         down = loss()
-        p[k][place] = old
-        assert (up - down) / 2e-2 == pytest.approx(g[k][place], abs=2e-4)
-
-
-def test_sequences_carry_their_state():
-    rng = np.random.default_rng(1)
+        p[k][at] = old
+        assert g[k][at] != 0 and (up - down) / 2e-4 == pytest.approx(g[k][at], abs=1e-6), k
+
+
+def plain_log(p, layout, doc):
+    """The log10 probability of a sequence, word by word, with nothing but vectors."""
+    h, before, total = np.zeros(lm.HIDDEN), 0, 0.0
+    n = lm.HIDDEN
+    for code in map(int, doc):
+        x, u = p["wx"][before].astype(float) + p["b"], h @ p["wh"]
+        z, r = (1 / (1 + np.exp(-(x[i * n : i * n + n] + u[i * n : i * n + n]))) for i in (0, 1))
+        cand = np.tanh(x[2 * n :] + r * u[2 * n :])
+        h = z * h + (1 - z) * cand
+        c = int(layout.class_of[code])
+        logits = h @ p["wo"] + p["bo"]
+        total += logits[c] - np.log(np.exp(logits).sum())
+        if c >= lm.SINGLES:
+            a, b = layout.starts[c], layout.starts[c + 1]
+            inner = p["ow"][a:b] @ h + p["ob"][a:b]
+            total += inner[layout.slot_of[code]] - np.log(np.exp(inner).sum())
+        before = code
+    return total / np.log(10)
+
+
+def test_sequences_against_a_plain_forward_pass():
+    rng, layout = np.random.default_rng(1), small_layout()
     p = {k: (rng.standard_normal(s) * 0.3).astype(np.float32) for k, s in lm.SHAPES.items()}
-    docs = [rng.integers(0, lm.CLASSES, n).astype(np.uint8) for n in (200, 1, 3, 90)]
-    alone = [lm.sequence_logs(p, [d])[0] for d in docs]
-    assert lm.sequence_logs(p, docs) == pytest.approx(alone, rel=1e-4)
+    docs = [some_codes(rng, n) for n in (200, 1, 3, 90, 64, 65)]
+    assert lm.sequence_logs(p, layout, docs) == pytest.approx([plain_log(p, layout, d) for d in docs], rel=1e-4)
+
+
+def test_shares_sum_to_one(spark, docs_of):
+    """The model's probabilities of the first word of a text, over all known words, the end and one unknown word of each class, sum to 1."""
+    rows = [(i, f"alpha beta{i} gamma delta{i % 7} {'omega ' * (i % 3)}") for i in range(60)]
+    found = lm.build_vocabulary(lm.word_counts(docs_of(rows)))
+    p, counts = lm.initial(found), Counter(w for _, t in rows for w in [*t.split(), ""])
+    total, seen = 0.0, set()
+    for w, c in counts.items():
+        code = 0 if not w else int(found.encode([w.encode()])[0][0])
+        h = lm._forward(p, np.zeros((1, 1), dtype=np.int64), np.zeros((1, lm.HIDDEN), dtype=np.float32))[0][0]
+        share = np.exp(lm._output(p, found.layout, h, np.array([code]))[0][0])
+        total += share * ((c + 0.5) / 10 ** found.other_log[code - lm.FREQUENT] if code >= lm.FREQUENT else 1.0)
+    for k in range(lm.CLASSES):
+        h = lm._forward(p, np.zeros((1, 1), dtype=np.int64), np.zeros((1, lm.HIDDEN), dtype=np.float32))[0][0]
+        if k >= lm.SINGLES:
+            total += np.exp(lm._output(p, found.layout, h, np.array([lm.FREQUENT + k]))[0][0]) * 0.5 / 10 ** found.other_log[k]
+        elif k not in found.layout.class_of[: lm.FREQUENT]:
+            seen.add(k)  # a single class without a word
+            total += np.exp(lm._output(p, found.layout, h, np.array([lm.FREQUENT + k]))[0][0])
+    assert total == pytest.approx(1.0, abs=1e-3)
 
 
 def test_lm_scores(spark, docs_of, sf_dir):
@@ -243,18 +296,24 @@ def test_lm_trains_on_every_text(spark, docs_of, monkeypatch):
         one = docs_of([row]).select("doc_id", "text")
         found = lm.build_vocabulary(lm.word_counts(one))
         start = lm.initial(found)
-        after = lm.train_recurrent(one, spark.sparkContext.broadcast(found), start, rounds=1)
+        after = lm.train_recurrent(one, spark.sparkContext.broadcast(found), start)
         assert np.abs(lm.flat(after) - lm.flat(start)).max() > 0, row
     monkeypatch.setattr(lm, "GROUP_WORDS", 500)
     copies = docs_of([(i, LONG) for i in range(100)] + [(None, "a b"), (200, None), (201, "")]).select("doc_id", lm.text_of().alias("text"))
-    dealt = lm.deal_classes(copies, spark.sparkContext.broadcast(lm.build_vocabulary(lm.word_counts(copies)))).collect()
+    found = lm.build_vocabulary(lm.word_counts(copies))
+    dealt = lm.deal_codes(copies, spark.sparkContext.broadcast(found), found.tokens).collect()
     sizes = Counter()
     for r in dealt:
-        sizes[r.g] += len(r.classes)
-    assert len(dealt) == 103 and sum(sizes.values()) == 100 * 41 + 3 + 1 + 1
+        sizes[r.g] += len(r.codes) // 2
+        assert r.round == r.g % lm.ROUNDS
+    assert len(dealt) == 103 and sum(sizes.values()) == found.tokens == 100 * 41 + 3 + 1 + 1
     assert len(sizes) == 8 and max(sizes.values()) < 1200
 
 
+def test_lm_on_an_empty_table(docs_of):
+    assert lm.score_documents(docs_of([]), q.held_out(1, 5)).count() == 0
+
+
 def test_pipeline(spark, sf_dir):
     docs = q.table(spark, sf_dir, "documents")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "decontamination", "mixing", "sharding"]

@@ -13,19 +13,24 @@ from pyspark.sql import functions as F
 
 from .common import materialize, text_of
 
-#: Word classes: the most frequent words alone, others by their last two bytes, the rest together.
+#: Word classes: the end and the most frequent words alone, others by their last two bytes, the rest together.
 SINGLES, ENDINGS = 30, 33
 CLASSES = SINGLES + ENDINGS + 1
+#: Frequent words, which have an input vector and a place in the softmax of their class; a class has one more place for all its other words.
+FREQUENT = 1024
+#: Codes of tokens: a frequent word, or FREQUENT plus the class of another; PAD is no token.
+CODES = FREQUENT + CLASSES
+PAD = CODES
 #: Most frequent words that every task holds in a table; the rest are joined.
 HEAD_WORDS = 1 << 18
 HIDDEN = 24
-#: Passes of the recurrent part over the training documents, and most partitions that groups are dealt to.
-ROUNDS, PARTITIONS = 3, 2000
-#: Words of a training group, lanes and window of truncated backpropagation.
-GROUP_WORDS, LANES, WINDOW = 1 << 18, 64, 20
+#: Parts of the training documents, trained on one after the other, and most partitions that groups are dealt to.
+ROUNDS, PARTITIONS = 4, 2000
+#: Words of a training group, lanes and window of truncated backpropagation, least windows of a group.
+GROUP_WORDS, LANES, WINDOW, WINDOWS = 1 << 21, 512, 20, 100
 #: Words that a task scores together, and different words it counts before it passes them on.
 SCORE_WORDS, COUNT_WORDS = 1 << 21, 400_000
-#: The end of a document, which no word equals.
+#: The end of a document, which no word equals; its code is 0.
 END = b""
 
 
@@ -62,78 +67,113 @@ def _ending() -> Column:
     return F.substring(F.col("token").cast("binary"), -2, 2)
 
 
+@dataclass
+class Layout:
+    """Of each code its class and its place in the softmax of the class; where the places of each class start among all."""
+
+    class_of: np.ndarray
+    slot_of: np.ndarray
+    starts: np.ndarray
+
+    @classmethod
+    def of(cls, class_of: np.ndarray) -> Layout:
+        slot_of, starts, at = np.zeros(CODES + 1, dtype=np.int64), np.zeros(CLASSES + 1, dtype=np.int64), 0
+        for c in range(CLASSES):
+            mine = np.flatnonzero(class_of[:CODES] == c)
+            if c >= SINGLES:
+                slot_of[mine] = np.arange(len(mine))
+                at += len(mine)
+            starts[c + 1] = at
+        return cls(class_of, slot_of, starts)
+
+
 @dataclass
 class Vocabulary:
-    """Classes of all words, and the counts of the most frequent."""
+    """Codes of the most frequent words, and counts of all."""
 
     index: dict
-    head_class: np.ndarray
+    head_code: np.ndarray
     head_log: np.ndarray
     endings: dict
-    class_words: np.ndarray  # occurrences of each class in training
-    class_kinds: np.ndarray  # different words of each class in training
+    layout: Layout
+    code_words: np.ndarray  # occurrences of each code in training
+    other_log: np.ndarray  # of each class: the log of the divisor of its other words' shares
     tokens: int
     kinds: int
-
-    @property
-    def class_log(self) -> np.ndarray:
-        return np.log10(self.class_words + 0.5 * (self.class_kinds + 1))
+    end_known: bool
 
     def encode(self, words: list):
-        """Classes of the words and the end, places in the table (-1: none)."""
+        """Codes of the words and the end, places of the words in the table (-1: none), which words have none."""
         get = self.index.get
         at = np.fromiter((get(w, -1) for w in words), dtype=np.int64, count=len(words))
-        at = np.append(at, get(END, -1))
-        classes = self.head_class[at]
-        rare = np.flatnonzero(at[:-1] < 0)
+        codes = np.zeros(len(words) + 1, dtype=np.uint16)
+        codes[:-1] = self.head_code[at]
+        rare = np.flatnonzero(at < 0)
         if len(rare):
             ends = self.endings.get
-            classes[rare] = [ends(words[i][-2:], CLASSES - 1) for i in rare]
-        if at[-1] < 0:
-            classes[-1] = CLASSES - 1
-        return classes, at, rare
+            codes[rare] = [FREQUENT + ends(words[i][-2:], CLASSES - 1) for i in rare]
+        return codes, at, rare
 
 
 def build_vocabulary(counts: DataFrame) -> Vocabulary:
     """Of the table of all counts, what a task needs: bounded tables, and sums over every word."""
-    totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    head = counts.orderBy(F.desc("c"), "token").limit(HEAD_WORDS).toArrow()
-    words = head["token"].cast(pa.binary()).to_pylist()
-    c = head["c"].to_numpy() if len(words) else np.empty(0, dtype=np.int64)
+    totals = counts.agg(
+        F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), F.coalesce(F.sum(F.when(F.col("token") == "", F.col("c"))), F.lit(0)).alias("ends")
+    ).first()
+    head = counts.where("token <> ''").orderBy(F.desc("c"), "token").limit(HEAD_WORDS).toArrow()
+    words = [END, *head["token"].cast(pa.binary()).to_pylist()]
+    c = np.append(int(totals["ends"]), np.array(head["c"].to_pylist(), dtype=np.int64))
     singles = words[:SINGLES]
-    rest = counts.where(~F.col("token").isin([w.decode() for w in singles])) if singles else counts
+    rest = counts.where(~F.col("token").isin([w.decode() for w in singles]))
     ends = rest.groupBy(_ending().alias("e")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"))
     top = ends.orderBy(F.desc("n"), "e").limit(ENDINGS).toArrow()
     endings = {bytes(e): SINGLES + i for i, e in enumerate(top["e"].to_pylist())}
-    class_words, class_kinds = np.zeros(CLASSES), np.zeros(CLASSES)
-    class_words[: len(singles)], class_kinds[: len(singles)] = c[: len(singles)], 1
-    for i, (n, v) in enumerate(zip(top["n"].to_pylist(), top["v"].to_pylist(), strict=True)):
-        class_words[SINGLES + i], class_kinds[SINGLES + i] = n, v
-    class_words[-1], class_kinds[-1] = totals["n"] - class_words.sum(), totals["v"] - class_kinds.sum()
-    head_class = [i if i < SINGLES else endings.get(w[-2:], CLASSES - 1) for i, w in enumerate(words)]
+    in_class = np.array([i if i < SINGLES else endings.get(w[-2:], CLASSES - 1) for i, w in enumerate(words)])
+    n, v = np.zeros(CLASSES), np.zeros(CLASSES)
+    n[SINGLES : SINGLES + len(endings)], v[SINGLES : SINGLES + len(endings)] = top["n"].to_pylist(), top["v"].to_pylist()
+    n[-1], v[-1] = totals["n"] - c[:SINGLES].sum() - n.sum(), totals["v"] - (c[:SINGLES] > 0).sum() - v.sum()
+    often = slice(SINGLES, FREQUENT)
+    np.subtract.at(n, in_class[often], c[often])
+    np.subtract.at(v, in_class[often], 1)
+    code_words = np.zeros(CODES)
+    code_words[: min(FREQUENT, len(c))] = c[:FREQUENT]
+    code_words[FREQUENT:] = n
+    class_of = np.full(CODES + 1, CLASSES, dtype=np.uint8)  # codes without a word have no class
+    class_of[: min(FREQUENT, len(words))] = in_class[:FREQUENT]
+    class_of[FREQUENT:CODES] = np.arange(CLASSES)
     return Vocabulary(
-        {w: i for i, w in enumerate(words)},
-        np.array([*head_class, CLASSES - 1], dtype=np.uint8),
-        np.array([*np.log10(c + 0.5), 0.0]),
+        {w: i for i, w in enumerate(words) if i},
+        np.where(np.arange(len(words)) < FREQUENT, np.arange(len(words)), FREQUENT + in_class).astype(np.uint16),
+        np.log10(c + 0.5),
         endings,
-        class_words,
-        class_kinds,
+        Layout.of(class_of),
+        code_words,
+        np.log10(n + 0.5 * (v + 1)),
         int(totals["n"]),
         int(totals["v"]),
+        bool(totals["ends"]),
     )
 
 
-SHAPES = {"wx": (CLASSES, 3 * HIDDEN), "wh": (HIDDEN, 3 * HIDDEN), "b": (3 * HIDDEN,), "wo": (HIDDEN, CLASSES), "bo": (CLASSES,)}
+SHAPES = {
+    "wx": (CODES, 3 * HIDDEN), "wh": (HIDDEN, 3 * HIDDEN), "b": (3 * HIDDEN,), "wo": (HIDDEN, CLASSES), "bo": (CLASSES,),
+    "ow": (CODES, HIDDEN), "ob": (CODES,),
+}
 
 
 def initial(vocabulary: Vocabulary, seed: int = 3) -> dict:
-    """Parameters before training: random, but that the output's offset is the frequency of the classes."""
+    """Parameters before training: random, but that the output's offsets are the frequencies of the classes and of the words in them."""
     rng = np.random.default_rng(seed)
     p = {k: (rng.standard_normal(s) * 0.1).astype(np.float32) for k, s in SHAPES.items()}
+    layout, words = vocabulary.layout, vocabulary.code_words + 0.5
     p["wo"] *= 0.1
-    share = (vocabulary.class_words + 0.5) / (vocabulary.class_words.sum() + 0.5 * CLASSES)
+    p["ow"] *= 0.1
     p["b"][:] = 0
-    p["bo"] = np.log(share).astype(np.float32)
+    p["bo"] = np.log(np.bincount(layout.class_of[:CODES], words, CLASSES + 1)[:CLASSES]).astype(np.float32)
+    p["bo"] -= np.log(words.sum())
+    p["ob"][:] = 0
+    mine = np.flatnonzero((layout.class_of[:CODES] >= SINGLES) & (layout.class_of[:CODES] < CLASSES))
+    p["ob"][layout.starts[layout.class_of[mine]] + layout.slot_of[mine]] = np.log(words[mine]) - np.log(words[mine]).mean()
     return p
 
 
@@ -142,56 +182,59 @@ def flat(p: dict) -> np.ndarray:
 
 
 def unflat(v: np.ndarray) -> dict:
+    """The parameters as views of one array."""
     out, at = {}, 0
     for k, s in SHAPES.items():
         n = int(np.prod(s))
-        out[k] = np.asarray(v[at : at + n], dtype=np.float32).reshape(s)
+        out[k] = v[at : at + n].reshape(s)
         at += n
     return out
 
 
-def _sigmoid(x):
-    return 0.5 * (np.tanh(0.5 * x) + 1)
-
+class Lanes:
+    """Documents (codes, an end last) laid end to end in lanes of nearly equal length, longest first, read window by window.
 
-def _lanes(docs: list[np.ndarray], lanes: int):
-    """Documents laid end to end in lanes of nearly equal length, longest first.
-
-    Returns inputs and targets (steps x lanes), where a document starts, and the place of each document.
-    Unused places have target CLASSES.
+    Only the codes are held, so the longest document does not set the size of the others' lanes.
     """
-    heap = [(0, i) for i in range(lanes)]
-    spots: list = [None] * len(docs)
-    for d in sorted(range(len(docs)), key=lambda d: -len(docs[d])):
-        start, lane = heapq.heappop(heap)
-        spots[d] = (lane, start)
-        heapq.heappush(heap, (start + len(docs[d]), lane))
-    steps = max(n for n, _ in heap)
-    target = np.full((steps, lanes), CLASSES, dtype=np.uint8)
-    entry = np.zeros((steps, lanes), dtype=np.uint8)
-    fresh = np.zeros((steps, lanes), dtype=bool)
-    for doc, (lane, start) in zip(docs, spots, strict=True):
-        target[start : start + len(doc), lane] = doc
-        entry[start, lane] = doc[-1]  # the class of the end stands before the first word
-        entry[start + 1 : start + len(doc), lane] = doc[:-1]
-        fresh[start, lane] = True
-    return entry, target, fresh, spots
-
-
-def _forward(p: dict, entry: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """States after each step of a window, and the last; ``keep`` gets what backpropagation needs."""
+
+    def __init__(self, docs: list[np.ndarray], lanes: int):
+        heap = [(0, i) for i in range(lanes)]
+        rows: list[list[int]] = [[] for _ in range(lanes)]
+        for d in sorted(range(len(docs)), key=lambda d: -len(docs[d])):
+            length, lane = heapq.heappop(heap)
+            rows[lane].append(d)
+            heapq.heappush(heap, (length + len(docs[d]), lane))
+        sizes = [sum(len(docs[d]) for d in row) for row in rows]
+        order = sorted(range(lanes), key=lambda i: -sizes[i])
+        self.docs = [rows[i] for i in order]
+        self.length = np.array([sizes[i] for i in order])
+        self.start = np.concatenate(([0], np.cumsum(self.length + 1)[:-1])) + 1
+        end = np.zeros(1, dtype=np.uint16)  # the code of the end stands before the first word of a lane
+        self.codes = np.concatenate([x for row in self.docs for x in (end, *(docs[d] for d in row))])
+
+    def window(self, t: int, steps: int) -> tuple[np.ndarray, np.ndarray]:
+        """Inputs and targets (steps x lanes that are not over); PAD where a lane is over."""
+        active = int(np.searchsorted(-self.length, -t, "left"))
+        place = t + np.arange(min(steps, int(self.length[0]) - t))[:, None]
+        inside = place < self.length[:active]
+        at = np.where(inside, place + self.start[:active], 1)
+        return np.where(inside, self.codes[at - 1], 0), np.where(inside, self.codes[at], PAD)
+
+
+def _forward(p: dict, entry: np.ndarray, h: np.ndarray, keep: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """States after each step of a window, and the last; ``keep`` gets what backpropagation needs. An input of the end starts anew."""
     steps, lanes = entry.shape
-    out = np.empty((steps, lanes, HIDDEN), dtype=np.float32)
     half = np.ones(3 * HIDDEN, dtype=np.float32)
     half[: 2 * HIDDEN] = 0.5  # a sigmoid is half the tanh of half its argument, and a half
     x = ((p["wx"] + p["b"]) * half)[entry]
     wh = p["wh"] * half
-    starts = fresh.any(axis=1)
+    going = (entry != 0)[:, :, None]
+    starts = (entry == 0).any(axis=1)
     gates = np.empty((steps, lanes, 2 * HIDDEN), dtype=x.dtype)
-    cand, un, before = (np.empty((steps, lanes, HIDDEN), dtype=x.dtype) for _ in range(3))
+    out, cand, un, before = (np.empty((steps, lanes, HIDDEN), dtype=x.dtype) for _ in range(4))
     for t in range(steps):
         if starts[t]:
-            h = h * ~fresh[t][:, None]
+            h = h * going[t]
         before[t] = h
         u = h @ wh
         g, n = gates[t], cand[t]
@@ -203,37 +246,66 @@ def _forward(p: dict, entry: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep:
         np.multiply(g[:, HIDDEN:], un[t], out=n)
         n += x[t, :, 2 * HIDDEN :]
         np.tanh(n, out=n)
-        after = h - n
+        after = out[t]
+        np.subtract(h, n, out=after)
         after *= g[:, :HIDDEN]
         after += n
-        h = out[t] = after
+        h = after
     if keep is not None:
         keep.update(before=before, z=gates[:, :, :HIDDEN], r=gates[:, :, HIDDEN:], n=cand, un=un)
     return out, h
 
 
-def _log_softmax(states: np.ndarray, p: dict) -> np.ndarray:
-    logits = states.reshape(-1, HIDDEN) @ p["wo"] + p["bo"]
-    logits -= logits.max(axis=1, keepdims=True)
-    logits -= np.log(np.exp(logits).sum(axis=1, keepdims=True))
-    return logits
+def _softmax(z: np.ndarray) -> np.ndarray:
+    z -= z.max(axis=1, keepdims=True)
+    np.exp(z, out=z)
+    z /= z.sum(axis=1, keepdims=True)
+    return z
 
 
-def _window_gradients(p: dict, entry, target, fresh, h):
+def _output(p: dict, layout: Layout, states: np.ndarray, target: np.ndarray, g: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+    """Log-probability of each target after its state, and with ``g`` the gradient of their mean loss (g gets the output's, the states' is returned).
+
+    The softmax is factored: that of the class, and within the class that of the frequent words and of all others.
+    """
+    rows = np.arange(len(target))
+    classes = layout.class_of[target]
+    prob = _softmax(states @ p["wo"] + p["bo"])
+    logs = np.log(prob[rows, classes])
+    down = None
+    if g is not None:
+        prob[rows, classes] -= 1
+        prob /= max(1, len(target))
+        g["wo"], g["bo"] = states.T @ prob, prob.sum(axis=0)
+        down = prob @ p["wo"].T
+        g["ow"], g["ob"] = np.zeros_like(p["ow"]), np.zeros_like(p["ob"])
+    order = np.argsort(classes, kind="stable")
+    cuts = np.searchsorted(classes[order], np.arange(SINGLES, CLASSES + 1))
+    for c, lo, hi in zip(range(SINGLES, CLASSES), cuts[:-1], cuts[1:], strict=True):
+        if lo == hi or layout.starts[c + 1] - layout.starts[c] == 1:
+            continue  # a class of one place gives it probability 1
+        mine, places = order[lo:hi], slice(layout.starts[c], layout.starts[c + 1])
+        s, slot = states[mine], layout.slot_of[target[mine]]
+        inner = _softmax(s @ p["ow"][places].T + p["ob"][places])
+        logs[mine] += np.log(inner[rows[: hi - lo], slot])
+        if g is not None:
+            inner[rows[: hi - lo], slot] -= 1
+            inner /= max(1, len(target))
+            g["ow"][places], g["ob"][places] = inner.T @ s, inner.sum(axis=0)
+            down[mine] += inner @ p["ow"][places]
+    return logs, down
+
+
+def _window_gradients(p: dict, layout: Layout, entry: np.ndarray, target: np.ndarray, h: np.ndarray) -> tuple[dict, np.ndarray]:
     """Gradients over one window of truncated backpropagation, and the state to carry on."""
     keep: dict = {}
-    states, last = _forward(p, entry, fresh, h, keep)
+    states, last = _forward(p, entry, h, keep)
     steps, lanes = entry.shape
-    real = (target < CLASSES).ravel()
-    prob = states.reshape(-1, HIDDEN) @ p["wo"] + p["bo"]
-    prob -= prob.max(axis=1, keepdims=True)
-    np.exp(prob, out=prob)
-    prob /= prob.sum(axis=1, keepdims=True)
-    prob[np.flatnonzero(real), target.ravel()[real]] -= 1
-    prob[~real] = 0
-    prob /= max(1, real.sum())
-    g = {"wo": states.reshape(-1, HIDDEN).T @ prob, "bo": prob.sum(axis=0)}
-    down = (prob @ p["wo"].T).reshape(steps, lanes, HIDDEN)
+    real = np.flatnonzero((target != PAD).ravel())
+    g: dict = {}
+    down = np.zeros((steps * lanes, HIDDEN), dtype=states.dtype)
+    down[real] = _output(p, layout, states.reshape(-1, HIDDEN)[real], target.ravel()[real], g)[1]
+    down = down.reshape(steps, lanes, HIDDEN)
     before, z, r, n, un = (keep[k] for k in ("before", "z", "r", "n", "un"))
     by_n = (1 - z) * (1 - n * n)
     by_z = (before - n) * z * (1 - z)
@@ -241,7 +313,7 @@ def _window_gradients(p: dict, entry, target, fresh, h):
     du = np.empty((steps, lanes, 3 * HIDDEN), dtype=down.dtype)
     dn = np.empty_like(down)
     dh = np.zeros((lanes, HIDDEN), dtype=down.dtype)
-    wh, starts = np.ascontiguousarray(p["wh"].T), fresh.any(axis=1)
+    wh, going, starts = np.ascontiguousarray(p["wh"].T), (entry != 0)[:, :, None], (entry == 0).any(axis=1)
     for t in range(steps - 1, -1, -1):
         dh += down[t]
         d = du[t]
@@ -252,103 +324,118 @@ def _window_gradients(p: dict, entry, target, fresh, h):
         dh *= z[t]
         dh += d @ wh
         if starts[t]:
-            dh *= ~fresh[t][:, None]
+            dh *= going[t]
     g["wh"] = before.reshape(-1, HIDDEN).T @ du.reshape(-1, 3 * HIDDEN)
     du[:, :, 2 * HIDDEN :] = dn  # from here on the gradient of the input, not of the state
-    dx = du.reshape(-1, 3 * HIDDEN)
-    g["wx"] = (np.arange(CLASSES)[:, None] == entry.ravel()).astype(dx.dtype) @ dx
+    dx, codes = du.reshape(-1, 3 * HIDDEN), entry.ravel()
+    order = np.argsort(codes, kind="stable")
+    first = np.flatnonzero(np.concatenate(([True], codes[order][1:] != codes[order][:-1])))
+    g["wx"] = np.zeros_like(p["wx"])
+    g["wx"][codes[order][first]] = np.add.reduceat(dx[order], first, axis=0)
     g["b"] = dx.sum(axis=0)
     return g, last
 
 
-def train_group(p: dict, docs: list[np.ndarray], rate: float) -> dict:
-    """One pass of truncated backpropagation with Adam over the class sequences of ``docs``."""
-    p = {k: v.copy() for k, v in p.items()}
+def train_group(start: np.ndarray, layout: Layout, docs: list[np.ndarray], rate: float) -> np.ndarray:
+    """One pass of truncated backpropagation with Adam over the code sequences of ``docs``; parameters as one array."""
+    v = start.copy()
     if not docs:
-        return p
-    entry, target, fresh, _ = _lanes(docs, min(LANES, len(docs)))
-    m = {k: np.zeros_like(v) for k, v in p.items()}
-    s = {k: np.zeros_like(v) for k, v in p.items()}
-    h = np.zeros((entry.shape[1], HIDDEN), dtype=np.float32)
-    for i, t in enumerate(range(0, len(entry), WINDOW), 1):
-        part = slice(t, t + WINDOW)
-        g, h = _window_gradients(p, entry[part], target[part], fresh[part], h)
-        norm = np.sqrt(sum(float((x * x).sum()) for x in g.values()))
-        clip = min(1.0, 1.0 / max(norm, 1e-9))
-        for k in p:
-            m[k] = 0.9 * m[k] + 0.1 * clip * g[k]
-            s[k] = 0.99 * s[k] + 0.01 * (clip * g[k]) ** 2
-            p[k] -= rate * (m[k] / (1 - 0.9**i)) / (np.sqrt(s[k] / (1 - 0.99**i)) + 1e-6)
-    return p
-
-
-def sequence_logs(p: dict, docs: list[np.ndarray]) -> np.ndarray:
-    """log10 probability of each class sequence, the state carried across windows from its first word to its end."""
+        return v
+    p = unflat(v)
+    words = sum(map(len, docs))
+    lanes = Lanes(docs, max(1, min(LANES, len(docs), words // (WINDOW * WINDOWS))))
+    m, s = np.zeros_like(v), np.zeros_like(v)
+    h = np.zeros((len(lanes.length), HIDDEN), dtype=v.dtype)
+    places = range(0, int(lanes.length[0]), WINDOW)
+    for i, t in enumerate(places, 1):
+        entry, target = lanes.window(t, WINDOW)
+        g, h = _window_gradients(p, layout, entry, target, h[: entry.shape[1]])
+        step = np.concatenate([g[k].ravel() for k in SHAPES])
+        step *= min(1.0, 1.0 / max(float(np.sqrt(step @ step)), 1e-9))
+        m += 0.1 * (step - m)
+        step *= step
+        s += 0.01 * (step - s)
+        pace = rate * min(i / 20, 1.0) * max(0.1, 1 - i / len(places))  # a warm start, and smaller steps to the end
+        v -= (pace / (1 - 0.9**i)) * m / (np.sqrt(s / (1 - 0.99**i)) + 1e-6)
+    return v
+
+
+def sequence_logs(p: dict, layout: Layout, docs: list[np.ndarray]) -> np.ndarray:
+    """log10 probability of each code sequence, the state carried across windows from its first word to its end."""
     if not docs:
         return np.empty(0)
-    total, longest = sum(map(len, docs)), max(map(len, docs))
-    entry, target, fresh, spots = _lanes(docs, int(min(len(docs), 512, max(8, total // max(longest, 1)))))
-    h = np.zeros((entry.shape[1], HIDDEN), dtype=np.float32)
-    sums = np.zeros((len(entry) + 1, entry.shape[1]))
-    for t in range(0, len(entry), 64):
-        part = slice(t, t + 64)
-        states, h = _forward(p, entry[part], fresh[part], h)
-        logs = _log_softmax(states, p)
-        goal = target[part].ravel()
-        real = goal < CLASSES
-        here = np.zeros(len(goal))
-        here[real] = logs[np.flatnonzero(real), goal[real]]
-        sums[1:][part] = here.reshape(target[part].shape)
-    np.cumsum(sums, axis=0, out=sums)
-    return np.array([sums[start + len(d), lane] - sums[start, lane] for d, (lane, start) in zip(docs, spots, strict=True)]) / np.log(10)
-
-
-def _trainer(common, rate: float):
-    """What a group does in one round: its own copy of the parameters, trained on its texts, as rows (place, value)."""
+    lanes = Lanes(docs, min(LANES, len(docs)))
+    h = np.zeros((len(lanes.length), HIDDEN), dtype=np.float32)
+    so_far = np.zeros(len(lanes.length))
+    ends: list[list[float]] = [[] for _ in lanes.docs]  # of each lane the sums up to each document's end
+    for t in range(0, int(lanes.length[0]), 64):
+        entry, target = lanes.window(t, 64)
+        active = entry.shape[1]
+        states, h = _forward(p, entry, h[:active])
+        real = np.flatnonzero((target != PAD).ravel())
+        sums = np.zeros(target.size)
+        sums[real] = _output(p, layout, states.reshape(-1, HIDDEN)[real], target.ravel()[real])[0]
+        sums = sums.reshape(target.shape).cumsum(axis=0) + so_far[:active]
+        for step, lane in zip(*np.nonzero(target == 0), strict=True):
+            ends[lane].append(sums[step, lane])
+        so_far = sums[-1]
+    out = np.zeros(len(docs))
+    for row, marks in zip(lanes.docs, ends, strict=True):
+        if row:
+            out[row] = np.diff(marks, prepend=0.0)
+    return out / np.log(10)
+
+
+def _trainer(common, vocabulary, rate: float):
+    """What a group does in its round: its own copy of the parameters, trained on its texts, as rows (place, value)."""
 
     def train_here(table: pa.Table) -> pa.Table:
-        docs = [np.frombuffer(x, dtype=np.uint8) for x in table.sort_by("h")["classes"].to_pylist()]
-        after = flat(train_group(unflat(common.value), docs, rate))
+        docs = [np.frombuffer(x, dtype=np.uint16) for x in table.sort_by("h")["codes"].to_pylist()]
+        after = train_group(common.value, vocabulary.value.layout, docs, rate)
         return pa.table({"at": pa.array(np.arange(len(after), dtype=np.int32)), "v": pa.array(after.astype(np.float64))})
 
     return train_here
 
 
-def deal_classes(train: DataFrame, vocabulary) -> DataFrame:
-    """(g, h, classes): a row for each training text, its words' classes a byte each, dealt into groups of about GROUP_WORDS words.
+def deal_codes(train: DataFrame, vocabulary, tokens: int) -> DataFrame:
+    """(round, g, h, codes): a row for each training text, its words' codes two bytes each, dealt into rounds and groups of about GROUP_WORDS words.
 
     A text is dealt by its row's id with it, so that the copies of a text are spread over the groups.
     """
+    n_groups = ROUNDS * max(1, round(tokens / (ROUNDS * GROUP_WORDS)))
 
     def encode(batches):
         for batch in batches:
-            classes = [vocabulary.value.encode(w)[0].tobytes() for w in _words(batch.column("text"))]
-            yield pa.record_batch({"h": batch.column("h"), "classes": pa.array(classes, pa.binary())})
+            codes = [vocabulary.value.encode(w)[0].tobytes() for w in _words(batch.column("text"))]
+            yield pa.record_batch({"h": batch.column("h"), "codes": pa.array(codes, pa.binary())})
 
-    rows = train.select(F.xxhash64(F.lit(23), "doc_id", "text").alias("h"), "text")
-    encoded = materialize(rows.mapInArrow(encode, "h long, classes binary"), "lm-classes")
-    words = encoded.agg(F.coalesce(F.sum(F.length("classes")), F.lit(0)).alias("n")).first()["n"]
-    n_groups = max(1, round(words / GROUP_WORDS))
-    dealt = encoded.select(F.pmod(F.xxhash64(F.lit(29), "h"), F.lit(n_groups)).cast("long").alias("g"), "h", "classes")
-    return dealt.repartition(min(n_groups, PARTITIONS), "g")
+    rows = train.select(F.xxhash64(F.lit(23), "doc_id", "text").alias("h"), "text").mapInArrow(encode, "h long, codes binary")
+    g = F.pmod(F.xxhash64(F.lit(29), "h"), F.lit(n_groups)).cast("long")
+    dealt = rows.withColumn("g", g).withColumn("round", F.pmod("g", F.lit(ROUNDS)).cast("int"))
+    return materialize(dealt.select("g", "h", "codes", "round"), "lm-codes", by=["round"])
 
 
-def train_recurrent(train: DataFrame, vocabulary, start: dict, rounds: int = ROUNDS) -> dict:
+def train_recurrent(train: DataFrame, vocabulary, start: dict) -> dict:
     """Parameters trained on every row of ``train`` (doc_id, text).
 
-    In each round every group of ``deal_classes`` trains its own copy from the common parameters, and
-    the copies are averaged by an aggregation over their places; the driver gets the average alone.
+    Each text belongs to one group of one of ROUNDS rounds. In a round every group trains its own copy
+    from the common parameters, and the copies are averaged by an aggregation over their places; the
+    driver gets the average alone, and the next round goes on from it.
     """
     spark = train.sparkSession
-    dealt = deal_classes(train, vocabulary)
-    for k in range(rounds):
-        common = spark.sparkContext.broadcast(flat(start))
-        averaged = dealt.groupBy("g").applyInArrow(_trainer(common, 0.01 / (1 + k)), "at int, v double").groupBy("at").agg(F.avg("v").alias("v")).toArrow()
-        after = flat(start)
+    tokens = vocabulary.value.tokens
+    dealt = deal_codes(train, vocabulary, tokens)
+    after = flat(start)
+    n_groups = max(1, round(tokens / (ROUNDS * GROUP_WORDS)))
+    for k in range(ROUNDS):
+        common = spark.sparkContext.broadcast(after)
+        part = dealt.where(F.col("round") == k).select("g", "h", "codes").repartition(min(n_groups, PARTITIONS), "g")
+        copies = part.groupBy("g").applyInArrow(_trainer(common, vocabulary, 0.015 / (1 + k)), "at int, v double")
+        averaged = copies.groupBy("at").agg(F.avg("v").alias("v")).toArrow()
         if averaged.num_rows:
+            after = after.copy()
             after[averaged["at"].to_numpy()] = averaged["v"].to_numpy()
-        start = unflat(after)
-    return start
+    return unflat(after)
 
 
 def score_documents(docs: DataFrame, is_held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -356,9 +443,10 @@ def score_documents(docs: DataFrame, is_held_out: Column, id_col: str = "doc_id"
 
     Rows that are not held out are learned from. Tokens are words (A to Z in lower case) and one end
     for each text. ``base_score`` sums log10((c + 0.5) / (N + 0.5 (V + 1))) over the tokens. ``score``
-    is the log10 probability of the text under the recurrent model: a gated unit reads the classes of
-    the words so far, its state carried through the whole text, and gives the next word's class; the
-    word's share in its class comes from the counts over all training rows, unknown words included.
+    is the log10 probability of the text under the recurrent model: a gated unit reads the words so
+    far, its state carried through the whole text, and gives the next word's class and, by a softmax
+    within the class, the frequent word or that it is another one; another word's share among those of
+    its class comes from the counts over all training rows, unknown words included.
 
     Every word is counted. The HEAD_WORDS most frequent are looked up in a table that each task
     holds; the others are joined with the counts, so that no task or driver holds them all. A null or
@@ -375,12 +463,10 @@ def score_documents(docs: DataFrame, is_held_out: Column, id_col: str = "doc_id"
 
     def score(batches):
         v, p = vocabulary.value, unflat(model.value)
-        class_log = v.class_log
-        held = {k: [] for k in ("doc_id", "held_out", "classes", "words", "known", "logs", "rare")}
+        held = {k: [] for k in ("doc_id", "held_out", "codes", "words", "known", "logs", "shares", "rare")}
 
         def flush():
-            own = np.array([class_log[c].sum() for c in held["classes"]])
-            gru = sequence_logs(p, held["classes"])
+            gru = sequence_logs(p, v.layout, held["codes"])
             batch = pa.record_batch(
                 {
                     "doc_id": pa.array(held["doc_id"], id_type),
@@ -388,7 +474,7 @@ def score_documents(docs: DataFrame, is_held_out: Column, id_col: str = "doc_id"
                     "words": pa.array(held["words"], pa.int64()),
                     "known": pa.array(held["known"], pa.int64()),
                     "logs": pa.array(held["logs"], pa.float64()),
-                    "model": pa.array(gru - own, pa.float64()),
+                    "model": pa.array(gru + np.array(held["shares"]), pa.float64()),
                     "rare": pa.array(held["rare"], pa.list_(pa.binary())).cast(pa.list_(pa.string())),
                 }
             )
@@ -401,13 +487,16 @@ def score_documents(docs: DataFrame, is_held_out: Column, id_col: str = "doc_id"
             id_type = batch.schema.field("doc_id").type
             ids, flags = batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist()
             for i, words in enumerate(_words(batch.column("text"))):
-                classes, at, rare = v.encode(words)
+                codes, at, rare = v.encode(words)
+                known = at[at >= 0]
+                shared = codes[codes >= FREQUENT] - FREQUENT
                 held["doc_id"].append(ids[i])
                 held["held_out"].append(flags[i])
-                held["classes"].append(classes)
+                held["codes"].append(codes)
                 held["words"].append(len(words))
-                held["known"].append(int((at >= 0).sum()))
-                held["logs"].append(float(v.head_log[at].sum()) + (float(np.log10(0.5)) if at[-1] < 0 else 0.0))
+                held["known"].append(len(known) + v.end_known)
+                held["logs"].append(float(v.head_log[known].sum() + v.head_log[0]))
+                held["shares"].append(float(v.head_log[known[known >= FREQUENT]].sum() - v.other_log[shared].sum()))
                 held["rare"].append([words[k] for k in rare])
                 n += len(words) + 1
                 if n > SCORE_WORDS:
@@ -436,5 +525,5 @@ def score_documents(docs: DataFrame, is_held_out: Column, id_col: str = "doc_id"
         (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(found.tokens).cast("long").alias("train_tokens"),
         (logs - n_tokens * F.lit(share)).alias("base_score"),
-        (logs + F.col("model")).alias("score"),
+        (F.col("model") + F.coalesce("more_logs", F.lit(0.0))).alias("score"),
     )
