@@ -1,6 +1,7 @@
 """Mixing, secret scans, chat formatting, exact deduplication and sharding against plain Python."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -13,7 +14,7 @@ from tidemill.llm import queries as q
 from tidemill.llm.chat_format import format_chats
 from tidemill.llm.exact_dedup import exact_dedup
 from tidemill.llm.mixing import mix_sources, mixed_documents
-from tidemill.llm.secret_scan import NO_SUMS, _add_code, _serial_correlation, secret_report
+from tidemill.llm.secret_scan import ENCODINGS, NO_SUMS, _add_code, _serial_correlation, discovery_cuts, randomness, secret_report
 from tidemill.llm.sharding import external_shuffle, row_bytes, write_shards
 
 ODD = [(1, None), (2, ""), (3, " \t\n"), (4, "one"), (5, "one"), (6, "one  two"), (7, "one two"), (8, "é" * 5), (9, "wörd " * 30000), (None, "one"), (5, "one")]
@@ -136,9 +137,10 @@ def test_recall_of_the_battery(docs_of, crowd):
         "read_the_whole_file_again", "isInstanceOfThisInterface", "docs/operations/backup-plan", "donaudampfschifffahrt", "chapter-3-of-the-old-book",
     ]
     kinds = {  # letters, length, least recall alone and beside ten ordinary tokens
-        "hex": (digits + "ABCDEF", 32, 0.9, 0.9), "base32": (large + "234567", 32, 0.8, 0.5), "base36": (small + digits, 32, 0.9, 0.8),
-        "base62": (small + large + digits, 20, 0.9, 0.9), "letters": (small + large, 32, 0.9, 0.9), "lower": (small, 128, 0.9, 0.9),
-    }
+        "hex": (digits + "ABCDEF", 32, 0.9, 0.9), "hex64": (digits + "abcdef", 64, 0.95, 0.95), "base32": (large + "234567", 32, 0.8, 0.7), "base32long": (large + "234567", 52, 0.95, 0.95),
+        "base36": (small + digits, 32, 0.9, 0.8), "base62": (small + large + digits, 20, 0.9, 0.9), "base64": (small + large + digits + "+/", 40, 0.95, 0.95),
+        "letters": (small + large, 40, 0.9, 0.9), "lower": (small, 128, 0.9, 0.9),
+    }
     rows, at = [], {}
     for k, (letters, n, *_) in enumerate(kinds.values()):
         for i in range(60):
@@ -146,10 +148,50 @@ def test_recall_of_the_battery(docs_of, crowd):
             rows.append((k * 100 + i, f"{head} {''.join(draw.choice(letters) for _ in range(n))} there"))
             at[k * 100 + i] = f"random:{len(head) + 1}:{len(head) + 1 + n}"
     got = {r["doc_id"]: r["spans"].split(",") for r in rows_of(secret_report(docs_of(rows)))}
-    for k, (name, (*_, alone, beside)) in enumerate(kinds.items()):
-        assert sum(at[k * 100 + i] in got[k * 100 + i] for i in range(60)) >= 60 * (beside if crowd else alone), name
+    recall = {name: sum(at[k * 100 + i] in got[k * 100 + i] for i in range(60)) / 60 for k, name in enumerate(kinds)}
+    for name, (*_, alone, beside) in kinds.items():
+        assert recall[name] >= (beside if crowd else alone), recall
     # ordinary tokens are left alone
-    assert sum(s.startswith("random") for v in got.values() for s in v) - sum(at[d] in v for d, v in got.items()) <= 0.02 * crowd * len(rows)
+    assert sum(s.startswith("random") for v in got.values() for s in v) - sum(at[d] in v for d, v in got.items()) <= 0.01 * crowd * len(rows)
+
+
+def plain_p(token):
+    """Fisher's combination of the two p-values of a token, with plain loops and the error function."""
+    size, excess, often = next((k, e, c) for k, (p, e, c) in ENCODINGS.items() if re.search(p, token))
+    n = len(token)
+    below = lambda z: 0.5 * math.erfc(-z / math.sqrt(2))
+    chi2 = sum(c * c for c in Counter(token).values()) * size / n - n
+    p_chi = below((chi2 - (size - 1) - n * excess) / math.sqrt(2 * (size - 1) + 4 * n * excess))
+    kinds = ["0" if c.isdigit() else "1" if c.isupper() else "2" for c in token if c.isalnum()]
+    steps = max(len(kinds) - 1, 1)
+    changes = sum(a != b for a, b in zip(kinds, kinds[1:], strict=False))
+    p_runs = 1 - below((changes - 0.5 - steps * often) / math.sqrt(steps * often * (1 - often)))
+    product = p_chi * p_runs
+    return p_chi if len(set(kinds)) <= 1 else product * (1 - math.log(max(product, 1e-300)))
+
+
+def test_battery_against_plain_loops(spark):
+    draw = random.Random(11)
+    alphabets = ["0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCxyz019+/_-"]
+    tokens = ["".join(draw.choice(a) for _ in range(n)) for a in alphabets for n in (20, 31, 47, 200)] + ["getDocumentElementByName", "configuration_of_the_server"]
+    got = {r["t"]: r["r"] for r in spark.createDataFrame([(t,) for t in tokens], "t string").select("t", randomness(F.col("t")).alias("r")).collect()}
+    for t in tokens:
+        assert got[t]["p"] == 1.0 or got[t]["p"] == pytest.approx(plain_p(t), rel=0.02, abs=1e-6), t
+        assert got[t]["stratum"] == sum(len(t) >= x for x in (24, 32, 48, 96))
+    assert sum(r["p"] < 1.0 for r in got.values()) > len(tokens) - 6
+
+
+def test_discovery_cut_against_sorted_p(spark):
+    draw = random.Random(4)
+    rows = [(k, 10 ** -(draw.random() ** 2 * (12 if i % 3 == 0 else 1))) for k in (0, 2) for i in range(400)] + [(1, 0.5)]
+    cells = [(k, p, int(math.floor(-math.log10(p) * 16))) for k, p in rows]
+    df = spark.createDataFrame([([{"r": {"p": p, "bin": b, "stratum": k}}],) for k, p, b in cells], "__tested array<struct<r:struct<p:double,bin:int,stratum:int>>>")
+    cuts = discovery_cuts(df, 0.01)
+    assert set(cuts) == {0, 2}
+    for k in cuts:
+        bins = sorted((b for s, _, b in cells if s == k), reverse=True)
+        want = min(b for i, b in enumerate(bins) if 10 ** (-b / 16) * len(bins) / sum(x >= b for x in bins) <= 0.01)
+        assert cuts[k] == want
 
 
 def test_serial_correlation(spark):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import text_of
 
@@ -59,15 +60,17 @@ def normal_below(z: Column) -> Column:
 #: Encodings in the order in which they are inferred, by the size of their alphabet: the letters, and ordinary text against
 #: which a token is tested: how far its letters are from uniform (the expected chi-squared is that of uniform letters
 #: plus this much for each character), and how often the kind of character (digit, upper, lower; separators left out)
-#: changes from one to the next. Words joined by capitals change more often than others.
+#: changes from one to the next. Words joined by capitals change more often than others: those of the Python standard
+#: library and of the packages installed here have a median excess of 1.41 and 0.29 changes, words joined by separators
+#: 2.79 and 0.0 (3928 and 49,427 tokens).
 ENCODINGS = {
     16: (r"^(?:[0-9a-f]+|[0-9A-F]+)$", 0.9, 0.12),
     26: (r"^(?:[a-z]+|[A-Z]+)$", 0.72, 0.12),
     32: (r"^[A-Z2-7]+=*$", 1.2, 0.12),
     36: (r"^(?:[a-z0-9]+|[A-Z0-9]+)$", 1.4, 0.12),
-    52: (r"^[A-Za-z]+$", 2.4, 0.3),
+    52: (r"^[A-Za-z]+$", 1.4, 0.29),
     62: (r"^[A-Za-z0-9]+$", 2.4, 0.2),
-    64: (r"", 2.5, 0.2),
+    64: (r"", 2.8, 0.2),
 }
 DIGITS, UPPER, LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Most lag-1 correlation, in standard errors, that still counts as random.
@@ -98,7 +101,7 @@ def _serial_correlation(sums: Column, n: Column) -> Column:
 
 
 def randomness(token: Column) -> Column:
-    """struct<p, weight>: how likely ordinary text looks as random as the token, and its weight by length."""
+    """struct<p, bin, stratum>: how likely ordinary text looks as random as the token, its place in a histogram of p, and its class of length."""
     n = F.length(token)
     chars = F.split(token, "")
     found = F.lit(None)
@@ -126,28 +129,38 @@ def randomness(token: Column) -> Column:
     product = F.greatest(p_chi * p_runs, F.lit(1e-300))
     both = F.when(kinds.rlike("^(?:0*|1*|2*)$"), p_chi).otherwise(product * (1 - F.log(product)))
     p = F.when(serial > SERIAL_LIMIT, F.lit(1.0)).otherwise(both)
-    return F.struct(p.alias("p"), (F.least(n, F.lit(64)) / 32.0).alias("weight"))
+    bin_ = F.floor(-F.log10(F.greatest(p, F.lit(1e-300))) * BINS).cast("int")
+    return F.struct(p.alias("p"), bin_.alias("bin"), _stratum(n).alias("stratum"))
 
 
-def with_random_spans(df: DataFrame, level: float) -> DataFrame:
-    """Adds ``random_spans`` to a frame with ``tokens`` and ``base_spans``; each step is a column, so that none is computed twice.
+#: Least lengths of the classes of length; in each the false discoveries are controlled by themselves.
+LENGTHS = (20, 24, 32, 48, 96)
+#: Bins of the histogram of p, to a power of ten.
+BINS = 16
 
-    Tokens over a base span are left out; the rest pass a Benjamini-Hochberg cut, weighted by length, in each text.
+
+def _stratum(n: Column) -> Column:
+    return sum(((n >= least).cast("int") for least in LENGTHS[1:]), F.lit(0))
+
+
+def discovery_cuts(tested: DataFrame, level: float) -> dict[int, int]:
+    """For each class of length the lowest bin of p that passes a Benjamini-Hochberg cut at ``level`` over all tokens of the corpus.
+
+    ``tested`` has an array ``__tested`` of randomness results. Tokens are counted by class and bin, each
+    bin taken at its highest p, so that no list of p-values is sorted and the driver gets a row for
+    each class at most. A class in which nothing passes is left out.
     """
-    free = F.filter("__tokens", lambda s: ~F.exists("base_spans", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    tested = df.withColumn("__tested", F.transform(free, lambda s: F.struct(s.alias("span"), randomness(s["token"]).alias("r"))))
-    sums = tested.withColumn("__weights", F.aggregate("__tested", F.lit(0.0), lambda a, s: a + s["r"]["weight"])).withColumn("__m", F.size("__tested"))
-    ranked = sums.withColumn(
-        "__ranked",
-        F.array_sort(
-            F.transform("__tested", lambda s: F.struct((s["r"]["p"] * F.col("__weights") / F.col("__m") / s["r"]["weight"]).alias("q"), s["span"].alias("span")))
-        ),
-    )
-    passing = F.transform("__ranked", lambda s, i: F.when(s["q"] <= level * (i + 1) / F.col("__m"), s["q"]))
-    cut = ranked.withColumn("__cut", F.array_max(passing))
-    return cut.withColumn("random_spans", F.transform(F.filter("__ranked", lambda s: s["q"] <= F.col("__cut")), lambda s: s["span"])).drop(
-        "__tokens", "__tested", "__weights", "__m", "__ranked", "__cut"
-    )
+    counts = tested.select(F.explode("__tested.r").alias("r")).groupBy("r.stratum", "r.bin").agg(F.count(F.lit(1)).alias("n"))
+    whole = Window.partitionBy("stratum")
+    from_here = whole.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)
+    found = F.pow(F.lit(10.0), -F.col("bin") / BINS) * F.sum("n").over(whole) / F.sum("n").over(from_here)
+    passing = counts.withColumn("q", found).where(F.col("q") <= level)
+    return {r["stratum"]: r["bin"] for r in passing.groupBy("stratum").agg(F.min("bin").alias("bin")).collect()}
+
+
+def with_tests(df: DataFrame) -> DataFrame:
+    """``df`` with ``__tested``: each of its ``__tokens`` with the result of the battery."""
+    return df.withColumn("__tested", F.transform("__tokens", lambda s: F.struct(s.alias("span"), randomness(s["token"]).alias("r")))).drop("__tokens")
 
 
 def joined(spans: Column) -> Column:
@@ -165,23 +178,30 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", level: float = 0.01) -
     tokens of at least 20 characters that the randomness battery finds: for an inferred encoding (see
     ENCODINGS), how close the letters are to uniform (chi-squared) and how often the kind of character
     changes (runs), each against ordinary text, with a limit on serial correlation; Fisher's combination of
-    the two p-values, weighted by length, passes a Benjamini-Hochberg cut at ``level`` in each text.
-    Short tokens of a small alphabet, most of all letters of one case, tell too little to be found for sure.
+    the two p-values passes a Benjamini-Hochberg cut at ``level`` over the tokens of like length of the
+    whole corpus, found in a pass of its own. A random span may cover a base span: the battery looks at
+    every token by itself. Short tokens of a small alphabet, most of all letters of one case, tell too
+    little to be found for sure.
 
-    Null text counts as empty and has no spans. Rows are independent: repeated rows give equal
-    results, an empty table an empty one; columns named base_spans or random_spans are replaced.
+    Null text counts as empty and has no spans. Repeated rows give equal results, an empty table an
+    empty one; columns named base_spans or random_spans are replaced.
     """
     text = text_of(text_col)
+    tokens = spans_of(text, TOKEN, "random", TOKEN, lambda hit, _: F.length(hit) > 0)
+    cuts = discovery_cuts(with_tests(docs.select(tokens.alias("__tokens"))), level)
     found = docs.drop("base_spans", "random_spans").withColumns(
         {
             "__assign": spans_of(text, ASSIGN, "assign", ASSIGN, lambda hit, value: F.length(value) >= 6, groups=1),
             "__access": spans_of(text, ACCESS, "access", ACCESS, lambda hit, _: F.length(hit) >= 20),
             "__hex": spans_of(text, HEX, "hex", "[0-9a-f]{24}", lambda hit, _: F.length(hit) >= 24),
-            "__tokens": spans_of(text, TOKEN, "random", TOKEN, lambda hit, _: F.length(hit) > 0),
+            "__tokens": tokens,
         }
     )
     with_base = found.withColumn("base_spans", F.concat("__assign", "__access", "__hex")).drop("__assign", "__access", "__hex")
-    return with_random_spans(with_base, level)
+    never = F.lit(1 << 30)
+    cut = F.array(*[F.lit(cuts[k]) if k in cuts else never for k in range(len(LENGTHS))])
+    passed = F.filter("__tested", lambda t: t["r"]["bin"] >= F.get(cut, t["r"]["stratum"]))
+    return with_tests(with_base).withColumn("random_spans", F.transform(passed, lambda t: t["span"])).drop("__tested")
 
 
 def secret_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
