@@ -185,6 +185,19 @@ def test_extraction(spark, sf_dir, trees):
     df = spark.createDataFrame([(i, h, "u", "old") for i, h in rows], "page_id long, html string, url string, text string")
     got = {r.page_id: r.text for r in he.extract_main_text(df, trees).collect()}
     assert got[1] == got[2] == "" and got[3] == "bare & text"
+    rows = [
+        ("<p>first line<br>second line<br/>third</p>", "first line second line third"), ("<html><body><p>Short note.</p></body></html>", "Short note."),
+        ("<html><body>One line.<br>\nAnother line.<br><br>The last.</body></html>", "One line. Another line. The last."),
+        ("<body><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be even.</p><p>Then it is two.</p></body>", "Let x=2 be even.\n\nThen it is two."),
+        ("<html><body><table><tr><td><a href=/a>Home</a><br><a href=/b>News</a><br><a href=/c>Mail</a><br><a href=/d>Links</a></td><td><h1>Old times</h1>It was a long way to the village, and nobody knew it.<br><br>"
+         "They went there on foot, all the same, and came back late.<p>The next day it rained from morning to night, so they stayed at home.</td></tr></table></body></html>",
+         "Old times\n\nIt was a long way to the village, and nobody knew it. They went there on foot, all the same, and came back late.\n\nThe next day it rained from morning to night, so they stayed at home."),
+        ("<div>" * 3000 + "deep text that goes on for a while" + "</div>" * 3000, "deep text that goes on for a while"),
+        ("<p>" + "very long words here. " * 40000 + "</p>", ("very long words here. " * 40000).strip()),
+    ]
+    bare = spark.createDataFrame([(i, h) for i, (h, _) in enumerate(rows + rows[:2])], "page_id long, html string")
+    got = {r.page_id: r.text for r in he.extract_main_text(bare, trees).collect()}
+    assert got == {i: t for i, (_, t) in enumerate(rows + rows[:2])}
     assert he.extract_main_text(df.limit(0), trees).count() == 0
     pages = q.table(spark, sf_dir, "pages")
     for r in he.extract_main_text(pages, trees).collect():

@@ -17,7 +17,7 @@ from .common import text_of
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea noscript template iframe xmp noframes".split())
-NEVER_TEXT = frozenset("head script style title textarea noscript template iframe svg select object noframes canvas audio video math".split())
+NEVER_TEXT = frozenset("head script style title textarea noscript template iframe svg select noframes canvas audio video".split())
 BLOCKS = frozenset(
     "html body article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre "
     "figure figcaption nav header footer aside form fieldset address details summary center hgroup menu dialog legend hr".split()
@@ -83,7 +83,7 @@ def parse(source: str) -> Page:
 
     def text(part: str):
         nonlocal new_block
-        if part:
+        if part and not (new_block and part.isspace()):
             page.pieces.append((node, new_block, part))
             page.links.append(in_link > 0)
             new_block = False
@@ -99,6 +99,9 @@ def parse(source: str) -> Page:
         if name is None:
             continue
         name = name.lower()
+        if name == "br":  # a break inside a block is white space
+            text("\n")
+            continue
         if m["end"]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
@@ -378,8 +381,71 @@ class _Layout:
         tag, names = rnd.choice([("article", ()), ("article", ()), ("main", ()), ("div", ["content", "post", "entry-content", "story", "article-body", "main"]), ("section", ["content", "article", "post"])])
         return lambda: self.node(tag, 1, parts, names)
 
+    def lines(self, low: int, high: int) -> str:
+        """Text in lines, as pages without paragraphs have it."""
+        return self.rnd.choice(["<br>", "<br/>\n", "<br><br>"]).join(_phrase(self.rnd, 4, 40) for _ in range(self.rnd.randint(low, high)))
+
+    def bare(self) -> str:
+        """A page that is little more than its text: paragraphs or lines right in the body, few marks or none."""
+        rnd = self.rnd
+        parts = []
+        if rnd.random() < 0.4:
+            parts.append(self.plain(rnd.choice(["h1", "h2"]), 1, 1, 8))
+        for _ in range(rnd.choice([1, 1, 1, 2, 3, 6])):
+            r = rnd.random()
+            if r < 0.6:
+                parts.append(self.plain(rnd.choice(["p", "p", "p", "div", "blockquote", "pre"]), 1, 1 if rnd.random() < 0.4 else 6, 70))
+            elif r < 0.7:
+                parts.append(lambda: self.node("p", 1, [self.lines(2, 4)]))
+            elif r < 0.8:
+                parts.append(lambda: self.node("ul", 1, [self.plain("li", 1, 2, 20) for _ in range(rnd.randint(2, 4))]))
+            else:
+                parts.append(lambda: self.lines(1, 5))
+        if rnd.random() < 0.3:
+            parts.insert(0, self.boiler("nav"))
+        if rnd.random() < 0.3:
+            parts.append(self.boiler("footer"))
+        if rnd.random() < 0.3:
+            wrapped = parts
+            parts = [lambda: self.node(rnd.choice(["div", "center", "main", "article"]), 1, wrapped)]
+        if rnd.random() < 0.15:
+            return "".join(part() for part in parts)
+        return self.node("html", 1, [lambda: self.node("body", 1, parts)])
+
+    def tables(self) -> str:
+        """A page laid out by tables and breaks, without classes."""
+        rnd = self.rnd
+
+        def menu(tag):
+            links = [f"<a href='/{k}'>{_phrase(rnd, 1, 2)}</a>" for k in range(rnd.randint(3, 8))]
+            return lambda: self.node(tag, 0, [rnd.choice(["<br>", " | ", " "]).join(links)])
+
+        def story():
+            inner = [self.plain(rnd.choice(["h1", "h2"]), 1, 1, 8)] if rnd.random() < 0.6 else [f"<font size=5><b>{_phrase(rnd, 1, 6)}</b></font><br>"]
+            for _ in range(rnd.randint(1, 5)):
+                inner.append(self.plain("p", 1, 5, 80) if rnd.random() < 0.5 else (lambda: self.lines(1, 4)))
+            return self.node("td", 1, inner)
+
+        cells = [story]
+        if rnd.random() < 0.8:
+            cells.insert(rnd.randint(0, 1), menu("td"))
+        rows = [lambda: self.node("tr", 1, cells)]
+        if rnd.random() < 0.5:
+            rows.insert(0, lambda: self.node("tr", 0, [menu("td")]))
+        parts = [lambda: self.node("table", 1, rows)]
+        if rnd.random() < 0.4:
+            parts.insert(0, menu(rnd.choice(["div", "center", "p"])))
+        if rnd.random() < 0.5:
+            parts.append(lambda: self.node(rnd.choice(["center", "div"]), 0, [f"&copy; 1998 {_phrase(rnd, 2, 6)} <a href='/'>Home</a>"]))
+        return self.node("html", 1, [lambda: self.node("body", 1, parts)])
+
     def page(self) -> str:
         rnd = self.rnd
+        kind = rnd.random()
+        if kind < 0.12:
+            return self.bare()
+        if kind < 0.2:
+            return self.tables()
         middle = [self.content()]
         if rnd.random() < 0.3:
             middle.append(self.boiler("side"))
@@ -394,7 +460,7 @@ class _Layout:
         return self.node("html", 1, [body])
 
 
-def fit_extractor(pages: int = 600, seed: int = 1) -> Trees:
+def fit_extractor(pages: int = 900, seed: int = 1) -> Trees:
     """Trees fitted on ``pages`` made-up pages (a fixed bound), a label for each node: 1 unless it is boilerplate or inside it."""
     xs, ys = [], []
     for k in range(pages):
@@ -414,7 +480,7 @@ def extract_main_text(pages: DataFrame, model: Trees | None = None, html_col: st
     decoded, white space inside a block becomes one space, blocks that are empty then are left out.
 
     A null or empty page, and one in which nothing is kept, has an empty text; text outside of any
-    element is kept. Rows are handled one by one; a column named text is replaced, and an empty table
+    element is kept. A line break inside a block is white space. Rows are handled one by one; a column named text is replaced, and an empty table
     gives an empty result. Very deep or broken markup is closed as the standard says.
     """
     pages = pages.drop("text")
