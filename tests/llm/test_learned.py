@@ -306,20 +306,23 @@ def test_lm_scores(spark, docs_of, sf_dir):
 def test_lm_trains_on_every_text(spark, docs_of, monkeypatch):
     rows = [(i, f"alpha beta number{i} gamma") for i in range(6)]
     for row in rows:
-        one = docs_of([row]).select("doc_id", "text")
+        one = docs_of([row]).select("doc_id", F.lit(False).alias("held_out"), "text")
         found = lm.build_vocabulary(lm.word_counts(one))
-        start = lm.initial(found)
-        after = lm.train_recurrent(one, spark.sparkContext.broadcast(found), start)
+        shared, start = spark.sparkContext.broadcast(found), lm.initial(found)
+        after = lm.train_recurrent(lm.encode_documents(one, shared), shared, start)
         assert np.abs(lm.flat(after) - lm.flat(start)).max() > 0, row
     monkeypatch.setattr(lm, "GROUP_WORDS", 500)
-    copies = docs_of([(i, LONG) for i in range(100)] + [(None, "a b"), (200, None), (201, "")]).select("doc_id", lm.text_of().alias("text"))
+    monkeypatch.setattr(lm, "SLICE_BYTES", 300)
+    rows = [(i, LONG) for i in range(100)] + [(None, "a b"), (200, None), (201, ""), (202, " x\ty  X ")]
+    copies = docs_of(rows).select("doc_id", F.lit(False).alias("held_out"), lm.text_of().alias("text"))
     found = lm.build_vocabulary(lm.word_counts(copies))
-    dealt = lm.deal_codes(copies, spark.sparkContext.broadcast(found), found.tokens).collect()
+    dealt = lm.encode_documents(copies, spark.sparkContext.broadcast(found)).collect()
     sizes = Counter()
     for r in dealt:
         sizes[r.g] += len(r.codes) // 2
-        assert r.round == r.g % lm.ROUNDS
-    assert len(dealt) == 103 and sum(sizes.values()) == found.tokens == 100 * 41 + 3 + 1 + 1
+        assert r.round == r.g % lm.ROUNDS and len(r.codes) == 2 * (r.words + 1) and r.codes[-2:] == b"\0\0"
+    assert Counter((r.doc_id, r.words) for r in dealt) == Counter((d, len((t or "").split())) for d, t in rows)
+    assert len(dealt) == 104 and sum(sizes.values()) == found.tokens == 100 * 41 + 3 + 1 + 1 + 4
     assert len(sizes) == 8 and max(sizes.values()) < 1200
 
 

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import heapq
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,42 +24,57 @@ PAD = CODES
 #: Most frequent words that every task holds in a table; the rest are joined.
 HEAD_WORDS = 1 << 18
 HIDDEN = 24
+#: Largest output weight.
+LIMIT = 3.0
 #: Parts of the training documents, trained on one after the other, and most partitions that groups are dealt to.
 ROUNDS, PARTITIONS = 4, 2000
 #: Words of a training group, lanes and window of truncated backpropagation, least windows of a group.
 GROUP_WORDS, LANES, WINDOW, WINDOWS = 1 << 21, 512, 20, 100
-#: Words that a task scores together, and different words it counts before it passes them on.
-SCORE_WORDS, COUNT_WORDS = 1 << 21, 400_000
+#: Words that a task scores together, and bytes of texts it splits together.
+SCORE_WORDS, SLICE_BYTES = 1 << 21, 16 << 20
 #: The end of a document, which no word equals; its code is 0.
 END = b""
 
 
-def _words(texts: pa.Array):
-    """Each text's words in lower case (A to Z only), as bytes; bytes split at the white space that words exclude."""
-    for t in texts.cast(pa.binary()).to_pylist():
-        yield t.lower().split()
+def _slices(batch: pa.RecordBatch, column: str, most: int):
+    """The batch in slices of rows whose ``column`` holds about ``most`` bytes; a larger value is alone."""
+    sizes = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + most, "right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The different words of ``texts`` in lower case (A to Z only), the place of each word of the texts among them, and the text each belongs to.
+
+    Arrow splits at the white space that words exclude; empty pieces at the edges are left out.
+    """
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    found = lists.flatten().dictionary_encode()
+    place = found.indices.to_numpy(zero_copy_only=False)
+    owner = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    nothing = pc.index(found.dictionary, pa.scalar("", found.dictionary.type)).as_py()
+    if nothing >= 0:
+        real = place != nothing
+        place, owner = place[real], owner[real]
+    return found.dictionary, place, owner
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
     """(token, c): how often each word, and the end (the empty string), occurs in the column ``text``; counted in each task before the shuffle."""
 
     def count(batches):
-        counter: Counter = Counter()
-
-        def flush():
-            words = list(counter)
-            return pa.record_batch({"token": pa.array(words, pa.binary()).cast(pa.string()), "n": pa.array([counter[w] for w in words], pa.int64())})
-
         for batch in batches:
-            for words in _words(batch.column("text")):
-                counter.update(words)
-                counter[END] += 1
-                if len(counter) > COUNT_WORDS:
-                    yield flush()
-                    counter.clear()
-        yield flush()
-
-    partial = texts.select("text").mapInArrow(count, "token string, n long")
+            for part in _slices(batch, "text", SLICE_BYTES):
+                words, place, _ = split_words(part.column("text"))
+                n = np.bincount(place, minlength=len(words))
+                seen = pa.array(np.flatnonzero(n))
+                yield pa.record_batch({"token": words.take(seen).cast(pa.string()), "n": pa.array(n[n > 0].astype(np.int64))})
+            yield pa.record_batch({"token": pa.array([""], pa.string()), "n": pa.array([batch.num_rows], pa.int64())})
+
+    partial = texts.select("text").mapInArrow(count, "token string, n long").where("n > 0")
     return partial.groupBy("token").agg(F.sum("n").alias("c"))
 
 
@@ -102,17 +117,15 @@ class Vocabulary:
     kinds: int
     end_known: bool
 
-    def encode(self, words: list):
-        """Codes of the words and the end, places of the words in the table (-1: none), which words have none."""
+    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of words, and their places in the table (-1: none)."""
         get = self.index.get
         at = np.fromiter((get(w, -1) for w in words), dtype=np.int64, count=len(words))
-        codes = np.zeros(len(words) + 1, dtype=np.uint16)
-        codes[:-1] = self.head_code[at]
+        codes = self.head_code[at]
+        ends = self.endings.get
         rare = np.flatnonzero(at < 0)
-        if len(rare):
-            ends = self.endings.get
-            codes[rare] = [FREQUENT + ends(words[i][-2:], CLASSES - 1) for i in rare]
-        return codes, at, rare
+        codes[rare] = [FREQUENT + ends(words[i][-2:], CLASSES - 1) for i in rare]
+        return codes, at
 
 
 def build_vocabulary(counts: DataFrame) -> Vocabulary:
@@ -256,11 +269,10 @@ def _forward(p: dict, entry: np.ndarray, h: np.ndarray, keep: dict | None = None
     return out, h
 
 
-def _softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(axis=1, keepdims=True)
+def _exp(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The exponentials of logits and the sums of their rows. States lie within -1 and 1 and output weights within LIMIT, so none overflows."""
     np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
-    return z
+    return z, z @ np.ones(z.shape[1], dtype=z.dtype)
 
 
 def _output(p: dict, layout: Layout, states: np.ndarray, target: np.ndarray, g: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
@@ -270,12 +282,12 @@ def _output(p: dict, layout: Layout, states: np.ndarray, target: np.ndarray, g:
     """
     rows = np.arange(len(target))
     classes = layout.class_of[target]
-    prob = _softmax(states @ p["wo"] + p["bo"])
-    logs = np.log(prob[rows, classes])
+    prob, whole = _exp(states @ p["wo"] + p["bo"])
+    logs = np.log(prob[rows, classes] / whole)
     down = None
     if g is not None:
-        prob[rows, classes] -= 1
-        prob /= max(1, len(target))
+        prob *= (1 / (whole * max(1, len(target))))[:, None]
+        prob[rows, classes] -= 1 / max(1, len(target))
         g["wo"], g["bo"] = states.T @ prob, prob.sum(axis=0)
         down = prob @ p["wo"].T
         g["ow"], g["ob"] = np.zeros_like(p["ow"]), np.zeros_like(p["ob"])
@@ -286,11 +298,11 @@ def _output(p: dict, layout: Layout, states: np.ndarray, target: np.ndarray, g:
             continue  # a class of one place gives it probability 1
         mine, places = order[lo:hi], slice(layout.starts[c], layout.starts[c + 1])
         s, slot = states[mine], layout.slot_of[target[mine]]
-        inner = _softmax(s @ p["ow"][places].T + p["ob"][places])
-        logs[mine] += np.log(inner[rows[: hi - lo], slot])
+        inner, whole = _exp(s @ p["ow"][places].T + p["ob"][places])
+        logs[mine] += np.log(inner[rows[: hi - lo], slot] / whole)
         if g is not None:
-            inner[rows[: hi - lo], slot] -= 1
-            inner /= max(1, len(target))
+            inner *= (1 / (whole * max(1, len(target))))[:, None]
+            inner[rows[: hi - lo], slot] -= 1 / max(1, len(target))
             g["ow"][places], g["ob"][places] = inner.T @ s, inner.sum(axis=0)
             down[mine] += inner @ p["ow"][places]
     return logs, down
@@ -357,6 +369,8 @@ def train_group(start: np.ndarray, layout: Layout, docs: list[np.ndarray], rate:
         s += 0.01 * (step - s)
         pace = rate * min(i / 20, 1.0) * max(0.1, 1 - i / len(places))  # a warm start, and smaller steps to the end
         v -= (pace / (1 - 0.9**i)) * m / (np.sqrt(s / (1 - 0.99**i)) + 1e-6)
+        for k in ("wo", "ow"):
+            np.clip(p[k], -LIMIT, LIMIT, out=p[k])
     return v
 
 
@@ -397,39 +411,73 @@ def _trainer(common, vocabulary, rate: float):
     return train_here
 
 
-def deal_codes(train: DataFrame, vocabulary, tokens: int) -> DataFrame:
-    """(round, g, h, codes): a row for each training text, its words' codes two bytes each, dealt into rounds and groups of about GROUP_WORDS words.
+def encode_documents(rows: DataFrame, vocabulary) -> DataFrame:
+    """``rows`` (doc_id, held_out, text) as codes, read from the texts once for training and scoring.
 
-    A text is dealt by its row's id with it, so that the copies of a text are spread over the groups.
+    Returns rid, doc_id, held_out, words, known (words of the table that training has), logs (the sum
+    of log10(c + 0.5) over them and the end), shares (what the model's score adds for the shares of words within the
+    other words of their classes), rare (words that the table lacks), codes (two bytes a word, the end
+    last), g and round. Each training text belongs to one group of about GROUP_WORDS words and to the
+    group's round; -1 marks those held out. A text is dealt by its row's id with it, so that the copies
+    of a text are spread over the groups.
     """
-    n_groups = ROUNDS * max(1, round(tokens / (ROUNDS * GROUP_WORDS)))
+    n_groups = ROUNDS * max(1, round(vocabulary.value.tokens / (ROUNDS * GROUP_WORDS)))
 
     def encode(batches):
+        v = vocabulary.value
         for batch in batches:
-            codes = [vocabulary.value.encode(w)[0].tobytes() for w in _words(batch.column("text"))]
-            yield pa.record_batch({"h": batch.column("h"), "codes": pa.array(codes, pa.binary())})
-
-    rows = train.select(F.xxhash64(F.lit(23), "doc_id", "text").alias("h"), "text").mapInArrow(encode, "h long, codes binary")
-    g = F.pmod(F.xxhash64(F.lit(29), "h"), F.lit(n_groups)).cast("long")
-    dealt = rows.withColumn("g", g).withColumn("round", F.pmod("g", F.lit(ROUNDS)).cast("int"))
-    return materialize(dealt.select("g", "h", "codes", "round"), "lm-codes", by=["round"])
+            for part in _slices(batch, "text", SLICE_BYTES):
+                words, place, owner = split_words(part.column("text"))
+                n = part.num_rows
+                codes, at = v.encode(words.cast(pa.binary()).to_pylist())
+                log = np.where(at >= 0, v.head_log[at], 0.0)
+                share = np.where(codes >= FREQUENT, log - v.other_log[np.maximum(codes, FREQUENT) - FREQUENT], 0.0)
+                sizes = np.bincount(owner, minlength=n)
+                rare = at[place] < 0
+                bounds = np.concatenate(([0], np.cumsum(sizes + 1) * 2)).astype(np.int64)
+                all_codes = np.zeros(len(place) + n, dtype=np.uint16)
+                all_codes[np.arange(len(place)) + owner] = codes[place]
+                yield pa.record_batch(
+                    {
+                        "doc_id": part.column("doc_id"),
+                        "held_out": part.column("held_out"),
+                        "h": part.column("h"),
+                        "words": pa.array(sizes.astype(np.int64)),
+                        "known": pa.array(np.bincount(owner, (at >= 0)[place], n).astype(np.int64) + v.end_known),
+                        "logs": pa.array(np.bincount(owner, log[place], n) + v.head_log[0]),
+                        "shares": pa.array(np.bincount(owner, share[place], n)),
+                        "rare": pa.ListArray.from_arrays(
+                            pa.array(np.concatenate(([0], np.cumsum(np.bincount(owner[rare], minlength=n)))).astype(np.int32)),
+                            words.take(pa.array(place[rare])).cast(pa.string()),
+                        ),
+                        "codes": pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(bounds), pa.py_buffer(all_codes)]).cast(pa.binary()),
+                    }
+                )
+
+    id_type = rows.schema["doc_id"].dataType.simpleString()
+    encoded = rows.withColumn("h", F.xxhash64(F.lit(23), "doc_id", "text")).mapInArrow(
+        encode, f"doc_id {id_type}, held_out boolean, h long, words long, known long, logs double, shares double, rare array<string>, codes binary"
+    )
+    dealt = encoded.withColumn("g", F.pmod(F.xxhash64(F.lit(29), "h"), F.lit(n_groups)).cast("long"))
+    dealt = dealt.withColumn("round", F.when(F.col("held_out"), -1).otherwise(F.pmod("g", F.lit(ROUNDS))).cast("int"))
+    dealt = dealt.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "held_out", "words", "known", "logs", "shares", "rare", "codes", "h", "g", "round")
+    return materialize(dealt, "lm-codes", by=["round"])
 
 
-def train_recurrent(train: DataFrame, vocabulary, start: dict) -> dict:
-    """Parameters trained on every row of ``train`` (doc_id, text).
+def train_recurrent(encoded: DataFrame, vocabulary, start: dict) -> dict:
+    """Parameters trained on every row of ``encoded`` that is not held out.
 
-    Each text belongs to one group of one of ROUNDS rounds. In a round every group trains its own copy
-    from the common parameters, and the copies are averaged by an aggregation over their places; the
-    driver gets the average alone, and the next round goes on from it.
+    In a round every group trains its own copy from the common parameters, and the copies are averaged
+    by an aggregation over their places; the driver gets the average alone, and the next round goes on
+    from it.
     """
-    spark = train.sparkSession
+    spark = encoded.sparkSession
     tokens = vocabulary.value.tokens
-    dealt = deal_codes(train, vocabulary, tokens)
     after = flat(start)
     n_groups = max(1, round(tokens / (ROUNDS * GROUP_WORDS)))
     for k in range(ROUNDS):
         common = spark.sparkContext.broadcast(after)
-        part = dealt.where(F.col("round") == k).select("g", "h", "codes").repartition(min(n_groups, PARTITIONS), "g")
+        part = encoded.where(F.col("round") == k).select("g", "h", "codes").repartition(min(n_groups, PARTITIONS), "g")
         copies = part.groupBy("g").applyInArrow(_trainer(common, vocabulary, 0.015 / (1 + k)), "at int, v double")
         averaged = copies.groupBy("at").agg(F.avg("v").alias("v")).toArrow()
         if averaged.num_rows:
@@ -454,76 +502,39 @@ def score_documents(docs: DataFrame, is_held_out: Column, id_col: str = "doc_id"
     as they occur; other columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("doc_id"), is_held_out.alias("held_out"), text_of(text_col).alias("text"))
-    train = rows.where(~F.col("held_out"))
-    counts = materialize(word_counts(train), "lm-counts")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(is_held_out, F.lit(False)).alias("held_out"), text_of(text_col).alias("text"))
+    counts = materialize(word_counts(rows.where(~F.col("held_out"))), "lm-counts")
     found = build_vocabulary(counts)
     vocabulary = spark.sparkContext.broadcast(found)
-    model = spark.sparkContext.broadcast(flat(train_recurrent(train, vocabulary, initial(found))))
+    encoded = encode_documents(rows, vocabulary)
+    model = spark.sparkContext.broadcast(flat(train_recurrent(encoded, vocabulary, initial(found))))
 
     def score(batches):
-        v, p = vocabulary.value, unflat(model.value)
-        held = {k: [] for k in ("doc_id", "held_out", "codes", "words", "known", "logs", "shares", "rare")}
-
-        def flush():
-            gru = sequence_logs(p, v.layout, held["codes"])
-            batch = pa.record_batch(
-                {
-                    "doc_id": pa.array(held["doc_id"], id_type),
-                    "held_out": pa.array(held["held_out"], pa.bool_()),
-                    "words": pa.array(held["words"], pa.int64()),
-                    "known": pa.array(held["known"], pa.int64()),
-                    "logs": pa.array(held["logs"], pa.float64()),
-                    "model": pa.array(gru + np.array(held["shares"]), pa.float64()),
-                    "rare": pa.array(held["rare"], pa.list_(pa.binary())).cast(pa.list_(pa.string())),
-                }
-            )
-            for x in held.values():
-                x.clear()
-            return batch
-
-        n, id_type = 0, None
+        layout, p = vocabulary.value.layout, unflat(model.value)
         for batch in batches:
-            id_type = batch.schema.field("doc_id").type
-            ids, flags = batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist()
-            for i, words in enumerate(_words(batch.column("text"))):
-                codes, at, rare = v.encode(words)
-                known = at[at >= 0]
-                shared = codes[codes >= FREQUENT] - FREQUENT
-                held["doc_id"].append(ids[i])
-                held["held_out"].append(flags[i])
-                held["codes"].append(codes)
-                held["words"].append(len(words))
-                held["known"].append(len(known) + v.end_known)
-                held["logs"].append(float(v.head_log[known].sum() + v.head_log[0]))
-                held["shares"].append(float(v.head_log[known[known >= FREQUENT]].sum() - v.other_log[shared].sum()))
-                held["rare"].append([words[k] for k in rare])
-                n += len(words) + 1
-                if n > SCORE_WORDS:
-                    yield flush()
-                    n = 0
-        if held["doc_id"]:
-            yield flush()
-
-    id_type = docs.schema[id_col].dataType.simpleString()
-    scored = rows.mapInArrow(score, f"doc_id {id_type}, held_out boolean, words long, known long, logs double, model double, rare array<string>")
-    scored = materialize(scored.withColumn("rid", F.monotonically_increasing_id()), "lm-scored")
-    rare = scored.select("rid", F.explode("rare").alias("token"))
+            for part in _slices(batch, "codes", 2 * SCORE_WORDS):
+                logs = sequence_logs(p, layout, [np.frombuffer(x, dtype=np.uint16) for x in part.column("codes").to_pylist()])
+                kept = [part.column(n) for n in part.schema.names if n != "codes"]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(logs)], names=[*(n for n in part.schema.names if n != "codes"), "model"])
+
+    rare = encoded.select("rid", F.explode("rare").alias("token"))
     c = F.coalesce("c", F.lit(0))
     joined = (
         rare.join(counts, "token", "left")
         .groupBy("rid")
         .agg(F.sum(F.log10(c + 0.5)).alias("more_logs"), F.count(F.when(F.col("c") > 0, 1)).alias("more_known"))
     )
-    logs = F.col("logs") + F.coalesce("more_logs", F.lit(0.0))
+    narrow = encoded.select("rid", "doc_id", "held_out", "words", "known", "logs", "shares", "codes")
+    scored = narrow.mapInArrow(score, narrow.drop("codes").schema.add("model", "double"))
+    more = F.coalesce("more_logs", F.lit(0.0))
     n_tokens = F.col("words") + 1
     share = float(np.log10(found.tokens + 0.5 * (found.kinds + 1)))
-    return scored.drop("rare").join(joined, "rid", "left").select(
+    return scored.join(joined, "rid", "left").select(
         "doc_id",
         "held_out",
         n_tokens.alias("n_tokens"),
         (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(found.tokens).cast("long").alias("train_tokens"),
-        (logs - n_tokens * F.lit(share)).alias("base_score"),
-        (F.col("model") + F.coalesce("more_logs", F.lit(0.0))).alias("score"),
+        (F.col("logs") + more - n_tokens * F.lit(share)).alias("base_score"),
+        (F.col("model") + F.col("shares") + more).alias("score"),
     )
