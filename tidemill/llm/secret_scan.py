@@ -100,37 +100,55 @@ def _serial_correlation(sums: Column, n: Column) -> Column:
     return F.abs(lagged / F.greatest(variance, F.lit(1e-9))) * F.sqrt(n)
 
 
-def randomness(token: Column) -> Column:
-    """struct<p, bin, stratum>: how likely ordinary text looks as random as the token, its place in a histogram of p, and its class of length."""
+def _counted(token: Column) -> Column:
+    """What the tests need of a token, each value worked out once: n, size, excess and often (of its encoding), squares, kinds, serial."""
     n = F.length(token)
     chars = F.split(token, "")
     found = F.lit(None)
     for letters, (pattern, more, often) in reversed(ENCODINGS.items()):
-        values = F.struct(F.lit(letters).alias("size"), F.lit(more).alias("excess"), F.lit(often).alias("changes"))
+        values = F.struct(F.lit(letters).alias("size"), F.lit(more).alias("excess"), F.lit(often).alias("often"))
         found = F.when(token.rlike(pattern), values).otherwise(found) if pattern else values
-    size, often = found["size"], found["changes"]
     squares = F.aggregate(
         F.array_distinct(chars),
         F.lit(0.0),
         lambda s, c: s + F.pow((n - F.length(F.replace(token, c, F.lit("")))).cast("double"), F.lit(2.0)),
     )
-    chi2 = squares * size / n - n
-    excess = n * found["excess"]
-    p_chi = normal_below((chi2 - (size - 1) - excess) / F.sqrt(2 * (size - 1) + 4 * excess))
-
     kinds = F.translate(token, DIGITS + UPPER + LOWER + "+/_=-", "0" * 10 + "1" * 26 + "2" * 26)
-    steps = F.greatest(F.length(kinds) - 1, F.lit(1))
-    changes = F.regexp_count(kinds, F.lit(r"0(?=[12])|1(?=[02])|2(?=[01])"))
-    p_runs = 1 - normal_below((changes - 0.5 - steps * often) / F.sqrt(steps * often * (1 - often)))
-
     serial = F.aggregate(chars, F.struct(*[F.lit(x).alias(k) for k, x in NO_SUMS.items()]), _add_code, lambda s: _serial_correlation(s, n))
+    return F.struct(n.alias("n"), found.alias("code"), squares.alias("squares"), kinds.alias("kinds"), serial.alias("serial"))
+
+
+def _deviations(t: Column) -> Column:
+    """How far the letters are from what ordinary text has, and how much more often their kinds change, in standard deviations."""
+    n, size, often = t["n"], t["code"]["size"], t["code"]["often"]
+    excess = n * t["code"]["excess"]
+    steps = F.greatest(F.length(t["kinds"]) - 1, F.lit(1))
+    changes = F.regexp_count(t["kinds"], F.lit(r"0(?=[12])|1(?=[02])|2(?=[01])"))
+    return F.struct(
+        n.alias("n"),
+        ((t["squares"] * size / n - n - (size - 1) - excess) / F.sqrt(2 * (size - 1) + 4 * excess)).alias("letters"),
+        ((changes - 0.5 - steps * often) / F.sqrt(steps * often * (1 - often))).alias("runs"),
+        t["kinds"].rlike("^(?:0*|1*|2*)$").alias("one_kind"),
+        (t["serial"] > SERIAL_LIMIT).alias("serial"),
+    )
+
+
+def _p_values(t: Column) -> Column:
+    return F.struct(t["n"].alias("n"), normal_below(t["letters"]).alias("p_chi"), (1 - normal_below(t["runs"])).alias("p_runs"), t["one_kind"].alias("one_kind"), t["serial"].alias("serial"))
+
+
+def _combined(t: Column) -> Column:
+    """Fisher's combination of the two p-values; a token of one kind of character has no changes to count, whatever it is."""
+    product = F.greatest(t["p_chi"] * t["p_runs"], F.lit(1e-300))
+    p = F.when(t["serial"], F.lit(1.0)).when(t["one_kind"], t["p_chi"]).otherwise(product * (1 - F.log(product)))
+    return F.struct(p.alias("p"), _stratum(t["n"]).alias("stratum"))
+
 
-    # Fisher's combination of two p-values; a token of one kind of character has no changes to count, whatever it is.
-    product = F.greatest(p_chi * p_runs, F.lit(1e-300))
-    both = F.when(kinds.rlike("^(?:0*|1*|2*)$"), p_chi).otherwise(product * (1 - F.log(product)))
-    p = F.when(serial > SERIAL_LIMIT, F.lit(1.0)).otherwise(both)
-    bin_ = F.floor(-F.log10(F.greatest(p, F.lit(1e-300))) * BINS).cast("int")
-    return F.struct(p.alias("p"), bin_.alias("bin"), _stratum(n).alias("stratum"))
+def randomness(tokens: Column) -> Column:
+    """For an array of tokens an array of struct<p, stratum, bin>: how likely ordinary text looks as random as the token, its class of length, the place of p in the histogram."""
+    found = F.transform(F.transform(F.transform(F.transform(tokens, _counted), _deviations), _p_values), _combined)
+    place = lambda r: F.floor(-F.log10(F.greatest(r["p"], F.lit(1e-300))) * BINS).cast("int")
+    return F.transform(found, lambda r: F.struct(r["p"].alias("p"), r["stratum"].alias("stratum"), place(r).alias("bin")))
 
 
 #: Least lengths of the classes of length; in each the false discoveries are controlled by themselves.
@@ -160,7 +178,8 @@ def discovery_cuts(tested: DataFrame, level: float) -> dict[int, int]:
 
 def with_tests(df: DataFrame) -> DataFrame:
     """``df`` with ``__tested``: each of its ``__tokens`` with the result of the battery."""
-    return df.withColumn("__tested", F.transform("__tokens", lambda s: F.struct(s.alias("span"), randomness(s["token"]).alias("r")))).drop("__tokens")
+    results = randomness(F.transform("__tokens", lambda s: s["token"]))
+    return df.withColumn("__tested", F.zip_with("__tokens", results, lambda s, r: F.struct(s.alias("span"), r.alias("r")))).drop("__tokens")
 
 
 def joined(spans: Column) -> Column:
