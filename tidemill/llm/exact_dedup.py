@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, materialize, text_of
+from .common import SPACE, materialize, skewed_join, text_of
 
 
 def normalized(text_col: str = "text"):
@@ -30,8 +30,8 @@ def exact_dedup(
 
     The full hash is read for the survivors of the first two steps only; ``digest_all`` asks for it
     in every row (it is null in the others otherwise). Only ids, lengths and hashes are shuffled,
-    never texts, and every group is counted by an aggregate that combines before the shuffle, so a
-    group that holds a third of all rows is as cheap as any.
+    never texts, every group is counted by an aggregate that combines before the shuffle, and the rows
+    of hot groups are joined where they are, so a group that holds a third of all rows fills no task.
     """
     norm = normalized(text_col)
     cuts = [F.length(norm).alias("n"), F.xxhash64(F.substring(norm, 1, prefix_chars)).alias("p")]
@@ -40,23 +40,25 @@ def exact_dedup(
     narrow = materialize(
         docs.select(*row, *cuts, (digest if digest_all else F.lit(None).cast("string")).alias("text_sha256")), "dedup"
     )
-    lengths = narrow.groupBy("n").count().where("count > 1").select("n")
-    same_length = narrow.join(lengths, "n", "left_semi")
-    prefixes = materialize(same_length.groupBy("n", "p").count().where("count > 1").select("n", "p"), "dedup-keys")
-    alone = narrow.join(prefixes, ["n", "p"], "left_anti")
+    # lengths with more than one row, then of those the prefixes: both from one count that combines before the shuffle
+    prefixes = narrow.groupBy("n", "p").agg(F.count(F.lit(1)).alias("rows"))
+    lengths = prefixes.groupBy("n").agg(F.sum("rows").alias("of_length")).where("of_length > 1")
+    prefixes = materialize(prefixes.where("rows > 1").join(lengths, "n", "left_semi"), "dedup-keys")
+    marked = materialize(skewed_join(narrow, prefixes, ["n", "p"], "rows", "left"), "dedup-marked")
+    alone = marked.where("rows is null")
     if digest_all:
-        survivors = narrow.join(prefixes, ["n", "p"], "left_semi")
+        survivors = marked.where("rows is not null").drop("rows")
     else:
         small = prefixes.count() <= BROADCAST_KEYS
         survivors = materialize(
             docs.select(*row, *cuts, norm.alias("norm"))
-            .join(F.broadcast(prefixes) if small else prefixes, ["n", "p"], "left_semi")
+            .join(F.broadcast(prefixes.select("n", "p")) if small else prefixes.select("n", "p"), ["n", "p"], "left_semi")
             .select("doc_id", "rid", F.sha2("norm", 256).alias("text_sha256")),
             "dedup-full",
         )
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid")
     groups = survivors.groupBy("text_sha256").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("group_size"))
-    grouped = survivors.join(groups, "text_sha256").select(
+    grouped = skewed_join(survivors, materialize(groups, "dedup-groups"), ["text_sha256"], "group_size").select(
         "doc_id",
         F.col("first.doc_id").alias("keep_id"),
         F.col("group_size").cast("long").alias("group_size"),
