@@ -10,6 +10,8 @@ from .common import WORD, materialize, text_of
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (3, 1, 2)
+#: Most partitions that the table of blocks is spread over.
+PARTITIONS = 20_000
 
 
 def source_targets(sources: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: float = 2.0) -> DataFrame:
@@ -57,8 +59,8 @@ def sainte_lague(shares: DataFrame, by: list[str], key: list[str]) -> DataFrame:
     )
     ranked = (
         bounded.where("upper > sure")
-        .select(*by, *key, "share", "need", F.explode(F.sequence(F.col("sure") + 1, F.col("upper"))).alias("k"))
-        .withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(F.col("share") / (2 * F.col("k") - 1)), *key, "k")))
+        .select(*by, *key, "share", "need", F.explode(F.sequence(F.col("sure") + 1, F.col("upper"))).alias("__seat"))
+        .withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(F.col("share") / (2 * F.col("__seat") - 1)), *key, "__seat")))
         .where("rank <= need")
     )
     won = ranked.groupBy(*by, *key).agg(F.count(F.lit(1)).alias("won"))
@@ -69,6 +71,11 @@ def sainte_lague(shares: DataFrame, by: list[str], key: list[str]) -> DataFrame:
     )
 
 
+def _row_hash(docs: DataFrame, seed: int, k: int):
+    """One of two seeded hashes of a whole row; a null differs from an empty text by its mark."""
+    return F.xxhash64(F.lit(seed + 1000 * k), *[F.col(c) for c in docs.columns], *[F.col(c).isNull() for c in docs.columns])
+
+
 def mix_sources(
     docs: DataFrame,
     weights=WEIGHTS,
@@ -86,16 +93,16 @@ def mix_sources(
     shard whose quota is q times its blocks and r more, every block is taken q times, and the r
     blocks with the smallest seeded hashes once more; no block is taken more than ``cap`` times.
 
-    Returns doc_id, row_hash, source, size, source_size, target, taken (words of the row within the
-    blocks taken, repeats counted) and copies (how often the mix takes the block that holds one
-    seeded word of the row: whole documents in the same proportion).
+    Returns doc_id, row_hash and row_check (of all columns of the row), source, size, source_size,
+    target, taken (words of the row within the blocks taken, repeats counted) and copies (how often the
+    mix takes the block that holds one seeded word of the row: whole documents in the same proportion).
 
     A null text has no words, and so takes none; a null source is a source of its own, the last.
-    Rows with the same doc_id and text count one by one. Other columns are ignored. An empty table
-    gives an empty result. The result depends on the rows and the seed alone.
+    Equal rows count one by one, and of rows that hash alike the id, the size and then the place in the input
+    decide the order. Other columns only take part in the seeded order (maps cannot be hashed). An empty
+    table gives an empty result. The result depends on the rows and the seed alone.
     """
     text = text_of()
-    row_hash = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("source"), text)
     sized = materialize(
         docs.select(
             F.monotonically_increasing_id().alias("rid"),
@@ -103,7 +110,7 @@ def mix_sources(
             F.col("source").cast("string").alias("source"),
             F.concat(F.when(F.col("source").isNull(), "-").otherwise("+"), F.coalesce(F.col("source").cast("string"), F.lit(""))).alias("skey"),
             F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
-            row_hash.alias("row_hash"),
+            *[_row_hash(docs, seed, k).alias(name) for k, name in enumerate(("row_hash", "row_check"))],
         ),
         "mix-sizes",
     )
@@ -111,10 +118,11 @@ def mix_sources(
     targets = source_targets(sums, weights, share, float(cap))
     shares = targets.select(
         "*",
-        F.col("target").alias("share"),
+        # in blocks of the source's mean size, so that a source of less than a block counts as what it is
+        F.when(F.col("source_size") > 0, F.col("target") * F.ceil(F.col("source_size") / block_words) / F.col("source_size")).otherwise(0.0).alias("share"),
         (cap * F.ceil(F.col("source_size") / block_words)).cast("long").alias("most"),
-        F.round(F.sum("target").over(Window.partitionBy()) / block_words).cast("long").alias("seats_in_all"),
     )
+    shares = shares.withColumn("seats_in_all", F.round(F.sum("share").over(Window.partitionBy())).cast("long"))
     sources = materialize(
         sainte_lague(shares.withColumn("all", F.lit(1)), ["all"], ["skey"]).select(
             "skey",
@@ -138,6 +146,9 @@ def mix_sources(
         .withColumn("most", cap * F.col("n_blocks"))
     )
     quotas = sainte_lague(shards, ["skey"], ["shard"]).select("skey", "shard", "n_blocks", F.col("seats").alias("quota"))
+    # the quotas are few rows that become many blocks: spread before, by the number of shards
+    n_shards = sources.agg(F.coalesce(F.sum("n_shards"), F.lit(1)).alias("n")).first()["n"]
+    quotas = quotas.repartition(max(1, min(int(n_shards), PARTITIONS)), "skey", "shard")
     in_shard = Window.partitionBy("skey", "shard")
     blocks = (
         quotas.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)).alias("block"))
@@ -170,7 +181,7 @@ def mix_sources(
         sized.join(taken, "rid", "left")
         .join(sources.select("skey", "source_size", "target"), "skey")
         .select(
-            "doc_id", "row_hash", "source", "size", "source_size", "target",
+            "doc_id", "row_hash", "row_check", "source", "size", "source_size", "target",
             F.coalesce("taken", F.lit(0)).cast("long").alias("taken"),
             F.coalesce("copies", F.lit(0)).cast("long").alias("copies"),
         )
@@ -180,17 +191,18 @@ def mix_sources(
 def mixed_documents(docs: DataFrame, seed: int = 7, **kwargs) -> DataFrame:
     """The rows of ``docs`` as the mix takes them: each as often as ``copies`` says, rows without a word once.
 
-    Rows with the same doc_id, source and text become one that is repeated as often as all of them.
+    Rows that are equal in all columns become one that is repeated as often as all of them; they are
+    told apart by 128 bits of hashes. Columns may have any names but __mix_hash, __mix_check and __mix_times.
     """
     mix = mix_sources(docs, seed=seed, **kwargs)
-    times = mix.groupBy("row_hash").agg(
-        F.sum(F.when(F.col("size") == 0, 1).otherwise(F.col("copies"))).cast("int").alias("__times")
-    ).where("__times > 0")
-    row_hash = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("source"), text_of())
+    times = mix.groupBy(F.col("row_hash").alias("__mix_hash"), F.col("row_check").alias("__mix_check")).agg(
+        F.sum(F.when(F.col("size") == 0, 1).otherwise(F.col("copies"))).cast("int").alias("__mix_times")
+    ).where("__mix_times > 0")
+    keys = ["__mix_hash", "__mix_check"]
     return (
-        docs.withColumn("row_hash", row_hash)
-        .dropDuplicates(["row_hash"])
-        .join(times, "row_hash")
-        .withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__times"))))
+        docs.select("*", *[_row_hash(docs, seed, k).alias(name) for k, name in enumerate(keys)])
+        .dropDuplicates(keys)
+        .join(times, keys)
+        .withColumn("__mix_copy", F.explode(F.array_repeat(F.lit(0), F.col("__mix_times"))))
         .select(*docs.columns)
     )

@@ -21,7 +21,7 @@ from .toxicity import fit_toxicity, held_out, score_toxicity
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(table(spark, sf_dir, "documents")).select(
+    return mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select(
         "doc_id", "size", "source_size", "target", "taken", "source", "copies"
     )
 
@@ -43,6 +43,7 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With every row's full hash, which this query returns; the operator reads it for surviving groups alone unless asked."""
     return exact_dedup(table(spark, sf_dir, "documents"), digest_all=True)
 
 
