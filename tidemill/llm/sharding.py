@@ -10,6 +10,10 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 
+#: Buckets up to which the keys of repeated rows, at most two a bucket, are broadcast.
+HOT_ROWS = 500_000
+
+
 def row_bytes(text_col: str = "text"):
     """UTF-8 bytes of the text (null: none) plus 16."""
     return F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long") + F.lit(16)
@@ -33,7 +37,9 @@ def external_shuffle(
 
     The order depends on ``seed`` and on the rows, not on how they were partitioned: a bucket is put
     into the order of its rows' hashes before it is shuffled. Rows that are equal in all of
-    ``key_cols`` (by default, all columns) hash alike and share a bucket. Nulls hash like any value;
+    ``key_cols`` (by default, all columns) hash alike and share a bucket, unless there are more than half
+    a bucket of them: then each is dealt by its place in the input, so that no bucket outgrows memory; such
+    rows may change places among themselves if the input is partitioned otherwise. Nulls hash like any value;
     columns of ``df`` named shard or slot are replaced. An empty table gives an empty result.
     """
     df = df.drop("shard", "slot")
@@ -43,7 +49,11 @@ def external_shuffle(
     keyed = df.withColumn("__key", key)
     totals = df.select(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("b")).first()
     n_buckets = max(1, -(-int(totals["b"]) // bucket_bytes), -(-int(totals["n"]) // bucket_rows))
-    bucketed = keyed.withColumn("__bucket", F.pmod(F.xxhash64(F.lit(seed + 1), F.col("__key")), F.lit(n_buckets)))
+    # equal rows hash alike: those that would fill a bucket are dealt one by one; at most 2 n / bucket_rows keys are so many
+    hot = keyed.groupBy("__key").agg(F.count(F.lit(1)).alias("__times")).where(F.col("__times") > bucket_rows // 2)
+    marked = keyed.join(F.broadcast(hot) if int(totals["n"]) <= HOT_ROWS * bucket_rows else hot, "__key", "left")
+    place = F.when(F.col("__times").isNull(), F.xxhash64(F.lit(seed + 1), "__key")).otherwise(F.xxhash64(F.lit(seed + 2), F.monotonically_increasing_id()))
+    bucketed = marked.withColumn("__bucket", F.pmod(place, F.lit(n_buckets))).drop("__times")
     counts = bucketed.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n"))
     upto = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("__bucket", F.coalesce(F.sum("__n").over(upto), F.lit(0)).alias("__base"))
@@ -71,10 +81,14 @@ def external_shuffle(
     )
 
 
-def write_shards(sharded: DataFrame, path: str) -> None:
-    """Write the rows of ``external_shuffle`` as Parquet, a folder for each shard, ordered by slot."""
+def write_shards(sharded: DataFrame, path: str, file_rows: int = 1 << 20) -> None:
+    """Write the rows of ``external_shuffle`` as Parquet, a folder for each shard, in files of about ``file_rows`` rows, each ordered by slot.
+
+    Ranges of (shard, slot) are dealt to tasks, so a large shard is written by several.
+    """
+    n = sharded.count()
     (
-        sharded.repartition("shard")
+        sharded.repartitionByRange(max(1, -(-n // file_rows)), "shard", "slot")
         .sortWithinPartitions("shard", "slot")
         .write.mode("overwrite")
         .partitionBy("shard")
