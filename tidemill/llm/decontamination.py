@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,18 +24,32 @@ class Items:
 
     def __init__(self, ids: list, texts: pa.Array, seed_words: int):
         self.ids = ids
-        words, sizes, seeds, owners, places = [], [], [], [], []
+        sizes, seeds, owners, places = [], [], [], []
+        short: dict[int, list] = {}
         for lo, hi, hashes, counts in word_hashes(texts, MARKS):
             grams, runs = gram_hashes(hashes, counts, seed_words)
-            words.append(hashes)
+            owner = np.repeat(np.arange(lo, hi), runs)
+            full = np.repeat(counts >= seed_words, runs)
             sizes.append(counts)
-            seeds.append(grams)
-            owners.append(np.repeat(np.arange(lo, hi), runs))
-            places.append(np.arange(len(grams)) - np.repeat(np.cumsum(runs) - runs, runs))
+            seeds.append(grams[full])
+            owners.append(owner[full])
+            places.append((np.arange(len(grams)) - np.repeat(np.cumsum(runs) - runs, runs))[full])
+            for k in range(1, seed_words):
+                mine = np.flatnonzero(counts == k)
+                if len(mine):
+                    first = (np.cumsum(counts) - counts)[mine]
+                    own = hashes[(first[:, None] + np.arange(k)).ravel()]
+                    short.setdefault(k, []).append((gram_hashes(own, np.full(len(mine), k), k)[0], lo + mine))
         seeds, owners, places = (np.concatenate(x) if x else np.empty(0, dtype=np.uint64) for x in (seeds, owners, places))
         order = np.argsort(seeds, kind="stable")
         self.seeds, self.owners, self.places = seeds[order], owners[order].astype(np.int64), places[order].astype(np.int64)
         self.sizes = np.concatenate(sizes) if sizes else np.empty(0, dtype=np.int64)
+        #: by number of words, of items too short for a seed: the hash of the whole item (sorted), and the item
+        self.short = {}
+        for k, parts in short.items():
+            grams, items = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.argsort(grams, kind="stable")
+            self.short[k] = grams[order], items[order]
 
 
 def seed_runs(at: np.ndarray, place: np.ndarray, length: int) -> list[tuple[int, int, int]]:
@@ -56,10 +71,12 @@ def greedy_tiles(matches: list[tuple[int, int, int]], size: int, length: int) ->
     """
     marked_text: set[int] = set()
     marked_item = np.zeros(size, dtype=bool)
-    queue = sorted(matches, key=lambda m: (-m[0], m[1], m[2]))
+    queue = [(-n, at, place) for n, at, place in matches]
+    heapq.heapify(queue)
     tiles = []
     while queue:
-        n, at, place = queue.pop(0)
+        n, at, place = heapq.heappop(queue)
+        n = -n
         free = [not marked_item[place + k] and at + k not in marked_text for k in range(n)]
         if all(free):
             tiles.append((n, at, place))
@@ -73,15 +90,26 @@ def greedy_tiles(matches: list[tuple[int, int, int]], size: int, length: int) ->
                 start = k
             elif not open_here and start is not None:
                 if k - start >= length:
-                    queue.append((k - start, at + start, place + start))
+                    heapq.heappush(queue, (start - k, at + start, place + start))
                 start = None
-        queue.sort(key=lambda m: (-m[0], m[1], m[2]))
     return tiles
 
 
+def _at_least(words: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words and counts without the texts of fewer than ``k`` words, which keep their place with none."""
+    return words[np.repeat(counts >= k, counts)], np.where(counts >= k, counts, 0)
+
+
 def tilings(texts: pa.Array, items: Items, threshold: float, length: int) -> Iterator[tuple[int, int, float, int, int]]:
     """(row, item, coverage, tiles, longest tile in words) of the pairs whose tiles cover at least ``threshold`` of the item."""
     for lo, hi, words, counts in word_hashes(texts, MARKS):
+        for k, (wanted, owners) in items.short.items():
+            grams, runs = gram_hashes(*_at_least(words, counts, k), k)
+            low, high = np.searchsorted(wanted, grams, "left"), np.searchsorted(wanted, grams, "right")
+            hit = np.flatnonzero(high > low)
+            row = np.searchsorted(np.cumsum(runs), hit, "right")
+            for r, o in sorted({(int(r), int(o)) for r, h in zip(row, hit, strict=True) for o in owners[low[h] : high[h]]}):
+                yield lo + r, o, 1.0, 1, k
         grams, runs = gram_hashes(words, counts, length)
         left = np.searchsorted(items.seeds, grams, "left")
         hit = np.flatnonzero((left < len(items.seeds)) & (items.seeds[np.minimum(left, len(items.seeds) - 1)] == grams)) if len(items.seeds) else np.empty(0, dtype=np.int64)
@@ -99,9 +127,6 @@ def tilings(texts: pa.Array, items: Items, threshold: float, length: int) -> Ite
         cuts = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (owner[1:] != owner[:-1]), [True])))
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             item, size = int(owner[a]), int(items.sizes[owner[a]])
-            if size < length:  # a short item has one seed, the whole of it, and so matches whole texts only
-                yield lo + int(row[a]), item, 1.0, 1, size
-                continue
             # seeds bound what tiles can cover
             reach = np.zeros(size + 1, dtype=np.int64)
             spots = np.unique(place[a:b])
@@ -136,7 +161,7 @@ def find_contamination(
     """A row for each pair of a document and a benchmark item whose tiles cover at least ``threshold`` of the item's words.
 
     Returns doc_id, item_id, coverage, n_tiles and longest_tile (words). Words are runs of letters
-    and digits in lower case (of ASCII; other characters count as letters), so that case, white
+    and digits in lower case (all beyond ASCII counts as letters), so that case, white
     space and punctuation don't matter, and tiles are taken in any order, so that neither does the
     order of passages. Both sides' runs of ``seed_words`` words are hashed by Karp-Rabin and joined on
     the hashes; seeds that follow one another on a diagonal are maximal matches, of which the longest
@@ -144,8 +169,9 @@ def find_contamination(
 
     The benchmark is sent to the executors in blocks of at most BLOCK_BYTES; documents are read once
     for each block and never shuffled. Null, empty and white-space texts and items match nothing; an
-    item under ``seed_words`` words matches a text that is equal to it. Repeated documents or items give
-    repeated rows; other columns are ignored; an empty table gives an empty result.
+    item under ``seed_words`` words matches a text that holds it as a run of whole words. Ids are read as
+    long; one that is no number becomes null. Repeated documents or items give repeated rows; other
+    columns are ignored; an empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lower(text_of(text_col)).alias("text"))
     bench = benchmark.withColumn("text", F.lower(text_of("text")))
