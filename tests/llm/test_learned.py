@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -81,16 +82,54 @@ def test_contamination(spark, docs_of):
     bench = spark.createDataFrame([(1, item, 0), (2, None, 0), (3, "", 0), (4, "two words", 0)], "item_id long, text string, doc_id long")
     rows = [
         (1, f"x y {item.upper()}, z"), (2, "eta theta iota kappa lambda mu -- alpha beta gamma delta epsilon zeta"), (3, "alpha beta gamma delta epsilon only"),
-        (4, None), (5, ""), (6, "two  words!"), (7, "two words more"), (8, item), (8, item), (9, "filler " * 20000 + item),
+        (4, None), (5, ""), (6, "two  words!"), (7, "two  Words more"), (11, "two three words"), (12, "about two words"), (8, item), (8, item), (9, "filler " * 20000 + item),
     ]
     found = find_contamination(docs_of(rows), bench)
     got = Counter((r.doc_id, r.item_id, r.n_tiles) for r in found.collect())
-    assert got == Counter({(1, 1, 1): 1, (2, 1, 2): 1, (6, 4, 1): 1, (8, 1, 1): 2, (9, 1, 1): 1})
+    assert got == Counter({(1, 1, 1): 1, (2, 1, 2): 1, (6, 4, 1): 1, (7, 4, 1): 1, (12, 4, 1): 1, (8, 1, 1): 2, (9, 1, 1): 1})
     clean = decontaminate(docs_of(rows), bench)
-    assert clean.columns == docs_of([]).columns and sorted(r.doc_id for r in clean.collect()) == [3, 4, 5, 7]
+    assert clean.columns == docs_of([]).columns and sorted(r.doc_id for r in clean.collect()) == [3, 4, 5, 11]
     assert find_contamination(docs_of([]), bench).count() == 0 and find_contamination(docs_of(rows), bench.limit(0)).count() == 0
 
 
+def brute_tiling(text, item, length=5, threshold=0.5):
+    """Greedy string tiling by its definition: again and again the longest common run of unmarked words, the first in the text, then in the item."""
+    a, b = (re.findall(r"[a-z0-9\x80-\U0010ffff]+", x.lower()) for x in (text, item))
+    if not b:
+        return None
+    if len(b) < length:
+        return (1.0, 1, len(b)) if any(a[i : i + len(b)] == b for i in range(len(a) - len(b) + 1)) else None
+    free_a, free_b, tiles = [True] * len(a), [True] * len(b), []
+    while True:
+        best = (0, 0, 0)
+        for i in range(len(a)):
+            for j in range(len(b)):
+                n = 0
+                while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n] and free_a[i + n] and free_b[j + n]:
+                    n += 1
+                if n > best[0]:
+                    best = (n, i, j)
+        n, i, j = best
+        if n < length:
+            break
+        tiles.append(n)
+        free_a[i : i + n] = free_b[j : j + n] = [False] * n
+    covered = sum(tiles) / len(b)
+    return (covered, len(tiles), tiles[0]) if tiles and covered >= threshold else None
+
+
+def test_tiling_against_brute_force(spark, docs_of):
+    draw = random.Random(9)
+    words = ["ab", "cd", "ef", "gh", "ij", "kl"]  # few words, so that runs repeat and overlap
+    items = [" ".join(draw.choice(words) for _ in range(n)) for n in (1, 3, 4, 5, 8, 13, 20, 30) for _ in range(3)]
+    texts = [" ".join(draw.choice(words) for _ in range(draw.randint(0, 60))) for _ in range(40)]
+    texts += [f"{texts[i]}. {items[-i - 1].upper()}, {' '.join(reversed(items[-i - 2].split()))}" for i in range(10)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = find_contamination(docs_of(list(enumerate(texts))), bench).collect()
+    want = {(d, i): r for d, t in enumerate(texts) for i, x in enumerate(items) if (r := brute_tiling(t, x))}
+    assert len(found) == len(want) and {(r.doc_id, r.item_id): (pytest.approx(r.coverage), r.n_tiles, r.longest_tile) for r in found} == want
+
+
 def test_tiles_cut_overlaps():
     assert greedy_tiles([(8, 0, 0), (9, 5, 6)], 15, 3) == [(9, 5, 6), (5, 0, 0)]
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tidemill.llm import queries as q
 from tidemill.llm.chat_format import format_chats
 from tidemill.llm.exact_dedup import exact_dedup
-from tidemill.llm.mixing import mix_sources, mixed_documents
+from tidemill.llm.mixing import mix_sources, mixed_documents, sainte_lague
 from tidemill.llm.secret_scan import ENCODINGS, NO_SUMS, _add_code, _serial_correlation, discovery_cuts, randomness, secret_report
 from tidemill.llm.sharding import external_shuffle, row_bytes, write_shards
 
@@ -62,6 +62,36 @@ def test_mix_targets_and_takings(spark, sf_dir):
         assert abs(taken[s] - targets[s]) <= max(64, 0.01 * targets[s])
 
 
+def test_seats_against_the_highest_quotients(spark):
+    draw = random.Random(6)
+    groups = [[(f"p{j}", draw.choice([0.0, 0.3, 1.0, 7.5, 7.5, 120.0]), draw.randint(0, 60)) for j in range(draw.randint(1, 9))] for _ in range(40)]
+    rows = [(g, k, share, most, min(draw.randint(0, 80), sum(m for _, s, m in parties if s > 0))) for g, parties in enumerate(groups) for k, share, most in parties]
+    seats = {}
+    for g, *_, n in rows:
+        seats[g] = min(n, seats.get(g, n))
+    # without a limit that bites, seats go one by one to the highest quotient
+    free = [(g, k, share, 1000, seats[g]) for g, k, share, _, _ in rows]
+    got = {(r["g"], r["k"]): r["seats"] for r in sainte_lague(spark.createDataFrame(free, "g int, k string, share double, most long, seats_in_all long"), ["g"], ["k"]).collect()}
+    for g, parties in enumerate(groups):
+        won = Counter()
+        for _ in range(seats[g] if any(s > 0 for _, s, _ in parties) else 0):
+            won[min((-s / (2 * won[k] + 1), k) for k, s, _ in parties if s > 0)[1]] += 1
+        assert {k: got[g, k] for k, _, _ in parties} == {k: won[k] for k, _, _ in parties}, (g, parties, seats[g])
+
+
+def test_mix_takes_of_small_sources(docs_of):
+    rows = [(1, "one two three", "a"), (2, "four five", "b"), (3, "six " * 500, "c"), (4, "seven", "c")]
+    got = {r["doc_id"]: r for r in rows_of(mix_sources(docs_of(rows)))}
+    assert got[1]["taken"] > 0 and got[2]["taken"] > 0 and got[3]["taken"] > 500
+    tiny = rows_of(mix_sources(docs_of(rows[:2])))
+    assert sum(r["taken"] for r in tiny) >= 5
+    odd = docs_of(rows).withColumn("row_hash", F.lit("x")).withColumn("row_check", F.lit(1)).withColumn("taken", F.lit(2))
+    mixed = mixed_documents(odd)
+    assert mixed.columns == odd.columns and {r["row_hash"] for r in mixed.collect()} == {"x"}
+    twins = docs_of([(7, "same text here", "a")] * 2).withColumn("lang", F.when(F.monotonically_increasing_id() % 2 == 0, "de").otherwise("fr"))
+    assert sum(1 for _ in mixed_documents(twins).collect()) >= 2
+
+
 def test_mix_edges(spark, docs_of):
     rows = [(i, t, s) for (i, t), s in zip(ODD, ["b", None, "a", "b", "a", None, "c", "c", "c", "b", "a"], strict=True)]
     got = rows_of(mix_sources(docs_of(rows)))
@@ -174,7 +204,7 @@ def test_battery_against_plain_loops(spark):
     draw = random.Random(11)
     alphabets = ["0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCxyz019+/_-"]
     tokens = ["".join(draw.choice(a) for _ in range(n)) for a in alphabets for n in (20, 31, 47, 200)] + ["getDocumentElementByName", "configuration_of_the_server"]
-    got = {r["t"]: r["r"] for r in spark.createDataFrame([(t,) for t in tokens], "t string").select("t", randomness(F.col("t")).alias("r")).collect()}
+    got = {r["t"]: r["r"] for r in spark.createDataFrame([(t,) for t in tokens], "t string").select("t", randomness(F.array("t"))[0].alias("r")).collect()}
     for t in tokens:
         assert got[t]["p"] == 1.0 or got[t]["p"] == pytest.approx(plain_p(t), rel=0.02, abs=1e-6), t
         assert got[t]["stratum"] == sum(len(t) >= x for x in (24, 32, 48, 96))
@@ -248,6 +278,18 @@ def test_exact_dedup(spark, docs_of, sf_dir, digest_all):
     assert exact_dedup(docs_of([]), digest_all=digest_all).count() == 0
 
 
+def test_sharding_of_equal_rows(docs_of):
+    got = rows_of(external_shuffle(docs_of([(1, "same")] * 6000 + [(2, "other")] * 300 + [(i, "text") for i in range(100)]), bucket_rows=500, n_shards=7))
+    assert len(got) == 6400
+    slots = defaultdict(list)
+    for r in got:
+        slots[r["shard"]].append(r["slot"])
+    assert len(slots) == 7 and all(sorted(x) == list(range(len(x))) for x in slots.values())
+    assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+    # the copies are spread evenly over the order, not in one run
+    assert all(abs(sum(r["doc_id"] == 1 for r in got if r["shard"] == k) - 6000 / 7) < 150 for k in slots)
+
+
 def test_sharding(spark, docs_of, sf_dir, tmp_path):
     for rows in (ODD, [(r["doc_id"], r["text"]) for r in q.table(spark, sf_dir, "documents").collect()]):
         df = docs_of(rows).withColumn("size", row_bytes())

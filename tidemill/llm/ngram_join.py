@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, text_of
+from .common import materialize, skewed_join, text_of
 from .components import connected_components
 from .wordhash import gram_hashes, mix, word_hashes
 
@@ -19,7 +19,7 @@ BANDS, ROWS = 26, 5
 #: MinHash values that are compared before the posterior is looked at again.
 STEP = 10
 #: Most rows, and bytes of gram hashes, of one block of a group.
-BLOCK_ROWS, BLOCK_BYTES = 512, 16 << 20
+BLOCK_ROWS, BLOCK_BYTES = 2048, 16 << 20
 #: Most text keys (8 bytes each) that are broadcast; beyond it they are joined by shuffle.
 BROADCAST_KEYS = 1_000_000
 
@@ -129,10 +129,22 @@ def _forest(rows: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return label
 
 
+def _leader_links(batches: Iterator[pa.RecordBatch], least: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Whether each node survives the pruning against its bucket's leader."""
+    for batch in batches:
+        left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint16).reshape(batch.num_rows, BANDS * ROWS) for c in ("sig", "leader_sig"))
+        linked = np.zeros(batch.num_rows, dtype=bool)
+        linked[surviving(left, right, least)] = True
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("bucket", "leader", "node")], pa.array(linked)], names=["bucket", "leader", "node", "linked"])
+
+
 def _bucket_links(batches: Iterator[pa.RecordBatch], least: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Of each bucket, links (a, b) that connect what the pairs that survive the pruning connect."""
+    """Of each task of a block and the loose nodes that visit it, links (a, b) that connect what the pairs that survive the pruning connect.
+
+    Pairs with a loose node are compared, one of them at home in the block.
+    """
     for table in _whole_groups(batches, "bucket"):
-        keys, node, side = (table[c].to_numpy() for c in ("bucket", "node", "side"))
+        keys, node, loose, home = (table[c].to_numpy() for c in ("bucket", "node", "loose", "home"))
         sig = np.frombuffer(b"".join(table["sig"].to_pylist()), dtype=np.uint16).reshape(len(keys), -1)
         pairs_a, pairs_b = [], []
         here = np.arange(len(keys))
@@ -141,9 +153,8 @@ def _bucket_links(batches: Iterator[pa.RecordBatch], least: np.ndarray) -> Itera
             here = here[keys[here] == keys[here + d]]
             if not len(here):
                 break
-            # of two blocks, only pairs across them are compared; a block of its own has side 0
-            across = here[(side[here] == 0) | (side[here] != side[here + d])]
-            alive = across[surviving(sig[across], sig[across + d], least)]
+            wanted = here[(loose[here] | loose[here + d]) & (home[here] | home[here + d])]
+            alive = wanted[surviving(sig[wanted], sig[wanted + d], least)]
             pairs_a.append(alive)
             pairs_b.append(alive + d)
         a = np.concatenate(pairs_a) if pairs_a else np.empty(0, dtype=np.int64)
@@ -175,7 +186,7 @@ def common_counts(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
     shared = times[place] > 1
     rank = np.cumsum(times > 1) - 1
     place, owner = rank[place[shared]], owner[shared]
-    both = np.zeros((len(sets), len(sets)), dtype=np.float64)
+    both = np.zeros((len(sets), len(sets)), dtype=np.float32)
     for lo in range(0, int(rank[-1]) + 1 if len(rank) else 0, columns):
         here = (place >= lo) & (place < lo + columns)
         part = np.zeros((len(sets), columns), dtype=np.float32)
@@ -231,6 +242,20 @@ def in_blocks(rows: DataFrame, group: str, bytes_col: str | None = None) -> Data
     return dealt.withColumn("task", task).withColumn("side", side.cast("int")).drop("own", "other", "n_blocks")
 
 
+def loose_blocks(rows: DataFrame, group: str) -> DataFrame:
+    """Rows (node, loose) of groups as rows of tasks: every node is at home in one block of its group, loose ones visit all of them.
+
+    So any pair with a loose node meets in a task, and n nodes of which r are loose make
+    n + r n / BLOCK_ROWS rows. Groups with the same nodes have the same blocks.
+    """
+    size = F.pow(F.lit(2.0), F.ceil(F.log2(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("double")))).cast("long")
+    sizes = rows.groupBy(group).agg(size.alias("n_blocks"))
+    own = F.pmod(F.xxhash64(F.lit(17), "node"), F.col("n_blocks"))
+    every = F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)
+    dealt = rows.join(sizes, group).withColumn("own", own).withColumn("block", F.explode(F.when(F.col("loose"), every).otherwise(F.array("own"))))
+    return dealt.withColumn("task", F.xxhash64(group, "block")).withColumn("home", F.col("own") == F.col("block")).drop("own", "block", "n_blocks")
+
+
 def ngram_join(
     docs: DataFrame,
     threshold: float = 0.8,
@@ -251,11 +276,14 @@ def ngram_join(
     it reaches ``threshold`` is below ``tolerance``. What survives is connected into groups, and
     within a group every pair is verified exactly, in blocks of bounded size, so that no pair becomes
     a row and no group a task; the links are counted and connected again. A link that the pruning missed
-    is found there as well if other pairs connect its two ends.
+    is found there as well if other pairs connect its two ends. A group of n different texts costs n**2 / 2
+    comparisons, because every link is counted, and n**2 / BLOCK_ROWS rows that carry texts' n-gram sets
+    to the tasks that compare two blocks (equal texts are one, however many).
 
     Words are runs of characters other than white space. A text with fewer than ``n`` words has one
     n-gram, the whole; a null or empty text, or one of white space, has none: it has no link and is a
-    class of its own. A null id ranks last in a class; of repeated rows with the same id one is
+    class of its own. Ids are read as long; one that is no number counts as null. Nodes and texts are known
+    by 64-bit hashes: among n of them two meet with probability n**2 / 2**65. A null id ranks last in a class; of repeated rows with the same id one is
     kept, and all are linked to each other. Columns other than the id and text are ignored; an empty
     table gives an empty result.
     """
@@ -278,11 +306,20 @@ def _classes(docs: DataFrame, threshold: float, n: int, tolerance: float, id_col
     near = crowded.select(F.col("node").alias("digest")).distinct()
     sigs = filled.join(near, "digest", "left_semi").groupBy("digest").agg(F.first("sig").alias("sig"))
     sigs = materialize(sigs.select(F.col("digest").alias("node"), "sig"), "join-sigs")
-    tasks = in_blocks(crowded, "bucket").select("node", "side", F.col("task").alias("bucket")).join(sigs, "node")
-    links = (
+    # each bucket's first node is compared with all; pairs of two nodes that it links need no look, the others meet in blocks
+    leaders = crowded.groupBy("bucket").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("members"))
+    led = skewed_join(crowded, materialize(leaders, "join-leaders"), ["bucket"], "members").where("node <> leader")
+    led = led.join(sigs, "node").join(sigs.select(F.col("node").alias("leader"), F.col("sig").alias("leader_sig")), "leader")
+    judged = materialize(led.mapInArrow(lambda it: _leader_links(it, least), "bucket long, leader long, node long, linked boolean"), "join-led")
+    open_buckets = judged.where("not linked").select("bucket").distinct()
+    left_over = crowded.join(open_buckets, "bucket", "left_semi").join(judged.where("not linked").select("bucket", "node", F.lit(True).alias("loose")), ["bucket", "node"], "left")
+    left_over = materialize(left_over.withColumn("loose", F.coalesce("loose", F.lit(False))), "join-loose")
+    tasks = loose_blocks(left_over, "bucket").select("node", "loose", "home", F.col("task").alias("bucket")).join(sigs, "node")
+    loose_links = (
         tasks.repartition("bucket").sortWithinPartitions("bucket", "node")
         .mapInArrow(lambda it: _bucket_links(it, least), "a long, b long")
     )
+    links = judged.where("linked").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct().unionByName(loose_links)
     groups = materialize(connected_components(links), "join-groups")
 
     # exact verification within the groups
@@ -301,12 +338,10 @@ def _classes(docs: DataFrame, threshold: float, n: int, tolerance: float, id_col
     )
     degree = exact.groupBy(F.col("b").alias("digest")).agg(F.sum("links").alias("links"), F.sum("texts").alias("texts"))
     classes = connected_components(exact.select("a", "b")).select(F.col("node").alias("digest"), "component")
+    about = nodes.select("digest", "weight").join(degree, "digest", "left").join(classes, "digest", "left")
 
     found = (
-        sketches.select("rid", "doc_id", "text_key", "digest", "n_grams")
-        .join(nodes.select("digest", "weight"), "digest", "left")
-        .join(degree, "digest", "left")
-        .join(classes, "digest", "left")
+        skewed_join(sketches.select("rid", "doc_id", "text_key", "digest", "n_grams"), materialize(about, "join-nodes"), ["digest"], "weight", "left")
         .select(
             "rid", "doc_id", "text_key",
             F.when(F.col("n_grams") == 0, F.lit(0)).otherwise(F.coalesce("component", "digest")).alias("cls"),
@@ -318,7 +353,7 @@ def _classes(docs: DataFrame, threshold: float, n: int, tolerance: float, id_col
     found = materialize(found, "join-found")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid"))
     heads = found.groupBy("cls", "alone").agg(first.alias("first"), F.count(F.lit(1)).alias("class_size"))
-    return found.join(heads, ["cls", "alone"]).select(
+    return skewed_join(found, materialize(heads, "join-heads"), ["cls", "alone"], "class_size").select(
         "doc_id", F.col("first.doc_id").alias("class_id"), "n_links", "n_texts", "class_size",
         (F.col("first.rid") == F.col("rid")).alias("kept"), "text_key",
     )
