@@ -19,7 +19,7 @@ BANDS, ROWS = 26, 5
 #: MinHash values that are compared before the posterior is looked at again.
 STEP = 10
 #: Most rows, and bytes of gram hashes, of one block of a group.
-BLOCK_ROWS, BLOCK_BYTES = 2048, 16 << 20
+BLOCK_ROWS, BLOCK_BYTES = 1024, 16 << 20
 #: Most text keys (8 bytes each) that are broadcast; beyond it they are joined by shuffle.
 BROADCAST_KEYS = 1_000_000
 
@@ -173,7 +173,7 @@ def _gram_sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordB
             yield pa.record_batch({"text_key": batch.column("text_key").slice(lo, hi - lo), "grams": pa.array(sets, pa.binary())})
 
 
-def common_counts(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+def common_counts(sets: list[np.ndarray], columns: int = 2048) -> np.ndarray:
     """How many elements each two of ``sets`` share; elements of one set alone are left out, the rest taken in slices."""
     values = np.concatenate(sets)
     owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
@@ -195,6 +195,23 @@ def common_counts(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
     return both
 
 
+def linked_pairs(sets: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (a < b) of ``sets`` whose Jaccard similarity reaches ``threshold``, looked up in stripes of rows."""
+    size = np.array([len(s) for s in sets], dtype=np.float32)
+    both = common_counts(sets)
+    found_a, found_b = [], []
+    for lo in range(0, len(sets), 256):
+        part = both[lo : lo + 256]
+        a, b = np.nonzero((part >= threshold * (size[lo : lo + 256, None] + size[None, :] - part) - 1e-3) & (part > 0))
+        after = b > a + lo
+        a, b = a[after] + lo, b[after]
+        common = both[a, b].astype(np.float64)
+        sure = common >= threshold * (size[a].astype(np.float64) + size[b] - common) - 1e-9
+        found_a.append(a[sure])
+        found_b.append(b[sure])
+    return np.concatenate(found_a), np.concatenate(found_b)
+
+
 def _exact_links(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
     """For each task of a block or two: rows (a, b, links, texts): links that connect, and how many links a node has here."""
     for table in _whole_groups(batches, "task"):
@@ -204,9 +221,7 @@ def _exact_links(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterato
         out = {k: [] for k in ("a", "b", "links", "texts")}
         for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
             sets = [np.frombuffer(g.as_buffer(), dtype=np.uint64) for g in grams[lo:hi]]
-            size = np.array([len(s) for s in sets], dtype=np.float64)
-            both = common_counts(sets)
-            a, b = np.nonzero(np.triu((both >= threshold * (size[:, None] + size[None, :] - both) - 1e-9) & (both > 0), 1))
+            a, b = linked_pairs(sets, threshold)
             keep = (side[lo + a] == 0) | (side[lo + a] != side[lo + b])
             a, b = a[keep], b[keep]
             root = _forest(hi - lo, a, b)
