@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.utils import AnalysisException
 
 from ..operators import stream_rules, upsert
@@ -13,14 +14,36 @@ from ..operators import stream_rules, upsert
 def read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
     try:
         return spark.read.schema(schema).parquet(path)
-    except AnalysisException:  # nothing has been written there yet
+    except AnalysisException as fault:
+        if fault.getCondition() != "PATH_NOT_FOUND":  # any other fault would pass for an empty table
+            raise
         return spark.createDataFrame([], schema)
 
 
+def read_before(spark: SparkSession, path: str, schema: str | StructType, batch_id: int | None) -> DataFrame:
+    """The rows that batches before ``batch_id`` (None: all) wrote under ``path``, a folder for each batch.
+
+    The folder's number prunes the scan, so that what a batch reads is never what it overwrites, and no
+    batch opens the files of later ones.
+    """
+    fields = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    whole = read_or_empty(spark, path, StructType([*fields.fields, StructField("batch", LongType())]))
+    return (whole if batch_id is None else whole.where(F.col("batch") < batch_id)).drop("batch")
+
+
+def _batch_time(spark: SparkSession, state: str, batch_id: int):
+    """The clock of a batch: recorded when it first runs, so that a second run of it caps times alike."""
+    path, schema = f"{state}-clock/batch={batch_id}", "now timestamp"
+    known = read_or_empty(spark, path, schema).first()
+    if known is None:
+        spark.range(1).select(F.current_timestamp().alias("now")).write.mode("overwrite").parquet(path)
+        known = read_or_empty(spark, path, schema).first()
+    return F.lit(known["now"])
+
+
 def _holds(spark: SparkSession, state: str, key: str, before: int | None = None) -> DataFrame:
     """(key, n_new, held, hold_batch): the latest hold or release of each folder, in batches before ``before``."""
-    log = read_or_empty(spark, f"{state}-holds/*", f"{key} string, n_new long, held boolean, batch_id long")
-    log = log if before is None else log.where(F.col("batch_id") < before)
+    log = read_before(spark, f"{state}-holds", f"{key} string, n_new long, held boolean, batch_id long", before)
     return log.groupBy(key).agg(*[F.max_by(c, "batch_id").alias(c) for c in ("n_new", "held")], F.max("batch_id").alias("hold_batch"))
 
 
@@ -47,12 +70,12 @@ def store_batch(batch: DataFrame, store: str, state: str, batch_id: int, key: st
     spark = batch.sparkSession
     number = F.lit(batch_id).cast("long").alias("batch_id")
     state_schema = f"{key} string, watermark timestamp, batch_id long"
-    marks = read_or_empty(spark, f"{state}/*", state_schema).where(F.col("batch_id") < batch_id).groupBy(key).agg(F.max("watermark").alias("watermark"))
+    marks = read_before(spark, state, state_schema, batch_id).groupBy(key).agg(F.max("watermark").alias("watermark"))
     holds = _holds(spark, state, key, batch_id)
     approvals = read_or_empty(spark, f"{state}-approved", f"{key} string, approved long, hold_batch long").groupBy(key, "hold_batch").agg(F.max("approved").alias("approved"))
-    released = read_or_empty(spark, f"{state}-holds/*", f"{key} string, n_new long, held boolean, batch_id long")
-    released = released.where(~F.col("held") & (F.col("batch_id") < batch_id)).groupBy(key).agg(F.max("batch_id").alias("released"))
-    earlier = read_or_empty(spark, f"{state}-held/*", batch.select("*", number).schema).where(F.col("batch_id") < batch_id)
+    released = read_before(spark, f"{state}-holds", f"{key} string, n_new long, held boolean, batch_id long", batch_id)
+    released = released.where(~F.col("held")).groupBy(key).agg(F.max("batch_id").alias("released"))
+    earlier = read_before(spark, f"{state}-held", batch.select("*", number).schema, batch_id)
     waiting = earlier.join(released, key, "left").where(F.col("released").isNull() | (F.col("batch_id") > F.col("released"))).select(*batch.columns, F.lit(True).alias("waited"))
     arrived = batch.withColumn("waited", F.lit(False)).unionByName(waiting)
     routed = arrived.join(F.broadcast(marks), key, "left").withColumn("eligible", stream_rules.is_new(F.col(time), F.col("watermark")))
@@ -69,9 +92,10 @@ def store_batch(batch: DataFrame, store: str, state: str, batch_id: int, key: st
     routed.where(~F.col("waited")).join(held, key, "left_semi").select(*batch.columns, number).write.mode("overwrite").parquet(f"{state}-held/batch={batch_id}")
 
     admitted = routed.join(held, key, "left_anti").drop("watermark", "waited").withColumn("batch_id", number)
-    known = read_or_empty(spark, f"{store}/*", admitted.schema).where(F.col("batch_id") < batch_id)
-    upsert.insert_or_ignore(known, admitted, [key, identity], "uid").write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
-    now = F.current_timestamp()
+    known = read_before(spark, store, admitted.schema, batch_id)
+    merged = upsert.merged_messages(admitted, [key, identity], "uid")  # eligible if any of the repeats is
+    merged.join(known.select(key, identity), [key, identity], "left_anti").write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
+    now = _batch_time(spark, state, batch_id)
     moved = admitted.where("eligible").groupBy(key).agg(F.max(F.least(F.col(time), now)).alias("watermark"))
     moved.withColumn("batch_id", number).write.mode("overwrite").parquet(f"{state}/batch={batch_id}")
 
