@@ -9,6 +9,12 @@ from .text import SPACE
 
 # Prefixes and pattern of identity keys.
 IDENTITY_PATTERN = r"^(pm:.+|mid:.+|hdr:v[0-9]+:[0-9a-f]{64})$"
+#: Fixed value: form of a trusted id.
+TRUSTED_PATTERN = r"^[A-Za-z0-9_=-]{1,200}$"
+
+
+def is_identity(key: Column) -> Column:
+    return key.rlike(IDENTITY_PATTERN)
 
 
 def message_id(raw: Column) -> Column:
@@ -21,16 +27,21 @@ def message_id(raw: Column) -> Column:
 
 
 def canonical_array(values: list[Column]) -> Column:
-    """A JSON array of strings and nulls without white space."""
-    parts = [F.coalesce(F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace(v, r"\\", r"\\\\"), '"', r'\\"'), F.lit('"')), F.lit("null")) for v in values]
-    return F.concat(F.lit("["), F.concat_ws(",", *parts), F.lit("]"))
+    """A JSON array of strings and nulls without white space, control characters escaped."""
+    return F.to_json(F.array(*[v.cast("string") for v in values]))
 
 
 def canonical_map(entries: Column) -> Column:
-    """A map of strings as JSON with its keys in order."""
-    pair = lambda e: F.concat(F.to_json(F.array(e["key"])), F.lit(":"), F.to_json(F.array(e["value"])))
-    bare = F.transform(F.array_sort(F.map_entries(entries)), pair)
-    return F.concat(F.lit("{"), F.array_join(F.transform(bare, lambda s: F.regexp_replace(F.regexp_replace(s, r"^\[|\]$", ""), r"\]:\[", ":")), ","), F.lit("}"))
+    """A map of strings as JSON with its keys in order; null values are kept. Keys beyond the basic plane sort by code point."""
+    inner = lambda v: F.to_json(F.array(v))
+    bare = lambda v: F.substring(inner(v), F.lit(2), F.length(inner(v)) - 2)
+    pairs = F.transform(F.array_sort(F.map_entries(entries)), lambda e: F.concat(bare(e["key"]), F.lit(":"), bare(e["value"])))
+    return F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))
+
+
+def header_hash(values: list[Column], size: Column) -> Column:
+    """The hash of stable headers in a fixed order and the message's size; absent ones are null."""
+    return content_hash(canonical_array([*values, size]))
 
 
 def content_hash(canonical: Column) -> Column:
@@ -38,7 +49,9 @@ def content_hash(canonical: Column) -> Column:
 
 
 def identity_key(trusted_id: Column, mid: Column, stable_hash: Column, trust: Column) -> Column:
-    """The trusted id if it is trusted and there is one, else the Message-ID, else the hash of stable headers."""
+    """The trusted id if it is trusted and well formed, else the Message-ID, else the hash of stable headers."""
+    trusted_id = F.regexp_replace(F.replace(trusted_id, F.lit("\x00"), F.lit("")), f"^{SPACE}+|{SPACE}+$", "")
+    trust = trust & trusted_id.rlike(TRUSTED_PATTERN)
     return F.coalesce(
         F.when(trust & (F.length(trusted_id) > 0), F.concat(F.lit("pm:"), trusted_id)),
         F.concat(F.lit("mid:"), mid),

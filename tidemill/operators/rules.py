@@ -28,8 +28,8 @@ def rule_entries(spark, rules: list[dict]) -> DataFrame:
     for i, rule in enumerate(rules):
         wanted = rule["match"]
         entries = [(f, e) for f in ("from", "domain", "phrase") for e in wanted.get(f, [])]
-        if not entries or len(entries) > 3 * MAX_ENTRIES:
-            raise ValueError(f"rule {i} has no entry, or too many")
+        if not entries or any(len(wanted.get(f, [])) > MAX_ENTRIES for f in ("from", "domain", "phrase")):
+            raise ValueError(f"rule {i} has no entry, or a list of over {MAX_ENTRIES}")
         if "in" in wanted and not wanted.get("phrase"):
             raise ValueError(f"rule {i}: 'in' needs a phrase")
         for f, e in entries:

@@ -33,10 +33,15 @@ def duplicate_keys(table: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def upsert(target: DataFrame, rows: DataFrame, keys: list[str], update: list[str]) -> DataFrame:
-    """``target`` after an upsert, with ``inserted``: null for rows that were left alone."""
+    """``target`` after an upsert, with ``inserted``: null for rows that were left alone.
+
+    A key that ``rows`` has twice is an error when the result is computed, since either could win.
+    """
     if not update:
         raise ValueError("an upsert updates at least one column")
-    old, new = target.select(*keys, F.struct(*target.columns).alias("old")), rows.select(*keys, F.struct(*rows.columns).alias("new"))
+    once = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.first(F.struct(*rows.columns)).alias("__row"))
+    new = once.select(*keys, F.when(F.col("__n") > 1, F.raise_error(F.lit("an upsert has two rows with one key"))).otherwise(F.col("__row")).alias("new"))
+    old = target.select(*keys, F.struct(*target.columns).alias("old"))
     joined = old.join(new, keys, "full_outer")
     fresh = F.col("old").isNull()
 
@@ -55,12 +60,9 @@ def upsert(target: DataFrame, rows: DataFrame, keys: list[str], update: list[str
 def merged_messages(items: DataFrame, keys: list[str], ordinal: str) -> DataFrame:
     """Items of a chunk as message rows: fields of the first item, eligible if any is, the first body that is not null."""
     rest = [c for c in items.columns if c not in [*keys, "eligible", "body", ordinal]]
-    return items.groupBy(*keys).agg(
-        *[F.min_by(c, ordinal).alias(c) for c in rest],
-        F.bool_or("eligible").alias("eligible"),
-        F.min_by("body", F.when(F.col("body").isNotNull(), F.col(ordinal))).alias("body"),
-        F.min(ordinal).alias(ordinal),
-    )
+    bodies = [F.min_by("body", F.when(F.col("body").isNotNull(), F.col(ordinal))).alias("body")] if "body" in items.columns else []
+    merged = items.groupBy(*keys).agg(*[F.min_by(c, ordinal).alias(c) for c in rest], F.bool_or("eligible").alias("eligible"), *bodies, F.min(ordinal).alias(ordinal))
+    return merged.select(*items.columns)
 
 
 def next_versions(known: DataFrame, hashes: DataFrame, by: list[str]) -> DataFrame:
