@@ -1,14 +1,18 @@
 """The message-store operators: small cases, and every query with SQL against DuckDB."""
 
 import datetime as dt
+import hashlib
+import json
+import random
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tidemill.functions import identity, text
-from tidemill.operators import decide, rules, scope, stream_rules, sync, upsert
-from tidemill.plans.queries import ORACLES, QUERIES
+from tidemill.functions import identity, mail, text
+from tidemill.operators import decide, rules, scope, store, stream_rules, sync, upsert
+from tidemill.plans import ORACLES, QUERIES
+from tidemill.sources import rule_documents
 from tidemill.streaming.ingest import approve_held, read_or_empty, start_ingest
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -159,3 +163,106 @@ def test_nearest_centroid_is_not_called_neighbours(spark, tmp_path):
     rows = [(0, [2.0, 0.1], 0), (1, [0.1, 2.0], 0), (2, [1.0, 0.1], 1)]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     assert {r.vec_id: r.predicted for r in QUERIES["nearest_centroid"](spark, str(tmp_path)).collect()} == {0: 1, 1: 0, 2: 1}
+
+
+def test_canonical_json(spark):
+    maps = [{"k": "a]:[b"}, {"k": "a:b"}, {"b": "x\n\"\\", "a": None}, {}]
+    df = spark.createDataFrame([(m,) for m in maps], "m map<string,string>")
+    got = [r[0] for r in df.select(identity.canonical_map(F.col("m"))).collect()]
+    assert got == [json.dumps(m, sort_keys=True, separators=(",", ":")) for m in maps]
+    row = df.limit(1).select(identity.canonical_array([F.lit('a"\\\n\x01'), F.lit(None)]).alias("a"), identity.is_identity(F.lit("hdr:v1:" + "0" * 64)).alias("i")).first()
+    assert json.loads(row.a) == ['a"\\\n\x01', None] and row.i
+
+
+def test_trusted_ids(spark):
+    df = spark.createDataFrame([(" a-b\x00= ", True), ("a b", True), ("ab", False), ("", True), (None, True)], "p string, t boolean")
+    got = [r[0] for r in df.select(identity.identity_key(F.col("p"), F.lit("x@y"), F.lit("h"), F.col("t"))).collect()]
+    assert got == ["pm:a-b=", "mid:x@y", "mid:x@y", "mid:x@y", "mid:x@y"]
+
+
+def test_repeated_keys_are_refused(spark):
+    rows = spark.createDataFrame([(1, "a"), (1, "b")], "k long, v string")
+    with pytest.raises(Exception, match="two rows with one key"):
+        upsert.upsert(rows.limit(1), rows, ["k"], ["v"]).collect()
+    with pytest.raises(ValueError):
+        store.updated(rows, {"id": 1}, {"k": 1})
+    assert store.deleted(rows, {"v": []})[1].count() == 0
+    taken = spark.createDataFrame([("a", "b")], "old_key string, new_key string")
+    with pytest.raises(Exception, match="the key is taken"):
+        store.renamed(spark.createDataFrame([("a",), ("b",)], "slug string"), "slug", taken).collect()
+
+
+def test_windows_over_buckets(spark, monkeypatch):
+    monkeypatch.setattr(stream_rules, "BUCKET", 7)
+    draw = random.Random(3)
+    rows = [(k, i, draw.random() < 0.8) for k in "ab" for i in sorted(draw.sample(range(120), 80))] + [("c", i, True) for i in range(40)] + [("d", 3, False)]
+    df = spark.createDataFrame(rows, "k string, i long, f boolean").repartition(5)
+    for k in "abcd":
+        mine = [(i, f) for key, i, f in rows if key == k]
+        islands, longest, run = [], 0, 0
+        for i, f in mine:
+            if islands and islands[-1][1] == i - 1:
+                islands[-1][1] = i
+            else:
+                islands.append([i, i])
+            run = run + 1 if f else 0
+            longest = max(longest, run)
+        one = df.where(F.col("k") == k)
+        assert sorted([r.low, r.high] for r in stream_rules.uid_islands(one, ["k"], "i").collect()) == islands
+        assert stream_rules.failure_runs(one, ["k"], "i", F.col("f"), 5).first()["longest_run"] == longest
+        assert sorted((r.i, r.chunk) for r in stream_rules.chunks(one, ["k"], "i", 9).collect()) == [(i, n // 9) for n, (i, _) in enumerate(mine)]
+
+
+def test_nearest_ranks(spark):
+    draw = random.Random(8)
+    for values in ([1.0], [2.0, 2.0, 2.0], [draw.gauss(0, 10) for _ in range(501)], [float(draw.randint(0, 5)) for _ in range(100)]):
+        df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
+        got = stream_rules.nearest_ranks(df, "v", {"a": 0.5, "b": 0.95, "c": 1.0}, buckets=16).first()
+        want = [sorted(values)[max(0, -int(-p * len(values) // 1) - 1)] for p in (0.5, 0.95, 1.0)]
+        assert list(got) == want
+    assert tuple(stream_rules.nearest_ranks(df.where("v > 99"), "v", {"a": 0.5}).first()) == (None,)
+
+
+def test_rule_documents():
+    good = {"version": 1, "categories": [{"name": "a"}, {"name": "b"}], "rules": [{"match": {"from": ["X@y"]}, "label": "a"}]}
+    assert rule_documents.document_faults(good) == []
+    bad = {**good, "odd": 1, "categories": [{"name": "a"}, {"name": "A"}], "judgment": ["x" * 4001]}
+    bad["rules"] = [{"match": {"from": ["x"] * 101, "in": "subject"}, "label": "c"}] * 501
+    faults = rule_documents.document_faults(bad)
+    assert {f.split(":")[0] for f in faults} >= {"odd", "categories[1]", "judgment", "rules", "rules[0].match.from", "rules[0].match.in", "rules[500].label"}
+    assert rule_documents.parsed_document("x" * (256 * 1024 + 1))[0] is None and rule_documents.document_faults([]) != []
+    same = {**good, "rules": [{"label": "a", "match": {"from": [" x@Y "]}}]}
+    assert rule_documents.rule_set_text(good) == rule_documents.rule_set_text(same)
+    assert hashlib.sha256(rule_documents.rule_set_text(good).encode()).hexdigest() != hashlib.sha256(rule_documents.rule_set_text({**good, "judgment": ["x"]}).encode()).hexdigest()
+    with pytest.raises(ValueError):
+        rules.rule_entries(None, [{"match": {"from": ["x"] * 101}, "label": "a"}])
+
+
+def test_mail(spark):
+    rows = [("Name <a@b>", "Fri, 02 Feb 2024 01:00:00 -0500", "=?bad?x?="), ('"Q. \\"X\\"" <a@b>', "2 Feb 2024 01:00 +0000", "=?utf-8?q?=C3=A9?="), ("a@b", "yesterday", None), (None, None, "plain")]
+    df = spark.createDataFrame(rows, "f string, d string, w string")
+    got = df.select(mail.display_name(F.col("f")), mail.mail_date(F.col("d")), mail.decoded_words(F.col("w"))).collect()
+    assert [tuple(r) for r in got] == [
+        ("Name", dt.datetime(2024, 2, 2, 6), "=?bad?x?="), ('Q. "X"', dt.datetime(2024, 2, 2, 1), "é"), (None, None, None), (None, None, "plain")
+    ]
+    html = spark.createDataFrame([("<p>One <b>two</b><br>three</p><script>x</script>",), (None,), ("",)], "h string")
+    assert [r[0] for r in html.select(text.html_text(F.col("h"))).collect()] == ["One two\nthree", None, ""]
+    assert html.select(text.one_line(F.lit("a\n\n b\tc"), 5)).first()[0] == "a b c"
+
+
+def test_batch_that_runs_again(spark, tmp_path):
+    """The second run of a batch gives the same rows and the same watermark; a repeat that is eligible makes the message so."""
+    from tidemill.streaming.ingest import store_batch
+
+    schema = "folder string, identity string, uid long, internal_date timestamp, body string"
+    store_at, state = f"file://{tmp_path}/store", f"file://{tmp_path}/state"
+    late, new = dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 2)
+    store_batch(spark.createDataFrame([("in", "m0", 1, new, "x")], schema), store_at, state, 0)
+    again = spark.createDataFrame([("in", "m1", 2, late, "x"), ("in", "m1", 3, dt.datetime(2999, 1, 1), "x")], schema)
+    seen = []
+    for _ in range(2):
+        store_batch(again, store_at, state, 1)
+        stored = read_or_empty(spark, f"{store_at}/*", schema + ", eligible boolean, batch_id long").collect()
+        marks = read_or_empty(spark, f"{state}/*", "folder string, watermark timestamp, batch_id long").collect()
+        seen.append((sorted((r.identity, r.uid, r.eligible) for r in stored), sorted((r.batch_id, r.watermark) for r in marks)))
+    assert seen[0] == seen[1] and seen[0][0] == [("m0", 1, True), ("m1", 2, True)]

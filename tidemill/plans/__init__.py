@@ -1,0 +1,5 @@
+"""All queries of the message store: ``QUERIES`` by name, and ``ORACLES`` with the same in SQL."""
+
+from . import store_queries as store_queries  # registers its queries
+from .queries import ORACLES as ORACLES
+from .queries import QUERIES as QUERIES

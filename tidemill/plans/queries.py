@@ -87,16 +87,16 @@ RULES = [
 
 
 def _messages(spark, sf_dir) -> DataFrame:
-    """Documents as messages: the source is the address, the page with the same number gives the sender's domain."""
+    """Documents as messages: the source is the address, the page with the same number gives the sender's domain, the first line is the subject."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("from_address"), F.lower("text").alias("body"))
     hosts = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.lower(F.regexp_extract("url", r"^https?://([^/?#]+)", 1)).alias("from_domain"))
-    return docs.join(hosts, "id", "left").select("id", "from_address", "from_domain", F.substring("body", 1, 40).alias("subject"), "body")
+    return docs.join(hosts, "id", "left").select("id", "from_address", "from_domain", F.substring_index("body", "\n", 1).alias("subject"), "body")
 
 
 _MESSAGES_SQL = r"""
     messages AS (
         SELECT d.doc_id AS id, d.source AS from_address, lower(regexp_extract(p.url, '^https?://([^/?#]+)', 1)) AS from_domain,
-               substr(lower(d.text), 1, 40) AS subject, lower(d.text) AS body
+               split_part(lower(d.text), chr(10), 1) AS subject, lower(d.text) AS body
         FROM documents d LEFT JOIN pages p ON p.page_id = d.doc_id
     ), met AS (
         SELECT id,
@@ -355,12 +355,12 @@ def date_skew(spark, sf_dir):
     lines, orders = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_shipdate"), table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
     seconds = lambda c: F.unix_timestamp(F.col(c).cast("timestamp"))
     skews = lines.join(orders, F.col("o_orderkey") == F.col("l_orderkey")).select(F.abs(seconds("l_shipdate") - seconds("o_orderdate")).cast("double").alias("skew"))
-    return skews.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY skew)").alias("p50"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY skew)").alias("p95"))
+    return stream_rules.nearest_ranks(skews, "skew", {"p50": 0.5, "p95": 0.95})
 
 
 @query(
     """
-    SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'pm:' || page_id
+    SELECT page_id, CASE WHEN page_id % 3 = 0 AND page_id % 2 = 0 THEN 'pm:' || page_id
         WHEN page_id % 3 = 1 THEN 'mid:' || page_id || '@' || lower(regexp_extract(url, '^https?://([^/?#]+)', 1))
         ELSE 'hdr:v1:' || sha256(html) END AS identity FROM pages
     """
@@ -369,7 +369,8 @@ def identity_keys(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     host = F.upper(F.regexp_extract("url", r"^https?://([^/?#]+)", 1))
     raw = F.when(F.col("page_id") % 3 == 1, F.concat(F.lit(" <"), F.col("page_id").cast("string"), F.lit("@"), host, F.lit("> ")))
-    key = identity_key(F.col("page_id").cast("string"), message_id(raw), content_hash(F.col("html")), F.col("page_id") % 3 == 0)
+    trusted = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit(" "), F.col("page_id").cast("string"), F.lit("\x00 "))).otherwise(F.lit("two words"))
+    key = identity_key(trusted, message_id(raw), content_hash(F.col("html")), F.col("page_id") % 3 == 0)
     return pages.select("page_id", key.alias("identity"))
 
 
