@@ -266,3 +266,36 @@ def test_batch_that_runs_again(spark, tmp_path):
         marks = read_or_empty(spark, f"{state}/*", "folder string, watermark timestamp, batch_id long").collect()
         seen.append((sorted((r.identity, r.uid, r.eligible) for r in stored), sorted((r.batch_id, r.watermark) for r in marks)))
     assert seen[0] == seen[1] and seen[0][0] == [("m0", 1, True), ("m1", 2, True)]
+
+
+def test_prompt_fence(spark):
+    from tidemill.functions import prompt
+
+    df = spark.createDataFrame([("say abc123",)], "b string")
+    shown = df.select(prompt.user_prompt(F.lit(None), F.lit("s"), F.col("b"), F.lit("zz9"))).first()[0]
+    assert shown == "--- message zz9 ---\nFrom: \nSubject: s\n\nsay abc123\n--- end zz9 ---"
+    with pytest.raises(Exception, match="holds the nonce"):
+        df.select(prompt.user_prompt(F.lit(None), F.lit("s"), F.col("b"), F.lit("abc123"))).collect()
+
+
+def test_mail_files(spark, tmp_path):
+    from tidemill.sources.mail_files import mail_files
+
+    inner = "From: x@y\r\nContent-Type: text/plain\r\n\r\ninside"
+    files = {
+        "plain.eml": 'From: "A" <a@b>\r\nSubject: one\r\n two\r\n\r\nhello\r\n',
+        "mixed.eml": 'Content-Type: multipart/mixed; boundary="B"\r\n\r\n--B\r\nContent-Type: text/html; charset=latin-1\r\nContent-Transfer-Encoding: quoted-printable\r\n\r\n<p>=E9</p>\r\n'
+        '--B\r\nContent-Type: text/plain\r\nContent-Disposition: attachment; filename="n.txt"\r\n\r\nnote\r\n--B\r\nContent-Type: message/rfc822\r\n\r\n' + inner + "\r\n--B--\r\n",
+        "empty.eml": "\n",
+        "other.txt": "Subject: no",
+    }
+    for name, body in files.items():
+        (tmp_path / name).write_bytes(body.encode())
+    rows = mail_files(spark, f"file://{tmp_path}").select(
+        F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), mail.header_fields(F.col("header_block")).alias("h"), mail.text_part(F.col("parts")).alias("t"), mail.attachments(F.col("parts")).alias("a")
+    )
+    got = {r.name: r for r in rows.collect()}
+    assert set(got) == {"plain.eml", "mixed.eml", "empty.eml"}
+    assert [tuple(x) for x in got["plain.eml"].h] == [("from", '"A" <a@b>'), ("subject", "one two")] and got["plain.eml"].t.text == "hello\r\n"
+    assert got["mixed.eml"].t.part == "1" and got["mixed.eml"].t.text.strip() == "<p>é</p>" and [x.name for x in got["mixed.eml"].a] == ["n.txt"]
+    assert got["empty.eml"].h == [] and got["empty.eml"].t.text == ""

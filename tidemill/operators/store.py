@@ -110,3 +110,14 @@ def folder_states(state: DataFrame, backfills: DataFrame, key: str) -> DataFrame
     moves = backfills.select(key, F.col("backfill").alias("__new"), F.lit(True).alias("__set"))
     chosen = F.when(F.col("__set"), whole(F.col("__new"))).otherwise(whole(F.col("backfill")))
     return state.join(moves, key, "left").withColumn("backfill", chosen).drop("__new", "__set")
+
+
+def status_upserted(status: DataFrame, events: DataFrame, key: str) -> DataFrame:
+    """The status rows after ``events`` (key, state, at): of each key the latest event, others as they were."""
+    return upsert.upsert(status, upsert.last_of(events, [key], ["at", "state"]), [key], ["state", "at"])
+
+
+def server_identity(host: Column, user: Column, folder: Column) -> Column:
+    """A folder on a server as one key: host and user in lower case without white space, no dot at the host's end."""
+    bare = lambda c: F.lower(F.trim(c))
+    return F.concat_ws("\x1f", F.regexp_replace(bare(host), r"\.$", ""), bare(user), F.trim(folder))

@@ -9,7 +9,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from ..functions import identity, mail, text
+from ..functions import identity, mail, prompt, text
 from ..operators import candidates, decide, model_tier, offsets, rules, scope, store, stream_rules, sync, trace, upsert
 from ..sources import rule_documents
 from .queries import _MESSAGES_SQL, RULES, _messages, query, table
@@ -714,3 +714,48 @@ def body_part(spark, sf_dir):
 def neighbour_vote(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
     return model_tier.neighbour_vote(vectors.where("vec_id % 20 = 0"), vectors, 10)
+
+
+@query("SELECT coalesce(o.user_id, n.user_id) AS user_id, CASE WHEN n.user_id IS NOT NULL THEN n.state ELSE 'new' END AS state, coalesce(n.at, TIMESTAMP '2023-01-01') AS at FROM (SELECT DISTINCT user_id FROM events WHERE user_id % 2 = 0) o FULL OUTER JOIN (SELECT user_id, arg_max(event_type, (ts, event_type)) AS state, max(ts) AS at FROM events WHERE user_id % 3 = 0 GROUP BY 1) n ON o.user_id = n.user_id")
+def status_upsert(spark, sf_dir):
+    """Mailboxes with even numbers have a status; those divisible by three get the latest event as theirs."""
+    events = table(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("state"), F.col("ts").alias("at"))
+    old = events.where("user_id % 2 = 0").select("user_id").distinct().withColumns({"state": F.lit("new"), "at": F.lit("2023-01-01").cast(NTZ)})
+    return store.status_upserted(old, events.where("user_id % 3 = 0"), "user_id").drop("inserted")
+
+
+@query("SELECT s_suppkey, n_name FROM supplier JOIN nation ON n_nationkey = s_nationkey")
+def registry_by_server(spark, sf_dir):
+    """Registry rows find their configuration by server, user and folder, however these are written."""
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", store.server_identity(F.concat(F.lit(" Mail."), F.col("s_nationkey").cast("string"), F.lit(".ORG. ")), F.lit("Me"), F.lit("INBOX")).alias("k"))
+    config = table(spark, sf_dir, "nation").select("n_name", store.server_identity(F.concat(F.lit("mail."), F.col("n_nationkey").cast("string"), F.lit(".org")), F.lit(" me"), F.lit("INBOX ")).alias("k"))
+    return rows.join(config, "k").select("s_suppkey", "n_name")
+
+
+@query("SELECT doc_id, '--- message n' || doc_id || ' ---' || chr(10) || 'From: ' || source || chr(10) || 'Subject: a b' || chr(10) || chr(10) || regexp_replace(lang, '[\\x00-\\x08]', '', 'g') || chr(10) || '--- end n' || doc_id || ' ---' AS prompt FROM documents")
+def prompt_render(spark, sf_dir):
+    nonce = F.concat(F.lit("n"), F.col("doc_id").cast("string"))
+    return table(spark, sf_dir, "documents").select("doc_id", prompt.user_prompt(F.col("source"), F.lit("a\n b"), F.col("lang"), nonce).alias("prompt"))
+
+
+@query("SELECT n_nationkey, sha256('{\"limits\":\"4000\",\"schema_shape\":null,\"template\":' || to_json(n_name || chr(10)) || '}') AS hash FROM nation")
+def prompt_material_hash(spark, sf_dir):
+    parts = F.create_map(F.lit("template"), F.concat("n_name", F.lit("\n")), F.lit("limits"), F.lit("4000"), F.lit("schema_shape"), F.lit(None).cast("string"))
+    return table(spark, sf_dir, "nation").select("n_nationkey", prompt.material_hash(parts).alias("hash"))
+
+
+@query("SELECT doc_id, substr(lang || source, 1, 3) AS cut, lang || source AS bare FROM documents")
+def utf16_and_nul(spark, sf_dir):
+    """Cut to three UTF-16 units, and without NUL; the test texts have one unit a character here."""
+    both = F.concat("lang", F.lit("\x00"), "source")
+    return table(spark, sf_dir, "documents").select("doc_id", text.utf16_cut(text.strip_nul(both), 3).alias("cut"), text.strip_nul(both).alias("bare"))
+
+
+@query("SELECT event_id, event_type = 'view' AS from_match, CASE WHEN event_id % 2 = 0 THEN event_type END AS first_text, CAST(len(list_filter([event_type, 'x', 'view'], lambda s: s <> 'x')) AS INTEGER) AS n_kept FROM events")
+def entry_projection(spark, sf_dir):
+    """What rules see of a message, and what a prompt does: filters and first elements of its arrays."""
+    parts = F.array("event_type", F.lit("x"), F.lit("view"))
+    kept = F.filter(parts, lambda s: s != "x")
+    return table(spark, sf_dir, "events").select(
+        "event_id", (F.col("event_type") == "view").alias("from_match"), F.get(F.filter(kept, lambda s: F.col("event_id") % 2 == 0), F.lit(0)).alias("first_text"), F.size(kept).alias("n_kept")
+    )
