@@ -37,23 +37,40 @@ def rule_entries(spark, rules: list[dict]) -> DataFrame:
     return spark.createDataFrame(rows, ENTRY_SCHEMA)
 
 
-def entry_matches(messages: DataFrame, entries: DataFrame) -> DataFrame:
-    """(id, rule, field) once for each field of a rule that some entry meets.
+def _one_row(entries: DataFrame) -> DataFrame:
+    """All entries as one row, bounded by the checks on load: addresses and domains as maps to their rules, phrases as an array, and each rule's fields and label."""
+    by = {f: entries.where(F.col("field") == f) for f in ("from", "domain", "phrase")}
+    maps = [by[f].groupBy("entry").agg(F.array_sort(F.collect_set("rule")).alias("r")).agg(F.map_from_entries(F.collect_list(F.struct("entry", "r"))).alias(f"__{f}")) for f in ("from", "domain")]
+    phrases = by["phrase"].where("entry <> ''").agg(F.array_sort(F.collect_list(F.struct("rule", "place", "entry"))).alias("__phrases"))
+    totals = entries.groupBy("rule").agg(F.countDistinct("field").cast("int").alias("total"), F.first("label").alias("label"))
+    about = totals.agg(F.map_from_entries(F.collect_list(F.struct("rule", F.struct("total", "label")))).alias("__rules"), F.min_by(F.struct("rule", "total"), "rule").alias("__first"))
+    return maps[0].crossJoin(maps[1]).crossJoin(phrases).crossJoin(about)
+
 
-    ``messages`` has id, from_address, from_domain, subject and body (normalised). An address is an
-    equi-join; a domain is one too, on the suffixes of the sender's domain at label boundaries; a
-    phrase is a broadcast join on literal containment, so no pattern is ever built from data.
+def with_hits(messages: DataFrame, entries: DataFrame) -> DataFrame:
+    """``messages`` with ``hits``: an array of (rule, field), once for each field of a rule that some entry meets, and what ``_one_row`` knows of the rules.
+
+    ``messages`` has id, from_address, from_domain, subject and body (normalised). An address is looked
+    up in a map; a domain too, by the suffixes of the sender's domain at label boundaries; a phrase is
+    literal containment, so no pattern is ever built from data. Each message is read once and no row moves.
     """
     parts = F.split(F.regexp_replace(F.lower("from_domain"), r"\.$", ""), r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "."))
-    by = {f: F.broadcast(entries.where(F.col("field") == f).select("rule", "field", "place", "entry")) for f in ("from", "domain", "phrase")}
-    address = messages.select("id", F.lower("from_address").alias("entry")).join(by["from"], "entry")
-    domain = messages.where(F.col("from_domain").isNotNull()).select("id", F.explode(F.array_distinct(suffixes)).alias("entry")).join(by["domain"], "entry")
-    in_subject = (F.col("place") != "body") & F.contains(F.coalesce("subject", F.lit("")), F.col("entry"))
-    in_body = (F.col("place") != "subject") & F.contains(F.coalesce("body", F.lit("")), F.col("entry"))
-    phrase = messages.select("id", "subject", "body").join(by["phrase"], (F.col("entry") != "") & (in_subject | in_body))
-    found = address.select("id", "rule", "field").union(domain.select("id", "rule", "field")).union(phrase.select("id", "rule", "field"))
-    return found.distinct()
+    none = F.array().cast("array<int>")
+    found = lambda table, key: F.coalesce(F.try_element_at(F.col(table), key), none)
+    address = found("__from", F.lower("from_address"))
+    domain = F.when(F.col("from_domain").isNull(), none).otherwise(F.flatten(F.transform(suffixes, lambda s: found("__domain", s))))
+    subject, body = F.coalesce("subject", F.lit("")), F.coalesce("body", F.lit(""))
+    in_text = lambda p: ((p["place"] != "body") & F.contains(subject, p["entry"])) | ((p["place"] != "subject") & F.contains(body, p["entry"]))
+    phrase = F.transform(F.filter("__phrases", in_text), lambda p: p["rule"])
+    mark = lambda rules, field: F.transform(rules, lambda r: F.struct(r.alias("rule"), F.lit(field).alias("field")))
+    hits = F.array_distinct(F.concat(mark(address, "from"), mark(domain, "domain"), mark(phrase, "phrase")))
+    return messages.crossJoin(F.broadcast(_one_row(entries))).withColumn("hits", hits)
+
+
+def entry_matches(messages: DataFrame, entries: DataFrame) -> DataFrame:
+    """(id, rule, field) once for each field of a rule that some entry meets."""
+    return with_hits(messages, entries).select("id", F.explode("hits").alias("h")).select("id", "h.rule", "h.field")
 
 
 def first_match(messages: DataFrame, entries: DataFrame) -> DataFrame:
@@ -61,24 +78,24 @@ def first_match(messages: DataFrame, entries: DataFrame) -> DataFrame:
 
     The winner is the first rule all of whose fields are met. Without one, the nearest miss is the
     rule with the highest fraction of fields met, the first among equals, even if it met none; the
-    fractions are compared as integers.
+    fractions are compared as integers. Everything is decided within a message's row.
     """
-    totals = entries.groupBy("rule").agg(F.countDistinct("field").cast("int").alias("total"), F.first("label").alias("label"))
-    met = entry_matches(messages, entries).groupBy("id", "rule").agg(F.count(F.lit(1)).cast("int").alias("met"))
-    ranked = met.join(F.broadcast(totals), "rule")
-    best = ranked.groupBy("id").agg(
-        F.min(F.when(F.col("met") == F.col("total"), F.struct("rule", "label"))).alias("win"),
-        F.max(F.struct((F.col("met") * 6 / F.col("total")).cast("int").alias("share"), (-F.col("rule")).alias("order"), "met", "total")).alias("near"),
-    )
-    # a message that meets nothing misses the first rule, by nothing of its total
-    first = totals.agg(F.min_by(F.struct("rule", "total"), "rule").alias("first"))
-    joined = messages.select("id").join(best, "id", "left").crossJoin(F.broadcast(first))
+    hit = with_hits(messages, entries).select("id", "hits", "__rules", "__first")
+    known = lambda r: F.try_element_at(F.col("__rules"), r)
+    met = lambda r: F.size(F.filter("hits", lambda h: h["rule"] == r))
+    rules = F.array_distinct(F.transform("hits", lambda h: h["rule"]))
+    ranked = hit.withColumn("met", F.transform(rules, lambda r: F.struct(r.alias("rule"), met(r).alias("met"), known(r)["total"].alias("total"), known(r)["label"].alias("label"))))
+    whole = F.transform(F.filter("met", lambda m: m["met"] == m["total"]), lambda m: F.struct(m["rule"], m["label"]))
+    share = lambda m: (m["met"] * 6 / m["total"]).cast("int").alias("share")
+    near = F.transform("met", lambda m: F.struct(share(m), (-m["rule"]).alias("order"), m["met"].alias("met"), m["total"].alias("total")))
+    best = ranked.select("id", "__first", F.array_min(whole).alias("win"), F.array_max(near).alias("near"))
     won = F.col("win").isNotNull()
-    return joined.select(
+    # a message that meets nothing misses the first rule, by nothing of its total
+    return best.select(
         "id",
         F.col("win.rule").alias("winner"),
         F.col("win.label").alias("label"),
-        F.when(~won, F.coalesce(-F.col("near.order"), F.col("first.rule"))).alias("nearest_miss"),
+        F.when(~won, F.coalesce(-F.col("near.order"), F.col("__first.rule"))).alias("nearest_miss"),
         F.when(~won, F.coalesce("near.met", F.lit(0))).alias("met"),
-        F.when(~won, F.coalesce("near.total", F.col("first.total"))).alias("total"),
+        F.when(~won, F.coalesce("near.total", F.col("__first.total"))).alias("total"),
     )
