@@ -9,7 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from .common import unused
 
+
+#: Most partitions that the buckets are dealt to.
+PARTITIONS = 20_000
 #: Buckets up to which the keys of repeated rows, at most two a bucket, are broadcast.
 HOT_ROWS = 500_000
 
@@ -25,7 +29,7 @@ def external_shuffle(
     seed: int = 20240131,
     key_cols: tuple[str, ...] | None = None,
     size_col: str | Column | None = None,
-    bucket_bytes: int = 32 << 20,
+    bucket_bytes: int = 16 << 20,
     bucket_rows: int = 1 << 18,
 ) -> DataFrame:
     """``df`` with two more columns, ``shard`` (0 to n_shards - 1) and ``slot`` (its place there).
@@ -44,19 +48,20 @@ def external_shuffle(
     """
     df = df.drop("shard", "slot")
     cols = list(key_cols or df.columns)
+    c_key, c_bucket, c_base, c_times, c_n = unused(df, "__key", "__bucket", "__base", "__times", "__n")
     key = F.xxhash64(F.lit(seed), *[F.col(c) for c in cols])
     size = F.lit(16) if size_col is None else F.col(size_col) if isinstance(size_col, str) else size_col
-    keyed = df.withColumn("__key", key)
+    keyed = df.withColumn(c_key, key)
     totals = df.select(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("b")).first()
     n_buckets = max(1, -(-int(totals["b"]) // bucket_bytes), -(-int(totals["n"]) // bucket_rows))
     # equal rows hash alike: those that would fill a bucket are dealt one by one; at most 2 n / bucket_rows keys are so many
-    hot = keyed.groupBy("__key").agg(F.count(F.lit(1)).alias("__times")).where(F.col("__times") > bucket_rows // 2)
-    marked = keyed.join(F.broadcast(hot) if int(totals["n"]) <= HOT_ROWS * bucket_rows else hot, "__key", "left")
-    place = F.when(F.col("__times").isNull(), F.xxhash64(F.lit(seed + 1), "__key")).otherwise(F.xxhash64(F.lit(seed + 2), F.monotonically_increasing_id()))
-    bucketed = marked.withColumn("__bucket", F.pmod(place, F.lit(n_buckets))).drop("__times")
-    counts = bucketed.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n"))
-    upto = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    bases = counts.select("__bucket", F.coalesce(F.sum("__n").over(upto), F.lit(0)).alias("__base"))
+    hot = keyed.groupBy(c_key).agg(F.count(F.lit(1)).alias(c_times)).where(F.col(c_times) > bucket_rows // 2)
+    marked = keyed.join(F.broadcast(hot) if int(totals["n"]) <= HOT_ROWS * bucket_rows else hot, c_key, "left")
+    place = F.when(F.col(c_times).isNull(), F.xxhash64(F.lit(seed + 1), c_key)).otherwise(F.xxhash64(F.lit(seed + 2), F.monotonically_increasing_id()))
+    bucketed = marked.withColumn(c_bucket, F.pmod(place, F.lit(n_buckets))).drop(c_times)
+    counts = bucketed.groupBy(c_bucket).agg(F.count(F.lit(1)).alias(c_n))
+    upto = Window.orderBy(c_bucket).rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select(c_bucket, F.coalesce(F.sum(c_n).over(upto), F.lit(0)).alias(c_base))
     total = int(totals["n"])
     out = T.StructType(
         [*df.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())]
@@ -64,19 +69,22 @@ def external_shuffle(
     kept = df.columns
 
     def pass_two(group: pa.Table) -> pa.Table:
-        order = np.argsort(group["__key"].to_numpy(), kind="stable")
-        bucket, base = group["__bucket"][0].as_py(), group["__base"][0].as_py()
+        order = np.argsort(group[c_key].to_numpy(), kind="stable")
+        bucket, base = group[c_bucket][0].as_py(), group[c_base][0].as_py()
         rng = np.random.default_rng((seed, bucket))
         rng.shuffle(order)  # numpy's in-place Fisher-Yates
         at = base + np.arange(len(order), dtype=np.int64)
         shard = at * n_shards // total
         start = -(-shard * total // n_shards)
         rows = group.select(kept).take(pa.array(order))
+        del group
+        pa.default_memory_pool().release_unused()
         return rows.append_column("shard", pa.array(shard.astype(np.int32))).append_column("slot", pa.array(at - start))
 
     return (
-        bucketed.join(bases, "__bucket")
-        .groupBy("__bucket", "__base")
+        bucketed.join(bases, c_bucket)
+        .repartition(min(n_buckets, PARTITIONS), c_bucket)
+        .groupBy(c_bucket, c_base)
         .applyInArrow(pass_two, out)
     )
 
