@@ -386,3 +386,32 @@ def test_pipeline(spark, sf_dir):
     sharded = corpus_pipeline.run(spark, sf_dir)
     counts = Counter(r.shard for r in sharded.collect())
     assert len(counts) == 40 and max(counts.values()) - min(counts.values()) <= 1
+
+
+def test_pipeline_of_odd_rows(spark, docs_of, sf_dir, tmp_path):
+    """Every stage keeps rows with nulls, empty, repeated and very long texts, and columns of clashing names, and an empty table."""
+    odd = [(1, None), (2, ""), (None, "no id but some words"), (4, LONG, None), (4, LONG, None), (5, "wörd " * 60000), (6, "the last of them all is short")]
+    for rows in (odd, []):
+        docs = docs_of(rows).withColumn("toxicity", F.lit("t")).withColumn("row_hash", F.lit(1)).withColumn("__key", F.lit("k"))
+        for name, stage in corpus_pipeline.STAGES:
+            found = stage(spark, docs, sf_dir)
+            columns = docs.columns + ["slot"] if name == "sharding" else docs.columns
+            assert sorted(found.columns) == sorted(columns), name
+            path = f"file://{tmp_path}/{name}-{len(rows)}"
+            found.write.parquet(path)
+            docs = spark.read.parquet(path)
+        got = docs.collect()
+        assert {r.doc_id for r in got} >= ({1, 2} if rows else set()) and (rows or not got)
+
+
+def test_links_of_every_twentieth_id(spark):
+    """Recall of the join at a larger scale: rows whose id is divisible by 20 against all rows, by brute force."""
+    docs = q.table(spark, "/root/testdata/sf0.01", "documents")
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    sets = gram_sets(rows)
+    links = {}
+    for i, (d, _) in enumerate(rows):
+        if d % 20 == 0:
+            links[d] = sum(1 for j, s in enumerate(sets) if j != i and sets[i] and len(sets[i] & s) >= 0.8 * len(sets[i] | s) - 1e-9 and sets[i] & s)
+    got = {r.doc_id: r.n_links for r in ngram_join(docs).where("doc_id % 20 = 0").collect()}
+    assert got == links and sum(links.values()) > 0

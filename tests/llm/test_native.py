@@ -248,6 +248,11 @@ def test_chat_prefixes(spark):
     assert set(got) == {3, 5, 6, 7, 8, None}
     assert got[3] == (3, "<|user|>\nhi\n<|assistant|>\nho\n<|user|>\nhi\n") and got[6] == (1, "<|user|>\n\n")
     assert format_chats(df.limit(0)).count() == 0
+    # turns without an id are conversations of their own; repeated turns are turns, and a very long text is whole
+    rows = [(None, 3, "user", "x"), (None, 1, "user", "x"), (None, 2, "user", "hi"), (None, 0, None, "x"), *[(i, k, "user", "again") for i in (5, 6) for k in (1, 1, 2)], (7, 0, "user", "wörd " * 200000), (8, 0, "user", "hi")]
+    odd = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
+    got = Counter((r["conv_id"], r["n_turns"], r["text"]) for r in format_chats(odd).collect())
+    assert got == Counter([(None, 1, "<|user|>\nx\n"), (None, 1, "<||>\nx\n"), (5, 3, "<|user|>\nagain\n" * 3), (7, 1, "<|user|>\n" + "wörd " * 200000 + "\n"), (8, 1, "<|user|>\nhi\n")])
 
 
 def test_chats_whole_table(spark, sf_dir):

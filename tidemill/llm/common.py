@@ -66,6 +66,17 @@ def materialize(df: DataFrame, name: str, by: list[str] | None = None) -> DataFr
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns of our own that no column of ``df`` has, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    found = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        found.append(name)
+    return found
+
+
 def text_of(column: str = "text") -> Column:
     """The text, empty where null."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import text_of, unused
 from .wordhash import MARKS, gram_hashes, word_hashes
 
 #: Words of the shortest tile, and of a seed.
@@ -202,14 +202,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5,
     """The rows of ``docs`` that match no benchmark item as ``find_contamination`` defines it, with all their columns."""
     bench = benchmark.withColumn("text", F.lower(text_of("text")))
     columns = docs.columns
+    (lower,) = unused(docs, "__lower")
     for block in _blocks(bench, "item_id", "text", seed_words):
 
         def clean(batches, block=block):
             for batch in batches:
-                hits = {h[0] for h in tilings(batch.column("__lower"), block.value, threshold, seed_words)}
+                hits = {h[0] for h in tilings(batch.column(lower), block.value, threshold, seed_words)}
                 keep = np.ones(batch.num_rows, dtype=bool)
                 keep[list(hits)] = False
                 yield batch.select(columns).filter(pa.array(keep))
 
-        docs = docs.withColumn("__lower", F.lower(text_of(text_col))).mapInArrow(clean, docs.schema)
+        docs = docs.withColumn(lower, F.lower(text_of(text_col))).mapInArrow(clean, docs.schema)
     return docs

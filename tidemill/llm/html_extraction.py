@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import text_of, unused
 
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -485,13 +485,14 @@ def extract_main_text(pages: DataFrame, model: Trees | None = None, html_col: st
     """
     pages = pages.drop("text")
     names = pages.columns
+    (own_html,) = unused(pages, "__html")
     shared = pages.sparkSession.sparkContext.broadcast(model or fit_extractor())
 
     def extract(batches):
         trees = shared.value
         for batch in batches:
             texts = []
-            sources = batch.column("__html")
+            sources = batch.column(own_html)
             for lo in range(0, batch.num_rows, 64):
                 parsed = [parse(s) for s in sources.slice(lo, 64).to_pylist()]
                 rows = [features(p) for p in parsed]
@@ -501,4 +502,4 @@ def extract_main_text(pages: DataFrame, model: Trees | None = None, html_col: st
                     texts.append(main_text(p, decode(p, odds[a:b])))
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(texts, pa.string())], names=[*names, "text"])
 
-    return pages.withColumn("__html", text_of(html_col)).mapInArrow(extract, pages.schema.add("text", "string"))
+    return pages.withColumn(own_html, text_of(html_col)).mapInArrow(extract, pages.schema.add("text", "string"))

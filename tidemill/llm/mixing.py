@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, materialize, text_of
+from .common import WORD, materialize, text_of, unused
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (3, 1, 2)
@@ -192,17 +192,18 @@ def mixed_documents(docs: DataFrame, seed: int = 7, **kwargs) -> DataFrame:
     """The rows of ``docs`` as the mix takes them: each as often as ``copies`` says, rows without a word once.
 
     Rows that are equal in all columns become one that is repeated as often as all of them; they are
-    told apart by 128 bits of hashes. Columns may have any names but __mix_hash, __mix_check and __mix_times.
+    told apart by 128 bits of hashes.
     """
+    c_hash, c_check, c_times, c_copy = unused(docs, "__hash", "__check", "__times", "__copy")
     mix = mix_sources(docs, seed=seed, **kwargs)
-    times = mix.groupBy(F.col("row_hash").alias("__mix_hash"), F.col("row_check").alias("__mix_check")).agg(
-        F.sum(F.when(F.col("size") == 0, 1).otherwise(F.col("copies"))).cast("int").alias("__mix_times")
-    ).where("__mix_times > 0")
-    keys = ["__mix_hash", "__mix_check"]
+    times = mix.groupBy(F.col("row_hash").alias(c_hash), F.col("row_check").alias(c_check)).agg(
+        F.sum(F.when(F.col("size") == 0, 1).otherwise(F.col("copies"))).cast("int").alias(c_times)
+    ).where(F.col(c_times) > 0)
+    keys = [c_hash, c_check]
     return (
         docs.select("*", *[_row_hash(docs, seed, k).alias(name) for k, name in enumerate(keys)])
         .dropDuplicates(keys)
         .join(times, keys)
-        .withColumn("__mix_copy", F.explode(F.array_repeat(F.lit(0), F.col("__mix_times"))))
+        .withColumn(c_copy, F.explode(F.array_repeat(F.lit(0), F.col(c_times))))
         .select(*docs.columns)
     )

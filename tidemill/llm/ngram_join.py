@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, skewed_join, text_of
+from .common import materialize, skewed_join, text_of, unused
 from .components import connected_components
 from .wordhash import gram_hashes, mix, word_hashes
 
@@ -392,14 +392,15 @@ def drop_near_duplicates(
     join that picks the rows and the window that leaves one of them have the same key, so that texts
     are shuffled once at most.
     """
+    c_key, c_once = unused(docs, "__key", "__once")
     kept = _classes(docs, threshold, n, tolerance, id_col, text_col).where("kept")
-    kept = kept.select(_row_key(F.col("doc_id"), F.col("text_key")).alias("__key")).distinct()
+    kept = kept.select(_row_key(F.col("doc_id"), F.col("text_key")).alias(c_key)).distinct()
     key = _row_key(F.col(id_col).cast("long"), F.xxhash64(text_of(text_col)))
-    once = Window.partitionBy("__key").orderBy(F.lit(0))
+    once = Window.partitionBy(c_key).orderBy(F.lit(0))
     return (
-        docs.withColumn("__key", key)
-        .join(kept, "__key", "left_semi")
-        .withColumn("__once", F.row_number().over(once))
-        .where("__once = 1")
+        docs.withColumn(c_key, key)
+        .join(kept, c_key, "left_semi")
+        .withColumn(c_once, F.row_number().over(once))
+        .where(F.col(c_once) == 1)
         .select(*docs.columns)
     )

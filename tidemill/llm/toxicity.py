@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import text_of
+from .common import materialize, text_of, unused
 
 #: Most labelled documents of each class that the machine is fitted on, drawn by a seeded hash.
 FIT_DOCS = 1500
@@ -241,7 +241,9 @@ def evidence(data: Sentences, toxic: np.ndarray, clean: np.ndarray) -> np.ndarra
     chance would not give any of the n-grams (2 ln of their number). Rates are compared, so that a wrong
     label here and there shuts no n-gram out, and the size of the sample only sharpens the test.
     """
-    a, b = text_counts(data, toxic).astype(np.float64), text_counts(data, clean).astype(np.float64)
+    counts = text_counts(data, toxic), text_counts(data, clean)
+    held = np.flatnonzero(counts[0] + counts[1])
+    a, b = (c[held].astype(np.float64) for c in counts)
     m, k = max(1, int(toxic.sum())), max(1, int(clean.sum()))
 
     def part(seen, rest, of):
@@ -250,8 +252,8 @@ def evidence(data: Sentences, toxic: np.ndarray, clean: np.ndarray) -> np.ndarra
     both = a + b
     ratio = 2 * (part(a, m - a, m) + part(b, k - b, k) - part(both, m + k - both, m + k))
     odds = np.log((a + 0.5) / (m + 1)) - np.log((b + 0.5) / (k + 1))
-    worth = np.where((ratio >= 2 * np.log(max(2, np.count_nonzero(both)))) & (odds > 0), odds, 0)
-    worth[0] = 0
+    worth = np.zeros(1 << GRAM_BITS, dtype=np.float32)
+    worth[held] = np.where((ratio >= 2 * np.log(max(2, len(held)))) & (odds > 0), odds, 0)
     out = np.zeros(len(data.codes))
     for lo in range(0, len(out), 8192):
         out[lo : lo + 8192] = worth[gram_ids(data.codes[lo : lo + 8192])].max(axis=1)
@@ -363,6 +365,10 @@ class _Map:
     x: np.ndarray  # a row for each window, then one for each disguised form
     disguised_of: np.ndarray  # the window that each of these forms disguises
 
+    def values_of(self, n: int, learned: tuple[np.ndarray, float]) -> np.ndarray:
+        """Values of the first ``n`` rows."""
+        return self.x[:n] @ learned[0].astype(np.float32) + np.float32(learned[1])
+
 
 def _nystrom(data: Sentences, toxic: np.ndarray, clean: np.ndarray, landmarks: int) -> _Map | None:
     """The map by landmarks among the windows of toxic sentences and the clean windows that resemble them; None if no window tells."""
@@ -408,16 +414,16 @@ def _learn(data: Sentences, space: _Map, toxic: np.ndarray, clean: np.ndarray) -
         weight = np.concatenate([positive * (BALANCE * seen.sum() / positive.sum()), seen])
         sign = np.where(np.arange(len(weight)) < len(positive), 1.0, -1.0)
         learned = _squared_hinge(space.x, np.concatenate([found, len(data.codes) + forms, calm]), sign, COST * weight)
-        value = space.x[: len(data.codes)] @ learned[0] + learned[1]
+        value = space.values_of(len(data.codes), learned)
     return learned
 
 
 def _tops(data: Sentences, value: np.ndarray, n_texts: int, floor: float) -> np.ndarray:
     """The TOPS highest values among the different windows of each text, highest first; ``floor`` where it has fewer."""
-    pairs = np.unique(np.stack([data.text, data.windows], axis=1), axis=0) if len(data.text) else np.zeros((0, 2), dtype=np.int32)
-    v = value[pairs[:, 1]]
-    order = np.lexsort((-v, pairs[:, 0]))
-    text, v = pairs[order, 0], v[order]
+    pairs = np.unique(data.text.astype(np.int64) << 32 | data.windows)
+    text, v = pairs >> 32, value[pairs & 0xFFFFFFFF]
+    order = np.lexsort((-v, text))
+    text, v = text[order], v[order]
     rank = np.arange(len(text)) - np.searchsorted(text, text)
     out = np.full((n_texts, TOPS), floor)
     here = rank < TOPS
@@ -470,7 +476,7 @@ def _fit(texts: list[str], y: np.ndarray, landmarks: int, rate: float | None = N
     for k in range(FOLDS):
         part = _learn(data, space, y & (fold != k), ~y & (fold != k))
         if part is not None:
-            tops[fold == k] = _tops(data, space.x[: len(data.codes)] @ part[0] + part[1], len(y), min(part[1], -1.0))[fold == k]
+            tops[fold == k] = _tops(data, space.values_of(len(data.codes), part), len(y), min(part[1], -1.0))[fold == k]
     slopes, offset = _logistic(tops @ RANK_MEANS, y.astype(float))
     slopes = RANK_MEANS @ slopes
     w, bias = learned
@@ -481,7 +487,7 @@ def _fit(texts: list[str], y: np.ndarray, landmarks: int, rate: float | None = N
 def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, landmarks: int = LANDMARKS, fit_bytes: int = FIT_BYTES) -> Toxicity:
     """A machine fitted on the rows of ``docs`` (doc_id, text) that ``labels`` (doc_id, toxic) marks 0 or 1.
 
-    Of several labels of one id the highest counts; null labels and ids are left out. At most
+    Of several labels of one id the highest counts, of several rows the smallest text; null labels and ids are left out. At most
     ``fit_docs`` labels of each class are used, those with the smallest seeded hashes of their ids, and
     of these as many whole texts as ``fit_bytes`` hold, so that what the driver reads is bounded; the
     share of the classes among all labels is counted, and corrects the probabilities.
@@ -498,27 +504,30 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, l
     drawn = [marks.where(F.col("__y") == y).orderBy(F.xxhash64(F.lit(11), "doc_id"), "doc_id").limit(fit_docs) for y in (1, 0)]
     chosen = F.broadcast(drawn[0].unionByName(drawn[1]).select(F.col("doc_id").alias("__id"), "__y"))
     own = docs.select(F.col("doc_id").alias("__own"), text_of().alias("__text"))
-    rows = own.join(chosen, F.col("__own") == F.col("__id")).select("__y", "__text", F.xxhash64(F.lit(12), "__own", "__text").alias("__h"))
-    upto = F.sum(F.octet_length("__text")).over(Window.orderBy("__h", "__y").rowsBetween(Window.unboundedPreceding, 0))
-    sample = rows.withColumn("__upto", upto).where(F.col("__upto") <= fit_bytes).orderBy("__h", "__text").select("__y", "__text").toArrow()
+    one = own.join(chosen, F.col("__own") == F.col("__id")).groupBy("__id", "__y").agg(F.min("__text").alias("__text"))
+    one = materialize(one.withColumn("__h", F.xxhash64(F.lit(12), "__id")), "toxicity-sample")
+    upto = F.sum("__bytes").over(Window.orderBy("__h", "__id").rowsBetween(Window.unboundedPreceding, 0))
+    fits = one.select("__id", "__h", F.octet_length("__text").alias("__bytes")).withColumn("__upto", upto).where(F.col("__upto") <= fit_bytes)
+    sample = one.join(F.broadcast(fits.select("__id")), "__id", "left_semi").orderBy("__h", "__id").select("__y", "__text").toArrow()
     return _fit(sample["__text"].to_pylist(), sample["__y"].to_numpy() == 1, landmarks, share)
 
 
-def score_toxicity(docs: DataFrame, model: Toxicity, text_col: str = "text") -> DataFrame:
-    """``docs`` with a column ``toxicity`` (0 to 1): the probability by the highest values among the different words of the whole text.
+def score_toxicity(docs: DataFrame, model: Toxicity, text_col: str = "text", score_col: str = "toxicity") -> DataFrame:
+    """``docs`` with a column ``score_col`` (0 to 1): the probability by the highest values among the different words of the whole text.
 
     Words that are spelled letter by letter are put together first. A null, empty or white-space text
     gets the probability of the lowest value. Rows are scored one by one, so repeated rows get equal
-    scores and an empty table gives an empty result; a column named toxicity is replaced.
+    scores and an empty table gives an empty result; a column of that name is replaced.
     """
-    docs = docs.drop("toxicity")
+    docs = docs.drop(score_col)
     names = docs.columns
+    (own_text,) = unused(docs, "__text")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches):
         model, known = shared.value, {}
         for batch in batches:
-            texts = batch.column("__text")
+            texts = batch.column(own_text)
             tops = np.full((batch.num_rows, TOPS), model.floor)
             for lo in range(0, batch.num_rows, 256):
                 sets = [words_of(t) for t in texts.slice(lo, 256).to_pylist()]
@@ -532,11 +541,11 @@ def score_toxicity(docs: DataFrame, model: Toxicity, text_col: str = "text") ->
                     best = nlargest(TOPS, map(get, words))
                     tops[lo + i, : len(best)] = best
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(n) for n in names], pa.array(model.probability(tops))], names=[*names, "toxicity"]
+                [*[batch.column(n) for n in names], pa.array(model.probability(tops))], names=[*names, score_col]
             )
 
-    schema = docs.schema.add("toxicity", "double")
-    return docs.withColumn("__text", text_of(text_col)).mapInArrow(score, schema)
+    schema = docs.schema.add(score_col, "double")
+    return docs.withColumn(own_text, text_of(text_col)).mapInArrow(score, schema)
 
 
 def held_out(remainder: int, modulus: int, id_col: str = "doc_id"):
