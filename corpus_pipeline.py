@@ -7,8 +7,9 @@ again as the next stage's ``docs``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemill.llm.common import materialize, table
+from tidemill.llm.common import materialize, table, unused
 from tidemill.llm.decontamination import decontaminate
 from tidemill.llm.mixing import mixed_documents
 from tidemill.llm.ngram_join import drop_near_duplicates
@@ -19,7 +20,8 @@ from tidemill.llm.toxicity import fit_toxicity, held_out, score_toxicity
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity is below 0.7; the machine learns from the rows that are not held out."""
     model = fit_toxicity(docs, table(spark, sf_dir, "labels").where(~held_out(1, 3)))
-    return score_toxicity(docs, model).where("toxicity < 0.7").select(*docs.columns)
+    (score,) = unused(docs, "toxicity")
+    return score_toxicity(docs, model, score_col=score).where(F.col(score) < 0.7).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
