@@ -299,3 +299,25 @@ def test_mail_files(spark, tmp_path):
     assert [tuple(x) for x in got["plain.eml"].h] == [("from", '"A" <a@b>'), ("subject", "one two")] and got["plain.eml"].t.text == "hello\r\n"
     assert got["mixed.eml"].t.part == "1" and got["mixed.eml"].t.text.strip() == "<p>é</p>" and [x.name for x in got["mixed.eml"].a] == ["n.txt"]
     assert got["empty.eml"].h == [] and got["empty.eml"].t.text == ""
+
+
+def test_neighbours_in_blocks(spark, monkeypatch):
+    from tidemill.operators import model_tier
+
+    draw = random.Random(1)
+    rows = [(i, [draw.gauss(i % 3, 1.0) for _ in range(4)], i % 3) for i in range(90)] + [(90 + i, [9.0, 9.0, 9.0, 9.0], 7) for i in range(14)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    found = lambda: sorted(map(tuple, model_tier.neighbour_vote(df.where("vec_id % 5 = 0"), df, 5).collect()))
+    whole = found()
+    assert len(whole) == 21 and all(r[1] != 7 for r in whole)  # too few examples of label 7
+    monkeypatch.setattr(model_tier, "QUERY_BLOCK", 4)
+    assert found() == whole
+
+
+def test_ten_thousand_rules_limit(spark):
+    many = [{"match": {"phrase": [f"p{i}x{k}" for k in range(100)]}, "label": f"l{i}"} for i in range(20)]
+    df = spark.createDataFrame([(1, None, None, "", "aa p7x99 bb"), (2, None, None, "none", None)], "id long, from_address string, from_domain string, subject string, body string")
+    got = {r.id: (r.winner, r.label, r.nearest_miss, r.met, r.total) for r in rules.first_match(df, rules.rule_entries(spark, many)).collect()}
+    assert got == {1: (7, "l7", None, None, None), 2: (None, None, 0, 0, 1)}
+    none = rules.rule_entries(spark, many).limit(0)
+    assert {(r.winner, r.nearest_miss, r.met) for r in rules.first_match(df, none).collect()} == {(None, None, 0)}

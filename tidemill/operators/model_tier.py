@@ -11,6 +11,8 @@ from .decide import http_failure, validated_output
 CONTEXT_TOKENS, ANSWER_TOKENS = 8192, 256
 ATTEMPTS = 2
 FAILED_PASSES, FAILURES_PER_PASS = 3, 2
+#: Vectors of a search that are sent to all tasks at once.
+QUERY_BLOCK = 10_000
 
 
 def answer_verdict(status: Column, raw: Column, done_reason: Column, prompt_tokens: Column, categories: list[str]) -> Column:
@@ -80,7 +82,7 @@ def backoff(failures: Column, base: float, cap: float, jitter: Column) -> Column
 def error_classes(errors: DataFrame, codes: DataFrame, causes: str = "causes") -> DataFrame:
     """``errors`` with ``error_class``: that of the first code among an error and its causes (five at most) that the table ``codes`` (code, error_class) knows."""
     steps = errors.withColumn("__id", F.monotonically_increasing_id())
-    found = steps.select("__id", F.posexplode(F.slice(causes, 1, 5)).alias("place", "code")).join(F.broadcast(codes), "code")
+    found = steps.select("__id", F.posexplode(F.slice(causes, 1, 5)).alias("place", "code")).join(codes, "code")
     first = found.groupBy("__id").agg(F.min_by("error_class", "place").alias("error_class"))
     return steps.join(first, "__id", "left").withColumn("error_class", F.coalesce("error_class", F.lit("unknown"))).drop("__id")
 
@@ -132,19 +134,29 @@ def correction_route(tier: Column) -> Column:
 def neighbour_vote(queries: DataFrame, vectors: DataFrame, k: int, least_examples: int = 15, threshold: float = 0.85) -> DataFrame:
     """(vec_id, label, share, outcome): the label that most of the ``k`` most similar vectors have, by cosine rounded to six places.
 
-    ``queries`` are a stated set, sent to the blocks of ``vectors``; each block passes on only its best
-    (the rank filter is pushed into the scan's side of the shuffle). A vector is no neighbour of itself.
-    Labels with fewer than ``least_examples`` vectors take no part; a share below ``threshold`` is a review.
+    ``queries`` are a stated set, sent to the tasks that hold ``vectors`` in blocks of about QUERY_BLOCK,
+    one pass over the vectors for each; a task passes on only the best of its own (the rank filter is pushed into its side
+    of the shuffle). A vector is no neighbour of itself. Labels with fewer than ``least_examples`` vectors
+    take no part; a share below ``threshold`` is a review.
     """
+    from functools import reduce
+
     from pyspark.sql.window import Window
 
+    n_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     enough = vectors.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_examples).select("label")
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     known = vectors.join(F.broadcast(enough), "label", "left_semi").select(F.col("vec_id").alias("n_id"), "label", F.col("embedding").alias("v"))
     known = known.withColumn("vv", dot(F.col("v"), F.col("v")))
     asked = queries.select("vec_id", F.col("embedding").alias("q")).withColumn("qq", dot(F.col("q"), F.col("q")))
-    pairs = known.join(F.broadcast(asked), F.col("n_id") != F.col("vec_id")).select("vec_id", "n_id", "label", F.round(dot(F.col("q"), F.col("v")) / F.sqrt(F.col("qq") * F.col("vv")), 6).alias("s"))
-    near = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("s"), "n_id"))).where(F.col("rank") <= k)
+    cosine = F.round(dot(F.col("q"), F.col("v")) / F.sqrt(F.col("qq") * F.col("vv")), 6).alias("s")
+
+    def nearest(block: int) -> DataFrame:
+        mine = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)) == block)
+        pairs = known.join(F.broadcast(mine), F.col("n_id") != F.col("vec_id")).select("vec_id", "n_id", "label", cosine)
+        return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("s"), "n_id"))).where(F.col("rank") <= k)
+
+    near = reduce(DataFrame.unionByName, [nearest(b) for b in range(n_blocks)])
     votes = near.groupBy("vec_id", "label").agg(F.count(F.lit(1)).alias("n"))
     best = votes.groupBy("vec_id").agg(F.max(F.struct("n", (-F.col("label")).alias("order"))).alias("b"), F.sum("n").alias("all"))
     share = F.round(F.col("b.n") / F.col("all"), 6)

@@ -78,7 +78,7 @@ def store_batch(batch: DataFrame, store: str, state: str, batch_id: int, key: st
     earlier = read_before(spark, f"{state}-held", batch.select("*", number).schema, batch_id)
     waiting = earlier.join(released, key, "left").where(F.col("released").isNull() | (F.col("batch_id") > F.col("released"))).select(*batch.columns, F.lit(True).alias("waited"))
     arrived = batch.withColumn("waited", F.lit(False)).unionByName(waiting)
-    routed = arrived.join(F.broadcast(marks), key, "left").withColumn("eligible", stream_rules.is_new(F.col(time), F.col("watermark")))
+    routed = arrived.join(marks, key, "left").withColumn("eligible", stream_rules.is_new(F.col(time), F.col("watermark")))
 
     counts = stream_rules.admission(routed, [key], cap).drop("held").join(holds.withColumnsRenamed({"n_new": "n_before", "held": "held_before"}), key, "left").join(approvals, [key, "hold_batch"], "left")
     was_held = F.coalesce("held_before", F.lit(False))
