@@ -14,7 +14,7 @@ from .common import unused
 
 #: Most partitions that the buckets are dealt to.
 PARTITIONS = 20_000
-#: Buckets up to which the keys of repeated rows, at most two a bucket, are broadcast.
+#: Buckets up to which a row for each, and the keys of repeated rows, at most two a bucket, are broadcast.
 HOT_ROWS = 500_000
 
 
@@ -82,8 +82,8 @@ def external_shuffle(
         return rows.append_column("shard", pa.array(shard.astype(np.int32))).append_column("slot", pa.array(at - start))
 
     return (
-        bucketed.join(bases, c_bucket)
-        .repartition(min(n_buckets, PARTITIONS), c_bucket)
+        bucketed.repartition(min(n_buckets, PARTITIONS), c_bucket)
+        .join(F.broadcast(bases) if n_buckets <= HOT_ROWS else bases, c_bucket)
         .groupBy(c_bucket, c_base)
         .applyInArrow(pass_two, out)
     )
