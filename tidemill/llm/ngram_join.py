@@ -258,17 +258,16 @@ def in_blocks(rows: DataFrame, group: str, bytes_col: str | None = None) -> Data
 
 
 def loose_blocks(rows: DataFrame, group: str) -> DataFrame:
-    """Rows (node, loose) of groups as rows of tasks: every node is at home in one block of its group, loose ones visit all of them.
+    """Rows (node, loose, members: the size of the group) of groups as rows of tasks: every node is at home in one block of its group, loose ones visit all of them.
 
     So any pair with a loose node meets in a task, and n nodes of which r are loose make
     n + r n / BLOCK_ROWS rows. Groups with the same nodes have the same blocks.
     """
-    size = F.pow(F.lit(2.0), F.ceil(F.log2(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("double")))).cast("long")
-    sizes = rows.groupBy(group).agg(size.alias("n_blocks"))
+    size = F.pow(F.lit(2.0), F.ceil(F.log2(F.ceil(F.col("members") / BLOCK_ROWS).cast("double")))).cast("long")
     own = F.pmod(F.xxhash64(F.lit(17), "node"), F.col("n_blocks"))
     every = F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)
-    dealt = rows.join(sizes, group).withColumn("own", own).withColumn("block", F.explode(F.when(F.col("loose"), every).otherwise(F.array("own"))))
-    return dealt.withColumn("task", F.xxhash64(group, "block")).withColumn("home", F.col("own") == F.col("block")).drop("own", "block", "n_blocks")
+    dealt = rows.withColumn("n_blocks", size).withColumn("own", own).withColumn("block", F.explode(F.when(F.col("loose"), every).otherwise(F.array("own"))))
+    return dealt.withColumn("task", F.xxhash64(group, "block")).withColumn("home", F.col("own") == F.col("block")).drop("own", "block", "n_blocks", "members")
 
 
 def ngram_join(
@@ -315,19 +314,20 @@ def _classes(docs: DataFrame, threshold: float, n: int, tolerance: float, id_col
     nodes = filled.groupBy("digest").agg(F.min("text_key").alias("text_key"), F.count(F.lit(1)).alias("weight"), F.max("n_grams").alias("n_grams"))
 
     # candidates: buckets with more than one node
-    banded = filled.select("digest", F.explode("bands").alias("bucket")).distinct()
-    crowded = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("bucket")
-    crowded = materialize(banded.join(crowded, "bucket", "left_semi").select(F.col("digest").alias("node"), "bucket"), "join-buckets")
+    banded = materialize(filled.select(F.col("digest").alias("node"), F.explode("bands").alias("bucket")).distinct(), "join-bands")
+    sizes = materialize(banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "join-sizes")
+    crowded = materialize(skewed_join(banded, sizes, ["bucket"], "members", "left_semi"), "join-buckets")
     near = crowded.select(F.col("node").alias("digest")).distinct()
     sigs = filled.join(near, "digest", "left_semi").groupBy("digest").agg(F.first("sig").alias("sig"))
     sigs = materialize(sigs.select(F.col("digest").alias("node"), "sig"), "join-sigs")
     # each bucket's first node is compared with all; pairs of two nodes that it links need no look, the others meet in blocks
     leaders = crowded.groupBy("bucket").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("members"))
-    led = skewed_join(crowded, materialize(leaders, "join-leaders"), ["bucket"], "members").where("node <> leader")
-    led = led.join(sigs, "node").join(sigs.select(F.col("node").alias("leader"), F.col("sig").alias("leader_sig")), "leader")
+    leaders = materialize(leaders.join(sigs.select(F.col("node").alias("leader"), F.col("sig").alias("leader_sig")), "leader"), "join-leaders")
+    led = skewed_join(crowded, leaders, ["bucket"], "members").where("node <> leader").join(sigs, "node")
     judged = materialize(led.mapInArrow(lambda it: _leader_links(it, least), "bucket long, leader long, node long, linked boolean"), "join-led")
-    open_buckets = judged.where("not linked").select("bucket").distinct()
-    left_over = crowded.join(open_buckets, "bucket", "left_semi").join(judged.where("not linked").select("bucket", "node", F.lit(True).alias("loose")), ["bucket", "node"], "left")
+    apart = judged.where("not linked")
+    opened = materialize(leaders.select("bucket", "members").join(apart.select("bucket").distinct(), "bucket", "left_semi"), "join-open")
+    left_over = skewed_join(crowded, opened, ["bucket"], "members").join(apart.select("bucket", "node", F.lit(True).alias("loose")), ["bucket", "node"], "left")
     left_over = materialize(left_over.withColumn("loose", F.coalesce("loose", F.lit(False))), "join-loose")
     tasks = loose_blocks(left_over, "bucket").select("node", "loose", "home", F.col("task").alias("bucket")).join(sigs, "node")
     loose_links = (
