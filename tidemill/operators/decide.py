@@ -16,7 +16,7 @@ def label_or_review(confidence: Column, threshold: float) -> Column:
 def validated_output(raw: Column, categories: list[str]) -> Column:
     """ok, not_json, schema_mismatch or out_of_category: strict, nothing is repaired.
 
-    The output is an object with exactly category (string) and confidence (number from 0 to 1).
+    The output is an object with exactly category (string, no control characters) and confidence (number from 0 to 1).
     """
     parsed = F.try_parse_json(raw)
     keys = F.array_sort(F.json_object_keys(raw))
@@ -28,6 +28,7 @@ def validated_output(raw: Column, categories: list[str]) -> Column:
         & kinds.rlike(r"category: STRING")
         & ~kinds.rlike(r"confidence: (STRING|BOOLEAN|ARRAY|OBJECT|VOID)")
         & confidence.between(0, 1)
+        & ~category.rlike(r"[\x00-\x1f\x7f]")
     )
     return (
         F.when(parsed.isNull(), "not_json")

@@ -375,21 +375,31 @@ def identity_keys(spark, sf_dir):
 
 
 @query(
-    """
-    SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'ok' WHEN 1 THEN 'not_json' WHEN 2 THEN 'schema_mismatch' WHEN 3 THEN 'out_of_category' ELSE 'schema_mismatch' END AS verdict FROM events
+    r"""
+    WITH a AS (SELECT event_id, CASE event_id % 7 WHEN 1 THEN '{"category":"view","confidence":' WHEN 2 THEN '{"category":"view","confidence":0.5,"why":"x"}'
+        WHEN 3 THEN '{"category":"view","confidence":1.5}' WHEN 4 THEN '{"category":"view","confidence":"1"}' WHEN 5 THEN '{"category":"vi\u0007ew","confidence":0}' WHEN 6 THEN '["view",1]'
+        ELSE '{"confidence":0.' || lpad(CAST(event_id % 100 AS VARCHAR), 2, '0') || ',"category":"' || event_type || '"}' END AS raw FROM events)
+    SELECT event_id, CASE WHEN NOT json_valid(raw) THEN 'not_json'
+        WHEN json_type(raw) <> 'OBJECT' THEN 'schema_mismatch' WHEN list_sort(json_keys(raw)) <> ['category', 'confidence'] THEN 'schema_mismatch'
+        WHEN json_type(raw, '$.category') <> 'VARCHAR' OR json_type(raw, '$.confidence') NOT IN ('DOUBLE', 'UBIGINT', 'BIGINT') THEN 'schema_mismatch'
+        WHEN NOT CAST(raw->>'$.confidence' AS DOUBLE) BETWEEN 0 AND 1 OR regexp_matches(raw->>'$.category', '[\x00-\x1f\x7f]') THEN 'schema_mismatch'
+        WHEN (raw->>'$.category') NOT IN ('view', 'click') THEN 'out_of_category' ELSE 'ok' END AS verdict FROM a
     """
 )
 def llm_output_validate(spark, sf_dir):
-    """Made-up model outputs: good, cut off, with another key, of an unknown category, with a confidence over 1."""
-    k = F.col("event_id") % 5
+    """Made-up model outputs: right ones of all categories, one cut off, another key, a confidence over 1 and one as text, a control character, no object."""
+    k = F.col("event_id") % 7
+    right = F.concat(F.lit('{"confidence":0.'), F.lpad((F.col("event_id") % 100).cast("string"), 2, "0"), F.lit(',"category":"'), "event_type", F.lit('"}'))
     raw = (
-        F.when(k == 0, '{"category":"work","confidence":0.9}')
-        .when(k == 1, '{"category":"work","confidence":')
-        .when(k == 2, '{"category":"work","confidence":0.5,"why":"x"}')
-        .when(k == 3, '{"category":"other","confidence":0.5}')
-        .otherwise('{"category":"work","confidence":1.5}')
+        F.when(k == 1, '{"category":"view","confidence":')
+        .when(k == 2, '{"category":"view","confidence":0.5,"why":"x"}')
+        .when(k == 3, '{"category":"view","confidence":1.5}')
+        .when(k == 4, '{"category":"view","confidence":"1"}')
+        .when(k == 5, '{"category":"vi\\u0007ew","confidence":0}')
+        .when(k == 6, '["view",1]')
+        .otherwise(right)
     )
-    return table(spark, sf_dir, "events").select("event_id", decide.validated_output(raw, ["work", "home"]).alias("verdict"))
+    return table(spark, sf_dir, "events").select("event_id", decide.validated_output(raw, ["view", "click"]).alias("verdict"))
 
 
 @query(
