@@ -33,8 +33,7 @@ def run_folder(spark: SparkSession) -> str:
 
 def drop_run(spark: SparkSession) -> None:
     """Delete the intermediate tables of this application, once its results are written."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    delete(spark, run_folder(spark))
 
 
 #: Rows of a key from which a join treats it as hot, at least; and most hot keys.
@@ -56,14 +55,23 @@ def skewed_join(left: DataFrame, right: DataFrame, keys: list[str], n_col: str,
     return few.unionByName(rest)
 
 
+def written(df: DataFrame, name: str, by: list[str] | None = None) -> str:
+    """Write ``df`` as a Parquet table in the shared folder; gives its path."""
+    path = f"{run_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.partitionBy(*by or []).parquet(path)
+    return path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def materialize(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it again: lineage ends there,
     no row is computed twice, and a lost executor loses nothing. ``by`` names columns, the last ones
     of ``df``, that get a folder for each value."""
-    spark = df.sparkSession
-    path = f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.partitionBy(*by or []).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(written(df, name, by))
 
 
 def unused(df: DataFrame, *names: str) -> list[str]:

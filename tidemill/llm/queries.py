@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat_format import format_chats
+from .code_compression import compress_vectors
 from .common import table, text_of
 from .decontamination import find_contamination
 from .exact_dedup import exact_dedup
+from .filter_audit import filter_audit
 from .html_extraction import extract_main_text
+from .line_dedup import dedup_lines
 from .mixing import mix_sources
 from .ngram_join import ngram_join
 from .recurrent_lm import score_documents
@@ -72,6 +75,20 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"), held_out(1, 5))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256")
+    )
+
+
+def op12_code_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_ngram_join": op2_ngram_join,
@@ -83,4 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_toxicity": op9_toxicity,
     "op10_lm_scoring": op10_lm_scoring,
+    "op11_line_dedup": op11_line_dedup,
+    "op12_code_compression": op12_code_compression,
+    "op13_filter_audit": op13_filter_audit,
 }
