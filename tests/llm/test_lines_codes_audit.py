@@ -197,7 +197,7 @@ def test_heaps_rescan_little_and_stay_exact():
 
 def brute_audit(rows, labels):
     """rows: (id, text, lang); labels: (id, quality, toxic)."""
-    good, toxic = {i for i, a, _ in labels if a == 1}, {i for i, _, b in labels if b == 1}
+    good, toxic = ({x[0] for x in labels if x[k] == 1 and x[0] is not None} for k in (1, 2))
     least = {}
     for i, t, _ in rows:
         if i is not None:
