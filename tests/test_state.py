@@ -4,10 +4,13 @@ import datetime as dt
 import random
 from collections import Counter
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tidemill.operators import upsert
 from tidemill.sources import workspace
+from tidemill.streaming import states
 from tidemill.streaming.generations import GenerationStore
 from tidemill.streaming.keytable import KeyTable
 
@@ -175,3 +178,79 @@ def test_a_stream_reads_as_much_in_its_last_batch_as_in_its_first(spark, tmp_pat
     stored = ingest.read_or_empty(spark, f"{at}/store/*", f"{schema}, eligible boolean, batch_id long")
     assert rows_of(stored, "uid", "identity") == [(k, f"m{k}") for k in range(29)]
     assert max(opened[-3:]) <= 3 + 2 * 4
+
+
+# --- moves and bodies, by state
+
+MINUTE = 60_000_000
+
+
+def moved(*changes, waiting=(), wait=None):
+    return states.pair_changes(list(waiting), list(changes), wait)
+
+
+def test_pairs_of_changes():
+    assert moved(("a", "removed", 1), ("b", "added", 9)) == ([], [("corrected", "a", "b", 1, 9)])
+    assert moved(("b", "added", 1), ("a", "removed", 9)) == ([], [("corrected", "a", "b", 9, 1)])
+    assert moved(("a", "removed", 1), ("a", "added", 2)) == ([], [])  # put back
+    assert moved(("a", "removed", 1), ("a", "own-removed", 5)) == ([], [])  # an echo, even if it comes first
+    assert moved(("a", "own-removed", 1), ("a", "removed", 1), ("b", "own-added", 2)) == ([("b", "own-added", 2)], [])
+    assert moved(("b", "added", 20), waiting=[("b", "own-added", 2)], wait=50) == ([], [])
+    assert moved(("b", "added", 20), waiting=[("b", "own-added", 2)], wait=5) == ([("b", "added", 20)], [])
+    assert moved(("x", "added", 20), waiting=[("a", "removed", 2), ("c", "removed", 1)]) == ([("a", "removed", 2)], [("corrected", "c", "x", 1, 20)])
+    assert moved(("x", "added", 20), waiting=[("a", "removed", 2)], wait=5) == ([("x", "added", 20)], [("rejected", "a", None, 2, None)])
+    assert moved(("x", "added", 7), waiting=[("a", "removed", 2)], wait=5) == ([], [("corrected", "a", "x", 2, 7)])
+
+
+def changes_of(seed, n=160):
+    r = random.Random(seed)
+    rows = [(f"m{r.randrange(12)}", r.choice("abc"), r.choice(["removed", "added", "removed", "added", "own-added", "own-removed"]), T0 + dt.timedelta(minutes=k, microseconds=k)) for k in range(n)]
+    return rows + [(None, "a", "removed", T0), ("m1", None, "removed", T0), ("m1", "a", "moved", T0), ("m1", "a", "added", None)]
+
+
+@pytest.mark.parametrize("cuts", [[], [37, 38, 120]])
+def test_moves_give_the_same_rows_in_any_batches(spark, tmp_path, cuts):
+    rows, wait = changes_of(3), 30 * MINUTE
+    df = spark.createDataFrame(rows, "message string, folder string, kind string, at timestamp")
+    cuts = [T0 + dt.timedelta(minutes=c) for c in cuts]
+    found = states.replayed(df, "at", cuts, lambda s: states.relabels(s, pd.Timedelta(minutes=30)), str(tmp_path))
+    micros = lambda t: None if t is None else round((t - T0).total_seconds() * 1e6)
+    got = [(r.message, r.outcome, r.from_folder, r.to_folder, micros(r.removed_at), micros(r.added_at)) for r in found.collect()]
+    want, end = [], max(micros(r[3]) for r in rows if r[3])
+    for m in {r[0] for r in rows if r[0]}:
+        waiting, done = states.pair_changes([], [(f, k, micros(t)) for i, f, k, t in rows if i == m and None not in (f, t) and k != "moved"], wait)
+        done += [states._expired(w) for w in waiting if w[1] in states.OTHER and w[2] + wait <= end]
+        want += [(m, *d) for d in done]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert {r[1] for r in got} == {"corrected", "rejected", "ambiguous"}
+
+
+def brute_bodies(events, clock):
+    """Survivors as a table with a sweep before each event would leave them."""
+    held, decided = {}, {}
+    for message, kind, at in sorted(events, key=lambda e: (e[2], e[1] != "decision")):
+        held = {m: h for m, h in held.items() if h[1] is None or h[1] > at}
+        if kind == "decision":
+            decided.setdefault(message, at)
+            if message in held and held[message][1] is None:
+                held[message] = (held[message][0], at + dt.timedelta(days=7))
+        else:
+            held.setdefault(message, (at, at + dt.timedelta(days=7) if message in decided else None))
+    return sorted((m, *h) for m, h in held.items() if h[1] is None or h[1] > clock)
+
+
+@pytest.mark.parametrize("n_cuts", [0, 3])
+def test_bodies_expire_as_a_sweep_would_leave_them(spark, tmp_path, n_cuts):
+    r = random.Random(5)
+    events = [(f"m{r.randrange(30)}", r.choice(["body", "body", "decision"]), T0 + dt.timedelta(hours=3 * k, microseconds=1000 * k)) for k in range(150)]
+    df = spark.createDataFrame([*events, (None, "body", T0), ("m1", "body", None), ("m1", "other", T0)], "message string, kind string, at timestamp")
+    cuts = [events[k * 150 // (n_cuts + 1)][2] for k in range(1, n_cuts + 1)]
+    changes = states.replayed(df.where("at is not null"), "at", cuts, states.body_expiry, str(tmp_path))
+    got = sorted((x.message, x.stored_at, x.expires_at) for x in states.surviving_bodies(changes).collect())
+    clock = events[-1][2]
+    assert sorted(map(repr, got)) == sorted(map(repr, brute_bodies(events, clock)))
+    kept = spark.createDataFrame(got, "message string, stored_at timestamp, expires_at timestamp")
+    assert upsert.unexpired(kept, F.lit(clock)).count() == len(got) > 5
+    assert changes.where("kind = 'expired'").count() > 5
+    numbers = [(x.message, x.change) for x in changes.collect()]
+    assert len(set(numbers)) == len(numbers)  # each change once
