@@ -131,13 +131,13 @@ def correction_route(tier: Column) -> Column:
     return F.when(tier == "exact_rules", "rules").when(tier.isin("llm", "classifier"), "examples").otherwise("review")
 
 
-def neighbour_vote(queries: DataFrame, vectors: DataFrame, k: int, least_examples: int = 15, threshold: float = 0.85) -> DataFrame:
-    """(vec_id, label, share, outcome): the label that most of the ``k`` most similar vectors have, by cosine rounded to six places.
+def neighbour_votes(queries: DataFrame, vectors: DataFrame, k: int, least_examples: int = 15) -> DataFrame:
+    """(vec_id, label, n, nearest): how many of the ``k`` most similar vectors have each label, by cosine rounded to six places, and the up to three nearest of them.
 
     ``queries`` are a stated set, sent to the tasks that hold ``vectors`` in blocks of about QUERY_BLOCK,
     one pass over the vectors for each; a task passes on only the best of its own (the rank filter is pushed into its side
     of the shuffle). A vector is no neighbour of itself. Labels with fewer than ``least_examples`` vectors
-    take no part; a share below ``threshold`` is a review.
+    take no part.
     """
     from functools import reduce
 
@@ -157,7 +157,13 @@ def neighbour_vote(queries: DataFrame, vectors: DataFrame, k: int, least_example
         return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("s"), "n_id"))).where(F.col("rank") <= k)
 
     near = reduce(DataFrame.unionByName, [nearest(b) for b in range(n_blocks)])
-    votes = near.groupBy("vec_id", "label").agg(F.count(F.lit(1)).alias("n"))
+    first = F.transform(F.slice(F.array_sort(F.collect_list(F.struct("rank", "n_id"))), 1, 3), lambda x: x["n_id"])
+    return near.groupBy("vec_id", "label").agg(F.count(F.lit(1)).alias("n"), first.alias("nearest"))
+
+
+def neighbour_vote(queries: DataFrame, vectors: DataFrame, k: int, least_examples: int = 15, threshold: float = 0.85) -> DataFrame:
+    """(vec_id, label, share, outcome): the label that most of the neighbours have (``neighbour_votes``); a share below ``threshold`` is a review."""
+    votes = neighbour_votes(queries, vectors, k, least_examples)
     best = votes.groupBy("vec_id").agg(F.max(F.struct("n", (-F.col("label")).alias("order"))).alias("b"), F.sum("n").alias("all"))
     share = F.round(F.col("b.n") / F.col("all"), 6)
     return best.select("vec_id", (-F.col("b.order")).alias("label"), share.alias("share"), F.when(share >= threshold, "label").otherwise("review").alias("outcome"))

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import normalise
+from .phrases import FEW, phrase_rules
+
 #: One row for each entry of a rule: its place, the field it looks at, the entry and the label that the rule gives.
 ENTRY_SCHEMA = T.StructType(
     [
@@ -21,7 +24,7 @@ MAX_RULES, MAX_ENTRIES = 500, 100
 
 
 def rule_entries(spark, rules: list[dict]) -> DataFrame:
-    """Checked rules as entries. A rule is {"match": {"from": [...], "domain": [...], "phrase": [...], "in": "any"}, "label": ...}."""
+    """Checked rules as entries; phrases are normalised as texts are. A rule is {"match": {"from": [...], "domain": [...], "phrase": [...], "in": "any"}, "label": ...}."""
     if len(rules) > MAX_RULES:
         raise ValueError(f"more than {MAX_RULES} rules")
     rows = []
@@ -33,15 +36,17 @@ def rule_entries(spark, rules: list[dict]) -> DataFrame:
         if "in" in wanted and not wanted.get("phrase"):
             raise ValueError(f"rule {i}: 'in' needs a phrase")
         for f, e in entries:
-            rows.append((i, f, wanted.get("in", "any") if f == "phrase" else None, e.lower().rstrip(".") if f == "domain" else e.lower(), rule["label"]))
-    return spark.createDataFrame(rows, ENTRY_SCHEMA)
+            rows.append((i, f, wanted.get("in", "any") if f == "phrase" else None, e if f == "phrase" else e.lower().rstrip(".") if f == "domain" else e.lower(), rule["label"]))
+    entries = spark.createDataFrame(rows, ENTRY_SCHEMA)
+    plain = all(r[3].isascii() for r in rows)
+    return entries.withColumn("entry", F.when(F.col("field") == "phrase", normalise(F.col("entry"), plain)).otherwise(F.col("entry")))
 
 
-def _one_row(entries: DataFrame) -> DataFrame:
-    """All entries as one row, bounded by the checks on load: addresses and domains as maps to their rules, phrases as an array, and each rule's fields and label."""
+def _one_row(entries: DataFrame, with_phrases: bool) -> DataFrame:
+    """All entries as one row, bounded by the checks on load: addresses and domains as maps to their rules, few phrases as an array, and each rule's fields and label."""
     by = {f: entries.where(F.col("field") == f) for f in ("from", "domain", "phrase")}
     maps = [by[f].groupBy("entry").agg(F.array_sort(F.collect_set("rule")).alias("r")).agg(F.map_from_entries(F.collect_list(F.struct("entry", "r"))).alias(f"__{f}")) for f in ("from", "domain")]
-    phrases = by["phrase"].where("entry <> ''").agg(F.array_sort(F.collect_list(F.struct("rule", "place", "entry"))).alias("__phrases"))
+    phrases = by["phrase"].where("entry <> ''" if with_phrases else "false").agg(F.array_sort(F.collect_list(F.struct("rule", "place", "entry"))).alias("__phrases"))
     totals = entries.groupBy("rule").agg(F.countDistinct("field").cast("int").alias("total"), F.first("label").alias("label"))
     about = totals.agg(F.map_from_entries(F.collect_list(F.struct("rule", F.struct("total", "label")))).alias("__rules"), F.min_by(F.struct("rule", "total"), "rule").alias("__first"))
     return maps[0].crossJoin(maps[1]).crossJoin(phrases).crossJoin(about)
@@ -52,8 +57,11 @@ def with_hits(messages: DataFrame, entries: DataFrame) -> DataFrame:
 
     ``messages`` has id, from_address, from_domain, subject and body (normalised). An address is looked
     up in a map; a domain too, by the suffixes of the sender's domain at label boundaries; a phrase is
-    literal containment, so no pattern is ever built from data. Each message is read once and no row moves.
+    literal containment, so no pattern is ever built from data; more than FEW phrases are found in one pass
+    (``phrase_rules``). Each message is read once and no row moves.
     """
+    listed = entries.where("field = 'phrase' and entry <> ''").select("rule", "place", "entry").limit(MAX_RULES * MAX_ENTRIES + 1).collect()
+    many = len(listed) > FEW
     parts = F.split(F.regexp_replace(F.lower("from_domain"), r"\.$", ""), r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "."))
     none = F.array().cast("array<int>")
@@ -62,10 +70,11 @@ def with_hits(messages: DataFrame, entries: DataFrame) -> DataFrame:
     domain = F.when(F.col("from_domain").isNull(), none).otherwise(F.flatten(F.transform(suffixes, lambda s: found("__domain", s))))
     subject, body = F.coalesce("subject", F.lit("")), F.coalesce("body", F.lit(""))
     in_text = lambda p: ((p["place"] != "body") & F.contains(subject, p["entry"])) | ((p["place"] != "subject") & F.contains(body, p["entry"]))
-    phrase = F.transform(F.filter("__phrases", in_text), lambda p: p["rule"])
+    phrase = F.col("__phrase_rules") if many else F.transform(F.filter("__phrases", in_text), lambda p: p["rule"])
+    read = messages.withColumn("__phrase_rules", phrase_rules(messages.sparkSession, [tuple(r) for r in listed])) if many else messages
     mark = lambda rules, field: F.transform(rules, lambda r: F.struct(r.alias("rule"), F.lit(field).alias("field")))
     hits = F.array_distinct(F.concat(mark(address, "from"), mark(domain, "domain"), mark(phrase, "phrase")))
-    return messages.crossJoin(F.broadcast(_one_row(entries))).withColumn("hits", hits)
+    return read.crossJoin(F.broadcast(_one_row(entries, not many))).withColumn("hits", hits)
 
 
 def entry_matches(messages: DataFrame, entries: DataFrame) -> DataFrame:

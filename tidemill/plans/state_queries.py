@@ -1,4 +1,4 @@
-"""Queries that keep state: generations, streams by message. What a table stands for is said where it is used."""
+"""Queries that keep state, learn or evaluate: generations, streams by message, the embedding tier, curves, previews. What a table stands for is said where it is used."""
 
 from __future__ import annotations
 
@@ -6,10 +6,11 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from ..operators import classifier, evaluation, phrases, rules
 from ..sources import workspace
 from ..streaming import states
 from ..streaming.generations import GenerationStore
-from .queries import query, table
+from .queries import _MESSAGES_SQL, RULES, _messages, query, table
 
 
 @query(
@@ -77,3 +78,75 @@ def body_expiry_stream(spark, sf_dir):
     rows = bodies.unionByName(decisions.select("message", "at", "kind"))
     found = states.replayed(rows, "at", _CUTS, states.body_expiry, workspace.scratch(spark, "bodies"))
     return states.surviving_bodies(found).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("stored_at", "expires_at")})
+
+
+@query()
+def embedding_tier(spark, sf_dir):
+    """Vectors with an id divisible by 20 are asked, all are confirmed examples; each is scored by a model that never saw it, and by its neighbours."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return classifier.embedding_tier(vectors, vectors.where("vec_id % 20 = 0"))
+
+
+@query(
+    """
+    WITH p AS (SELECT DISTINCT CAST(doc_id % 500 AS INTEGER) AS rule, lower(array_to_string(string_split(text, ' ')[1:2], ' ')) AS entry FROM documents WHERE contains(text, ' '))
+    SELECT DISTINCT d.doc_id AS id, p.rule FROM documents d JOIN p ON contains(lower(d.text), p.entry) WHERE p.entry <> ''
+    """
+)
+def many_phrases(spark, sf_dir):
+    """The first two words of every document are phrases (of 500 rules, as many as rules may hold); each is looked for in every document."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lit(None).cast("string").alias("subject"), "text")
+    start = F.lower(F.substring_index("text", " ", 2))
+    entries = docs.where(F.contains("text", F.lit(" "))).select((F.col("id") % 500).cast("int").alias("rule"), F.lit("body").alias("place"), start.alias("entry")).distinct()
+    return phrases.phrase_matches(docs.select("id", "subject", F.lower("text").alias("body")), entries)
+
+
+_DECISIONS = "o_custkey % 7 AS mailbox, o_orderkey AS message, o_orderstatus AS category, o_orderdate AS t"
+
+
+@query(
+    f"""
+    WITH d AS (SELECT {_DECISIONS} FROM orders),
+    c AS (SELECT mailbox, l_orderkey AS message, l_linestatus AS category, l_shipdate AS t FROM lineitem JOIN d ON message = l_orderkey),
+    truth AS (SELECT mailbox, message, arg_max(category, (t, category)) AS truth FROM c GROUP BY ALL),
+    asked AS (SELECT d.mailbox, d.category = truth AS good, (SELECT count(*) FROM c WHERE c.mailbox = d.mailbox AND c.t < d.t) // 100 * 100 AS examples FROM d JOIN truth USING (mailbox, message)),
+    s AS (SELECT mailbox, examples::BIGINT AS examples, count(*) AS n, count(*) FILTER (WHERE good) AS n_correct FROM asked GROUP BY ALL)
+    SELECT mailbox, examples, n, n_correct, round(n_correct / n, 6) AS accuracy, (sum(n) OVER w)::BIGINT AS n_so_far, round(sum(n_correct) OVER w / sum(n) OVER w, 6) AS accuracy_so_far
+    FROM s WINDOW w AS (PARTITION BY mailbox ORDER BY examples)
+    """
+)
+def learning_curve(spark, sf_dir):
+    """Orders are decided messages of seven mailboxes, their lines confirmations of a status."""
+    decisions = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 7).alias("mailbox"), F.col("o_orderkey").alias("message"), F.col("o_orderstatus").alias("category"), F.col("o_orderdate").alias("at"))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("message"), F.col("l_linestatus").alias("category"), F.col("l_shipdate").alias("at"))
+    return evaluation.learning_curve(decisions, lines.join(decisions.select("mailbox", "message"), "message"), "mailbox", "message")
+
+
+@query(
+    """
+    WITH s AS (SELECT l_returnflag AS tier, list(l_extendedprice ORDER BY l_extendedprice) AS v FROM lineitem GROUP BY 1)
+    SELECT tier, v[ceil(0.5 * len(v))::BIGINT] AS p50, v[ceil(0.95 * len(v))::BIGINT] AS p95, v[ceil(0.999 * len(v))::BIGINT] AS p999 FROM s
+    """
+)
+def latency_by_tier(spark, sf_dir):
+    """Return flags are tiers, prices of lines are latencies."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("tier"), "l_extendedprice")
+    return evaluation.nearest_ranks_by(lines, ["tier"], "l_extendedprice", {"p50": 0.5, "p95": 0.95, "p999": 0.999})
+
+
+@query(
+    f"""
+    WITH {_MESSAGES_SQL}, recent AS (SELECT doc_id AS id, source AS mailbox FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id DESC) <= 20),
+    w AS (SELECT id, mailbox, min(rule) FILTER (WHERE met = total) AS a, min(rule) FILTER (WHERE met = total AND rule <> 1) AS b FROM flat JOIN recent USING (id) GROUP BY ALL),
+    x AS (SELECT mailbox, ['org', 'legal', 'secret', 'trusted', 'net'][a + 1] AS before, ['org', 'legal', 'secret', 'trusted', 'net'][b + 1] AS after, CASE WHEN quality = 1 THEN 'net' ELSE 'trusted' END AS truth, l.doc_id IS NOT NULL AS known
+          FROM w LEFT JOIN labels l ON l.doc_id = id)
+    SELECT mailbox, before, after, count(*) FILTER (WHERE before IS DISTINCT FROM after) AS n, count(*) FILTER (WHERE known AND after <> truth) AS n_conflicts FROM x
+    WHERE before IS DISTINCT FROM after OR (known AND after <> truth) GROUP BY ALL
+    """
+)
+def rule_preview(spark, sf_dir):
+    """Sources are mailboxes; the second rule goes; labels say what the owner confirmed; of each mailbox the 20 longest documents are the newest."""
+    entries = rules.rule_entries(spark, RULES)
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("mailbox"), "n_chars")
+    confirmed = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.when(F.col("quality") == 1, "net").otherwise("trusted").alias("label"), F.lit(0).alias("at"))
+    return evaluation.rule_preview(_messages(spark, sf_dir).join(docs, "id"), entries, entries.where("rule <> 1"), confirmed, "mailbox", ["n_chars", "id"], 20)
