@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import SPACE
+from .canonical import canonical
+from .text import SPACE, fold_space, strip_nul
 
 # Prefixes and pattern of identity keys.
 IDENTITY_PATTERN = r"^(pm:.+|mid:.+|hdr:v[0-9]+:[0-9a-f]{64})$"
@@ -27,21 +28,28 @@ def message_id(raw: Column) -> Column:
 
 
 def canonical_array(values: list[Column]) -> Column:
-    """A JSON array of strings and nulls without white space, control characters escaped."""
-    return F.to_json(F.array(*[v.cast("string") for v in values]))
+    """A JSON array of strings and nulls in canonical form."""
+    return canonical(F.array(*[v.cast("string") for v in values]), "array<string>")
 
 
 def canonical_map(entries: Column) -> Column:
-    """A map of strings as JSON with its keys in order; null values are kept. Keys beyond the basic plane sort by code point."""
-    inner = lambda v: F.to_json(F.array(v))
-    bare = lambda v: F.substring(inner(v), F.lit(2), F.length(inner(v)) - 2)
-    pairs = F.transform(F.array_sort(F.map_entries(entries)), lambda e: F.concat(bare(e["key"]), F.lit(":"), bare(e["value"])))
-    return F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))
+    """A map of strings as canonical JSON; null values are kept."""
+    return canonical(entries, "map<string,string>")
 
 
-def header_hash(values: list[Column], size: Column) -> Column:
-    """The hash of stable headers in a fixed order and the message's size; absent ones are null."""
-    return content_hash(canonical_array([*values, size]))
+#: Fixed value: the headers that stand for a message without an id, in order.
+STABLE_HEADERS = ("date", "from", "to", "cc", "subject", "in-reply-to")
+
+
+def header_hash(headers: Column, size: Column) -> Column:
+    """The hash of a message's stable headers, each with its name and all its values, and its size (null if unknown).
+
+    ``headers`` maps names in small letters to arrays of values, not decoded; a header that is absent has none. Values lose NUL, and white space
+    at their ends; runs of white space inside become one space.
+    """
+    values = lambda name: F.coalesce(F.transform(F.try_element_at(headers, F.lit(name)), lambda v: fold_space(strip_nul(v))), F.array().cast("array<string>"))
+    pairs = [F.concat(F.lit(f'["{name}",'), canonical(values(name), "array<string>"), F.lit("]")) for name in STABLE_HEADERS]
+    return content_hash(F.concat(F.lit("["), F.concat_ws(",", *pairs, canonical(size.cast("long"), "long")), F.lit("]")))
 
 
 def content_hash(canonical: Column) -> Column:

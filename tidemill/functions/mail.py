@@ -11,25 +11,32 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import StringType, TimestampNTZType
+from pyspark.sql.types import ArrayType, StringType, TimestampNTZType
+
+from .text import strip_nul
 
 # Values of a header, code points of a value, attachments of a message.
 MAX_VALUES, MAX_VALUE, MAX_ATTACHMENTS = 20, 2000, 100
 
 
+def _decode(value: str | None) -> str | None:
+    """Encoded words decoded; what cannot be decoded stays as it is."""
+    if value is None or "=?" not in value:
+        return value
+    try:
+        return str(make_header(decode_header(value)))
+    except (ValueError, LookupError, UnicodeError):
+        return value
+
+
 @pandas_udf(StringType())
 def _decoded(s: pd.Series) -> pd.Series:
-    """Encoded words decoded; what cannot be decoded stays as it is."""
+    return s.map(_decode)
 
-    def decode(value):
-        if value is None or "=?" not in value:
-            return value
-        try:
-            return str(make_header(decode_header(value)))
-        except (ValueError, LookupError, UnicodeError):
-            return value
 
-    return s.map(decode)
+@pandas_udf(ArrayType(StringType()))
+def _decoded_all(s: pd.Series) -> pd.Series:
+    return s.map(lambda values: None if values is None else [_decode(v) for v in values])
 
 
 def decoded_words(value: Column) -> Column:
@@ -37,17 +44,19 @@ def decoded_words(value: Column) -> Column:
     return F.when(F.contains(value, F.lit("=?")), _decoded(value)).otherwise(value)
 
 
-def header_fields(block: Column) -> Column:
-    """array<struct<name, value>> of a raw header block: folded lines joined, names in lower case, bad names dropped."""
+def header_fields(block: Column, decode: bool = False) -> Column:
+    """array<struct<name, value>> of a raw header block: folded lines joined, names in lower case, bad names dropped.
+
+    With ``decode`` encoded words are decoded, which comes before values lose NUL and are cut to MAX_VALUE code points; keys and hashes of
+    messages read the values as they were sent. Blocks without encoded words stay in the JVM.
+    """
     unfolded = F.regexp_replace(F.regexp_replace(block, r"\r\n?", "\n"), r"\n[ \t]+", " ")
     lines = F.filter(F.split(unfolded, "\n"), lambda x: x.rlike(r"^[!-9;-~]+[ \t]*:"))
-    return F.transform(
-        lines,
-        lambda x: F.struct(
-            F.lower(F.regexp_extract(x, r"^([!-9;-~]+)", 1)).alias("name"),
-            F.substring(F.trim(F.regexp_replace(F.regexp_replace(x, r"^[^:]*:", ""), r"[\t ]+", " ")), 1, MAX_VALUE).alias("value"),
-        ),
-    )
+    names = F.transform(lines, lambda x: F.lower(F.regexp_extract(x, r"^([!-9;-~]+)", 1)))
+    values = F.transform(lines, lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, r"^[^:]*:", ""), r"[\t ]+", " ")))
+    if decode:
+        values = F.when(F.contains(block, F.lit("=?")), _decoded_all(values)).otherwise(values)
+    return F.zip_with(names, values, lambda n, v: F.struct(n.alias("name"), F.substring(strip_nul(v), 1, MAX_VALUE).alias("value")))
 
 
 def header_values(fields: Column, name: str) -> Column:
@@ -63,10 +72,11 @@ def header_map(fields: Column) -> Column:
 
 
 def display_name(header: Column) -> Column:
-    """The name in a From header: quoted or bare before the address; null without one."""
-    before = F.trim(F.regexp_extract(header, r"^\s*([^<]*)<[^>]*>", 1))
-    bare = F.trim(F.regexp_replace(F.regexp_replace(before, r'^"|"$', ""), r"\\(.)", "$1"))
-    return F.nullif(bare, F.lit(""))
+    """The name of the first address in a From header: the words before its brackets, quoted ones without their quotes, or the comment after a bare address; null without one."""
+    before = F.regexp_extract(header, r'^\s*((?:"(?:[^"\\]|\\.)*"|[^<",])*)<[^>]*>', 1)
+    bare = F.regexp_replace(F.regexp_replace(before, r'"((?:[^"\\]|\\.)*)"', "$1"), r"\\(.)", "$1")
+    comment = F.regexp_extract(header, r'^\s*[^\s<>",()]+@[^\s<>",()]+\s*\(([^)]*)\)', 1)
+    return F.coalesce(F.nullif(F.trim(bare), F.lit("")), F.nullif(F.trim(comment), F.lit("")))
 
 
 _MAIL_DATE = re.compile(r"^\s*(?:[A-Za-z]{3},)?\s*\d{1,2}\s+[A-Za-z]{3}\s+\d{4}\s+\d{2}:\d{2}")

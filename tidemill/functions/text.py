@@ -45,6 +45,11 @@ def utf16_cut(text: Column, n: int) -> Column:
     return F.when(F.length(text) * 2 <= n, text).otherwise(cut(text))
 
 
+def utf16_units(text: Column) -> Column:
+    """How many UTF-16 units a text has: each code point beyond the basic plane, four bytes in UTF-8, counts two."""
+    return (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("int")
+
+
 def strip_nul(text: Column) -> Column:
     return F.replace(text, F.lit("\x00"), F.lit(""))
 

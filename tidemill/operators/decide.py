@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.canonical import strict_json
+from ..functions.text import SPACE
 from .upsert import last_of
 
 
@@ -13,29 +18,57 @@ def label_or_review(confidence: Column, threshold: float) -> Column:
     return F.when(confidence >= F.lit(threshold), "label").otherwise("review")
 
 
-def validated_output(raw: Column, categories: list[str]) -> Column:
-    """ok, not_json, schema_mismatch or out_of_category: strict, nothing is repaired.
+#: Code points of a reason, and the characters that it must not hold.
+REASON_MAX = 200
+REASON_CONTROL = r"[\x00-\x1f\x7f-\x9f\u2028\u2029]"
+ANSWER = "verdict string, reason string, category string, confidence double"
+
+
+def read_answer(raw: str | None, categories: set[str]) -> tuple:
+    """(verdict, reason, category, confidence) of one model output: strict, nothing is repaired.
 
-    The output is an object with exactly category (string, no control characters) and confidence (number from 0 to 1).
+    The output is one JSON object, with nothing after it, of exactly reason (1 to REASON_MAX code points without the white space at its ends, no control
+    characters, no half of a pair), category (one of the list) and confidence (a number from 0 to 1). A text that is no JSON is not_json; a category that is a string
+    but not on the list is out_of_category, whatever else is wrong; anything else is schema_mismatch. Of a repeated key the last counts.
     """
-    parsed = F.try_parse_json(raw)
-    keys = F.array_sort(F.json_object_keys(raw))
-    category = F.try_variant_get(parsed, "$.category", "string")
-    kinds = F.schema_of_variant(parsed)
-    confidence = F.try_variant_get(parsed, "$.confidence", "double")
-    shaped = (
-        keys.eqNullSafe(F.array(F.lit("category"), F.lit("confidence")))
-        & kinds.rlike(r"category: STRING")
-        & ~kinds.rlike(r"confidence: (STRING|BOOLEAN|ARRAY|OBJECT|VOID)")
-        & confidence.between(0, 1)
-        & ~category.rlike(r"[\x00-\x1f\x7f]")
-    )
-    return (
-        F.when(parsed.isNull(), "not_json")
-        .when(~F.coalesce(shaped, F.lit(False)), "schema_mismatch")
-        .when(~category.isin(categories), "out_of_category")
-        .otherwise("ok")
+    try:
+        answer = strict_json(raw or "")
+    except RecursionError:  # arrays within arrays are no answer
+        return "schema_mismatch", None, None, None
+    except ValueError:
+        return "not_json", None, None, None
+    if not isinstance(answer, dict):
+        return "schema_mismatch", None, None, None
+    reason, category, confidence = (answer.get(k) for k in ("reason", "category", "confidence"))
+    if isinstance(category, str) and category not in categories:
+        return "out_of_category", None, None, None
+    trimmed = re.sub(f"^{SPACE}+|{SPACE}+$", "", reason) if isinstance(reason, str) else ""
+    good = (
+        answer.keys() == {"reason", "category", "confidence"}
+        and isinstance(category, str)
+        and 1 <= len(trimmed) <= REASON_MAX
+        and not re.search(REASON_CONTROL, trimmed)
+        and not re.search("[\ud800-\udfff]", trimmed)
+        and isinstance(confidence, float)
+        and 0 <= confidence <= 1
     )
+    return ("ok", trimmed, category, confidence) if good else ("schema_mismatch", None, None, None)
+
+
+def model_answer(raw: Column, categories: list[str]) -> Column:
+    """struct<verdict, reason, category, confidence> of model outputs, by ``read_answer``; the last three are null unless the verdict is ok. A null output is not_json."""
+    known = set(categories)
+
+    @F.pandas_udf(ANSWER)
+    def read(s: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([read_answer(x, known) for x in s], columns=["verdict", "reason", "category", "confidence"])
+
+    return read(raw)
+
+
+def validated_output(raw: Column, categories: list[str]) -> Column:
+    """ok, not_json, schema_mismatch or out_of_category (``read_answer``)."""
+    return model_answer(raw, categories)["verdict"]
 
 
 def http_failure(status: Column) -> Column:

@@ -5,23 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .decide import http_failure, validated_output
+from .decide import http_failure, model_answer
 
 # Context and answer tokens, attempts, passes in which a message may fail alone, and how many may in a pass.
 CONTEXT_TOKENS, ANSWER_TOKENS = 8192, 256
 ATTEMPTS = 2
 FAILED_PASSES, FAILURES_PER_PASS = 3, 2
+#: Most codes of the table of error classes.
+MAX_CODES = 1000
 #: Vectors of a search that are sent to all tasks at once.
 QUERY_BLOCK = 10_000
 
 
-def answer_verdict(status: Column, raw: Column, done_reason: Column, prompt_tokens: Column, categories: list[str]) -> Column:
-    """Of one recorded answer: infra, input_too_long, truncated, or what ``validated_output`` says."""
+def answer_verdict(status: Column, verdict: Column, done_reason: Column, prompt_tokens: Column) -> Column:
+    """Of one recorded answer: infra, input_too_long, truncated, or the verdict on its text."""
     return (
         F.when(status.isNull() | (status >= 400), "infra")
         .when(prompt_tokens >= CONTEXT_TOKENS - ANSWER_TOKENS, "input_too_long")
         .when(done_reason == "length", "truncated")
-        .otherwise(validated_output(raw, categories))
+        .otherwise(verdict)
     )
 
 
@@ -31,12 +33,9 @@ def tier_results(answers: DataFrame, key: str, categories: list[str]) -> DataFra
     The second attempt counts only if the first was invalid output; an outage ends the message without a
     decision. A message's attempts are folded by one aggregation.
     """
-    raw = F.col("raw")
-    seen = answers.where(F.col("attempt") <= ATTEMPTS).withColumn("verdict", answer_verdict(F.col("status"), raw, F.col("done_reason"), F.col("prompt_tokens"), categories))
-    parsed = F.try_parse_json(raw)
-    step = F.struct(
-        "verdict", "status", F.try_variant_get(parsed, "$.category", "string").alias("category"), F.try_variant_get(parsed, "$.confidence", "double").alias("confidence")
-    )
+    read = answers.where(F.col("attempt") <= ATTEMPTS).withColumn("__read", model_answer(F.col("raw"), categories))
+    seen = read.withColumn("verdict", answer_verdict(F.col("status"), F.col("__read.verdict"), F.col("done_reason"), F.col("prompt_tokens")))
+    step = F.struct("verdict", "status", F.col("__read.category").alias("category"), F.col("__read.confidence").alias("confidence"))
     at = lambda k: F.max(F.when(F.col("attempt") == k, step))
     folded = seen.groupBy(key).agg(at(1).alias("a"), at(2).alias("b"))
     again = F.col("a.verdict").isin("not_json", "schema_mismatch", "out_of_category", "truncated") & F.col("b").isNotNull()
@@ -81,10 +80,12 @@ def backoff(failures: Column, base: float, cap: float, jitter: Column) -> Column
 
 def error_classes(errors: DataFrame, codes: DataFrame, causes: str = "causes") -> DataFrame:
     """``errors`` with ``error_class``: that of the first code among an error and its causes (five at most) that the table ``codes`` (code, error_class) knows."""
-    steps = errors.withColumn("__id", F.monotonically_increasing_id())
-    found = steps.select("__id", F.posexplode(F.slice(causes, 1, 5)).alias("place", "code")).join(codes, "code")
-    first = found.groupBy("__id").agg(F.min_by("error_class", "place").alias("error_class"))
-    return steps.join(first, "__id", "left").withColumn("error_class", F.coalesce("error_class", F.lit("unknown"))).drop("__id")
+    known = {r["code"]: r["error_class"] for r in codes.limit(MAX_CODES + 1).collect()}
+    if len(known) > MAX_CODES:
+        raise ValueError(f"more than {MAX_CODES} codes")
+    table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair]) if known else F.create_map().cast("map<string,string>")
+    classes = F.filter(F.transform(F.slice(causes, 1, 5), lambda c: F.try_element_at(table, c)), lambda c: c.isNotNull())
+    return errors.withColumn("error_class", F.coalesce(F.get(classes, F.lit(0)), F.lit("unknown")))
 
 
 def rerun_selection(messages: DataFrame, decisions: DataFrame, key: str, ids: DataFrame | None = None, since=None, pending_only: bool = False, time: str = "internal_date") -> DataFrame:

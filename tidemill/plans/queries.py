@@ -374,31 +374,43 @@ def identity_keys(spark, sf_dir):
     return pages.select("page_id", key.alias("identity"))
 
 
+_WRONG_ANSWERS = [
+    '{"reason":"r","category":"view","confidence":',
+    '{"reason":"r","category":"view","confidence":0.5,"why":"x"}',
+    '{"reason":"r","category":"view","confidence":1.5}',
+    '{"reason":"r","category":"view","confidence":"1"}',
+    '{"reason":"vi\\u0007ew","category":"view","confidence":0}',
+    '["view",1]',
+    '{"category":"view","confidence":0.5}',
+    '{"reason":"  ","category":"view","confidence":0.5}',
+    ' {"reason":"r","category":"view","confidence":0.5} x',
+    '{"reason":"a\\u2028b","category":"view","confidence":0.5}',
+    '{"reason":"r","category":"View","confidence":7}',
+    '{"reason":"r","category":null,"confidence":0.5}',
+    '{"reason":"r","category":"view","confidence":NaN}',
+]
+
+
 @query(
-    r"""
-    WITH a AS (SELECT event_id, CASE event_id % 7 WHEN 1 THEN '{"category":"view","confidence":' WHEN 2 THEN '{"category":"view","confidence":0.5,"why":"x"}'
-        WHEN 3 THEN '{"category":"view","confidence":1.5}' WHEN 4 THEN '{"category":"view","confidence":"1"}' WHEN 5 THEN '{"category":"vi\u0007ew","confidence":0}' WHEN 6 THEN '["view",1]'
-        ELSE '{"confidence":0.' || lpad(CAST(event_id % 100 AS VARCHAR), 2, '0') || ',"category":"' || event_type || '"}' END AS raw FROM events)
-    SELECT event_id, CASE WHEN NOT json_valid(raw) THEN 'not_json'
-        WHEN json_type(raw) <> 'OBJECT' THEN 'schema_mismatch' WHEN list_sort(json_keys(raw)) <> ['category', 'confidence'] THEN 'schema_mismatch'
-        WHEN json_type(raw, '$.category') <> 'VARCHAR' OR json_type(raw, '$.confidence') NOT IN ('DOUBLE', 'UBIGINT', 'BIGINT') THEN 'schema_mismatch'
-        WHEN NOT CAST(raw->>'$.confidence' AS DOUBLE) BETWEEN 0 AND 1 OR regexp_matches(raw->>'$.category', '[\x00-\x1f\x7f]') THEN 'schema_mismatch'
-        WHEN (raw->>'$.category') NOT IN ('view', 'click') THEN 'out_of_category' ELSE 'ok' END AS verdict FROM a
+    f"""
+    WITH a AS (SELECT event_id, CASE WHEN event_id % 16 < {len(_WRONG_ANSWERS)} THEN [{", ".join("'" + x + "'" for x in _WRONG_ANSWERS)}][event_id % 16 + 1]
+        ELSE chr(10) || '{{"confidence":0.' || lpad(CAST(event_id % 100 AS VARCHAR), 2, '0') || ',"category":"' || event_type || '","reason":" ' || repeat('r', CAST(event_id % 205 AS INTEGER)) || ' "}} ' END AS raw FROM events),
+    p AS (SELECT *, trim(raw->>'$.reason') AS reason, json_type(raw, '$.confidence') AS kind FROM a WHERE json_valid(raw) AND NOT contains(raw, ':NaN'))
+    SELECT event_id, 'not_json' AS verdict FROM a WHERE NOT json_valid(raw) OR contains(raw, ':NaN')
+    UNION ALL
+    SELECT event_id, CASE WHEN json_type(raw) <> 'OBJECT' THEN 'schema_mismatch'
+        WHEN json_type(raw, '$.category') = 'VARCHAR' AND (raw->>'$.category') NOT IN ('view', 'click') THEN 'out_of_category'
+        WHEN list_sort(json_keys(raw)) <> ['category', 'confidence', 'reason'] OR json_type(raw, '$.category') <> 'VARCHAR' OR json_type(raw, '$.reason') <> 'VARCHAR' THEN 'schema_mismatch'
+        WHEN kind NOT IN ('DOUBLE', 'UBIGINT', 'BIGINT') THEN 'schema_mismatch' WHEN NOT CAST(raw->>'$.confidence' AS DOUBLE) BETWEEN 0 AND 1 THEN 'schema_mismatch'
+        WHEN length(reason) NOT BETWEEN 1 AND 200 OR regexp_matches(reason, '[\\x00-\\x1f\\x7f-\\x9f\\x{{2028}}\\x{{2029}}]') THEN 'schema_mismatch' ELSE 'ok' END FROM p
     """
 )
 def llm_output_validate(spark, sf_dir):
-    """Made-up model outputs: right ones of all categories, one cut off, another key, a confidence over 1 and one as text, a control character, no object."""
-    k = F.col("event_id") % 7
-    right = F.concat(F.lit('{"confidence":0.'), F.lpad((F.col("event_id") % 100).cast("string"), 2, "0"), F.lit(',"category":"'), "event_type", F.lit('"}'))
-    raw = (
-        F.when(k == 1, '{"category":"view","confidence":')
-        .when(k == 2, '{"category":"view","confidence":0.5,"why":"x"}')
-        .when(k == 3, '{"category":"view","confidence":1.5}')
-        .when(k == 4, '{"category":"view","confidence":"1"}')
-        .when(k == 5, '{"category":"vi\\u0007ew","confidence":0}')
-        .when(k == 6, '["view",1]')
-        .otherwise(right)
-    )
+    """Model outputs of all categories with reasons of all lengths, and wrong ones: cut off, of other keys, with text after the end, of no category, with control characters, no numbers."""
+    k = (F.col("event_id") % 16).cast("int")
+    number, reason = F.lpad((F.col("event_id") % 100).cast("string"), 2, "0"), F.repeat(F.lit("r"), (F.col("event_id") % 205).cast("int"))
+    right = F.concat(F.lit('\n{"confidence":0.'), number, F.lit(',"category":"'), "event_type", F.lit('","reason":" '), reason, F.lit(' "} '))
+    raw = F.when(k < len(_WRONG_ANSWERS), F.get(F.array(*[F.lit(x) for x in _WRONG_ANSWERS]), k)).otherwise(right)
     return table(spark, sf_dir, "events").select("event_id", decide.validated_output(raw, ["view", "click"]).alias("verdict"))
 
 
