@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scope import newest
+from .scope import keyset_before, newest
 
 
 def with_decided(messages: DataFrame, decisions: DataFrame, keys: list[str]) -> DataFrame:
@@ -32,7 +32,21 @@ def pending(messages: DataFrame, locations: DataFrame, decisions: DataFrame, key
     return messages.join(locations.select(*keys).distinct(), keys, "left_semi").join(decisions.select(*keys).distinct(), keys, "left_anti")
 
 
-def candidate_page(messages, bodies, locations, decisions, keys, n: int, since=None, time_col: str = "internal_date", id_col: str = "id") -> DataFrame:
-    """The ``n`` newest pending messages with their bodies; bodies are joined to the page alone."""
-    page = newest(pending(messages, locations, decisions, keys, since, time_col), time_col, id_col, n)
-    return with_body(page, bodies, [k for k in keys if k in bodies.columns] or keys)
+def candidate_page(messages, bodies, locations, decisions, keys, n: int, since=None, time_col: str = "internal_date", id_col: str = "id", ids=None, before=None, pending_only: bool = True) -> DataFrame:
+    """The ``n`` newest messages that meet all that is asked for, with ``decided`` and their bodies; bodies are joined to the page alone.
+
+    ``messages`` are live where ``locations`` has them, and eligible where a column says so; ``since`` and ``before`` (a time and an id: the last of the page before) are bounds on
+    the time that reach the scan, ``ids`` a DataFrame with ``id_col``, or a list of ids (an empty one is an empty page). With ``pending_only`` decided messages are left out.
+    """
+    if ids is not None and not isinstance(ids, DataFrame):
+        kind = messages.schema[id_col].dataType.simpleString()
+        ids = messages.sparkSession.createDataFrame([(i,) for i in ids], f"{id_col} {kind}")
+    if "eligible" in messages.columns:
+        messages = messages.where("eligible")
+    if before is not None:
+        messages = messages.where(keyset_before(time_col, id_col, *before))
+    if ids is not None:
+        messages = messages.join(ids.select(id_col).distinct(), id_col, "left_semi")
+    wanted = pending(messages, locations, decisions.limit(0) if not pending_only else decisions, keys, since, time_col)
+    page = newest(wanted, time_col, id_col, n)
+    return with_body(with_decided(page, decisions, keys), bodies, [k for k in keys if k in bodies.columns] or keys)

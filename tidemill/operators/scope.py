@@ -42,7 +42,7 @@ def all_of(predicates: list[Column]) -> Column:
 
 def keyset_before(time_col: str, id_col: str, before_time, before_id) -> Column:
     """Rows older than a place in newest-first order: a comparison of (time, id), written so that the bound on the time reaches the scan."""
-    time, at, number = F.col(time_col), F.lit(before_time).cast("timestamp_ntz"), F.lit(before_id).cast("long")
+    time, at, number = F.col(time_col), F.lit(before_time).cast("timestamp_ntz"), F.lit(before_id)
     return (time <= at) & ((time < at) | (F.col(id_col) < number))
 
 

@@ -80,3 +80,29 @@ def location_checks() -> dict[str, Column]:
         "reason": c("removed_reason").isNull() | _is(c("removed_reason").isin("vanished", "superseded")),
         "uid": _is(c("uid").between(1, 4294967295)),
     }
+
+
+# States of a mailbox and of a folder.
+MAILBOX_STATES = ("ok", "error", "disabled", "connecting", "needs_attention")
+FOLDER_STATES = ("ok", "resyncing")
+
+
+def status_checks() -> dict[str, Column]:
+    """Of a mailbox's status (state, held_new_count, backfill_done, backfill_total): one that needs attention says how many are held, a backfill has both numbers or none."""
+    c = F.col
+    return {
+        "state": _is(c("state").isin(*MAILBOX_STATES)),
+        "held": ~_is(c("state") == "needs_attention") | c("held_new_count").isNotNull(),
+        "backfill": c("backfill_done").isNull() == c("backfill_total").isNull(),
+    }
+
+
+def folder_sync_checks() -> dict[str, Column]:
+    """Of a folder's state: resyncing exactly if it has a pending uid validity and generation, and all four numbers of a backfill or none."""
+    c = F.col
+    numbers = [c(f"backfill_{x}").isNotNull().cast("int") for x in ("since", "cursor", "until", "total")]
+    return {
+        "state": _is(c("state").isin(*FOLDER_STATES)),
+        "pending": _is(c("state") == "resyncing") == (c("pending_validity").isNotNull() & c("pending_generation").isNotNull()),
+        "backfill": sum(numbers[1:], numbers[0]).isin(0, 4),
+    }

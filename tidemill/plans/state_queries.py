@@ -6,8 +6,8 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from ..operators import classifier, evaluation, phrases, rules
-from ..sources import workspace
+from ..operators import candidates, classifier, composite, decide, evaluation, phrases, rules, tenant, trace
+from ..sources import reports, workspace
 from ..streaming import states
 from ..streaming.generations import GenerationStore
 from .queries import _MESSAGES_SQL, RULES, _messages, query, table
@@ -150,3 +150,182 @@ def rule_preview(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("mailbox"), "n_chars")
     confirmed = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.when(F.col("quality") == 1, "net").otherwise("trusted").alias("label"), F.lit(0).alias("at"))
     return evaluation.rule_preview(_messages(spark, sf_dir).join(docs, "id"), entries, entries.where("rule <> 1"), confirmed, "mailbox", ["n_chars", "id"], 20)
+
+
+_ITEMS_SQL = """
+    items AS (SELECT sha256(coalesce(text, '')) AS identity, doc_id AS ordinal, source AS folder, doc_id % 400 AS uid, doc_id % 3 = 0 AS eligible, CASE WHEN doc_id % 2 = 0 THEN lang END AS body FROM documents),
+    old AS (SELECT identity, bool_or(eligible) AS eligible FROM items WHERE ordinal < 600 GROUP BY 1),
+    m AS (SELECT identity, bool_or(eligible) AS eligible, arg_min(body, ordinal) FILTER (WHERE body IS NOT NULL) AS body FROM items WHERE ordinal >= 300 GROUP BY 1),
+    r AS (SELECT m.identity, m.body, o.eligible IS NULL AS fresh, NOT o.eligible AND m.eligible AS raised, CASE WHEN o.eligible IS NULL THEN m.eligible ELSE o.eligible OR m.eligible END AS now FROM m LEFT JOIN old o USING (identity))
+"""
+
+
+@query(
+    f"""
+    WITH {_ITEMS_SQL} SELECT count(*) FILTER (WHERE fresh) AS inserted_messages, count(*) FILTER (WHERE NOT fresh) AS existing_messages, count(*) FILTER (WHERE NOT fresh AND raised) AS promoted_messages,
+        (SELECT count(*) FROM (SELECT DISTINCT folder, uid FROM items WHERE ordinal >= 300 EXCEPT SELECT folder, uid FROM items WHERE ordinal < 600)) AS inserted_locations,
+        count(*) FILTER (WHERE now AND body IS NOT NULL AND identity NOT IN (SELECT identity FROM items WHERE ordinal < 200)) AS inserted_bodies,
+        count(*) FILTER (WHERE now AND body IS NOT NULL AND identity NOT IN (SELECT identity FROM items WHERE ordinal < 200) AND identity IN (SELECT i.identity FROM items i JOIN labels ON doc_id = ordinal)) AS dated_bodies
+    FROM r
+    """
+)
+def store_chunk_counters(spark, sf_dir):
+    """Documents from 300 on are a chunk; those under 600 are stored with their places, those under 200 with bodies; labelled ones are decided. With promotion."""
+    docs = table(spark, sf_dir, "documents").select(
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("identity"), F.col("doc_id").alias("ordinal"), F.col("source").alias("folder"), F.lit(1).cast("long").alias("uidvalidity"), (F.col("doc_id") % 400).alias("uid"),
+        F.lit(1).alias("generation"), (F.col("doc_id") % 3 == 0).alias("eligible"), F.when(F.col("doc_id") % 2 == 0, F.col("lang")).alias("body"),
+    )
+    none = F.lit(None)
+    old = docs.where("ordinal < 600")
+    stored = old.groupBy("identity").agg(F.bool_or("eligible").alias("eligible"))
+    places = old.groupBy(*composite.LOCATION).agg(F.max_by("identity", "ordinal").alias("identity")).withColumns({"generation": F.lit(1), "removed_at": none.cast("timestamp"), "removed_reason": none.cast("string")})
+    bodies = docs.where("ordinal < 200").groupBy("identity").agg(F.first("body").alias("body")).withColumn("expires_at", none.cast("timestamp"))
+    decided = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("ordinal")).join(docs.select("ordinal", "identity"), "ordinal")
+    after = composite.store_chunk(docs.where("ordinal >= 300"), stored, places, bodies, decided, dt.datetime(2024, 2, 1), promote=True)
+    dated = after["bodies"].agg(F.count_if(F.col("expires_at").isNotNull()).alias("dated_bodies"))
+    return after["counts"].crossJoin(dated)  # one row each
+
+
+@query(
+    """
+    WITH t AS (SELECT event_id, user_id, event_id % 4 AS k, event_id % 3 > 0 AS worker, ts FROM events),
+    good AS (SELECT *, k IN (0, 1) AS fine FROM t),
+    placed AS (SELECT *, worker AND fine AND row_number() OVER (PARTITION BY user_id, worker AND fine ORDER BY ts, event_id) > 1 AS again FROM good)
+    SELECT event_id, CASE WHEN k = 2 THEN 'row.category,both.intent' WHEN k = 3 THEN 'span.attempts' ELSE 'worker' END AS broken FROM placed WHERE NOT fine OR again
+    """
+)
+def decisions_refused(spark, sf_dir):
+    """Events are decisions on their users: labels of the model and reviews, a label without a category, one with three attempts; the worker decides a user once, reruns as often as they like."""
+    k = F.col("event_id") % 4
+    null = F.lit(None).cast("string")
+
+    def span(kind, **more):
+        fields = {"kind": F.lit(kind), "model": null, "confidence": F.lit(None).cast("double"), "attempts": F.lit(None).cast("int"), "result": null, "categories": F.lit(None).cast("array<string>"), "intent": null, "label": null, "reason": null}
+        return F.struct(*[v.alias(n) for n, v in {**fields, **more}.items()])
+
+    attempts = F.when(k == 3, 3).otherwise(1).cast("int")
+    llm = span("llm", model=F.lit("m"), confidence=F.lit(0.9).cast("double"), attempts=attempts, result=F.lit("work"), categories=F.array(F.lit("work"), F.lit("home")))
+    action = span("action", intent=F.lit("label"), label=F.lit("work"))
+    made = table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("message_id"), F.col("event_id").alias("id"), F.col("ts").alias("decided_at"), F.lit("labelled").alias("outcome"), F.when(k != 2, "work").alias("category"), F.lit("llm").alias("tier"),
+        null.alias("review_reason"), F.lit(0.9).cast("double").alias("confidence"), F.lit(1).alias("prompt_version"), F.lit("m").alias("model"), F.when(F.col("event_id") % 3 > 0, "worker").otherwise("rerun").alias("decided_by"),
+        F.lit(1).alias("trace_format"), F.array(span("exact_rules"), span("classifier"), llm, action).alias("spans"),
+    )
+    bodies = made.select("message_id").distinct().withColumn("expires_at", F.lit(None).cast("timestamp_ntz"))
+    found = composite.record_decisions(made, made.limit(0), bodies)["refused"]
+    return found.select(F.col("id").alias("event_id"), F.array_join("broken", ",").alias("broken"))
+
+
+@query(
+    """
+    SELECT c.c_custkey, o.o_orderkey FROM customer c JOIN orders o ON o.o_custkey = c.c_custkey
+    WHERE c.c_nationkey = 7 AND EXISTS (SELECT 1 FROM supplier s WHERE s.s_nationkey = 7 AND s.s_suppkey % 10 = c.c_custkey % 10) AND o.o_orderstatus = 'F'
+    """
+)
+def tenant_join(spark, sf_dir):
+    """Nations are mailboxes: customers and suppliers are read for one of them, in the subquery too, and the plan is checked for it."""
+    tables = {
+        "customer": table(spark, sf_dir, "customer").withColumnRenamed("c_nationkey", tenant.COLUMN),
+        "supplier": table(spark, sf_dir, "supplier").withColumnRenamed("s_nationkey", tenant.COLUMN),
+        "orders": table(spark, sf_dir, "orders"),
+    }
+    text = """
+        SELECT c.c_custkey, o.o_orderkey FROM {customer} c JOIN {orders} o ON o.o_custkey = c.c_custkey
+        WHERE EXISTS (SELECT 1 FROM {supplier} s WHERE s.s_suppkey % 10 = c.c_custkey % 10) AND o.o_orderstatus = :status
+    """
+    return tenant.Mailbox(spark, tables, 7).sql(text, {"status": "F"})
+
+
+@query(
+    f"""
+    WITH pend AS (SELECT o_orderkey AS id, o_orderdate AS internal_date, o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'A') AS decided FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01'
+        AND o_orderstatus <> 'P' AND (o_orderdate, o_orderkey) < (TIMESTAMP '1997-06-01', 7000) AND o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber > 1) AND o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 30))
+    SELECT p.id, internal_date, decided, c_name AS name FROM (SELECT * FROM pend ORDER BY internal_date DESC, id DESC LIMIT 60) p LEFT JOIN customer ON c_custkey = p.id
+    """
+)
+def candidate_query(spark, sf_dir):
+    """Everything in one conjunction: eligible, live, from a time on, after the last page, of a table of ids; decided ones too."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), "l_linenumber", "l_returnflag", "l_quantity")
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("internal_date"), (F.col("o_orderstatus") != "P").alias("eligible"))
+    bodies = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    page = candidates.candidate_page(
+        orders, bodies, lines.where("l_linenumber > 1"), lines.where("l_returnflag = 'A'"), ["id"], 60, since="1995-01-01", ids=lines.where("l_quantity > 30"), before=("1997-06-01 00:00:00", 7000), pending_only=False
+    )
+    return page.select("id", "internal_date", "decided", F.col("body.name").alias("name"))
+
+
+@query(
+    """
+    WITH e AS (SELECT event_id, event_id % 6 AS k, event_type, user_id FROM events)
+    SELECT event_id, CASE k WHEN 0 THEN '' WHEN 1 THEN 'not_json' WHEN 2 THEN 'version' WHEN 3 THEN 'uid_validity,sample' WHEN 4 THEN 'sample' ELSE '' END AS faults,
+           CASE WHEN k = 0 THEN user_id END AS uid_validity, CASE WHEN k = 0 THEN event_id WHEN k = 5 THEN NULL END AS uid, CASE WHEN k = 0 THEN event_type END AS internal_date FROM e
+    """
+)
+def report_source(spark, sf_dir):
+    """Reports as JSON texts made of events: good ones, one that is cut off, one of another version, wrong types, an entry without its date, an empty one."""
+    k, uid, user = F.col("event_id") % 6, F.col("event_id").cast("string"), F.col("user_id").cast("string")
+    entry = F.concat(F.lit('{"uid":'), uid, F.lit(',"internalDate":"'), "event_type", F.lit('","internalIdSha256":null,"more":[1]}'))
+    whole = F.concat(F.lit('{"probeVersion":'), F.when(k == 2, "2").otherwise("1"), F.lit(',"uidValidity":{"in":'), user, F.lit('},"sample":['), entry, F.lit("]}"))
+    text = (
+        F.when(k == 1, F.substring(whole, 1, 40))
+        .when(k == 3, F.concat(F.lit('{"probeVersion":1,"uidValidity":{"in":"'), user, F.lit('"},"sample":[{"uid":"'), uid, F.lit('","internalDate":"x"}]}')))
+        .when(k == 4, F.concat(F.lit('{"probeVersion":1,"uidValidity":{},"sample":[{"uid":'), uid, F.lit("}]}")))
+        .when(k == 5, '{"probeVersion":1.0,"uidValidity":{},"sample":[]}')
+        .otherwise(whole)
+    )
+    found = reports.read_reports(table(spark, sf_dir, "events").select("event_id", text.alias("value")))
+    first = F.get("report.sample", F.lit(0))
+    return found.select("event_id", F.array_join("faults", ",").alias("faults"), F.try_element_at("report.uid_validity", F.lit("in")).alias("uid_validity"), first["uid"].alias("uid"), first["internal_date"].alias("internal_date"))
+
+
+@query(
+    """
+    WITH e AS (SELECT c_nationkey AS document, c_custkey AS place, lower(c_mktsegment) || '@' || (c_custkey % 40) AS server, lower(c_name) AS slug FROM customer)
+    SELECT document, 'server' AS kind, first, place AS again, server AS value FROM (SELECT *, min(place) OVER (PARTITION BY document, server) AS first FROM e) WHERE place > first
+    """
+)
+def config_duplicates(spark, sf_dir):
+    """Nations are configurations, customers their mailboxes: two may not have one name or read one server."""
+    entries = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("document"), F.col("c_custkey").alias("place"), "c_name", "c_mktsegment")
+    server = F.concat(F.lower("c_mktsegment"), F.lit("@"), (F.col("place") % 40).cast("string"))
+    return reports.duplicate_entries(entries, "document", "place", {"slug": F.lower("c_name"), "server": server})
+
+
+@query("SELECT user_id, event_id, 'cap' AS field, round(value) AS value FROM events WHERE NOT round(value) BETWEEN 1 AND 90 UNION ALL SELECT user_id, event_id, 'days', value FROM events WHERE event_id % 2 = 0 AND (value > 60 OR value <> floor(value))")
+def config_ranges(spark, sf_dir):
+    """Events as settings: a cap from 1 to 90, and days, absent in every second one, that are whole and at most 60."""
+    entries = table(spark, sf_dir, "events").select("user_id", "event_id", F.round("value").alias("cap"), F.when(F.col("event_id") % 2 == 0, F.col("value")).alias("days"))
+    return reports.out_of_range(entries, ["user_id", "event_id"], {"cap": (1, 90), "days": (0, 60)})
+
+
+@query(
+    """
+    SELECT event_id, array_to_string(list_filter([CASE WHEN event_type = 'error' AND event_id % 2 = 0 THEN 'held' END, CASE WHEN (event_id % 3 = 0) <> (event_id % 5 = 0) THEN 'backfill' END], lambda x: x IS NOT NULL), ',') AS broken
+    FROM events WHERE (event_type = 'error' AND event_id % 2 = 0) OR (event_id % 3 = 0) <> (event_id % 5 = 0)
+    """
+)
+def status_audit(spark, sf_dir):
+    """Errors need attention; of every second one it is not said how many are held; the two numbers of a backfill come apart."""
+    k = F.col("event_id")
+    rows = table(spark, sf_dir, "events").select(
+        "event_id", F.when(F.col("event_type") == "error", "needs_attention").otherwise("ok").alias("state"), F.when(k % 2 == 1, k).alias("held_new_count"), F.when(k % 3 == 0, k).alias("backfill_done"), F.when(k % 5 == 0, k).alias("backfill_total")
+    )
+    return decide.quarantined(rows, trace.status_checks()).select("event_id", F.array_join("broken", ",").alias("broken"))
+
+
+@query(
+    """
+    SELECT o_orderkey, array_to_string(list_filter([CASE WHEN o_orderstatus = 'P' THEN 'state' END, CASE WHEN (o_orderstatus = 'F') <> (o_custkey % 3 > 0 AND o_custkey % 4 > 0) THEN 'pending' END,
+        CASE WHEN (o_orderkey % 2 = 0) <> (o_orderkey % 7 = 0) THEN 'backfill' END], lambda x: x IS NOT NULL), ',') AS broken
+    FROM orders WHERE o_orderstatus = 'P' OR (o_orderstatus = 'F') <> (o_custkey % 3 > 0 AND o_custkey % 4 > 0) OR (o_orderkey % 2 = 0) <> (o_orderkey % 7 = 0)
+    """
+)
+def folder_sync_audit(spark, sf_dir):
+    """Orders as states of folders: filled ones resync, partial ones are in no state; of the four numbers of a backfill some may be missing."""
+    k, some = F.col("o_orderkey"), F.col("o_orderkey") % 2 == 0
+    state = F.when(F.col("o_orderstatus") == "F", "resyncing").when(F.col("o_orderstatus") == "O", "ok")
+    rows = table(spark, sf_dir, "orders").select(
+        "o_orderkey", state.alias("state"), F.when(F.col("o_custkey") % 3 > 0, 1).alias("pending_validity"), F.when(F.col("o_custkey") % 4 > 0, 2).alias("pending_generation"),
+        F.when(some, F.col("o_orderdate")).alias("backfill_since"), F.when(some, k).alias("backfill_cursor"), F.when(some, k).alias("backfill_until"), F.when(k % 7 == 0, k).alias("backfill_total"),
+    )
+    return decide.quarantined(rows, trace.folder_sync_checks()).select("o_orderkey", F.array_join("broken", ",").alias("broken"))
