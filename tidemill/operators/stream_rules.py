@@ -120,27 +120,8 @@ def status_fold(events: DataFrame, keys: list[str], order: str, kind: str) -> Da
     return folded.withColumn("state", state).drop("last_disabled")
 
 
-def nearest_ranks(df: DataFrame, value: str, percents: dict[str, float], buckets: int = 4096) -> DataFrame:
-    """One row with the nearest-rank percentile of each name, exact, null without rows.
+def nearest_ranks(df: DataFrame, value: str, percents: dict[str, float], buckets: int = 1024) -> DataFrame:
+    """One row with the nearest-rank percentile of each name, exact, null without rows (``evaluation.nearest_ranks_by`` without keys)."""
+    from .evaluation import nearest_ranks_by
 
-    Rows are counted in buckets of the range of values; only the counts are put in order, and only the
-    rows of the few buckets that hold a rank are ranked themselves, as counts of different values.
-    """
-    rows = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"))
-    bounds = rows.agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count(F.lit(1)).alias("n")).first()
-    low, high, n = bounds["low"], bounds["high"], bounds["n"]
-    if not n:
-        return df.sparkSession.createDataFrame([tuple(None for _ in percents)], ", ".join(f"{name} double" for name in percents))
-    width = (high - low) / buckets or 1.0
-    bucketed = rows.withColumn("b", F.floor((F.col("v") - low) / width).cast("long"))
-    counts = bucketed.groupBy("b").agg(F.count(F.lit(1)).alias("n")).orderBy("b").collect()  # at most one row a bucket
-    ranks = {name: max(1, -int(-p * n // 1)) for name, p in percents.items()}
-    places, before = {}, 0
-    for row in counts:
-        for name, rank in ranks.items():
-            if before < rank <= before + row["n"]:
-                places[name] = (row["b"], rank - before)
-        before += row["n"]
-    line = Window.partitionBy("b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    values = bucketed.where(F.col("b").isin(sorted({b for b, _ in places.values()}))).groupBy("b", "v").agg(F.count(F.lit(1)).alias("n")).withColumn("upto", F.sum("n").over(line))
-    return values.agg(*[F.min(F.when((F.col("b") == b) & (F.col("upto") >= rank), F.col("v"))).alias(name) for name, (b, rank) in places.items()])
+    return nearest_ranks_by(df, [], value, percents, buckets)

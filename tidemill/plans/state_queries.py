@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import candidates, classifier, composite, decide, evaluation, phrases, rules, tenant, trace
 from ..sources import reports, workspace
-from ..streaming import states
+from ..streaming import backfill, ingest, states
 from ..streaming.generations import GenerationStore
 from .queries import _MESSAGES_SQL, RULES, _messages, query, table
 
@@ -329,3 +329,24 @@ def folder_sync_audit(spark, sf_dir):
         F.when(some, F.col("o_orderdate")).alias("backfill_since"), F.when(some, k).alias("backfill_cursor"), F.when(some, k).alias("backfill_until"), F.when(k % 7 == 0, k).alias("backfill_total"),
     )
     return decide.quarantined(rows, trace.folder_sync_checks()).select("o_orderkey", F.array_join("broken", ",").alias("broken"))
+
+
+@query(
+    """
+    SELECT event_type AS folder, 'm' || user_id || '-' || event_id // 40 AS identity, min(event_id) AS uid, bool_or(ts >= TIMESTAMP '2024-01-10') AS eligible
+    FROM events GROUP BY ALL
+    """
+)
+def backfill_streams(spark, sf_dir):
+    """Events are messages in folders by type. The polling stream stores late ones first, then the older ones as historical; the backfill from the tenth day on promotes what it reaches, between the two."""
+    events = table(spark, sf_dir, "events")
+    name = F.concat(F.lit("m"), F.col("user_id").cast("string"), F.lit("-"), F.floor(F.col("event_id") / 40).cast("string"))
+    listing = events.select(F.col("event_type").alias("folder"), name.alias("identity"), F.col("event_id").alias("uid"), F.col("ts").cast("timestamp").alias("internal_date"))
+    home = workspace.scratch(spark, "backfill")
+    store, state = f"{home}/store", f"{home}/state"
+    late = F.lit("2024-01-20").cast("timestamp")
+    backfill.begin_backfill(listing, state, dt.datetime(2024, 1, 10))
+    ingest.store_batch(listing.where(F.col("internal_date") >= late), store, state, 0, cap=1 << 40)
+    backfill.run_backfill(listing, store, state, size=max(200, events.count() // 10))
+    ingest.store_batch(listing.where(F.col("internal_date") < late), store, state, 1, cap=1 << 40)
+    return backfill.messages(spark, store, listing.schema).select("folder", "identity", "uid", "eligible")
