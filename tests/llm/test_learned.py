@@ -213,6 +213,24 @@ def trees():
     return he.fit_extractor()
 
 
+def test_extraction_of_pages_written_by_hand(spark, trees):
+    from html_cases import CASES
+
+    df = spark.createDataFrame([(i, h) for i, (h, _) in enumerate(CASES)], "page_id long, html string")
+    got = {r.page_id: r.text.split("\n\n") for r in he.extract_main_text(df, trees).collect()}
+    found = sum(b in got[i] for i, (_, blocks) in enumerate(CASES) for b in blocks)
+    assert found / sum(len(b) for _, b in CASES) >= 0.98  # recall
+    assert found / sum(map(len, got.values())) >= 0.98  # precision
+    for i in range(7):  # links in a sentence, lists of links, classes within a line, short titles, bylines, plain asides
+        assert got[i] == CASES[i][1]
+
+
+def test_extraction_of_hidden_parts(spark, trees):
+    page = "<article><p>One two three four five six seven eight, and so on.</p><p hidden>no</p><p>Nine <b style='display: none'>no</b> ten <i data-hidden-x=1 class=menu>eleven</i> twelve.</p></article>"
+    df = spark.createDataFrame([(1, page)], "page_id long, html string")
+    assert he.extract_main_text(df, trees).first().text.split("\n\n") == ["One two three four five six seven eight, and so on.", "Nine ten eleven twelve."]
+
+
 def test_extraction(spark, sf_dir, trees):
     held = [he._Layout(900_000_000 + k) for k in range(60)]
     right = []

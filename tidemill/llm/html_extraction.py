@@ -43,6 +43,12 @@ BOILER_TOKENS = frozenset(
 )
 CONTENT_TOKENS = frozenset("article content contents post entry story main body text articlebody maincontent blog hentry prose page".split())
 
+#: Elements that run within a line: parts of the sentence that they stand in, whatever their class.
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
+#: Attribute tokens of adverts, which may be put into a line.
+ADVERTS = frozenset("ad ads advert advertisement adverts adsense sponsor sponsored promo promotion outbrain taboola".split())
+HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|\bdisplay\s*:\s*none|\bvisibility\s*:\s*hidden""", re.I)
+
 GROUPS = [
     {"article", "main"}, {"section"}, {"div", "center"}, {"p"}, {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup"}, {"ul", "ol", "dl", "menu"}, {"li", "dt", "dd"},
     {"table", "thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"blockquote", "pre", "figure", "figcaption"}, {"nav"}, {"header"}, {"footer"}, {"aside"},
@@ -64,8 +70,9 @@ class Page:
 
 
 def parse(source: str) -> Page:
-    """The nodes that are judged one by one: block elements, and others that carry a class, id or role.
+    """The nodes that are judged one by one: block elements, and others that carry a class, id or role, but for those that run within a line.
 
+    Of the latter only adverts and hidden ones are nodes: else a sentence would lose the words that happen to have a class. What is hidden is no text.
     Elements that were never closed end where the standard says that the next one closes them, or with
     their parent; end tags without a start are ignored; a tag cut off by the end of the page is dropped.
     """
@@ -119,11 +126,12 @@ def parse(source: str) -> Page:
                     break
         attrs = m["attrs"] or ""
         named = WORDS.findall(" ".join(a or b or c for a, b, c in NAMES.findall(attrs)).lower()) if "=" in attrs else []
-        if name in BLOCKS or named or name in NEVER_TEXT or name in ("button", "label"):
+        unseen = name in NEVER_TEXT or bool(attrs) and HIDDEN.search(attrs) is not None
+        if name in BLOCKS or unseen or named and (name not in INLINE or not ADVERTS.isdisjoint(named)) or name in ("button", "label"):
             page.tags.append(name)
             page.parents.append(node)
             page.tokens.append(named)
-            page.silent.append(name in NEVER_TEXT)
+            page.silent.append(unseen)
             mine = len(page.tags) - 1
         else:
             mine = node
@@ -336,6 +344,52 @@ class _Layout:
         body = _phrase(self.rnd, low, high)
         return lambda: self.node(tag, label, [f"<a href='/x'>{body}</a>" if link else body])
 
+    def sentence(self, low: int, high: int, links: float = 0.0) -> str:
+        """A paragraph's text: some of it in links, some in elements within the line that carry all kinds of classes."""
+        rnd, out = self.rnd, []
+        for piece in _phrase(rnd, low, high).split(" "):
+            r = rnd.random()
+            if r < links:
+                piece = f"<a href='/{r}'>{piece} {_phrase(rnd, 1, 4)}</a>"
+            elif r < links + 0.03:
+                tag, name = rnd.choice(["span", "b", "em", "sup", "code", "i"]), rnd.choice(["header", "notice", "x1", "share", "comment", "top", "menu", "term"])
+                piece = f'<{tag} {rnd.choice(["class", "id"])}="{name}">{piece}</{tag}>'
+            out.append(piece)
+        return " ".join(out)
+
+    def prose(self, tag: str, label: int, low: int, high: int):
+        links = self.rnd.choice([0, 0, 0, 0.03, 0.08, 0.3, 0.6])
+        body = self.sentence(low, high if links < 0.2 else min(high, 12), links)
+        return lambda: self.node(tag, label, [body])
+
+    def title(self):
+        """An article's heading, with or without a header of its own and a line on who wrote it."""
+        rnd = self.rnd
+        heading = self.plain(rnd.choice(["h1", "h1", "h2"]), 1, 1, rnd.choice([1, 2, 12]))
+        if rnd.random() < 0.6:
+            return [heading]
+        by = rnd.choice(["By ", "", "Posted by "]) + _phrase(rnd, 1, 3)
+        line = lambda: self.node(rnd.choice(["p", "p", "div"]), 1, [by], rnd.choice([(), ["byline", "author", "meta", "date", "dateline", "subtitle"]]))
+        if rnd.random() < 0.3:
+            return [heading, line]
+        inner = [heading, line][: rnd.choice([1, 2, 2])]
+        return [lambda: self.node("header", 1, inner, rnd.choice([(), (), ["entry-header", "article-header", "post-title"]]))]
+
+    def references(self):
+        """A list of links that belongs to the text, under its heading."""
+        rnd = self.rnd
+        items = [(lambda k=k: self.node("li", 1, [f"<a href='/{k}'>{_phrase(rnd, 1, 7)}</a>" + rnd.choice(["", "", " " + _phrase(rnd, 1, 8)])])) for k in range(rnd.randint(2, 7))]
+        tag = rnd.choice(["ul", "ol", "ol"])
+        return [self.plain(rnd.choice(["h2", "h3"]), 1, 1, 2), lambda: self.node(tag, 1, items)]
+
+    def aside(self):
+        """A box beside the text, often without a class or a link."""
+        rnd = self.rnd
+        inner = [self.plain(rnd.choice(["h3", "p", "h4"]), 0, 1, 6), *[self.plain("p", 0, 2, 25, rnd.random() < 0.3) for _ in range(rnd.randint(0, 2))]]
+        if rnd.random() < 0.4:
+            inner = [_phrase(rnd, 2, 14)]
+        return lambda: self.node("aside", 0, inner, rnd.choice([(), (), (), ["related", "more", "box", "also"]]))
+
     def links(self, label=0, low=3, high=9):
         return lambda: self.node("ul", label, [self.plain("li", label, 1, 3, True) for _ in range(self.rnd.randint(low, high))])
 
@@ -358,24 +412,33 @@ class _Layout:
         rnd = self.rnd
         parts = []
         if rnd.random() < 0.9:
-            heading = self.plain("h1", 1, 2, 12)
-            parts.append(heading if rnd.random() < 0.85 else (lambda: self.node("header", 1, [heading])))
+            parts += self.title()
         for _ in range(rnd.choice([1, 1, 2, 3, 5, 8, 12, 20])):
             r = rnd.random()
-            if r < 0.75:
-                parts.append(self.plain("p", 1, 1 if rnd.random() < 0.2 else 8, 90))
-            elif r < 0.81:
+            if r < 0.66:
+                parts.append(self.prose("p", 1, 1 if rnd.random() < 0.2 else 8, 90))
+            elif r < 0.72:
                 parts.append(self.plain(rnd.choice(["h2", "h3"]), 1, 1, 8))
-            elif r < 0.85:
-                parts.append(lambda: self.node(rnd.choice(["ul", "ol"]), 1, [self.plain("li", 1, 3, 20) for _ in range(rnd.randint(2, 5))]))
-            elif r < 0.89:
-                parts.append(lambda: self.node("blockquote", 1, [self.plain("p", 1, 8, 40)]))
-            elif r < 0.92:
+            elif r < 0.76:
+                parts.append(lambda: self.node(rnd.choice(["ul", "ol"]), 1, [self.prose("li", 1, 3, 20) for _ in range(rnd.randint(2, 5))]))
+            elif r < 0.79:
+                parts.append(lambda: self.node("blockquote", 1, [self.prose("p", 1, 8, 40)]))
+            elif r < 0.81:
                 parts.append(self.plain("pre", 1, 5, 30))
-            elif r < 0.94:
+            elif r < 0.83:
                 parts.append(lambda: self.node("table", 1, [lambda: self.node("tr", 1, [self.plain("td", 1, 1, 6) for _ in range(3)]) for _ in range(3)]))
+            elif r < 0.85:
+                parts.append(lambda: self.node("figure", 1, ["<img src=x>", self.plain("figcaption", 1, 2, 14)]))
+            elif r < 0.87:
+                parts.append(lambda: self.node("dl", 1, [p for _ in range(rnd.randint(1, 4)) for p in (self.plain("dt", 1, 1, 3), self.prose("dd", 1, 3, 20))]))
+            elif r < 0.91:
+                parts.append(self.aside())
+            elif r < 0.94:
+                parts += self.references()
             else:
                 parts.append(self.boiler(rnd.choice(["ad", "share", "form", "side", "ad"])))
+        if rnd.random() < 0.1:
+            parts += self.references()
         if rnd.random() < 0.15:
             parts.append(self.boiler("comments"))
         tag, names = rnd.choice([("article", ()), ("article", ()), ("main", ()), ("div", ["content", "post", "entry-content", "story", "article-body", "main"]), ("section", ["content", "article", "post"])])
@@ -449,6 +512,8 @@ class _Layout:
         middle = [self.content()]
         if rnd.random() < 0.3:
             middle.append(self.boiler("side"))
+        if rnd.random() < 0.2:
+            middle.append(self.aside())
         if rnd.random() < 0.3:
             middle.append(self.boiler("comments"))
         for _ in range(rnd.choice([0, 1, 1, 2])):
@@ -460,7 +525,7 @@ class _Layout:
         return self.node("html", 1, [body])
 
 
-def fit_extractor(pages: int = 900, seed: int = 1) -> Trees:
+def fit_extractor(pages: int = 1300, seed: int = 1) -> Trees:
     """Trees fitted on ``pages`` made-up pages (a fixed bound), a label for each node: 1 unless it is boilerplate or inside it."""
     xs, ys = [], []
     for k in range(pages):
