@@ -236,7 +236,7 @@ class Trees:
         return out
 
 
-def boost(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rate: float = 0.2, bins: int = 24) -> Trees:
+def boost(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 5, rate: float = 0.2, bins: int = 24) -> Trees:
     """Gradient boosting of logistic loss: each tree is grown level by level on histograms of quantile bins, with Newton leaves."""
     edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(x.shape[1])]
     binned = np.stack([np.searchsorted(e, x[:, j], "left") for j, e in enumerate(edges)], axis=1)
