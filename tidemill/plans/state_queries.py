@@ -6,7 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from ..operators import candidates, classifier, composite, decide, evaluation, phrases, rules, tenant, trace
+from ..operators import candidates, classifier, composite, decide, evaluation, phrases, rules, spans, tenant, trace
 from ..sources import reports, workspace
 from ..streaming import backfill, ingest, states
 from ..streaming.generations import GenerationStore
@@ -350,3 +350,36 @@ def backfill_streams(spark, sf_dir):
     backfill.run_backfill(listing, store, state, size=max(200, events.count() // 10))
     ingest.store_batch(listing.where(F.col("internal_date") < late), store, state, 1, cap=1 << 40)
     return backfill.messages(spark, store, listing.schema).select("folder", "identity", "uid", "eligible")
+
+
+_HASH = "0" * 64
+
+
+@query(
+    f"""
+    WITH {_MESSAGES_SQL}, w AS (SELECT id, min(rule) FILTER (WHERE met = total) AS winner, count(*) FILTER (WHERE met = total) AS n_matches, arg_min(rule, -(met * 6 // total) * 100 + rule) AS near FROM flat GROUP BY id),
+    d AS (SELECT *, id % 6 AS k FROM w WHERE winner IS NOT NULL OR id % 6 < 5)
+    SELECT id, CASE WHEN winner IS NOT NULL OR k = 0 THEN 'labelled' ELSE 'review' END AS outcome, CASE WHEN winner IS NOT NULL THEN ['org', 'legal', 'secret', 'trusted', 'net'][winner + 1] WHEN k = 0 THEN 'work' END AS category,
+           CASE WHEN winner IS NOT NULL THEN 'exact_rules' ELSE 'llm' END AS tier, CASE WHEN winner IS NULL THEN [NULL, 'low_confidence', 'invalid_output', 'out_of_category', 'low_confidence'][k + 1] END AS review_reason,
+           n_matches::INTEGER AS n_matches, winner::INTEGER AS winner, CASE WHEN winner IS NULL THEN near END::INTEGER AS nearest_miss, CASE WHEN winner IS NULL THEN CASE WHEN k IN (2, 3, 4) THEN 2 ELSE 1 END END AS n_attempts, '' AS faults
+    FROM d
+    """
+)
+def decision_traces(spark, sf_dir):
+    """Documents as messages, decided by the rules, else by recorded answers: sure, unsure, twice no JSON, twice of no category, unsure at the second attempt, or an outage. The traces are written, read back and checked."""
+    messages, k = _messages(spark, sf_dir), F.col("id") % 6
+    good, low, other = ('{"reason":"so","category":"%s","confidence":%s}' % x for x in (("work", 0.9), ("work", 0.5), ("play", 0.9)))
+    ids = messages.select("id")
+    raw = lambda *of: F.get(F.array(*[F.lit(x) for x in of]), k.cast("int"))
+    status = F.when(k == 5, 503).otherwise(200)
+    first = ids.select("id", F.lit(1).alias("attempt"), status.alias("status"), raw(good, low, "no", other, "no", good).alias("raw"))
+    second = ids.select("id", F.lit(2).alias("attempt"), F.lit(200).alias("status"), raw(low, good, "no", other, low, good).alias("raw"))
+    answers = first.unionByName(second).withColumns({"done_reason": F.lit("stop"), "prompt_tokens": F.lit(100)})
+    said = spans.llm_spans(answers, "id", [("work", "w"), ("home", "h")], 0.85, "m", 1, _HASH, ["be kind"], {"temperature": 0, "seed": 42})
+    found = spans.decided_traces(spans.exact_rules_spans(messages, rules.rule_entries(spark, RULES)), said)
+    t = F.from_json("spans", spans.READ)
+    of_rules, of_model = F.get(t, F.lit(0)), F.get(F.filter(t, lambda s: s["kind"] == "llm"), F.lit(0))
+    return found.select(
+        "id", "outcome", "category", "tier", "review_reason", F.size(of_rules["matches"]).alias("n_matches"), of_rules["winner"]["index"].alias("winner"), of_rules["nearest_miss"]["index"].alias("nearest_miss"),
+        F.when(of_model.isNotNull(), F.size(of_model["attempts"])).alias("n_attempts"), F.array_join(spans.trace_faults(F.col("spans")), ",").alias("faults"),
+    )
