@@ -216,3 +216,38 @@ def test_error_classes_look_within_the_row(spark):
     got = {r.i: r.error_class for r in model_tier.error_classes(spark.createDataFrame(rows, "i int, causes array<string>").repartition(4), codes).collect()}
     assert got == {1: "auth", 2: "unknown", 3: "unknown", 4: "unknown", 5: "tls", 6: "auth"}
     assert model_tier.error_classes(spark.createDataFrame(rows[:1], "i int, causes array<string>"), codes.limit(0)).first().error_class == "unknown"
+
+
+FORMS = {
+    "category": {"R&D news-1": "ok", "a b": "ok", "a  b": "malformed", " a": "malformed", "a/b": "malformed", "é": "malformed", "x" * 40: "ok", "x" * 41: "too_long", "a\n": "control", "": "empty", None: "empty"},
+    "address": {"a@b": "ok", "a@b.c": "ok", "a b@c": "malformed", "a@@b": "malformed", "a@b@c": "malformed", "a\u00a0@b": "malformed", "@b": "malformed", "a @b": "control", "a" * 252 + "@b": "ok", "a" * 253 + "@b": "too_long"},
+    "domain": {"x": "ok", "x.org": "ok", "x..org": "malformed", ".x": "malformed", "x.": "malformed", "a@b": "malformed", "x org": "malformed", "x\x85": "control", "é.org": "ok"},
+    "hash": {"0" * 64: "ok", "0" * 63: "malformed", "A" * 64: "malformed", "0" * 64 + "\n": "too_long"},
+}
+
+
+@pytest.mark.parametrize("kind", sorted(FORMS))
+def test_forms(spark, kind):
+    df = spark.createDataFrame([(v,) for v in FORMS[kind]], "v string")
+    assert {r.v: r.f for r in df.select("v", text.form_check(kind, F.col("v")).alias("f")).collect()} == FORMS[kind]
+
+
+def test_pass_reports(spark):
+    rows = [("a", i, f"m{i % 7}", o) for i, o in enumerate(["failed"] * 6 + ["labelled", "failed", None, "failed"])] + [("b", 1, "x", "review"), ("c", 1, "y", None), ("d", 1, "z", "failed"), ("d", 2, "z", "failed")]
+    df = spark.createDataFrame(rows, "k string, i long, m string, outcome string")
+    got = {r.k: tuple(r)[1:] for r in model_tier.pass_report(df, ["k"], "i", "m").select("k", "n_labelled", "n_review", "n_failed", "n_left", "consecutive", "longest_run", "stopped", "n_unclassified").collect()}
+    assert got == {"a": (1, 0, 8, 1, 2, 6, True, 6), "b": (0, 1, 0, 0, 0, 0, False, 0), "c": (0, 0, 0, 1, 0, 0, False, 1), "d": (0, 0, 2, 0, 2, 2, False, 1)}
+
+
+def test_baselines_and_identity_statistics(spark):
+    runs = [(1, False, 1, None, 1.0), (1, False, 2, "a", 2.0), (1, True, 1, "b", 0.5), (2, False, 1, "a", 1.0), (2, True, 1, "a", 1.0), (3, False, 1, "a", 1.0), (4, False, 1, None, 0.0), (4, True, 1, "a", 0.0), (5, False, 1, "a", 0.0), (5, True, 1, None, 0.0)]
+    df = spark.createDataFrame(runs, "pair int, injected boolean, attempt int, category string, seconds double")
+    assert tuple(model_tier.baseline_report(df).first()) == (9, 4, 2, 6.5, 3.0)
+    import datetime as dt
+
+    t = dt.datetime(2024, 1, 1)
+    at = lambda s: t + dt.timedelta(seconds=s)
+    rows = [("p1", "a@x", "a@x", at(0.5), t), ("p2", "a@x", None, at(-3), t), (None, "a@x", "b@x", None, t), ("p3", None, "b", at(100), t), ("p4", "x@x@in", "x@x@in", None, t), ("p5", "in", None, None, t)]
+    mail_ = spark.createDataFrame(rows, "trusted_id string, message_id string, external_id string, sent_at timestamp, internal_date timestamp")
+    assert tuple(model_tier.identity_stats(mail_, "in").first()) == (6, 5, 1, 1, 1, 1, 1, 3.0, 100.0)
+    assert tuple(model_tier.identity_stats(mail_.limit(0), "in").first()) == (0, 0, 0, 0, 0, 0, 0, None, None)

@@ -125,3 +125,27 @@ def html_text_plain(html: Column) -> Column:
     """A form of ``html_text`` by patterns alone, in the JVM: scripts, styles and tags removed, white space folded."""
     bare = F.regexp_replace(html, r"(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->", " ")
     return F.trim(F.regexp_replace(F.regexp_replace(bare, r"<[^>]*>", " "), r"[\x09-\x0d\x20]+", " "))
+
+
+# Forms of what owners write (white space is JavaScript's), and their greatest lengths in code points.
+_NO_SPACE = SPACE[1:-1]
+FORMS = {
+    "category": (r"^[A-Za-z0-9&-]+(?: [A-Za-z0-9&-]+)*\z", 40),
+    "address": (rf"^[^{_NO_SPACE}@]+@[^{_NO_SPACE}@]+\z", 254),
+    "domain": (rf"^[^{_NO_SPACE}@.]+(\.[^{_NO_SPACE}@.]+)*\z", 253),
+    "hash": (r"^[0-9a-f]{64}\z", 64),
+}
+#: Fixed value: characters that no entry holds.
+CONTROL_PATTERN = r"[\p{Cc}\u2028\u2029]"
+
+
+def form_check(kind: str, value: Column) -> Column:
+    """ok, empty, too_long, control or malformed: whether a value has the fixed form of a category, an address, a domain or a hash; null is empty. Patterns are anchored at both ends."""
+    pattern, most = FORMS[kind]
+    return (
+        F.when(value.isNull() | (F.length(value) == 0), "empty")
+        .when(F.length(value) > most, "too_long")
+        .when(value.rlike(CONTROL_PATTERN), "control")
+        .when(~value.rlike(pattern), "malformed")
+        .otherwise("ok")
+    )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import stream_rules
 from .decide import http_failure, model_answer
 
 # Context and answer tokens, attempts, passes in which a message may fail alone, and how many may in a pass.
@@ -72,6 +73,28 @@ def pass_counters(outcomes: DataFrame, keys: list[str], outcome: str = "outcome"
     return outcomes.groupBy(*keys).agg(is_("labelled").alias("n_labelled"), is_("review").alias("n_review"), is_("failed").alias("n_failed"), F.count_if(F.col(outcome).isNull()).alias("n_left"))
 
 
+#: Fixed value: failures in a row that end a pass.
+CONSECUTIVE = 5
+
+
+def pass_report(outcomes: DataFrame, keys: list[str], order: str, message: str) -> DataFrame:
+    """(keys..., n_labelled, n_review, n_failed, n_left, consecutive, longest_run, stopped, n_unclassified): what a pass did and how it stands.
+
+    ``outcomes`` has one row for each message that the pass met, by ``order`` (a number): outcome is labelled, review, failed, or null for one that is left. ``consecutive`` counts the failures after
+    the last message that was decided, ``longest_run`` the most in a row; what is left in between ends no run. ``stopped`` says whether a run reached the limit.
+    ``n_unclassified`` counts the messages that failed or were left, each once.
+    """
+    met = outcomes.where(F.col("outcome").isin("labelled", "review", "failed"))
+    runs = stream_rules.failure_runs(met, keys, order, F.col("outcome") == "failed", CONSECUTIVE)
+    decided = F.max(F.when(F.col("outcome").isin("labelled", "review"), F.col(order))).alias("__last")
+    last = outcomes.groupBy(*keys).agg(decided)
+    after = met.join(last, keys).where((F.col("outcome") == "failed") & (F.col("__last").isNull() | (F.col(order) > F.col("__last"))))
+    trailing = after.groupBy(*keys).agg(F.count(F.lit(1)).alias("consecutive"))
+    open_ = outcomes.where(F.coalesce(F.col("outcome") == "failed", F.lit(True))).select(*keys, message).distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("n_unclassified"))
+    whole = pass_counters(outcomes, keys).join(runs, keys, "left").join(trailing, keys, "left").join(open_, keys, "left")
+    return whole.na.fill(0, ["consecutive", "longest_run", "n_unclassified"]).na.fill(False, ["stopped"])
+
+
 def backoff(failures: Column, base: float, cap: float, jitter: Column) -> Column:
     """Seconds to wait: base doubled for each failure up to the cap, changed by up to a fifth (``jitter`` from 0 to 1), at most the cap."""
     wait = F.least(F.lit(cap), F.lit(base) * F.pow(F.lit(2.0), failures.cast("double")))
@@ -127,6 +150,43 @@ def flips(pairs: DataFrame, base: str = "base", injected: str = "injected") -> D
     return pairs.withColumn("flip", F.col(injected).isNotNull() & ~F.col(base).eqNullSafe(F.col(injected)))
 
 
+def baseline_report(runs: DataFrame, pair: str = "pair") -> DataFrame:
+    """One row: n_mails, n_pairs, n_flips, seconds_total, seconds_longest of a run over mails in pairs.
+
+    ``runs`` has a row for each call: pair, injected (whether it is the variant with the injection), attempt, category (null: none) and seconds. A mail's seconds are those of its
+    calls together, its category that of its last call. A pair flips if the variant is labelled otherwise than its base; one without its other half flips not.
+    """
+    mails = runs.groupBy(pair, "injected").agg(F.sum("seconds").alias("s"), F.max_by("category", "attempt").alias("c"))
+    half = lambda v, c: F.max(F.when(F.col("injected") == v, F.col(c)))
+    sides = lambda v: F.count_if(F.col("injected") == v) > 0
+    pairs = mails.groupBy(pair).agg(half(False, "c").alias("base"), half(True, "c").alias("injected"), (sides(True) & sides(False)).alias("both"), F.count(F.lit(1)).alias("n"), F.sum("s").alias("s"), F.max("s").alias("top"))
+    told = flips(pairs)
+    return told.agg(F.sum("n").alias("n_mails"), F.count_if("both").alias("n_pairs"), F.count_if(F.col("flip") & F.col("both")).alias("n_flips"), F.round(F.sum("s"), 6).alias("seconds_total"), F.round(F.max("top"), 6).alias("seconds_longest"))
+
+
+def identity_stats(messages: DataFrame, domain: str) -> DataFrame:
+    """One row: what identities a folder's messages have, and how far their dates are from the server's.
+
+    ``messages`` has trusted_id, message_id, external_id, sent_at (all may be null) and internal_date. scanned, trusted_present, trusted_absent, id_absent, id_of_domain (the part after
+    the last @ is ``domain``), id_not_external, ids_shared (message ids that more than one trusted id has), and the nearest ranks skew_p50 and skew_p95 of the seconds between both dates.
+    """
+    mid, ext = F.col("message_id"), F.col("external_id")
+    counts = messages.agg(
+        F.count(F.lit(1)).alias("scanned"),
+        F.count("trusted_id").alias("trusted_present"),
+        F.count_if(F.col("trusted_id").isNull()).alias("trusted_absent"),
+        F.count_if(mid.isNull()).alias("id_absent"),
+        F.count_if(F.contains(mid, F.lit("@")) & (F.substring_index(mid, "@", -1) == domain)).alias("id_of_domain"),
+        F.count_if(mid != ext).alias("id_not_external"),
+    )
+    pairs = messages.where(mid.isNotNull() & F.col("trusted_id").isNotNull()).groupBy("message_id", "trusted_id").agg(F.lit(1).alias("one"))
+    shared = pairs.groupBy("message_id").agg(F.sum("one").alias("n")).agg(F.count_if(F.col("n") > 1).alias("ids_shared"))
+    apart = F.abs(F.unix_micros(F.col("sent_at").cast("timestamp")) - F.unix_micros(F.col("internal_date").cast("timestamp"))) / 1_000_000
+    skews = messages.where(F.col("sent_at").isNotNull()).select(F.floor(apart + 0.5).cast("double").alias("v"))
+    ranks = stream_rules.nearest_ranks(skews, "v", {"skew_p50": 0.5, "skew_p95": 0.95})
+    return counts.crossJoin(shared).crossJoin(ranks)  # one row each
+
+
 def correction_route(tier: Column) -> Column:
     """Where an owner's correction goes: to the rules if a rule decided, to the examples if a model did."""
     return F.when(tier == "exact_rules", "rules").when(tier.isin("llm", "classifier"), "examples").otherwise("review")

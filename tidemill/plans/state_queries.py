@@ -6,7 +6,8 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from ..operators import candidates, classifier, composite, decide, evaluation, phrases, rules, spans, tenant, trace
+from ..functions import text
+from ..operators import candidates, classifier, composite, decide, evaluation, model_tier, phrases, rules, spans, tenant, trace
 from ..sources import reports, workspace
 from ..streaming import backfill, ingest, states
 from ..streaming.generations import GenerationStore
@@ -383,3 +384,79 @@ def decision_traces(spark, sf_dir):
         "id", "outcome", "category", "tier", "review_reason", F.size(of_rules["matches"]).alias("n_matches"), of_rules["winner"]["index"].alias("winner"), of_rules["nearest_miss"]["index"].alias("nearest_miss"),
         F.when(of_model.isNotNull(), F.size(of_model["attempts"])).alias("n_attempts"), F.array_join(spans.trace_faults(F.col("spans")), ",").alias("faults"),
     )
+
+
+@query(
+    """
+    WITH e AS (SELECT user_id, event_id, CASE WHEN event_type IN ('purchase', 'view') THEN 'decided' WHEN event_type IN ('error', 'click') THEN 'failed' END AS o FROM events),
+    m AS (SELECT *, sum(CASE WHEN o = 'decided' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS g FROM e WHERE o IS NOT NULL),
+    r AS (SELECT user_id, g, count(*) FILTER (WHERE o = 'failed') AS n, g = max(g) OVER (PARTITION BY user_id) AS last FROM m GROUP BY user_id, g),
+    f AS (SELECT user_id, max(n) AS longest_run, max(n) FILTER (WHERE last) AS consecutive FROM r GROUP BY 1),
+    c AS (SELECT user_id, count(*) FILTER (WHERE event_type = 'purchase') AS n_labelled, count(*) FILTER (WHERE event_type = 'view') AS n_review, count(*) FILTER (WHERE event_type IN ('error', 'click')) AS n_failed,
+        count(*) FILTER (WHERE event_type = 'signup') AS n_left, count(DISTINCT CASE WHEN event_type IN ('error', 'click', 'signup') THEN event_id // 3 END) AS n_unclassified FROM events GROUP BY 1)
+    SELECT c.*, coalesce(consecutive, 0) AS consecutive, coalesce(longest_run, 0) AS longest_run, coalesce(longest_run >= 5, false) AS stopped FROM c LEFT JOIN f USING (user_id)
+    """
+)
+def pass_report(spark, sf_dir):
+    """Users are passes, events what they met, three to a message."""
+    outcome = F.when(F.col("event_type") == "purchase", "labelled").when(F.col("event_type") == "view", "review").when(F.col("event_type").isin("error", "click"), "failed")
+    met = table(spark, sf_dir, "events").select("user_id", "event_id", F.floor(F.col("event_id") / 3).alias("message"), outcome.alias("outcome"))
+    return model_tier.pass_report(met, ["user_id"], "event_id", "message")
+
+
+@query(
+    """
+    WITH m AS (SELECT event_id // 4 AS pair, event_id % 2 = 1 AS injected, sum(value) AS s, arg_max(NULLIF(event_type, 'error'), event_id) AS c FROM events GROUP BY ALL),
+    last AS (SELECT event_id // 4 AS pair, event_id % 2 = 1 AS injected, arg_max(coalesce(NULLIF(event_type, 'error'), ''), event_id) AS c FROM events GROUP BY ALL),
+    p AS (SELECT pair, max(c) FILTER (WHERE NOT injected) AS base, max(c) FILTER (WHERE injected) AS inj, count(*) AS n FROM last GROUP BY 1)
+    SELECT (SELECT count(*) FROM m) AS n_mails, count(*) FILTER (WHERE n = 2) AS n_pairs, count(*) FILTER (WHERE n = 2 AND inj <> '' AND inj <> base) AS n_flips,
+           (SELECT round(sum(s), 6) FROM m) AS seconds_total, (SELECT round(max(s), 6) FROM m) AS seconds_longest FROM p
+    """
+)
+def baseline_report(spark, sf_dir):
+    """Events are calls, two to a mail, mails in pairs, the odd one with an injection; an error has no label."""
+    k = F.col("event_id")
+    runs = table(spark, sf_dir, "events").select(F.floor(k / 4).alias("pair"), (k % 2 == 1).alias("injected"), k.alias("attempt"), F.nullif("event_type", F.lit("error")).alias("category"), F.col("value").alias("seconds"))
+    return model_tier.baseline_report(runs)
+
+
+@query(
+    r"""
+    WITH m AS (SELECT l_orderkey AS ext, CASE WHEN l_linenumber % 3 > 0 THEN l_suppkey END AS pm, CASE WHEN l_partkey % 5 > 0 THEN l_orderkey % 3000 || CASE WHEN l_orderkey % 2 = 0 THEN '@in.example' ELSE '@b@x' END END AS mid,
+        o_orderdate AS sent, l_shipdate AS d FROM lineitem LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus <> 'P') ON o_orderkey = l_orderkey),
+    s AS (SELECT list(k ORDER BY k) AS v FROM (SELECT abs(epoch(sent) - epoch(d))::DOUBLE AS k FROM m WHERE sent IS NOT NULL))
+    SELECT count(*) AS scanned, count(pm) AS trusted_present, count(*) - count(pm) AS trusted_absent, count(*) - count(mid) AS id_absent, count(*) FILTER (WHERE mid LIKE '%@in.example') AS id_of_domain,
+        count(*) FILTER (WHERE mid <> ext || '@in.example') AS id_not_external, (SELECT count(*) FROM (SELECT mid FROM m WHERE mid IS NOT NULL AND pm IS NOT NULL GROUP BY mid HAVING count(DISTINCT pm) > 1)) AS ids_shared,
+        (SELECT v[ceil(0.5 * len(v))::BIGINT] FROM s) AS skew_p50, (SELECT v[ceil(0.95 * len(v))::BIGINT] FROM s) AS skew_p95 FROM m
+    """
+)
+def folder_identity_stats(spark, sf_dir):
+    """Lines are messages: suppliers their trusted ids, order numbers their message ids, order dates their own dates."""
+    k = F.col("l_orderkey")
+    orders = table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderdate").alias("sent_at"))
+    host = F.when(k % 2 == 0, "@in.example").otherwise("@b@x")
+    lines = table(spark, sf_dir, "lineitem").join(orders, "l_orderkey", "left").select(
+        F.when(F.col("l_linenumber") % 3 > 0, F.col("l_suppkey")).alias("trusted_id"), F.when(F.col("l_partkey") % 5 > 0, F.concat((k % 3000).cast("string"), host)).alias("message_id"),
+        F.concat(k.cast("string"), F.lit("@in.example")).alias("external_id"), "sent_at", F.col("l_shipdate").alias("internal_date"),
+    )
+    return model_tier.identity_stats(lines, "in.example")
+
+
+@query(
+    r"""
+    WITH p AS (SELECT page_id, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host FROM pages),
+    v AS (SELECT *, CASE page_id % 4 WHEN 0 THEN host WHEN 1 THEN '.' || host WHEN 2 THEN repeat('a', 254) ELSE '' END AS d, CASE page_id % 3 WHEN 0 THEN 'a@' || host WHEN 1 THEN host WHEN 2 THEN 'a' || chr(9) || '@b' END AS a,
+        CASE page_id % 4 WHEN 0 THEN 'R&D news-1' WHEN 1 THEN 'two  spaces' WHEN 2 THEN 'x/' || host ELSE 'line' || chr(10) END AS c FROM p)
+    SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'ok' WHEN 1 THEN 'malformed' WHEN 2 THEN 'too_long' ELSE 'empty' END AS domain, CASE page_id % 3 WHEN 0 THEN 'ok' WHEN 1 THEN 'malformed' ELSE 'control' END AS address,
+        CASE page_id % 4 WHEN 0 THEN 'ok' WHEN 3 THEN 'control' ELSE CASE WHEN length(c) > 40 THEN 'too_long' ELSE 'malformed' END END AS category, CASE WHEN regexp_full_match(md5(host) || md5(d), '[0-9a-f]{64}') AND page_id % 2 = 0 THEN 'ok' ELSE 'malformed' END AS hash FROM v
+    """
+)
+def entry_forms(spark, sf_dir):
+    """Hosts of pages as domains, addresses and categories, right and wrong ones, and hashes in small and capital letters."""
+    k, host = F.col("page_id"), F.regexp_extract("url", r"^https?://([^/?#]+)", 1)
+    domain = F.when(k % 4 == 0, host).when(k % 4 == 1, F.concat(F.lit("."), host)).when(k % 4 == 2, F.repeat(F.lit("a"), 254)).otherwise("")
+    address = F.when(k % 3 == 0, F.concat(F.lit("a@"), host)).when(k % 3 == 1, host).otherwise("a\t@b")
+    category = F.when(k % 4 == 0, "R&D news-1").when(k % 4 == 1, "two  spaces").when(k % 4 == 2, F.concat(F.lit("x/"), host)).otherwise("line\n")
+    digest = F.sha2(host, 256)
+    checks = {"domain": domain, "address": address, "category": category, "hash": F.when(k % 2 == 0, digest).otherwise(F.concat(F.lit("A"), F.substring(digest, 2, 63)))}
+    return table(spark, sf_dir, "pages").select("page_id", *[text.form_check(kind, value).alias(kind) for kind, value in checks.items()])
