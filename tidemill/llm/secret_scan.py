@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import text_of
+from .common import text_of, unused
 
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -17,35 +17,49 @@ KINDS = ("assign", "access", "hex", "random")
 TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}(?![A-Za-z0-9+/_=-])"
 
 
+#: Pieces that are folded into one array of spans; no array that grows with the text is copied at each of its spans.
+SLICE = 64
+SPAN = "struct<start:bigint,rank:int,end:bigint,kind:string,token:string>"
+
+
+def _bound(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once: as the variable of a lambda, however often it stands in what ``use`` gives."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def spans_of(text: Column, pattern: str, kind: str, hint: str, accept, groups: int = 0) -> Column:
     """array<struct<start, rank, end, kind, token>> of the leftmost non-overlapping matches.
 
     Each match of ``(.*?)(pattern)`` is the gap before a match and the match; lengths add up to
-    offsets in code points. Rows without a match of ``hint`` are not split.
+    offsets in code points. They are added up within slices of SLICE pieces, then the slices' own offsets are added, so
+    that the work is linear in the text. Rows without a match of ``hint`` are not split.
     """
     split = rf"(?s)(.*?)(?:({pattern})|\z)"
     gaps = F.regexp_extract_all(text, F.lit(split), F.lit(1))
     hits = F.regexp_extract_all(text, F.lit(split), F.lit(2))
     values = F.regexp_extract_all(text, F.lit(split), F.lit(3)) if groups else hits
-    zero = F.struct(
-        F.lit(0).cast("long").alias("at"),
-        F.array().cast("array<struct<start:bigint,rank:int,end:bigint,kind:string,token:string>>").alias("found"),
-    )
+    none = F.array().cast(f"array<{SPAN}>")
+    zero = F.struct(F.lit(0).cast("long").alias("at"), none.alias("found"))
+
+    def span(start, end, token):
+        return F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), token.alias("token"))
 
     def step(state, x):
         start = state["at"] + F.length(x["gaps"])
         end = start + F.length(x["hits"])
-        span = F.struct(
-            start.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), x["hits"].alias("token")
-        )
-        return F.struct(
-            end.alias("at"),
-            F.when(accept(x["hits"], x["values"]), F.concat(state["found"], F.array(span))).otherwise(state["found"]).alias("found"),
-        )
+        found = F.when(accept(x["hits"], x["values"]), F.concat(state["found"], F.array(span(start, end, x["hits"])))).otherwise(state["found"])
+        return F.struct(end.alias("at"), found.alias("found"))
+
+    def sliced(pieces):
+        return F.transform(F.sequence(F.lit(1), F.size(pieces), F.lit(SLICE)), lambda k: F.aggregate(F.slice(pieces, k, SLICE), zero, step))
+
+    def placed(parts):
+        ends = F.aggregate(parts, F.array(F.lit(0).cast("long")), lambda ends, x: F.concat(ends, F.array(F.element_at(ends, -1) + x["at"])))
+        moved = lambda base: F.transform(parts, lambda x, i: F.transform(x["found"], lambda s: span(s["start"] + base[i], s["end"] + base[i], s["token"])))
+        return F.flatten(_bound(ends, moved))
 
     pieces = F.arrays_zip(gaps.alias("gaps"), hits.alias("hits"), values.alias("values"))
-    found = F.aggregate(pieces, zero, step, lambda s: s["found"])
-    return F.when(text.rlike(hint), found).otherwise(zero["found"])
+    return F.when(text.rlike(hint), _bound(_bound(pieces, sliced), placed)).otherwise(none)
 
 
 def normal_below(z: Column) -> Column:
@@ -161,14 +175,14 @@ def _stratum(n: Column) -> Column:
     return sum(((n >= least).cast("int") for least in LENGTHS[1:]), F.lit(0))
 
 
-def discovery_cuts(tested: DataFrame, level: float) -> dict[int, int]:
+def discovery_cuts(tested: DataFrame, level: float, column: str = "__tested") -> dict[int, int]:
     """For each class of length the lowest bin of p that passes a Benjamini-Hochberg cut at ``level`` over all tokens of the corpus.
 
-    ``tested`` has an array ``__tested`` of randomness results. Tokens are counted by class and bin, each
+    ``tested`` has an array ``column`` of randomness results. Tokens are counted by class and bin, each
     bin taken at its highest p, so that no list of p-values is sorted and the driver gets a row for
     each class at most. A class in which nothing passes is left out.
     """
-    counts = tested.select(F.explode("__tested.r").alias("r")).groupBy("r.stratum", "r.bin").agg(F.count(F.lit(1)).alias("n"))
+    counts = tested.select(F.explode(f"{column}.r").alias("r")).groupBy("r.stratum", "r.bin").agg(F.count(F.lit(1)).alias("n"))
     whole = Window.partitionBy("stratum")
     from_here = whole.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)
     found = F.pow(F.lit(10.0), -F.col("bin") / BINS) * F.sum("n").over(whole) / F.sum("n").over(from_here)
@@ -176,10 +190,10 @@ def discovery_cuts(tested: DataFrame, level: float) -> dict[int, int]:
     return {r["stratum"]: r["bin"] for r in passing.groupBy("stratum").agg(F.min("bin").alias("bin")).collect()}
 
 
-def with_tests(df: DataFrame) -> DataFrame:
-    """``df`` with ``__tested``: each of its ``__tokens`` with the result of the battery."""
-    results = randomness(F.transform("__tokens", lambda s: s["token"]))
-    return df.withColumn("__tested", F.zip_with("__tokens", results, lambda s, r: F.struct(s.alias("span"), r.alias("r")))).drop("__tokens")
+def with_tests(df: DataFrame, tokens: str = "__tokens", tested: str = "__tested") -> DataFrame:
+    """``df`` with ``tested``: each of its ``tokens`` with the result of the battery."""
+    results = randomness(F.transform(tokens, lambda s: s["token"]))
+    return df.withColumn(tested, F.zip_with(tokens, results, lambda s, r: F.struct(s.alias("span"), r.alias("r")))).drop(tokens)
 
 
 def joined(spans: Column) -> Column:
@@ -206,21 +220,23 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", level: float = 0.01) -
     empty one; columns named base_spans or random_spans are replaced.
     """
     text = text_of(text_col)
+    docs = docs.drop("base_spans", "random_spans")
+    c_assign, c_access, c_hex, c_tokens, c_tested = unused(docs, "__assign", "__access", "__hex", "__tokens", "__tested")
     tokens = spans_of(text, TOKEN, "random", TOKEN, lambda hit, _: F.length(hit) > 0)
-    cuts = discovery_cuts(with_tests(docs.select(tokens.alias("__tokens"))), level)
-    found = docs.drop("base_spans", "random_spans").withColumns(
+    cuts = discovery_cuts(with_tests(docs.select(tokens.alias(c_tokens)), c_tokens, c_tested), level, c_tested)
+    found = docs.withColumns(
         {
-            "__assign": spans_of(text, ASSIGN, "assign", ASSIGN, lambda hit, value: F.length(value) >= 6, groups=1),
-            "__access": spans_of(text, ACCESS, "access", ACCESS, lambda hit, _: F.length(hit) >= 20),
-            "__hex": spans_of(text, HEX, "hex", "[0-9a-f]{24}", lambda hit, _: F.length(hit) >= 24),
-            "__tokens": tokens,
+            c_assign: spans_of(text, ASSIGN, "assign", ASSIGN, lambda hit, value: F.length(value) >= 6, groups=1),
+            c_access: spans_of(text, ACCESS, "access", ACCESS, lambda hit, _: F.length(hit) >= 20),
+            c_hex: spans_of(text, HEX, "hex", "[0-9a-f]{24}", lambda hit, _: F.length(hit) >= 24),
+            c_tokens: tokens,
         }
     )
-    with_base = found.withColumn("base_spans", F.concat("__assign", "__access", "__hex")).drop("__assign", "__access", "__hex")
+    with_base = found.withColumn("base_spans", F.concat(c_assign, c_access, c_hex)).drop(c_assign, c_access, c_hex)
     never = F.lit(1 << 30)
     cut = F.array(*[F.lit(cuts[k]) if k in cuts else never for k in range(len(LENGTHS))])
-    passed = F.filter("__tested", lambda t: t["r"]["bin"] >= F.get(cut, t["r"]["stratum"]))
-    return with_tests(with_base).withColumn("random_spans", F.transform(passed, lambda t: t["span"])).drop("__tested")
+    passed = F.filter(c_tested, lambda t: t["r"]["bin"] >= F.get(cut, t["r"]["stratum"]))
+    return with_tests(with_base, c_tokens, c_tested).withColumn("random_spans", F.transform(passed, lambda t: t["span"])).drop(c_tested)
 
 
 def secret_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
