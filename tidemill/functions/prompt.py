@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .identity import canonical_map, content_hash
@@ -56,6 +56,16 @@ def user_prompt(sender: Column, subject: Column, body: Column, nonce: Column, na
     return shown if retry is None else F.concat_ws("\n", shown, retry)
 
 
+#: Fixed value: code points that an owner's judgment lines may have together.
+JUDGMENT_MAX = 4000
+
+
+def judgment_fits(lines: DataFrame, key: str, text: str, most: int = JUDGMENT_MAX) -> DataFrame:
+    """(key, n_chars, fits): the code points of a mailbox's judgment lines, without the white space at their ends, and whether a prompt has room for them."""
+    total = lines.groupBy(key).agg(F.coalesce(F.sum(F.length(F.trim(text))), F.lit(0)).alias("n_chars"))
+    return total.withColumn("fits", F.col("n_chars") <= most)
+
+
 def material_hash(parts: Column) -> Column:
     """The hash of what a prompt is made of (a map of texts): another template, schema or limit is another prompt."""
     return content_hash(canonical_map(parts))

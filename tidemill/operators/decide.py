@@ -122,6 +122,12 @@ def confusion(rows: DataFrame, actual: str, predicted: str) -> DataFrame:
     return rows.groupBy(actual, predicted).agg(F.count(F.lit(1)).alias("n"))
 
 
+def accuracy(rows: DataFrame, by: str, actual: str, predicted: str) -> DataFrame:
+    """(by, accuracy, n): the share of rows whose prediction is right, to six places; a null on either side is wrong."""
+    right = F.coalesce(F.col(actual) == F.col(predicted), F.lit(False)).cast("double")
+    return rows.groupBy(by).agg(F.round(F.avg(right), 6).alias("accuracy"), F.count(F.lit(1)).alias("n"))
+
+
 def coverage(rows: DataFrame, tier: str) -> DataFrame:
     """(tier, n, share): the part of decisions that each tier made."""
     counts = rows.groupBy(tier).agg(F.count(F.lit(1)).alias("n"))
@@ -137,7 +143,7 @@ def spot_check(rows: DataFrame, id_col: str, percent: int = 5) -> DataFrame:
 
 def quick_confirm(rows: DataFrame, counts: DataFrame, category: str, confidence: str, tie: str, n: int = 20, few: int = 15) -> DataFrame:
     """The ``n`` rows to confirm first: categories with under ``few`` examples, then the least confident."""
-    marked = rows.join(F.broadcast(counts.select(category, (F.col("n") < few).alias("short"))), category, "left").withColumn("short", F.coalesce("short", F.lit(True)))
+    marked = rows.join(counts.select(category, (F.col("n") < few).alias("short")), category, "left").withColumn("short", F.coalesce("short", F.lit(True)))
     return marked.orderBy(F.desc("short"), confidence, tie).limit(n)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import workspace
 from . import stream_rules
 from .decide import http_failure, model_answer
 
@@ -12,6 +13,8 @@ from .decide import http_failure, model_answer
 CONTEXT_TOKENS, ANSWER_TOKENS = 8192, 256
 ATTEMPTS = 2
 FAILED_PASSES, FAILURES_PER_PASS = 3, 2
+#: Up to so many blocks are one plan.
+UNITED_BLOCKS = 4
 #: Most codes of the table of error classes.
 MAX_CODES = 1000
 #: Vectors of a search that are sent to all tasks at once.
@@ -207,7 +210,7 @@ def neighbour_votes(queries: DataFrame, vectors: DataFrame, k: int, least_exampl
     n_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     enough = vectors.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_examples).select("label")
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    known = vectors.join(F.broadcast(enough), "label", "left_semi").select(F.col("vec_id").alias("n_id"), "label", F.col("embedding").alias("v"))
+    known = vectors.join(enough, "label", "left_semi").select(F.col("vec_id").alias("n_id"), "label", F.col("embedding").alias("v"))
     known = known.withColumn("vv", dot(F.col("v"), F.col("v")))
     asked = queries.select("vec_id", F.col("embedding").alias("q")).withColumn("qq", dot(F.col("q"), F.col("q")))
     cosine = F.round(dot(F.col("q"), F.col("v")) / F.sqrt(F.col("qq") * F.col("vv")), 6).alias("s")
@@ -217,7 +220,13 @@ def neighbour_votes(queries: DataFrame, vectors: DataFrame, k: int, least_exampl
         pairs = known.join(F.broadcast(mine), F.col("n_id") != F.col("vec_id")).select("vec_id", "n_id", "label", cosine)
         return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("s"), "n_id"))).where(F.col("rank") <= k)
 
-    near = reduce(DataFrame.unionByName, [nearest(b) for b in range(n_blocks)])
+    if n_blocks <= UNITED_BLOCKS:
+        near = reduce(DataFrame.unionByName, [nearest(b) for b in range(n_blocks)])
+    else:  # one plan a block, one after another; what is kept of a block is k rows a query
+        folder = workspace.scratch(queries.sparkSession, "neighbours")
+        for b in range(n_blocks):
+            nearest(b).write.parquet(f"{folder}/block={b}")
+        near = queries.sparkSession.read.schema(nearest(0).schema).parquet(folder)
     first = F.transform(F.slice(F.array_sort(F.collect_list(F.struct("rank", "n_id"))), 1, 3), lambda x: x["n_id"])
     return near.groupBy("vec_id", "label").agg(F.count(F.lit(1)).alias("n"), first.alias("nearest"))
 

@@ -121,3 +121,21 @@ def server_identity(host: Column, user: Column, folder: Column) -> Column:
     """A folder on a server as one key: host and user in lower case without white space, no dot at the host's end."""
     bare = lambda c: F.lower(F.trim(c))
     return F.concat_ws("\x1f", F.regexp_replace(bare(host), r"\.$", ""), bare(user), F.trim(folder))
+
+
+def counted(rows: DataFrame, items: DataFrame, key: str, name: str = "n") -> DataFrame:
+    """``rows`` with how many of ``items`` have their key, 0 where there are none; items are counted before they are joined."""
+    counts = items.groupBy(key).agg(F.count(F.lit(1)).alias(name))
+    return rows.join(counts, key, "left").withColumn(name, F.coalesce(name, F.lit(0)))
+
+
+def first_and_more(rows: DataFrame, key: str, id_col: str, n: int = 3, prefix: str = "") -> DataFrame:
+    """(key, notice): the ``n`` smallest ids of each key, and how many more there are, as a line of text. A task passes on ``n`` ids of a key, and a count."""
+    from pyspark.sql.window import Window
+
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(id_col))
+    listed = rows.select(key, id_col).withColumn("__r", rank).where(F.col("__r") <= n).groupBy(key).agg(F.array_sort(F.collect_list(id_col)).alias("ids"))
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    shown = F.array_join(F.transform("ids", lambda i: F.concat(F.lit(prefix), i.cast("string"))), ", ")
+    more = F.when(F.col("n") > n, F.concat(F.lit(" and "), (F.col("n") - n).cast("string"), F.lit(" more"))).otherwise("")
+    return listed.join(counts, key).select(key, F.concat(shown, more).alias("notice"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.identity import content_hash, identity_key, message_id
 from ..functions.text import html_text_plain
-from ..operators import candidates, decide, rules, scope, stream_rules, sync, upsert
+from ..operators import candidates, decide, rules, scope, store, stream_rules, sync, upsert
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -328,8 +328,8 @@ def rename_pairs(spark, sf_dir):
 
 @query("SELECT c_custkey, c_name, count(o_orderkey) AS n_messages FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2")
 def mailbox_list(spark, sf_dir):
-    counts = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("n"))
-    return table(spark, sf_dir, "customer").select("c_custkey", "c_name").join(counts, "c_custkey", "left").select("c_custkey", "c_name", F.coalesce("n", F.lit(0)).alias("n_messages"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    return store.counted(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), orders, "c_custkey", "n_messages")
 
 
 @query(

@@ -460,3 +460,26 @@ def entry_forms(spark, sf_dir):
     digest = F.sha2(host, 256)
     checks = {"domain": domain, "address": address, "category": category, "hash": F.when(k % 2 == 0, digest).otherwise(F.concat(F.lit("A"), F.substring(digest, 2, 63)))}
     return table(spark, sf_dir, "pages").select("page_id", *[text.form_check(kind, value).alias(kind) for kind, value in checks.items()])
+
+
+@query(
+    """
+    WITH e AS (SELECT event_type, event_id, ts < TIMESTAMP '2024-01-16' AS early FROM events), big AS (SELECT event_type FROM e WHERE early GROUP BY 1 HAVING count(*) > (SELECT count(*) FROM e WHERE early) // 5)
+    SELECT event_type AS folder, event_id AS uid, CASE WHEN event_type NOT IN (FROM big) THEN CASE WHEN early THEN 0 ELSE 1 END WHEN event_type <> (SELECT min(event_type) FROM big) THEN NULL ELSE 1 END::BIGINT AS batch_id
+    FROM e WHERE event_type NOT IN (FROM big) OR event_type = (SELECT min(event_type) FROM big)
+    """
+)
+def valve_release(spark, sf_dir):
+    """Event types are folders that fill in two batches. Those with more than a fifth of the first are held, with all their rows; of these the owner approves the first by name, whose rows of both batches are stored in the second."""
+    events = table(spark, sf_dir, "events").select(F.col("event_type").alias("folder"), F.col("event_id").cast("string").alias("identity"), F.col("event_id").alias("uid"), F.col("ts").cast("timestamp").alias("internal_date"))
+    home, cut = workspace.scratch(spark, "valve"), F.lit("2024-01-16").cast("timestamp")
+    store, state = f"{home}/store", f"{home}/state"
+    early, late = events.where(F.col("internal_date") < cut), events.where(F.col("internal_date") >= cut)
+    cap = early.count() // 5
+    ingest.store_batch(early, store, state, 0, cap=cap)
+    held = ingest.latest_before(spark, f"{state}-holds", "folder string, held boolean", None).where("held").agg(F.min("folder")).first()[0]
+    ingest.approve_held(spark, state, [held] if held else [])
+    # the approval is for the count of the hold; what has come since has to be within the cap, here the most that came to one folder
+    most = late.groupBy("folder").count().agg(F.max("count")).first()[0] or 0
+    ingest.store_batch(late, store, state, 1, cap=most)
+    return spark.read.schema("folder string, uid long, batch_id long").parquet(store).select("folder", "uid", "batch_id")

@@ -556,22 +556,13 @@ def injection_flags(spark, sf_dir):
 
 @query("SELECT quality, round(avg(CASE WHEN quality = toxic THEN 1.0 ELSE 0.0 END), 6) AS accuracy, count(*) AS n FROM labels GROUP BY 1")
 def category_accuracy(spark, sf_dir):
-    rows = table(spark, sf_dir, "labels")
-    return rows.groupBy("quality").agg(F.round(F.avg((F.col("quality") == F.col("toxic")).cast("double")), 6).alias("accuracy"), F.count(F.lit(1)).alias("n"))
+    return decide.accuracy(table(spark, sf_dir, "labels"), "quality", "quality", "toxic")
 
 
 @query("SELECT o_custkey, (SELECT string_agg('m' || k, ', ' ORDER BY k) FROM (SELECT unnest(ids[1:3]) AS k)) || CASE WHEN len(ids) > 3 THEN ' and ' || (len(ids) - 3) || ' more' ELSE '' END AS notice FROM (SELECT o_custkey, list(o_orderkey ORDER BY o_orderkey) AS ids FROM orders GROUP BY 1)")
 def notice_text(spark, sf_dir):
     """The first three ids and how many more there are: each task keeps the three least of a key, and a count."""
-    from pyspark.sql.window import Window
-
-    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey")
-    first = orders.withColumn("r", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))).where("r <= 3")
-    listed = first.groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias("ids"))
-    counts = orders.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
-    shown = F.array_join(F.transform("ids", lambda i: F.concat(F.lit("m"), i.cast("string"))), ", ")
-    more = F.when(F.col("n") > 3, F.concat(F.lit(" and "), (F.col("n") - 3).cast("string"), F.lit(" more"))).otherwise("")
-    return listed.join(counts, "o_custkey").select("o_custkey", F.concat(shown, more).alias("notice"))
+    return store.first_and_more(table(spark, sf_dir, "orders"), "o_custkey", "o_orderkey", 3, "m")
 
 
 @query("SELECT p_partkey, p_brand, first FROM (SELECT p_partkey, p_brand, min(p_partkey) OVER (PARTITION BY lower(trim(p_brand))) AS first FROM part) WHERE p_partkey <> first")
@@ -581,8 +572,7 @@ def duplicate_names(spark, sf_dir):
 
 @query("SELECT n_regionkey, sum(length(trim(n_name))) AS n_chars, sum(length(trim(n_name))) <= 40 AS fits FROM nation GROUP BY 1")
 def judgment_length(spark, sf_dir):
-    lines = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.sum(F.length(F.trim("n_name"))).alias("n_chars"))
-    return lines.withColumn("fits", F.col("n_chars") <= 40)
+    return prompt.judgment_fits(table(spark, sf_dir, "nation"), "n_regionkey", "n_name", 40)
 
 
 @query("SELECT event_id, sha256('{\"k\":' || to_json(event_type || chr(10) || ']:[') || ',\"value\":' || to_json(CAST(user_id AS VARCHAR)) || '}') AS hash FROM events")
