@@ -17,7 +17,7 @@ from .common import delete, materialize, skewed_join, written
 BLOCK = 1 << 13
 #: Relative slack of bounds against rounding of square roots and sums; a part within it is rescanned.
 SLACK = 1e-9
-#: A block with its heaps, and what the entries' counts and sums gained in the last round.
+#: A block with its heaps, and, in a task's last block, what the entries' counts and sums gained in the last round.
 STATE = (
     "vec_id array<long>, label array<{}>, values binary, codes binary, keys binary, rows binary, sizes array<int>,"
     " moved array<struct<part:int,entry:int,n:long,sums:array<decimal(38,0)>>>"
@@ -130,9 +130,8 @@ class Block:
         width = self.values.shape[1] // len(self.parts)
         return self.values[:, p * width : (p + 1) * width]
 
-    def advance(self, books: list[np.ndarray], drift: np.ndarray) -> dict:
-        """Scan the parts that drift may have moved; gives what sums and counts of entries gain and lose."""
-        moves: dict = {}
+    def advance(self, books: list[np.ndarray], drift: np.ndarray, moves: dict) -> None:
+        """Scan the parts that drift may have moved; ``moves`` takes what counts and sums of entries gain and lose."""
         for p, (heaps, book) in enumerate(zip(self.parts, books, strict=True)):
             fresh = heaps.codes[:1].tolist() == [-1]
             rows = np.arange(len(self.ids)) if fresh else heaps.pop(drift[p])
@@ -142,7 +141,6 @@ class Block:
             changed = rows[heaps.codes[rows] != before]
             _sums(moves, p, before[heaps.codes[rows] != before], values[changed], -1)
             _sums(moves, p, heaps.codes[changed], values[changed], 1)
-        return moves
 
     def row(self, moves: dict) -> pa.RecordBatch:
         heaps = [heap for part in self.parts for heap in part.heaps]
@@ -291,8 +289,15 @@ def _kept_blocks(batches: Iterator[pa.RecordBatch], dims: int, n_parts: int, ent
 
 
 def _carried(blocks: Iterator[Block], books: list[np.ndarray], drift: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The blocks after a round; the last one of a task bears what the whole task moved, so that it is a row for each entry and task."""
+    moves, held = {}, None
     for block in blocks:
-        yield block.row(block.advance(books, drift))
+        if held is not None:
+            yield held.row({})
+        block.advance(books, drift, moves)
+        held = block
+    if held is not None:
+        yield held.row(moves)
 
 
 def _first_step(dims: int, n_parts: int, books: list[np.ndarray], drift: np.ndarray):
@@ -308,7 +313,7 @@ def _last_step(dims: int, n_parts: int, books: list[np.ndarray], drift: np.ndarr
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in (_blocks if fresh else _kept_blocks)(batches, dims, n_parts, len(books[0])):
-            block.advance(books, drift)
+            block.advance(books, drift, {})
             n = len(block.ids)
             error, code = np.zeros(n, object), np.zeros(n, "U1")
             wide = dims * (2 * _most(block.values, *books)) ** 2 >= 1 << 62

@@ -19,8 +19,12 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SHARD_KEYS, TASK_PROBES = 1 << 18, 1 << 20
 #: Most bytes of an index that is broadcast; probes are routed to the shards of a larger one.
 BROADCAST_BYTES = 64 << 20
+#: Bytes of a key in the index, about: fingerprint, count, last holder, its bits of the hash.
+KEY_BYTES = 21
 #: Bits of a level of the hash for each key that reaches it.
 GAMMA = 2
+#: Counts of documents are held at this.
+MOST_COUNTED = (1 << 32) - 1
 #: Stands for a null id: it ranks below all others.
 NO_ID = -(1 << 63)
 
@@ -81,7 +85,7 @@ class Shard:
     def __init__(self, row) -> None:
         self.hash = PerfectHash(row["levels"], np.frombuffer(row["words"], np.uint64))
         self.prints = np.frombuffer(row["prints"], np.uint64)
-        self.counts = np.frombuffer(row["counts"], np.int64)
+        self.counts = np.frombuffer(row["counts"], np.uint32)
         self.keepers = np.frombuffer(row["keepers"], np.int64)
 
     def dropped(self, h1: np.ndarray, h2: np.ndarray, ids: np.ndarray, min_docs: int) -> np.ndarray:
@@ -136,7 +140,7 @@ def line_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             "levels": made.levels,
             "words": made.words.tobytes(),
             "prints": h2[order].tobytes(),
-            "counts": group["n"].to_numpy()[order].tobytes(),
+            "counts": np.minimum(group["n"].to_numpy()[order], MOST_COUNTED).astype(np.uint32).tobytes(),
             "keepers": group["keeper"].to_numpy()[order].tobytes(),
         }
         return pa.Table.from_pylist([row], schema=out)
@@ -171,11 +175,11 @@ def dedup_lines(
     up to ``broadcast_bytes``, and then no text moves; the probes of a larger one (hashes and ids) are routed to the
     shards, in groups of bounded size, and their answers joined to the rows.
     """
-    if min_docs < 2:
-        raise ValueError("min_docs must be 2 or more")
+    if not 2 <= min_docs <= MOST_COUNTED:
+        raise ValueError(f"min_docs must be from 2 to {MOST_COUNTED}")
     docs = docs.drop("n_lines", "n_dropped", "kept_text")
     index = line_index(docs, id_col, text_col, min_chars)
-    sizes = index.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("n") * 25).alias("bytes")).first()
+    sizes = index.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("n") * KEY_BYTES).alias("bytes")).first()
     c_lines, c_hash, c_drop = unused(docs, "lines_", "hash_", "drop_")
 
     def pair(key: Column) -> Column:
