@@ -251,3 +251,18 @@ def test_baselines_and_identity_statistics(spark):
     mail_ = spark.createDataFrame(rows, "trusted_id string, message_id string, external_id string, sent_at timestamp, internal_date timestamp")
     assert tuple(model_tier.identity_stats(mail_, "in").first()) == (6, 5, 1, 1, 1, 1, 1, 3.0, 100.0)
     assert tuple(model_tier.identity_stats(mail_.limit(0), "in").first()) == (0, 0, 0, 0, 0, 0, 0, None, None)
+
+
+def test_text_of_html(spark):
+    deep = "<div>" * 205 + "deep" + "</div>" * 205
+    pages = {
+        "<p>One <a href='http://x/y'>two</a></p><img alt=no src=x><style>no</style>three<br/>four": "One two\nthree\nfour",
+        f"a{deep}<p>b": "a\nb",
+        "<div>" * 200 + "kept": "kept",
+        "<br>" * 300 + "x &amp; y&nbsp;&lt;": "x & y <",
+        "</b></b>x<script>no</script": "x",
+        "": "",
+        None: None,
+    }
+    df = spark.createDataFrame([(p,) for p in pages], "p string")
+    assert {r.p: r.t for r in df.select("p", text.html_text(F.col("p")).alias("t")).collect()} == pages

@@ -88,27 +88,43 @@ def day(text: Column) -> Column:
     return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.to_date(F.try_to_timestamp(text, F.lit("yyyy-MM-dd"))))
 
 
+# Elements that are no text, that stand on lines of their own, that have no end tag; how deep elements may be nested for their text to be read.
+_SILENT, _LINES = {"script", "style"}, {"p", "br", "div", "li", "tr", "h1", "h2", "h3", "h4"}
+_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+MAX_DEPTH = 200
+
+
 class _Text(HTMLParser):
+    """Text of a page by its tags: nothing of scripts and styles, of pictures or of targets of links."""
+
     def __init__(self):
-        super().__init__()
-        self.parts, self.silent = [], 0
+        super().__init__(convert_charrefs=True)
+        self.parts, self.silent, self.depth = [], 0, 0
 
     def handle_starttag(self, tag, attrs):
-        self.silent += tag in ("script", "style")
-        if tag in ("p", "br", "div", "li", "tr", "h1", "h2", "h3", "h4"):
+        self.silent += tag in _SILENT
+        self.depth += tag not in _VOID
+        if tag in _LINES:
+            self.parts.append("\n")
+
+    def handle_startendtag(self, tag, attrs):
+        if tag in _LINES:
             self.parts.append("\n")
 
     def handle_endtag(self, tag):
-        self.silent = max(0, self.silent - (tag in ("script", "style")))
+        self.silent = max(0, self.silent - (tag in _SILENT))
+        self.depth = max(0, self.depth - (tag not in _VOID))
+        if tag in _LINES:
+            self.parts.append("\n")
 
     def handle_data(self, data):
-        if not self.silent:
+        if not self.silent and self.depth <= MAX_DEPTH:
             self.parts.append(data)
 
 
 @pandas_udf(StringType())
 def html_text(s: pd.Series) -> pd.Series:
-    """The text of a message body in HTML, without scripts and styles, links as their words."""
+    """The text of a message body in HTML, without scripts and styles, links as their words; what is nested deeper than MAX_DEPTH is left out."""
 
     def text(source):
         if source is None:

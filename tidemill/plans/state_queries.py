@@ -483,3 +483,16 @@ def valve_release(spark, sf_dir):
     most = late.groupBy("folder").count().agg(F.max("count")).first()[0] or 0
     ingest.store_batch(late, store, state, 1, cap=most)
     return spark.read.schema("folder string, uid long, batch_id long").parquet(store).select("folder", "uid", "batch_id")
+
+
+@query(
+    r"""
+    WITH a AS (SELECT page_id, regexp_replace(html, '(?s)<!--.*?-->|<script.*?</script>|<style.*?</style>', '', 'g') AS h FROM pages),
+    b AS (SELECT page_id, regexp_replace(regexp_replace(h, '</?(p|br|div|li|tr|h1|h2|h3|h4)(\s[^>]*)?/?>', chr(10), 'g'), '<[^>]*>', '', 'g') AS h FROM a),
+    c AS (SELECT page_id, replace(replace(replace(replace(h, '&middot;', '·'), '&copy;', '©'), '&quot;', '"'), '&amp;', '&') AS h FROM b)
+    SELECT page_id, array_to_string(list_filter(list_transform(string_split(h, chr(10)), lambda x: trim(regexp_replace(x, '[\x09-\x0d\x20]+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS text FROM c
+    """
+)
+def html_text_parsed(spark, sf_dir):
+    """Pages as bodies in HTML, read by the parser."""
+    return table(spark, sf_dir, "pages").select("page_id", text.html_text(F.col("html")).alias("text"))
