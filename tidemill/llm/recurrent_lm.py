@@ -418,8 +418,8 @@ def encode_documents(rows: DataFrame, vocabulary) -> DataFrame:
     of log10(c + 0.5) over them and the end), shares (what the model's score adds for the shares of words within the
     other words of their classes), rare (words that the table lacks), codes (two bytes a word, the end
     last), g and round. Each training text belongs to one group of about GROUP_WORDS words and to the
-    group's round; -1 marks those held out. A text is dealt by its row's id with it, so that the copies
-    of a text are spread over the groups.
+    group's round; -1 marks those held out. A text is dealt by its row's id and its place in the input with it, so that
+    the copies of a text, and repeated rows, are spread over the groups.
     """
     n_groups = ROUNDS * max(1, round(vocabulary.value.tokens / (ROUNDS * GROUP_WORDS)))
 
@@ -458,7 +458,8 @@ def encode_documents(rows: DataFrame, vocabulary) -> DataFrame:
     encoded = rows.withColumn("h", F.xxhash64(F.lit(23), "doc_id", "text")).mapInArrow(
         encode, f"doc_id {id_type}, held_out boolean, h long, words long, known long, logs double, shares double, rare array<string>, codes binary"
     )
-    dealt = encoded.withColumn("g", F.pmod(F.xxhash64(F.lit(29), "h"), F.lit(n_groups)).cast("long"))
+    # by its place in the input too, so that equal rows are dealt over all groups
+    dealt = encoded.withColumn("g", F.pmod(F.xxhash64(F.lit(29), "h", F.monotonically_increasing_id()), F.lit(n_groups)).cast("long"))
     dealt = dealt.withColumn("round", F.when(F.col("held_out"), -1).otherwise(F.pmod("g", F.lit(ROUNDS))).cast("int"))
     dealt = dealt.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "held_out", "words", "known", "logs", "shares", "rare", "codes", "h", "g", "round")
     return materialize(dealt, "lm-codes", by=["round"])
