@@ -274,3 +274,16 @@ def test_entries_that_repeat_and_settings_out_of_range(spark):
     assert sorted(tuple(r) for r in found) == [("d", "server", 0, 2, "s"), ("d", "slug", 0, 1, "a"), ("d", "slug", 0, 3, "a")]
     settings = spark.createDataFrame([(1, 5, None), (2, 0, 3.5), (3, 201, 3.0)], "id int, cap int, days double")
     assert sorted(tuple(r) for r in reports.out_of_range(settings, ["id"], {"cap": (1, 200), "days": (0, 9)}).collect()) == [(2, "cap", 0.0), (2, "days", 3.5), (3, "cap", 201.0)]
+
+
+def test_what_rules_and_prompts_see_of_a_candidate(spark):
+    kind = "id int, from_address string, from_domain string, subject string, headers map<string,array<string>>, attachments array<struct<name:string,size:int>>, body struct<text:string>"
+    rows = [
+        (1, "a@b", "b", "s", {"from": ['"Doe, J." <a@b>', "Other <o@p>"], "sender": ["No <n@o>"]}, [("x", 1), (None, 2), ("y", 3)], ("t",)),
+        (2, None, None, None, None, None, None),
+        (3, "a@b", "b", "", {"from": []}, [], (None,)),
+    ]
+    got = {r.id: (tuple(r.matchable), tuple(r.untrusted)) for r in candidates.projected(spark.createDataFrame(rows, kind)).collect()}
+    assert got[1] == (("a@b", "b", "s", "t"), ("a@b", "Doe, J.", "s", ["x", "y"], "t"))
+    assert got[2] == ((None, None, None, None), ("", None, "", [], ""))
+    assert got[3] == (("a@b", "b", "", None), ("a@b", None, "", [], ""))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.mail import display_name
 from .scope import keyset_before, newest
 
 
@@ -50,3 +51,21 @@ def candidate_page(messages, bodies, locations, decisions, keys, n: int, since=N
     wanted = pending(messages, locations, decisions.limit(0) if not pending_only else decisions, keys, since, time_col)
     page = newest(wanted, time_col, id_col, n)
     return with_body(with_decided(page, decisions, keys), bodies, [k for k in keys if k in bodies.columns] or keys)
+
+
+def projected(page: DataFrame) -> DataFrame:
+    """(id, matchable, untrusted) of candidates: what the rules compare, and what a prompt may show behind its fence.
+
+    ``page`` has id, from_address, from_domain, subject, headers (map<string, array<string>>), attachments (array<struct<name, ...>>) and body (struct<text, ...>, null without one). The rules see the
+    stored address, domain, subject and text, nulls as they are, and never a name or another header. A prompt gets no nulls but for the name, which is that of the first From header; attachments
+    without a name are left out.
+    """
+    c = F.col
+    empty = lambda x: F.coalesce(x, F.lit(""))
+    sender = F.get(F.try_element_at("headers", F.lit("from")), F.lit(0))
+    names = F.coalesce(F.filter(F.transform("attachments", lambda a: a["name"]), lambda n: n.isNotNull()), F.array().cast("array<string>"))
+    matchable = F.struct("from_address", "from_domain", "subject", c("body.text").alias("body"))
+    untrusted = F.struct(
+        empty(c("from_address")).alias("from_address"), display_name(sender).alias("from_name"), empty(c("subject")).alias("subject"), names.alias("attachment_names"), empty(c("body.text")).alias("body")
+    )
+    return page.select("id", matchable.alias("matchable"), untrusted.alias("untrusted"))

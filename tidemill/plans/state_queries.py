@@ -496,3 +496,25 @@ def valve_release(spark, sf_dir):
 def html_text_parsed(spark, sf_dir):
     """Pages as bodies in HTML, read by the parser."""
     return table(spark, sf_dir, "pages").select("page_id", text.html_text(F.col("html")).alias("text"))
+
+
+@query(
+    r"""
+    WITH d AS (SELECT doc_id, source, lang, text, doc_id % 4 AS k, split_part(text, chr(10), 1) AS subject FROM documents)
+    SELECT doc_id AS id, source AS from_address, CASE WHEN k <> 1 THEN lang || '.example' END AS from_domain, CASE WHEN k = 2 THEN NULL ELSE subject END AS subject, CASE WHEN k <> 3 THEN text END AS body,
+           CASE WHEN k IN (0, 3) THEN 'Desk, ' || lang END AS from_name, CASE WHEN k = 2 THEN '' ELSE subject END AS shown_subject, CASE WHEN k = 1 THEN 'a.txt|b.txt' ELSE 'a.txt' END AS files, CASE WHEN k <> 3 THEN text ELSE '' END AS shown_body FROM d
+    """
+)
+def entry_views(spark, sf_dir):
+    """Documents as candidates: names in quotes, bare addresses or no From header; attachments without names; no subject or no body."""
+    k, null = F.col("doc_id") % 4, F.lit(None).cast("string")
+    sender = F.when(k.isin(0, 3), F.concat(F.lit('"Desk, '), "lang", F.lit('" <x@y>'))).when(k == 1, "x@y")
+    headers = F.when(k == 2, F.create_map(F.lit("to"), F.array(F.lit("z@y")))).otherwise(F.create_map(F.lit("from"), F.array(sender, F.lit("Other <o@y>"))))
+    files = F.array(*[F.struct(n.alias("name"), F.lit(1).alias("size")) for n in (F.lit("a.txt"), null, F.when(k == 1, "b.txt"))])
+    page = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("id"), F.col("source").alias("from_address"), F.when(k != 1, F.concat("lang", F.lit(".example"))).alias("from_domain"), F.when(k != 2, F.substring_index("text", "\n", 1)).alias("subject"),
+        headers.alias("headers"), files.alias("attachments"), F.when(k != 3, F.struct("text", F.lit("text/plain").alias("source"))).alias("body"),
+    )
+    return candidates.projected(page).select(
+        "id", "matchable.*", F.col("untrusted.from_name").alias("from_name"), F.col("untrusted.subject").alias("shown_subject"), F.array_join("untrusted.attachment_names", "|").alias("files"), F.col("untrusted.body").alias("shown_body")
+    )
