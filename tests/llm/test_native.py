@@ -79,6 +79,17 @@ def test_seats_against_the_highest_quotients(spark):
         assert {k: got[g, k] for k, _, _ in parties} == {k: won[k] for k, _, _ in parties}, (g, parties, seats[g])
 
 
+def test_mix_repeats_a_row_of_many_copies_in_pieces(spark, docs_of, monkeypatch):
+    from tidemill.llm import mixing
+
+    rows = [(7, "one two three four")] * 300 + [(i, f"word{i} again") for i in range(40)]
+    whole = Counter(tuple(r) for r in mixed_documents(docs_of(rows)).collect())
+    monkeypatch.setattr(mixing, "COPIES", 7)
+    pieces = mixed_documents(docs_of(rows))
+    assert Counter(tuple(r) for r in pieces.collect()) == whole
+    assert max(whole.values()) > 100 and pieces.columns == docs_of(rows).columns
+
+
 def test_mix_takes_of_small_sources(docs_of):
     rows = [(1, "one two three", "a"), (2, "four five", "b"), (3, "six " * 500, "c"), (4, "seven", "c")]
     got = {r["doc_id"]: r for r in rows_of(mix_sources(docs_of(rows)))}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, materialize, text_of, unused
+from .common import HOT_KEYS, WORD, materialize, text_of, unused
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (3, 1, 2)
@@ -188,22 +188,35 @@ def mix_sources(
     )
 
 
+#: Copies that one row of a task is repeated to; a row of more is dealt over tasks in pieces of so many.
+COPIES = 10_000
+
+
 def mixed_documents(docs: DataFrame, seed: int = 7, **kwargs) -> DataFrame:
     """The rows of ``docs`` as the mix takes them: each as often as ``copies`` says, rows without a word once.
 
     Rows that are equal in all columns become one that is repeated as often as all of them; they are
-    told apart by 128 bits of hashes.
+    told apart by 128 bits of hashes. One that is to be repeated more than COPIES times is cut into pieces, and these are
+    dealt over the tasks.
     """
-    c_hash, c_check, c_times, c_copy = unused(docs, "__hash", "__check", "__times", "__copy")
+    c_hash, c_check, c_times, c_copy, c_piece = unused(docs, "__hash", "__check", "__times", "__copy", "__piece")
     mix = mix_sources(docs, seed=seed, **kwargs)
-    times = mix.groupBy(F.col("row_hash").alias(c_hash), F.col("row_check").alias(c_check)).agg(
-        F.sum(F.when(F.col("size") == 0, 1).otherwise(F.col("copies"))).cast("int").alias(c_times)
-    ).where(F.col(c_times) > 0)
+    wanted = F.sum(F.when(F.col("size") == 0, 1).otherwise(F.col("copies"))).alias(c_times)
+    times = mix.groupBy(F.col("row_hash").alias(c_hash), F.col("row_check").alias(c_check)).agg(wanted).where(F.col(c_times) > 0)
+    times = materialize(times, "mix-times")
     keys = [c_hash, c_check]
-    return (
-        docs.select("*", *[_row_hash(docs, seed, k).alias(name) for k, name in enumerate(keys)])
-        .dropDuplicates(keys)
-        .join(times, keys)
-        .withColumn(c_copy, F.explode(F.array_repeat(F.lit(0), F.col(c_times))))
-        .select(*docs.columns)
-    )
+    hashed = docs.select("*", *[_row_hash(docs, seed, k).alias(name) for k, name in enumerate(keys)])
+
+    def repeated(rows: DataFrame) -> DataFrame:
+        return rows.withColumn(c_copy, F.explode(F.array_repeat(F.lit(0), F.col(c_times).cast("int")))).select(*docs.columns)
+
+    few = repeated(hashed.dropDuplicates(keys).join(times.where(F.col(c_times) <= COPIES), keys))
+    many = times.where(F.col(c_times) > COPIES)
+    n_many = many.count()
+    if not n_many:
+        return few
+    # at most one in COPIES of the copies is such a row: they are picked out where they are
+    picked = hashed.join(F.broadcast(many) if n_many <= HOT_KEYS else many, keys).dropDuplicates(keys)
+    pieces = picked.withColumn(c_piece, F.explode(F.sequence(F.lit(0), ((F.col(c_times) - 1) / COPIES).cast("long"))))
+    dealt = pieces.repartition(*keys, c_piece).withColumn(c_times, F.least(F.lit(COPIES), F.col(c_times) - F.col(c_piece) * COPIES))
+    return few.unionByName(repeated(dealt))
