@@ -383,17 +383,6 @@ def test_lm_trains_on_every_text(spark, docs_of, monkeypatch):
     assert len(sizes) == 8 and max(sizes.values()) < 1200
 
 
-def test_lm_spreads_rows_that_repeat(spark, docs_of, monkeypatch):
-    monkeypatch.setattr(lm, "GROUP_WORDS", 500)
-    rows = [(7, LONG)] * 150 + [(None, LONG)] * 150
-    copies = docs_of(rows).select("doc_id", F.lit(False).alias("held_out"), lm.text_of().alias("text"))
-    found = lm.build_vocabulary(lm.word_counts(copies))
-    sizes = Counter()
-    for r in lm.encode_documents(copies, spark.sparkContext.broadcast(found)).collect():
-        sizes[r.g] += len(r.codes) // 2
-    assert sum(sizes.values()) == 300 * 41 and len(sizes) >= 20 and max(sizes.values()) < 1500
-
-
 def test_lm_on_an_empty_table(docs_of):
     assert lm.score_documents(docs_of([]), q.held_out(1, 5)).count() == 0
 
