@@ -156,7 +156,7 @@ def test_learning_curve_by_brute_force(spark, monkeypatch):
 @pytest.mark.parametrize("buckets", [2, 1024])
 def test_percentiles_by_key(spark, buckets):
     r = random.Random(4)
-    rows = [("a", r.gauss(0, 1)) for _ in range(200)] + [("b", float(r.randrange(3))) for _ in range(99)] + [("b", 1e300), ("b", -1e300), ("c", 7.0), ("d", None), ("d", float("nan"))]
+    rows = [("a", r.gauss(0, 1)) for _ in range(200)] + [("b", float(r.randrange(3))) for _ in range(99)] + [("b", 1e300), ("b", -1e300), ("c", 7.0), ("d", None), ("d", float("nan")), (None, 5.0)]
     rows += [("e", 1.0 + k * 1e-15) for k in range(40)] + [("e", 1e9)] + [("f", -0.0), ("f", 0.0)]
     df = spark.createDataFrame(rows, "k string, v double").repartition(3)
     percents = {"p0": 0.0, "p50": 0.5, "p95": 0.95, "p100": 1.0}
@@ -165,6 +165,7 @@ def test_percentiles_by_key(spark, buckets):
         values = sorted(v for k, v in rows if k == key and v is not None and v == v)
         want = tuple(values[max(1, math.ceil(p * len(values))) - 1] if values else None for p in percents.values())
         assert got[key] == want
+    assert set(got) == set("abcdef")
     whole = sorted(v for _, v in rows if v is not None and v == v)
     assert tuple(evaluation.nearest_ranks_by(df, [], "v", {"m": 0.5}, buckets).first()) == (whole[math.ceil(len(whole) / 2) - 1],)
     assert tuple(evaluation.nearest_ranks_by(df.limit(0), [], "v", {"m": 0.5}).first()) == (None,)

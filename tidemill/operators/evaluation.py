@@ -58,8 +58,11 @@ def nearest_ranks_by(df: DataFrame, keys: list[str], value: str, percents: dict[
 
     The range that holds a rank is cut into ``buckets``; the bucket with the rank, as far as values in it reach, is the
     next range, until its least and greatest value are one. So no rows are sorted, however they are spread and whatever
-    a key holds; a round counts the rows that are still in some range, and windows see a key's buckets. NaN is no value.
+    a key holds; a round counts the rows that are still in some range, and windows see a key's buckets. NaN is no value; rows with a
+    null key are left out.
     """
+    for key in keys:
+        df = df.where(F.col(key).isNotNull())
     if not keys:
         one = nearest_ranks_by(df.select(value, F.lit(0).alias("__all")), ["__all"], value, percents, buckets)
         return one.agg(*[F.max(name).alias(name) for name in percents])
