@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -383,6 +384,59 @@ def test_lm_trains_on_every_text(spark, docs_of, monkeypatch):
     assert len(sizes) == 8 and max(sizes.values()) < 1200
 
 
+def test_lm_trains_in_even_lanes(monkeypatch):
+    """Each word is a target once, after the word before it, and a long text doesn't leave the other lanes idle."""
+    rng, layout = np.random.default_rng(2), small_layout()
+    docs = [some_codes(rng, n) for n in (9000, *rng.integers(1, 40, 500))]
+    stream, seen, places = np.concatenate(docs).tolist(), Counter(), 0
+    gradients = lm._window_gradients
+
+    def watched(p, layout, entry, target, h):
+        nonlocal places
+        places += target.size
+        seen.update((int(a), int(b)) for a, b in zip(entry.ravel(), target.ravel(), strict=True) if b != lm.PAD)
+        return gradients(p, layout, entry, target, h)
+
+    monkeypatch.setattr(lm, "_window_gradients", watched)
+    start = np.concatenate([(rng.standard_normal(s) * 0.1).ravel() for s in lm.SHAPES.values()]).astype(np.float32)
+    after = lm.train_group(start, layout, docs, 0.01)
+    assert np.isfinite(after).all() and np.abs(after - start).max() > 0
+    assert seen == Counter(zip([0, *stream], stream, strict=False))
+    assert places < 1.1 * len(stream)
+
+
+def test_lm_logits_of_a_word(spark, sf_dir):
+    """The softmax of the classes and that within a class together are far from the frequent words' number, no class of all the rest among them."""
+    found = lm.build_vocabulary(lm.word_counts(q.table(spark, sf_dir, "documents").select(lm.text_of().alias("text"))))
+    places = np.diff(found.layout.starts)[np.minimum(found.layout.class_of[: lm.CODES], lm.CLASSES - 1)]
+    assert lm.CLASSES + (found.code_words * places).sum() / found.code_words.sum() < 130
+
+
+def test_lm_codes(spark, docs_of):
+    words = [*(f"{a}{b}{c}" for a in "xyz" for b in "abcdeé" for c in "fghijklü"), *"abcdefg", "日本"]
+    rows = [(i, " ".join(w for k, w in enumerate(words) if i % (k + 1) == 0)) for i in range(1, 400)]
+    counts = Counter(w.encode() for _, t in rows for w in t.split())
+    found = lm.build_vocabulary(lm.word_counts(docs_of(rows)))
+    by_rank = [w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))]
+    rest = Counter()
+    for w in by_rank[lm.SINGLES - 1 :]:
+        rest[w[-2:]] += counts[w]
+    endings = [e for e, _ in sorted(rest.items(), key=lambda x: (-x[1], x[0]))][: lm.ENDINGS]
+    assert len(rest) > lm.ENDINGS
+
+    def class_of(w):
+        return lm.SINGLES + (endings.index(w[-2:]) if w[-2:] in endings else lm.ENDINGS + w[-1] % lm.RESTS)
+
+    asked = [*by_rank, b"q", b"qq", "ß".encode(), b"qab"]
+    want = [*range(1, len(by_rank) + 1), *(lm.FREQUENT + class_of(w) for w in asked[len(by_rank) :])]
+    for given, n in ((asked, 0), (pa.array([b"zz", b"", *asked], pa.binary())[2:], 0), (pa.array([b"", *asked], pa.binary()), 1)):
+        codes, at = found.encode(given)
+        assert codes[n:].tolist() == want and at[n:].tolist() == [*range(1, len(by_rank) + 1), -1, -1, -1, -1]
+        assert (at[:n] == -1).all()
+    assert [int(found.layout.class_of[i]) for i in range(1, len(by_rank) + 1)] == [i if i < lm.SINGLES else class_of(w) for i, w in enumerate(by_rank, 1)]
+    assert found.code_words.sum() == found.tokens == sum(counts.values()) + len(rows)
+
+
 def test_lm_on_an_empty_table(docs_of):
     assert lm.score_documents(docs_of([]), q.held_out(1, 5)).count() == 0
 

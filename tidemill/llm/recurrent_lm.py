@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from .common import materialize, text_of
 
-#: Word classes: the end and the most frequent words alone, others by their last two bytes, the rest together.
-SINGLES, ENDINGS = 30, 33
-CLASSES = SINGLES + ENDINGS + 1
+#: Word classes: the end and the most frequent words alone, others by their last two bytes, the rest by their last byte's remainder.
+SINGLES, ENDINGS, RESTS = 30, 33, 8
+CLASSES = SINGLES + ENDINGS + RESTS
 #: Frequent words, which have an input vector and a place in the softmax of their class; a class has one more place for all its other words.
 FREQUENT = 1024
 #: Codes of tokens: a frequent word, or FREQUENT plus the class of another; PAD is no token.
@@ -29,7 +29,9 @@ LIMIT = 3.0
 #: Parts of the training documents, trained on one after the other, and most partitions that groups are dealt to.
 ROUNDS, PARTITIONS = 4, 2000
 #: Words of a training group, lanes and window of truncated backpropagation, least windows of a group.
-GROUP_WORDS, LANES, WINDOW, WINDOWS = 1 << 21, 512, 20, 100
+GROUP_WORDS, LANES, WINDOW, WINDOWS = 1 << 21, 256, 20, 100
+#: Logits that are worked on at a time.
+BLOCK = 1 << 16
 #: Words that a task scores together, and bytes of texts it splits together.
 SCORE_WORDS, SLICE_BYTES = 1 << 21, 16 << 20
 #: The end of a document, which no word equals; its code is 0.
@@ -82,6 +84,17 @@ def _ending() -> Column:
     return F.substring(F.col("token").cast("binary"), -2, 2)
 
 
+def _last_two(words: pa.Array) -> np.ndarray:
+    """A number for the last two bytes of each word, or its one: the last is its remainder by 256. An empty piece, which is no word, gets 0."""
+    if not len(words):
+        return np.empty(0, dtype=np.int64)
+    _, offsets, data = words.cast(pa.binary()).buffers()
+    bounds = np.frombuffer(offsets, dtype=np.int32)[words.offset : words.offset + len(words) + 1]
+    data = np.append(np.frombuffer(data or b"", dtype=np.uint8), np.zeros(2, dtype=np.uint8))
+    size, stop = np.diff(bounds), bounds[1:]
+    return np.where(size > 1, data[stop - 2].astype(np.int64) + 1, 0) * 256 + np.where(size > 0, data[stop - 1], 0)
+
+
 @dataclass
 class Layout:
     """Of each code its class and its place in the softmax of the class; where the places of each class start among all."""
@@ -106,10 +119,10 @@ class Layout:
 class Vocabulary:
     """Codes of the most frequent words, and counts of all."""
 
-    index: dict
+    head: pa.Array
     head_code: np.ndarray
     head_log: np.ndarray
-    endings: dict
+    class_by_end: np.ndarray  # of each number of last two bytes
     layout: Layout
     code_words: np.ndarray  # occurrences of each code in training
     other_log: np.ndarray  # of each class: the log of the divisor of its other words' shares
@@ -117,14 +130,13 @@ class Vocabulary:
     kinds: int
     end_known: bool
 
-    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Codes of words, and their places in the table (-1: none)."""
-        get = self.index.get
-        at = np.fromiter((get(w, -1) for w in words), dtype=np.int64, count=len(words))
+    def encode(self, words) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of words (an array of Arrow, or a list), and their places in the table (-1: none)."""
+        words = pa.array(words, pa.binary()) if isinstance(words, list) else words.cast(pa.binary())
+        at = pc.fill_null(pc.index_in(words, value_set=self.head), -2).to_numpy(zero_copy_only=False).astype(np.int64) + 1  # place 0 is the end's
         codes = self.head_code[at]
-        ends = self.endings.get
         rare = np.flatnonzero(at < 0)
-        codes[rare] = [FREQUENT + ends(words[i][-2:], CLASSES - 1) for i in rare]
+        codes[rare] = FREQUENT + self.class_by_end[_last_two(words)[rare]]
         return codes, at
 
 
@@ -140,11 +152,18 @@ def build_vocabulary(counts: DataFrame) -> Vocabulary:
     rest = counts.where(~F.col("token").isin([w.decode() for w in singles]))
     ends = rest.groupBy(_ending().alias("e")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"))
     top = ends.orderBy(F.desc("n"), "e").limit(ENDINGS).toArrow()
-    endings = {bytes(e): SINGLES + i for i, e in enumerate(top["e"].to_pylist())}
-    in_class = np.array([i if i < SINGLES else endings.get(w[-2:], CLASSES - 1) for i, w in enumerate(words)])
+    endings = top["e"].cast(pa.binary()).combine_chunks()
+    class_by_end = SINGLES + ENDINGS + np.arange(257 * 256) % 256 % RESTS
+    class_by_end[_last_two(endings)] = SINGLES + np.arange(len(endings))
+    by_byte = rest.where(~_ending().isin(endings.to_pylist())).groupBy(F.substring(F.col("token").cast("binary"), -1, 1).alias("b"))
+    others = by_byte.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).toArrow()
+    in_class = class_by_end[_last_two(pa.array(words, pa.binary()))]
+    in_class[:SINGLES] = np.arange(len(singles))
     n, v = np.zeros(CLASSES), np.zeros(CLASSES)
     n[SINGLES : SINGLES + len(endings)], v[SINGLES : SINGLES + len(endings)] = top["n"].to_pylist(), top["v"].to_pylist()
-    n[-1], v[-1] = totals["n"] - c[:SINGLES].sum() - n.sum(), totals["v"] - (c[:SINGLES] > 0).sum() - v.sum()
+    for b, *found in zip(*(others[k].to_pylist() for k in ("b", "n", "v")), strict=True):
+        at = SINGLES + ENDINGS + b[0] % RESTS
+        n[at], v[at] = n[at] + found[0], v[at] + found[1]
     often = slice(SINGLES, FREQUENT)
     np.subtract.at(n, in_class[often], c[often])
     np.subtract.at(v, in_class[often], 1)
@@ -155,10 +174,10 @@ def build_vocabulary(counts: DataFrame) -> Vocabulary:
     class_of[: min(FREQUENT, len(words))] = in_class[:FREQUENT]
     class_of[FREQUENT:CODES] = np.arange(CLASSES)
     return Vocabulary(
-        {w: i for i, w in enumerate(words) if i},
+        pa.array(words[1:], pa.binary()),
         np.where(np.arange(len(words)) < FREQUENT, np.arange(len(words)), FREQUENT + in_class).astype(np.uint16),
         np.log10(c + 0.5),
-        endings,
+        class_by_end,
         Layout.of(class_of),
         code_words,
         np.log10(n + 0.5 * (v + 1)),
@@ -234,38 +253,50 @@ class Lanes:
         return np.where(inside, self.codes[at - 1], 0), np.where(inside, self.codes[at], PAD)
 
 
+def _gates(w: np.ndarray) -> np.ndarray:
+    """Columns of the update, the reset and the candidate state, each contiguous."""
+    return np.ascontiguousarray(w.reshape(len(w), 3, HIDDEN).transpose(1, 0, 2))
+
+
+def _starts(entry: np.ndarray) -> list[np.ndarray]:
+    """Of each step the lanes that start anew."""
+    step, lane = np.nonzero(entry == 0)
+    return np.split(lane, np.searchsorted(step, np.arange(1, len(entry))))
+
+
 def _forward(p: dict, entry: np.ndarray, h: np.ndarray, keep: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """States after each step of a window, and the last; ``keep`` gets what backpropagation needs. An input of the end starts anew."""
+    """States after each step of a window, and the last; ``keep`` gets what backpropagation needs. An input of the end starts anew.
+
+    What a step reads and writes lies together gate by gate, so that no operation goes by pieces of a row.
+    """
     steps, lanes = entry.shape
-    half = np.ones(3 * HIDDEN, dtype=np.float32)
-    half[: 2 * HIDDEN] = 0.5  # a sigmoid is half the tanh of half its argument, and a half
-    x = ((p["wx"] + p["b"]) * half)[entry]
-    wh = p["wh"] * half
-    going = (entry != 0)[:, :, None]
-    starts = (entry == 0).any(axis=1)
-    gates = np.empty((steps, lanes, 2 * HIDDEN), dtype=x.dtype)
-    out, cand, un, before = (np.empty((steps, lanes, HIDDEN), dtype=x.dtype) for _ in range(4))
-    for t in range(steps):
-        if starts[t]:
-            h = h * going[t]
-        before[t] = h
-        u = h @ wh
-        g, n = gates[t], cand[t]
-        np.add(x[t, :, : 2 * HIDDEN], u[:, : 2 * HIDDEN], out=g)
+    half = np.array([0.5, 0.5, 1], dtype=p["wx"].dtype)[:, None, None]  # a sigmoid is half the tanh of half its argument, and a half
+    table, wh, codes = _gates(p["wx"] + p["b"]) * half, _gates(p["wh"]) * half, entry.astype(np.intp)
+    x = np.empty((3, steps, lanes, HIDDEN), dtype=table.dtype)  # the gates' arguments, then the gates
+    for k in range(3):
+        np.take(table[k], codes, axis=0, out=x[k], mode="clip")
+    out, un, before = (np.empty((steps, lanes, HIDDEN), dtype=table.dtype) for _ in range(3))
+    u = np.empty((2, lanes, HIDDEN), dtype=table.dtype)
+    for t, anew in enumerate(_starts(entry)):
+        b, g, n, after = before[t], x[:2, t], x[2, t], out[t]
+        b[:] = h
+        if len(anew):
+            b[anew] = 0
+        np.matmul(b, wh[:2], out=u)
+        np.matmul(b, wh[2], out=un[t])
+        g += u
         np.tanh(g, out=g)
         g *= 0.5
         g += 0.5
-        un[t] = u[:, 2 * HIDDEN :]
-        np.multiply(g[:, HIDDEN:], un[t], out=n)
-        n += x[t, :, 2 * HIDDEN :]
+        np.multiply(g[1], un[t], out=after)
+        n += after
         np.tanh(n, out=n)
-        after = out[t]
-        np.subtract(h, n, out=after)
-        after *= g[:, :HIDDEN]
+        np.subtract(b, n, out=after)
+        after *= g[0]
         after += n
         h = after
     if keep is not None:
-        keep.update(before=before, z=gates[:, :, :HIDDEN], r=gates[:, :, HIDDEN:], n=cand, un=un)
+        keep.update(before=before, z=x[0], r=x[1], n=x[2], un=un)
     return out, h
 
 
@@ -275,100 +306,163 @@ def _exp(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return z, z @ np.ones(z.shape[1], dtype=z.dtype)
 
 
+def _softmax(weights: np.ndarray, offsets: np.ndarray, states: np.ndarray, right: np.ndarray, out: np.ndarray, grads: tuple | None) -> None:
+    """The probability of the place ``right`` of each state's softmax, into ``out``; into ``grads`` the gradients of the
+    loss, summed over the states, by the weights (places x HIDDEN), the offsets and the states.
+
+    Taken in blocks of about BLOCK logits, which stay in a processor's cache from one operation to the next.
+    """
+    places = len(weights)
+    rows = max(16, BLOCK // places)
+    across, base = np.ascontiguousarray(weights.T), np.arange(0, min(rows, len(states)) * places, places)
+    for lo in range(0, len(states), rows):
+        s, mine = states[lo : lo + rows], slice(lo, lo + rows)
+        z = s @ across
+        z += offsets
+        z, whole = _exp(z)
+        flat_z, at = z.ravel(), base[: len(s)] + right[mine]
+        hit = flat_z.take(at)
+        np.divide(hit, whole, out=out[mine])
+        if grads is None:
+            continue
+        flat_z[at] = hit - whole  # z over whole is now the softmax less the target; the narrower factors are divided
+        scale = 1 / whole
+        by_weights, by_offsets, by_states = grads
+        by_weights += z.T @ (s * scale[:, None])
+        by_offsets += scale @ z
+        np.multiply(z @ weights, scale[:, None], out=by_states[mine])
+
+
 def _output(p: dict, layout: Layout, states: np.ndarray, target: np.ndarray, g: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
     """Log-probability of each target after its state, and with ``g`` the gradient of their mean loss (g gets the output's, the states' is returned).
 
     The softmax is factored: that of the class, and within the class that of the frequent words and of all others.
     """
-    rows = np.arange(len(target))
     classes = layout.class_of[target]
-    prob, whole = _exp(states @ p["wo"] + p["bo"])
-    logs = np.log(prob[rows, classes] / whole)
-    down = None
-    if g is not None:
-        prob *= (1 / (whole * max(1, len(target))))[:, None]
-        prob[rows, classes] -= 1 / max(1, len(target))
-        g["wo"], g["bo"] = states.T @ prob, prob.sum(axis=0)
-        down = prob @ p["wo"].T
-        g["ow"], g["ob"] = np.zeros_like(p["ow"]), np.zeros_like(p["ob"])
     order = np.argsort(classes, kind="stable")
     cuts = np.searchsorted(classes[order], np.arange(SINGLES, CLASSES + 1))
+    order, cuts = order[cuts[0] :], cuts - cuts[0]
+    s, slots = states.take(order, axis=0), layout.slot_of[target[order]]
+    share, inner = np.empty(len(target), dtype=states.dtype), np.ones(len(order), dtype=states.dtype)
+    down = more = None
+    if g is not None:
+        down, more = np.empty_like(states), np.zeros_like(s)
+        wo = np.zeros((CLASSES, HIDDEN), dtype=states.dtype)
+        g.update(wo=wo.T, bo=np.zeros_like(p["bo"]), ow=np.zeros_like(p["ow"]), ob=np.zeros_like(p["ob"]))
+    _softmax(np.ascontiguousarray(p["wo"].T), p["bo"], states, classes, share, None if g is None else (wo, g["bo"], down))
     for c, lo, hi in zip(range(SINGLES, CLASSES), cuts[:-1], cuts[1:], strict=True):
         if lo == hi or layout.starts[c + 1] - layout.starts[c] == 1:
             continue  # a class of one place gives it probability 1
-        mine, places = order[lo:hi], slice(layout.starts[c], layout.starts[c + 1])
-        s, slot = states[mine], layout.slot_of[target[mine]]
-        inner, whole = _exp(s @ p["ow"][places].T + p["ob"][places])
-        logs[mine] += np.log(inner[rows[: hi - lo], slot] / whole)
-        if g is not None:
-            inner *= (1 / (whole * max(1, len(target))))[:, None]
-            inner[rows[: hi - lo], slot] -= 1 / max(1, len(target))
-            g["ow"][places], g["ob"][places] = inner.T @ s, inner.sum(axis=0)
-            down[mine] += inner @ p["ow"][places]
+        at = slice(layout.starts[c], layout.starts[c + 1])
+        _softmax(p["ow"][at], p["ob"][at], s[lo:hi], slots[lo:hi], inner[lo:hi], None if g is None else (g["ow"][at], g["ob"][at], more[lo:hi]))
+    logs = np.log(share)
+    logs[order] += np.log(inner)
+    if g is not None:
+        down[order] += more
+        for x in (wo, g["bo"], g["ow"], g["ob"], down):
+            x *= 1 / max(1, len(target))
     return logs, down
 
 
+def _sums_by_code(codes: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Of each code the sum of its rows, by gates."""
+    out = np.zeros((CODES, 3, HIDDEN), dtype=rows.dtype)
+    order = np.argsort(codes, kind="stable")
+    first = np.flatnonzero(np.diff(codes[order], prepend=CODES))
+    pairs = np.result_type(rows.dtype, np.complex64)  # two columns are added at a time
+    for k in range(3):
+        out[codes[order[first]], k] = np.add.reduceat(rows[k].take(order, axis=0).view(pairs), first, axis=0).view(rows.dtype)
+    return out.reshape(CODES, 3 * HIDDEN)
+
+
 def _window_gradients(p: dict, layout: Layout, entry: np.ndarray, target: np.ndarray, h: np.ndarray) -> tuple[dict, np.ndarray]:
     """Gradients over one window of truncated backpropagation, and the state to carry on."""
     keep: dict = {}
     states, last = _forward(p, entry, h, keep)
     steps, lanes = entry.shape
-    real = np.flatnonzero((target != PAD).ravel())
+    flat_states, flat_target = states.reshape(-1, HIDDEN), target.ravel()
     g: dict = {}
-    down = np.zeros((steps * lanes, HIDDEN), dtype=states.dtype)
-    down[real] = _output(p, layout, states.reshape(-1, HIDDEN)[real], target.ravel()[real], g)[1]
+    real = np.flatnonzero(flat_target != PAD)
+    if len(real) == len(flat_target):
+        down = _output(p, layout, flat_states, flat_target, g)[1]
+    else:
+        down = np.zeros_like(flat_states)
+        down[real] = _output(p, layout, flat_states[real], flat_target[real], g)[1]
     down = down.reshape(steps, lanes, HIDDEN)
     before, z, r, n, un = (keep[k] for k in ("before", "z", "r", "n", "un"))
-    by_n = (1 - z) * (1 - n * n)
-    by_z = (before - n) * z * (1 - z)
-    by_r = un * r * (1 - r)
-    du = np.empty((steps, lanes, 3 * HIDDEN), dtype=down.dtype)
+    rest = 1 - z
+    by_z = before - n
+    by_z *= z
+    by_z *= rest
+    by_n = 1 - n * n
+    by_n *= rest
+    by_r = 1 - r
+    by_r *= r
+    by_r *= un
+    du = np.empty((3, steps, lanes, HIDDEN), dtype=down.dtype)
     dn = np.empty_like(down)
     dh = np.zeros((lanes, HIDDEN), dtype=down.dtype)
-    wh, going, starts = np.ascontiguousarray(p["wh"].T), (entry != 0)[:, :, None], (entry == 0).any(axis=1)
+    back = np.empty((3, lanes, HIDDEN), dtype=down.dtype)
+    wh, starts = np.ascontiguousarray(_gates(p["wh"]).transpose(0, 2, 1)), _starts(entry)
     for t in range(steps - 1, -1, -1):
         dh += down[t]
-        d = du[t]
         np.multiply(dh, by_n[t], out=dn[t])
-        np.multiply(dh, by_z[t], out=d[:, :HIDDEN])
-        np.multiply(dn[t], by_r[t], out=d[:, HIDDEN : 2 * HIDDEN])
-        np.multiply(dn[t], r[t], out=d[:, 2 * HIDDEN :])
+        np.multiply(dh, by_z[t], out=du[0, t])
+        np.multiply(dn[t], by_r[t], out=du[1, t])
+        np.multiply(dn[t], r[t], out=du[2, t])
         dh *= z[t]
-        dh += d @ wh
-        if starts[t]:
-            dh *= going[t]
-    g["wh"] = before.reshape(-1, HIDDEN).T @ du.reshape(-1, 3 * HIDDEN)
-    du[:, :, 2 * HIDDEN :] = dn  # from here on the gradient of the input, not of the state
-    dx, codes = du.reshape(-1, 3 * HIDDEN), entry.ravel()
-    order = np.argsort(codes, kind="stable")
-    first = np.flatnonzero(np.concatenate(([True], codes[order][1:] != codes[order][:-1])))
-    g["wx"] = np.zeros_like(p["wx"])
-    g["wx"][codes[order][first]] = np.add.reduceat(dx[order], first, axis=0)
-    g["b"] = dx.sum(axis=0)
+        np.matmul(du[:, t], wh, out=back)
+        for k in range(3):
+            dh += back[k]
+        if len(starts[t]):
+            dh[starts[t]] = 0
+    du = du.reshape(3, -1, HIDDEN)
+    g["wh"] = np.matmul(before.reshape(-1, HIDDEN).T, du).transpose(1, 0, 2).reshape(HIDDEN, 3 * HIDDEN)
+    du[2] = dn.reshape(-1, HIDDEN)  # from here on the gradient of the input, not of the state
+    g["wx"] = _sums_by_code(entry.ravel(), du)
+    g["b"] = g["wx"].sum(axis=0)
     return g, last
 
 
+def even_lanes(docs: list[np.ndarray], lanes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Inputs and targets (steps x lanes) of ``docs`` laid end to end and cut into lanes of equal length; PAD after the last target.
+
+    A lane may begin within a document: its first input is the word before, and its state starts empty there.
+    """
+    codes = np.concatenate(docs)
+    steps = -(-len(codes) // lanes)
+    target = np.full(steps * lanes, PAD, dtype=np.uint16)
+    target[: len(codes)] = codes
+    entry = np.zeros_like(target)
+    entry[1 : len(codes)] = codes[:-1]
+    return entry.reshape(lanes, steps).T, target.reshape(lanes, steps).T
+
+
 def train_group(start: np.ndarray, layout: Layout, docs: list[np.ndarray], rate: float) -> np.ndarray:
     """One pass of truncated backpropagation with Adam over the code sequences of ``docs``; parameters as one array."""
     v = start.copy()
     if not docs:
         return v
     p = unflat(v)
-    words = sum(map(len, docs))
-    lanes = Lanes(docs, max(1, min(LANES, len(docs), words // (WINDOW * WINDOWS))))
-    m, s = np.zeros_like(v), np.zeros_like(v)
-    h = np.zeros((len(lanes.length), HIDDEN), dtype=v.dtype)
-    places = range(0, int(lanes.length[0]), WINDOW)
+    entry, target = even_lanes(docs, max(1, min(LANES, sum(map(len, docs)) // (WINDOW * WINDOWS))))
+    m, s, step, root = np.zeros_like(v), np.zeros_like(v), np.empty_like(v), np.empty_like(v)
+    h = np.zeros((entry.shape[1], HIDDEN), dtype=v.dtype)
+    places = range(0, len(entry), WINDOW)
     for i, t in enumerate(places, 1):
-        entry, target = lanes.window(t, WINDOW)
-        g, h = _window_gradients(p, layout, entry, target, h[: entry.shape[1]])
-        step = np.concatenate([g[k].ravel() for k in SHAPES])
+        g, h = _window_gradients(p, layout, np.ascontiguousarray(entry[t : t + WINDOW]), np.ascontiguousarray(target[t : t + WINDOW]), h)
+        np.concatenate([g[k].ravel() for k in SHAPES], out=step)
         step *= min(1.0, 1.0 / max(float(np.sqrt(step @ step)), 1e-9))
-        m += 0.1 * (step - m)
+        m *= 0.9
+        m += np.multiply(step, 0.1, out=root)
+        s *= 0.99
         step *= step
-        s += 0.01 * (step - s)
+        s += np.multiply(step, 0.01, out=root)
         pace = rate * min(i / 20, 1.0) * max(0.1, 1 - i / len(places))  # a warm start, and smaller steps to the end
-        v -= (pace / (1 - 0.9**i)) * m / (np.sqrt(s / (1 - 0.99**i)) + 1e-6)
+        np.sqrt(s, out=root)
+        root += 1e-6 * np.sqrt(1 - 0.99**i)
+        np.divide(m, root, out=root)
+        root *= pace * np.sqrt(1 - 0.99**i) / (1 - 0.9**i)
+        v -= root
         for k in ("wo", "ow"):
             np.clip(p[k], -LIMIT, LIMIT, out=p[k])
     return v
@@ -382,8 +476,8 @@ def sequence_logs(p: dict, layout: Layout, docs: list[np.ndarray]) -> np.ndarray
     h = np.zeros((len(lanes.length), HIDDEN), dtype=np.float32)
     so_far = np.zeros(len(lanes.length))
     ends: list[list[float]] = [[] for _ in lanes.docs]  # of each lane the sums up to each document's end
-    for t in range(0, int(lanes.length[0]), 64):
-        entry, target = lanes.window(t, 64)
+    for t in range(0, int(lanes.length[0]), WINDOW):
+        entry, target = lanes.window(t, WINDOW)
         active = entry.shape[1]
         states, h = _forward(p, entry, h[:active])
         real = np.flatnonzero((target != PAD).ravel())
@@ -429,7 +523,7 @@ def encode_documents(rows: DataFrame, vocabulary) -> DataFrame:
             for part in _slices(batch, "text", SLICE_BYTES):
                 words, place, owner = split_words(part.column("text"))
                 n = part.num_rows
-                codes, at = v.encode(words.cast(pa.binary()).to_pylist())
+                codes, at = v.encode(words)
                 log = np.where(at >= 0, v.head_log[at], 0.0)
                 share = np.where(codes >= FREQUENT, log - v.other_log[np.maximum(codes, FREQUENT) - FREQUENT], 0.0)
                 sizes = np.bincount(owner, minlength=n)
