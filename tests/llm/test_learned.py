@@ -388,12 +388,12 @@ def test_lm_trains_in_even_lanes(monkeypatch):
     """Each word is a target once, after the word before it, and a long text doesn't leave the other lanes idle."""
     rng, layout = np.random.default_rng(2), small_layout()
     docs = [some_codes(rng, n) for n in (9000, *rng.integers(1, 40, 500))]
-    stream, seen, places = np.concatenate(docs).tolist(), Counter(), 0
+    stream, seen, windows = np.concatenate(docs).tolist(), Counter(), 0
     gradients = lm._window_gradients
 
     def watched(p, layout, entry, target, h):
-        nonlocal places
-        places += target.size
+        nonlocal windows
+        windows += 1
         seen.update((int(a), int(b)) for a, b in zip(entry.ravel(), target.ravel(), strict=True) if b != lm.PAD)
         return gradients(p, layout, entry, target, h)
 
@@ -402,7 +402,8 @@ def test_lm_trains_in_even_lanes(monkeypatch):
     after = lm.train_group(start, layout, docs, 0.01)
     assert np.isfinite(after).all() and np.abs(after - start).max() > 0
     assert seen == Counter(zip([0, *stream], stream, strict=False))
-    assert places < 1.1 * len(stream)
+    lanes = len(stream) // (lm.WINDOW * lm.WINDOWS)
+    assert lanes > 5 and windows == math.ceil(math.ceil(len(stream) / lanes) / lm.WINDOW)
 
 
 def test_lm_logits_of_a_word(spark, sf_dir):
