@@ -266,3 +266,22 @@ def test_text_of_html(spark):
     }
     df = spark.createDataFrame([(p,) for p in pages], "p string")
     assert {r.p: r.t for r in df.select("p", text.html_text(F.col("p")).alias("t")).collect()} == pages
+
+
+def test_references_cut_before_their_semicolon(spark, tmp_path):
+    import duckdb
+
+    from tidemill.plans import ORACLES, QUERIES
+
+    pages = {
+        "<title>a &amp b&amp</title><p>c &amp;copy; &middot; d&quot": "a &amp b&amp\nc &copy; · d&quot",
+        "x & y && &; &copyright; &nosuch; <a href='?a=1&amp=2'>z</a>": "x & y && &; &copyright; &nosuch; z",
+        "\ue000 &amp \ue001": "\ue000 &amp \ue001",
+        None: None,
+    }
+    df = spark.createDataFrame(list(enumerate(pages)), "page_id long, html string")
+    assert {r.html: r.t for r in df.select("html", text.html_text_closed(F.col("html")).alias("t")).collect()} == pages
+    df.where("html is not null").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert sorted(map(tuple, QUERIES["html_text_parsed"](spark, str(tmp_path)).collect())) == sorted(db.execute(ORACLES["html_text_parsed"]).fetchall())
