@@ -254,3 +254,73 @@ def test_bodies_expire_as_a_sweep_would_leave_them(spark, tmp_path, n_cuts):
     assert changes.where("kind = 'expired'").count() > 5
     numbers = [(x.message, x.change) for x in changes.collect()]
     assert len(set(numbers)) == len(numbers)  # each change once
+
+
+class Store:
+    """A bucket's value and timers as the state store would keep them, and how many calls they took."""
+
+    def __init__(self):
+        self.value, self.timers, self.calls = None, set(), 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls += 1
+        self.value = value
+
+    def clear(self):
+        self.calls += 1
+        self.value = None
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.remove(at)
+
+
+class Clock:
+    def __init__(self, millis):
+        self.getCurrentWatermarkInMs = lambda: millis
+
+
+def given(parts):
+    return sorted((tuple(None if pd.isna(x) else x for x in r) for p in parts for r in p.itertuples(index=False, name=None)), key=repr)
+
+
+def test_messages_of_a_bucket_share_calls_of_the_state_store():
+    names = [f"m{k}" for k in range(500)]
+    store, bodies = Store(), states._Bodies(7000)
+    bodies.init(store)
+    frame = lambda kind, at: pd.DataFrame({"bucket": 1, "message": names, "kind": kind, "micros": [at + k for k in range(500)]})
+    out = given(bodies.handleInputRows((1,), iter([frame("body", 0), frame("decision", 1000)]), None))
+    assert len(out) == 1000 and ("m3", 2, "dated", 3, 8003) in out and store.timers == {8} and store.calls <= 3
+    store.timers.clear()
+    out = given(bodies.handleExpiredTimer((1,), Clock(8), None))  # a timer is never early: it is rounded up to milliseconds
+    assert out == [("m0", 3, "expired", 0, 8000)] and store.timers == {9}
+    assert given(bodies.handleExpiredTimer((1,), Clock(9), None)) == sorted((f"m{k}", 3, "expired", k, 8000 + k) for k in range(1, 500))
+    store.calls = 0
+    assert len(given(bodies.handleInputRows((1,), iter([frame("body", 9000)]), None))) == 500 and store.calls <= 4  # numbers and decisions are still known
+
+    store, pairs = Store(), states._Pairs(None)
+    pairs.init(store)
+    frame = lambda kind, folder, at: pd.DataFrame({"bucket": 1, "message": names, "folder": folder, "kind": kind, "micros": [at + k for k in range(500)]})
+    assert given(pairs.handleInputRows((1,), iter([frame("removed", "a", 0)]), None)) == [] and store.calls <= 2 and not store.timers
+    out = given(pairs.handleInputRows((1,), iter([frame("added", "b", 2000)]), None))
+    assert out == sorted((m, "corrected", "a", "b", k, 2000 + k) for k, m in enumerate(names)) and store.value is None and store.calls <= 4
+
+
+@pytest.mark.parametrize("buckets", [1, 5])
+def test_messages_that_share_a_bucket_do_not_mix(spark, tmp_path, buckets):
+    rows, wait = changes_of(4), pd.Timedelta(minutes=30)
+    df = spark.createDataFrame(rows, "message string, folder string, kind string, at timestamp")
+    found = [states.replayed(df, "at", [rows[70][3]], lambda s, n=n: states.relabels(s, wait, buckets=n), str(tmp_path / str(n))) for n in (buckets, states.BUCKETS)]
+    got, want = (sorted(map(repr, x.collect())) for x in found)
+    assert got == want and len(got) > 20

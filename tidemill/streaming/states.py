@@ -1,16 +1,17 @@
 """Operators that wait: state by message with event-time timers, in place of sweeps over whole tables.
 
 Both take a stream and give a stream of changes. Their state lives in Spark's state store (``use_states`` names RocksDB's),
-partitioned by message; a batch costs what it holds, however much waits. Rows of a message within a batch are taken in the order of
+by message, in buckets of messages (``_Buckets``); a batch costs the buckets that it touches. Rows of a message within a batch are taken in the order of
 their times, so a batch that runs again gives the same rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -18,6 +19,9 @@ PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProv
 #: Fixed value: how long a decided message's body is kept.
 RETENTION = pd.Timedelta(days=7)
 
+#: Groups of state that messages are dealt over, by hash; with many more messages than some hundred times that, ``relabels`` and ``body_expiry`` want more. Not to be changed for a stream that has begun.
+BUCKETS = 1 << 12
+
 CHANGES = "message string, outcome string, from_folder string, to_folder string, removed_at timestamp, added_at timestamp"
 BODIES = "message string, change long, kind string, stored_at timestamp, expires_at timestamp"
 
@@ -27,17 +31,95 @@ def use_states(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
 
 
-def _micros(at) -> int:
-    return pd.Timestamp(at).value // 1000
+def _timer(micros: int) -> int:
+    """Milliseconds, rounded up: a timer never goes off before its time."""
+    return -(-micros // 1000)
 
 
-def _time(micros):
-    return None if micros is None or pd.isna(micros) else pd.Timestamp(int(micros), unit="us")
+def _columns(schema: str) -> list[tuple[str, str]]:
+    return [tuple(c.split()) for c in schema.split(", ")]
 
 
-def _timer(micros: int) -> int:
-    """Milliseconds, rounded up: a timer never goes off before its time."""
-    return -(-micros // 1000)
+class _Buckets(StatefulProcessor):
+    """Messages by buckets: what a bucket holds is one value, column by column, and its one timer is that of the row that is due first.
+
+    A call between Python and the state store takes as long as hundreds of rows of Python, so a bucket's messages share theirs. Times are microseconds.
+    """
+
+    #: Columns of what is held, message first, and of what is given.
+    HELD: str
+    GIVEN: str
+    #: Columns that are read, message first.
+    READ: tuple[str, ...]
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("held", ", ".join(["timer long", *(f"{c} array<{t}>" for c, t in _columns(self.HELD))]))
+
+    def due(self, row: tuple) -> int | None:
+        """When a held row is due, if ever."""
+        raise NotImplementedError
+
+    def events(self, held: dict[str, list[tuple]], found: dict[str, list[tuple]]) -> Iterable[tuple]:
+        """Rows to give for new rows by message; changes what is held by message."""
+        raise NotImplementedError
+
+    def expired(self, held: dict[str, list[tuple]], is_due) -> Iterable[tuple]:
+        """Rows to give for held rows that are due; changes what is held by message."""
+        raise NotImplementedError
+
+    def _load(self) -> tuple[int | None, dict[str, list[tuple]]]:
+        timer, *columns = self.held.get() or (None,)
+        held = defaultdict(list)
+        for message, *row in zip(*columns, strict=True):
+            held[message].append(tuple(row))
+        return timer, held
+
+    def _save(self, timer: int | None, held: dict[str, list[tuple]]) -> None:
+        rows = [(message, *row) for message, of in held.items() for row in of]
+        first = min((d for r in rows if (d := self.due(r[1:])) is not None), default=None)
+        first = None if first is None else _timer(first)
+        if first != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if first is not None:
+                self.handle.registerTimer(first)
+        if rows:
+            self.held.update((first, *map(list, zip(*rows, strict=True))))
+        else:
+            self.held.clear()
+
+    def _out(self, rows: Iterable[tuple]) -> Iterator[pd.DataFrame]:
+        if rows := list(rows):
+            yield pd.DataFrame({c: pd.Series(v, dtype=object) for (c, _), v in zip(_columns(self.GIVEN), zip(*rows, strict=True), strict=True)})
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        found = defaultdict(list)
+        for part in rows:
+            for message, *row in part[list(self.READ)].itertuples(index=False, name=None):
+                found[message].append(tuple(row))
+        timer, held = self._load()
+        out = list(self.events(held, found))
+        self._save(timer, held)
+        yield from self._out(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        _, held = self._load()
+        now = timerValues.getCurrentWatermarkInMs()
+        out = list(self.expired(held, lambda row: (d := self.due(row)) is not None and _timer(d) <= now))
+        self._save(None, held)  # the timer that went off goes by itself
+        yield from self._out(out)
+
+    def close(self) -> None:
+        pass
+
+
+def _by_buckets(rows: DataFrame, late: str, processor: _Buckets, buckets: int) -> DataFrame:
+    """What ``processor`` gives for a stream with message and at, its times as timestamps."""
+    marked = rows.withWatermark("at", late).withColumns({"bucket": F.pmod(F.xxhash64("message"), F.lit(buckets)).cast("int"), "micros": F.unix_micros("at")})
+    found = marked.groupBy("bucket").transformWithStateInPandas(processor, processor.GIVEN, "Append", "EventTime")
+    time: dict[str, Column] = {c: F.timestamp_micros(c) for c in found.columns if c.endswith("_at")}
+    return found.withColumns(time)
 
 
 # --- moves between folders
@@ -90,47 +172,29 @@ def _expired(change: tuple) -> tuple:
     return ("rejected", folder, None, at, None) if kind == "removed" else ("ambiguous", None, folder, None, at)
 
 
-class _Pairs(StatefulProcessor):
+class _Pairs(_Buckets):
+    HELD, READ = "message string, folder string, kind string, at long", ("message", "folder", "kind", "micros")
+    GIVEN = CHANGES.replace("timestamp", "long")
+
     def __init__(self, wait: int | None) -> None:
         self.wait = wait
 
-    def init(self, handle) -> None:
-        self.handle = handle
-        self.waiting = handle.getListState("waiting", "folder string, kind string, at long")
-
-    def _out(self, message: str, done: list[tuple]) -> pd.DataFrame:
-        rows = [(message, o, f, t, _time(r), _time(a)) for o, f, t, r, a in done]
-        return pd.DataFrame(rows, columns=["message", "outcome", "from_folder", "to_folder", "removed_at", "added_at"]).astype({"removed_at": "datetime64[us]", "added_at": "datetime64[us]"})
+    def due(self, row: tuple) -> int | None:
+        return None if self.wait is None else row[2] + self.wait
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        before = [tuple(w) for w in self.waiting.get()] if self.waiting.exists() else []
-        new = [(r.folder, r.kind, _micros(r.at)) for part in rows for r in part.itertuples()]
-        waiting, done = pair_changes(list(before), new, self.wait)
-        self._keep(waiting)
-        if self.wait is not None:
-            for at in {w[2] for w in waiting} - {w[2] for w in before}:
-                self.handle.registerTimer(_timer(at + self.wait))
-        if done:
-            yield self._out(key[0], done)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        waiting = [tuple(w) for w in self.waiting.get()] if self.waiting.exists() else []
-        late = [w for w in waiting if _timer(w[2] + self.wait) <= expiredTimerInfo.getExpiryTimeInMs()]
-        self._keep([w for w in waiting if w not in late])
-        if any(w[1] in OTHER for w in late):
-            yield self._out(key[0], [_expired(w) for w in sorted(late, key=lambda w: (w[2], w[1], w[0])) if w[1] in OTHER])
-
-    def _keep(self, waiting: list[tuple]) -> None:
-        if waiting:
-            self.waiting.put(waiting)
-        elif self.waiting.exists():
-            self.waiting.clear()
+    def events(self, held: dict[str, list[tuple]], found: dict[str, list[tuple]]) -> Iterator[tuple]:
+        for message, changes in found.items():
+            held[message], done = pair_changes(held[message], changes, self.wait)
+            yield from ((message, *d) for d in done)
 
-    def close(self) -> None:
-        pass
+    def expired(self, held: dict[str, list[tuple]], is_due) -> Iterator[tuple]:
+        for message, waiting in held.items():
+            late = sorted(filter(is_due, waiting), key=lambda w: (w[2], w[1], w[0]))
+            held[message] = [w for w in waiting if not is_due(w)]
+            yield from ((message, *_expired(w)) for w in late if w[1] in OTHER)
 
 
-def relabels(changes: DataFrame, wait: pd.Timedelta | None = None, late: str = "0 seconds") -> DataFrame:
+def relabels(changes: DataFrame, wait: pd.Timedelta | None = None, late: str = "0 seconds", buckets: int = BUCKETS) -> DataFrame:
     """What the moves of messages between folders mean (see ``pair_changes``): a stream of CHANGES, from a stream (message, folder, kind, at).
 
     The halves of a move are paired however far apart they come, in whatever batches, unless ``wait`` is given: then what waits longer is decided
@@ -140,7 +204,7 @@ def relabels(changes: DataFrame, wait: pd.Timedelta | None = None, late: str = "
     named = changes.select(F.col("message").cast("string").alias("message"), "folder", "kind", F.col("at").cast("timestamp").alias("at"))
     good = named.where(F.col("message").isNotNull() & F.col("folder").isNotNull() & F.col("at").isNotNull() & F.col("kind").isin(kinds))
     micros = None if wait is None else wait.value // 1000
-    return good.withWatermark("at", late).groupBy("message").transformWithStateInPandas(_Pairs(micros), CHANGES, "Append", "EventTime")
+    return _by_buckets(good, late, _Pairs(micros), buckets)
 
 
 # --- bodies that expire
@@ -175,51 +239,39 @@ def body_changes(held: tuple, events: list[tuple], retention: int) -> tuple[tupl
     return (n, stored, expires, decided), out
 
 
-class _Bodies(StatefulProcessor):
+class _Bodies(_Buckets):
+    HELD, READ = "message string, n long, stored long, expires long, decided long", ("message", "kind", "micros")
+    GIVEN = BODIES.replace("timestamp", "long")
+
     def __init__(self, retention: int) -> None:
         self.retention = retention
 
-    def init(self, handle) -> None:
-        self.handle = handle
-        self.held = handle.getValueState("held", "n long, stored long, expires long, decided long")
-
-    def _load(self) -> tuple:
-        found = tuple(self.held.get()) if self.held.exists() else (0, None, None, None)
-        return tuple(None if x is None or pd.isna(x) else int(x) for x in found)
-
-    def _out(self, message: str, changes: list[tuple]) -> pd.DataFrame:
-        rows = [(message, n, kind, _time(stored), _time(expires)) for n, kind, stored, expires in changes]
-        return pd.DataFrame(rows, columns=["message", "change", "kind", "stored_at", "expires_at"]).astype({"stored_at": "datetime64[us]", "expires_at": "datetime64[us]"})
+    def due(self, row: tuple) -> int | None:
+        return row[2]
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        before = self._load()
-        after, out = body_changes(before, [(r.kind, _micros(r.at)) for part in rows for r in part.itertuples()], self.retention)
-        if after != before:
-            self.held.update(after)
-        if after[2] is not None and after[2] != before[2]:
-            self.handle.registerTimer(_timer(after[2]))
-        if out:
-            yield self._out(key[0], out)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        n, stored, expires, decided = self._load()
-        if expires is not None and _timer(expires) <= expiredTimerInfo.getExpiryTimeInMs():  # else a timer of a body that went before
-            self.held.update((n + 1, None, None, decided))
-            yield self._out(key[0], [(n + 1, "expired", stored, expires)])
+    def events(self, held: dict[str, list[tuple]], found: dict[str, list[tuple]]) -> Iterator[tuple]:
+        for message, events in found.items():
+            before = held[message][0] if held[message] else (0, None, None, None)
+            after, out = body_changes(before, events, self.retention)
+            held[message] = [after]
+            yield from ((message, *change) for change in out)
 
-    def close(self) -> None:
-        pass
+    def expired(self, held: dict[str, list[tuple]], is_due) -> Iterator[tuple]:
+        for message, ((n, stored, expires, decided),) in held.items():
+            if is_due((n, stored, expires, decided)):
+                held[message] = [(n + 1, None, None, decided)]
+                yield message, n + 1, "expired", stored, expires
 
 
-def body_expiry(events: DataFrame, retention: pd.Timedelta = RETENTION, late: str = "0 seconds") -> DataFrame:
+def body_expiry(events: DataFrame, retention: pd.Timedelta = RETENTION, late: str = "0 seconds", buckets: int = BUCKETS) -> DataFrame:
     """The life of cached bodies (see ``body_changes``): a stream of BODIES, from a stream (message, kind, at), kind body or decision.
 
-    ``change`` numbers a message's changes. A body's timer goes off when event time, ``late`` behind the newest event, has passed its
-    expiry: nothing sweeps the table. Rows with a null, or of another kind, are left out.
+    ``change`` numbers a message's changes. A body expires when event time, ``late`` behind the newest event, has passed its
+    expiry, by the timer of its bucket: nothing sweeps the table. Rows with a null, or of another kind, are left out.
     """
     named = events.select(F.col("message").cast("string").alias("message"), "kind", F.col("at").cast("timestamp").alias("at"))
     good = named.where(F.col("message").isNotNull() & F.col("at").isNotNull() & F.col("kind").isin("body", "decision"))
-    return good.withWatermark("at", late).groupBy("message").transformWithStateInPandas(_Bodies(retention.value // 1000), BODIES, "Append", "EventTime")
+    return _by_buckets(good, late, _Bodies(retention.value // 1000), buckets)
 
 
 def surviving_bodies(changes: DataFrame) -> DataFrame:
