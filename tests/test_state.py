@@ -324,3 +324,14 @@ def test_messages_that_share_a_bucket_do_not_mix(spark, tmp_path, buckets):
     found = [states.replayed(df, "at", [rows[70][3]], lambda s, n=n: states.relabels(s, wait, buckets=n), str(tmp_path / str(n))) for n in (buckets, states.BUCKETS)]
     got, want = (sorted(map(repr, x.collect())) for x in found)
     assert got == want and len(got) > 20
+
+
+@pytest.mark.parametrize("n", [0, 3, 4000])
+def test_batches_of_a_replay_are_written_by_many_tasks_and_read_whole(spark, tmp_path, n):
+    at = F.timestamp_micros(F.lit(1_700_000_000_000_000) + F.col("id"))
+    rows = spark.range(n).select((F.col("id") % 7).cast("string").alias("message"), F.lit("body").alias("kind"), at.alias("at"))
+    cut = dt.datetime.fromtimestamp(1_700_000_000, dt.UTC).replace(tzinfo=None) + dt.timedelta(microseconds=n // 2)
+    found = states.replayed(rows, "at", [cut], states.body_expiry, f"file://{tmp_path}/r")
+    assert found.count() == min(n, 7) and len(workspace.names(spark, f"{tmp_path}/r/checkpoint/commits")) >= 2 * (n > 0)
+    sizes = [spark.read.parquet(f"file://{tmp_path}/r/in/{f}").count() for f in workspace.names(spark, f"{tmp_path}/r/in") if f.startswith("part-")]
+    assert sum(sizes) == n and len(sizes) == 2 * spark.sparkContext.defaultParallelism and max(sizes) <= max(2, n // 6)

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
+from ..sources import workspace
+
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Fixed value: how long a decided message's body is kept.
 RETENTION = pd.Timedelta(days=7)
@@ -288,13 +290,20 @@ def replayed(rows: DataFrame, by: str, cuts: list, operator, folder: str) -> Dat
     spark = rows.sparkSession
     use_states(spark)
     bounds = [None, *cuts, None]
-    for low, high in zip(bounds, bounds[1:], strict=False):
+    files = spark.sparkContext.defaultParallelism
+    for n, (low, high) in enumerate(zip(bounds, bounds[1:], strict=False), start=1):
         part = rows
         part = part if low is None else part.where(F.col(by) > low)
         part = part if high is None else part.where(F.col(by) <= high)
-        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+        part.repartition(files).write.mode("append").parquet(f"{folder}/in")
+        while _files(spark, f"{folder}/in") < n * files:  # a trigger takes so many files: a batch of few rows is filled up with empty ones
+            part.limit(0).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/in")
     found = operator(source)
     query = found.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(found.schema).parquet(f"{folder}/out")
+
+
+def _files(spark: SparkSession, path: str) -> int:
+    return sum(name.startswith("part-") for name in workspace.names(spark, path))
