@@ -321,3 +321,67 @@ def test_ten_thousand_rules_limit(spark):
     assert got == {1: (7, "l7", None, None, None), 2: (None, None, 0, 0, 1)}
     none = rules.rule_entries(spark, many).limit(0)
     assert {(r.winner, r.nearest_miss, r.met) for r in rules.first_match(df, none).collect()} == {(None, None, 0)}
+
+
+def plain_neighbours(asked, known, k):
+    """(vec_id, n_id, s) by definition: cosines summed up one by one, rounded half up, ties by id; those without a cosine last."""
+    import math
+    from decimal import ROUND_HALF_UP, Decimal
+
+    def cosine(q, v):
+        if q is None or v is None or len(q) != len(v) or None in q or None in v:
+            return None
+        dots = []
+        for a, b in ((q, v), (q, q), (v, v)):
+            total = 0.0
+            for x, y in zip(a, b, strict=True):
+                total += x * y
+            dots.append(total)
+        return float(Decimal(repr(dots[0] / math.sqrt(dots[1] * dots[2]))).quantize(Decimal("0.000001"), ROUND_HALF_UP))
+
+    found = []
+    for i, q in asked:
+        near = [(cosine(q, v), n) for n, v in known if n != i]
+        found += [(i, n, s) for s, n in sorted(near, key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))[:k]]
+    return sorted(found, key=repr)
+
+
+@pytest.mark.parametrize("blocks", [(7, 40), (1000, 1000)])
+def test_nearest_by_products_of_blocks(spark, blocks):
+    from tidemill.operators import neighbours
+
+    draw = random.Random(2)
+    vectors = [(i, [float(draw.choice([-2, -1, 0.5, 1, 3])) for _ in range(3)]) for i in range(300)]  # many ties
+    vectors += [(1000 + i, [1.0, 1.0, 1.0]) for i in range(60)] + [(2000 + i, [draw.gauss(0, 1) for _ in range(3)]) for i in range(60)]
+    vectors += [(3000, None), (3001, [1.0, None, 1.0]), (3002, [1.0, 2.0]), (3003, [2.0, 1.0]), (None, [1.0, 2.0, 3.0]), (3004, [1e-150, 1e-150, 0.0])]
+    df = spark.createDataFrame([(i, v, 1) for i, v in vectors], "vec_id long, v array<double>, label int")
+    known = df.select(F.col("vec_id").alias("n_id"), "label", "v")
+    for k, chosen in ((5, "vec_id % 5 = 0 or vec_id >= 3000"), (9, "vec_id in (3000, 3002)")):
+        found = neighbours.nearest(df.where(chosen).select("vec_id", F.col("v").alias("q")), known, k, *blocks)
+        got = sorted(((r.vec_id, r.n_id, r.s) for r in found.collect()), key=repr)
+        asked = [(i, v) for i, v in vectors if i is not None and ((i % 5 == 0 or i >= 3000) if k == 5 else i in (3000, 3002))]
+        assert got == plain_neighbours(asked, [(i, v) for i, v in vectors if i is not None], k)
+    small = df.where("vec_id in (3002, 3003, 3000)")
+    found = neighbours.nearest(small.select("vec_id", F.col("v").alias("q")), small.select(F.col("vec_id").alias("n_id"), "label", "v"), 5, *blocks)
+    assert sorted(((r.vec_id, r.n_id, r.s) for r in found.collect()), key=repr) == plain_neighbours(*[[(i, v) for i, v in vectors if i in (3000, 3002, 3003)]] * 2, 5)
+    assert neighbours.nearest(df.limit(0).select("vec_id", F.col("v").alias("q")), known, 5, *blocks).count() == 0
+
+
+def test_a_block_of_pairs_is_a_product_and_keeps_few_of_them():
+    import time
+
+    import numpy as np
+    import pyarrow as pa
+
+    from tidemill.operators import neighbours
+
+    draw = np.random.default_rng(1)
+    vectors = draw.normal(size=(20_000, 64)).astype("float32")
+    vectors[::3] = vectors[0]  # a third are the same, asked for by a third of the queries
+    table = lambda rows, names: pa.table({names[0]: pa.array(rows), names[1]: pa.array(vectors[rows].tolist(), pa.list_(pa.float32())), "label": pa.array(rows % 10)})
+    asked, known = table(np.arange(0, 20_000, 20), ("vec_id", "q")), table(np.arange(20_000), ("n_id", "v"))
+    start = time.thread_time()
+    found = neighbours.block_nearest(asked, known, 10)
+    assert time.thread_time() - start < 20  # 20 million pairs; one by one they take minutes
+    of = lambda i: [r["n_id"] for r in found.filter(pa.compute.equal(found["vec_id"], i)).to_pylist()]
+    assert of(0) == list(range(3, 33, 3)) and of(60) == list(range(0, 30, 3)) and len(found) == 10_000
