@@ -181,3 +181,10 @@ def test_newest_of_each_mailbox_are_cut_before_the_shuffle(spark):
     assert Counter((r.id, r.m) for r in top.collect()) == want
     plan = top._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") >= 2
+
+
+def test_neighbours_of_the_tier_are_no_join_of_pairs(spark, sf_dir):
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    found = classifier.embedding_tier(vectors, vectors.where("vec_id % 20 = 0"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and "FlatMapCoGroups" in plan
