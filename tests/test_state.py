@@ -335,3 +335,8 @@ def test_batches_of_a_replay_are_written_by_many_tasks_and_read_whole(spark, tmp
     assert found.count() == min(n, 7) and len(workspace.names(spark, f"{tmp_path}/r/checkpoint/commits")) >= 2 * (n > 0)
     sizes = [spark.read.parquet(f"file://{tmp_path}/r/in/{f}").count() for f in workspace.names(spark, f"{tmp_path}/r/in") if f.startswith("part-")]
     assert sum(sizes) == n and len(sizes) == 2 * spark.sparkContext.defaultParallelism and max(sizes) <= max(2, n // 6)
+
+
+def test_state_stores_share_one_limit_of_memory(spark):
+    states.use_states(spark)
+    assert spark.conf.get("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage") == "true"

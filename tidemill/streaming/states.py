@@ -29,8 +29,9 @@ BODIES = "message string, change long, kind string, stored_at timestamp, expires
 
 
 def use_states(spark: SparkSession) -> None:
-    """State stores of the session's streams are RocksDB's, which these operators need."""
+    """State stores of the session's streams are RocksDB's, which these operators need; those of an executor share one limit of memory, however many there are."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true")
 
 
 def _timer(micros: int) -> int:
